@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.errors import NearfieldError
@@ -69,27 +69,20 @@ def _embed(entry: TableEntry, rows: DataFrame, model: Embedder) -> DataFrame:
     )
 
 
-def _observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
-    seen = Observation()
-    return rows.observe(seen, F.count("*").alias("rows")), seen
-
-
 def index_table(spark: SparkSession, entry: TableEntry, models: Models) -> IndexReport:
     """Embed the rows without an embedding and append them. Running it again resumes."""
     started = time.monotonic()
     table = entry.embeddings(spark)
     pending = unembedded_rows(entry.rows(spark), table.read(), entry.primary_key, entry.columns)
-    rows, seen = _observed(_embed(entry, pending, models.get(entry.model)))
-    table.append(rows)
-    return IndexReport(seen.get["rows"], time.monotonic() - started)
+    rows = table.append(_embed(entry, pending, models.get(entry.model)))
+    return IndexReport(rows, time.monotonic() - started)
 
 
 def reindex_table(spark: SparkSession, entry: TableEntry, models: Models) -> IndexReport:
     """Embed every row anew; searches see the old embeddings until the new ones are complete."""
     started = time.monotonic()
-    rows, seen = _observed(_embed(entry, entry.rows(spark), models.get(entry.model)))
-    entry.embeddings(spark).rewrite(rows)
-    return IndexReport(seen.get["rows"], time.monotonic() - started)
+    rows = entry.embeddings(spark).rewrite(_embed(entry, entry.rows(spark), models.get(entry.model)))
+    return IndexReport(rows, time.monotonic() - started)
 
 
 def migrate_table(
@@ -108,10 +101,9 @@ def migrate_table(
     target = entry.embeddings(spark)
     target.begin_migration(model.key, model.model_name, model.dims)
     remaining = unembedded_rows(entry.rows(spark), target.staged(), entry.primary_key, entry.columns)
-    rows, seen = _observed(_embed(entry, remaining, model))
-    target.append(rows, staged=True)
+    rows = target.append(_embed(entry, remaining, model), staged=True)
     target.finish_migration()
     entry.model, entry.model_name, entry.dims, entry.storage = model.key, model.model_name, model.dims, "external"
     if registry_path is not None:
         registry.save(spark, registry_path)
-    return IndexReport(seen.get["rows"], time.monotonic() - started)
+    return IndexReport(rows, time.monotonic() - started)

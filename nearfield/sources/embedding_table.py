@@ -171,16 +171,18 @@ class EmbeddingTable:
 
     # -- writes --------------------------------------------------------------
 
-    def append(self, rows: DataFrame, *, staged: bool = False) -> Snapshot:
-        """Add rows whose keys are not in the table; nothing is rewritten."""
+    def append(self, rows: DataFrame, *, staged: bool = False) -> int:
+        """Add rows whose keys are not in the table; nothing is rewritten. Returns the source rows added."""
         snap = self.snapshot()
         gen, touched = self._write(snap, rows, staged)
         if not touched:
-            return snap
+            return 0
         if staged:
             track = dict(snap.staged, live={**snap.staged["live"], gen: touched})
-            return self._publish(self._after(snap, staged=track))
-        return self._publish(self._after(snap, live={**snap.live, gen: touched}))
+            self._publish(self._after(snap, staged=track))
+        else:
+            self._publish(self._after(snap, live={**snap.live, gen: touched}))
+        return self._source_rows(snap, gen, touched)
 
     def merge(
         self,
@@ -225,11 +227,12 @@ class EmbeddingTable:
             batches[stream] = batch_id
         return self._publish(self._after(snap, live=live, batches=batches))
 
-    def rewrite(self, rows: DataFrame) -> Snapshot:
+    def rewrite(self, rows: DataFrame) -> int:
         """Replace the whole content in one step; readers see the old rows until it is done."""
         snap = self.snapshot()
         gen, touched = self._write(snap, rows)
-        return self._publish(self._after(snap, live={gen: touched} if touched else {}))
+        self._publish(self._after(snap, live={gen: touched} if touched else {}))
+        return self._source_rows(snap, gen, touched) if touched else 0
 
     def begin_migration(self, model: str, model_name: str, dims: int) -> Snapshot:
         """Open a second set of rows for another model; resume it if it is already open."""
@@ -280,6 +283,11 @@ class EmbeddingTable:
         touched = [int(n.removeprefix("bucket=")) for n in files.names(self.spark, folder) if n.startswith("bucket=")]
         return gen, sorted(touched)
 
+    def _source_rows(self, snap: Snapshot, gen: str, buckets: list[int]) -> int:
+        """Source rows in one generation, counted from the files written, each once if chunked."""
+        written = self._rows(snap, {gen: buckets})
+        return (written.where(F.coalesce("chunk_index", F.lit(0)) == 0) if snap.chunked else written).count()
+
     @staticmethod
     def _new_name(snap: Snapshot) -> str:
         """Two writers, or two tries of one writer, never share a folder."""

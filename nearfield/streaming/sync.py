@@ -31,8 +31,8 @@ def apply_changes(
 ) -> int:
     """Bring one table's embeddings up to date with a batch of changes; returns the rows touched.
 
-    A row that is gone, or whose text has become null or blank, loses its embedding. The text comes
-    from the source as it is now, so only the last change of a row matters.
+    A row that is gone, or whose text has become null, loses its embedding. The text comes from the
+    source as it is now, so only the last change of a row matters.
     """
     key = entry.primary_key
     table = entry.embeddings(spark)
@@ -75,10 +75,13 @@ class ChangeSync:
     def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; safe to run again with the same number."""
         spark = batch.sparkSession
+        # batch numbers count from zero again under a new checkpoint, which has a new query id
+        query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        stream = f"{self.name}:{query_id}"
         processed = 0
         for entry in self.entries:
             mine = batch.where(F.col("table_name") == entry.table)
-            processed += apply_changes(spark, entry, self.models, mine, stream=self.name, batch_id=batch_id)
+            processed += apply_changes(spark, entry, self.models, mine, stream=stream, batch_id=batch_id)
         known = [e.table for e in self.entries]
         if self.dead_letter_path is not None:
             lost = batch.where(~F.coalesce(F.col("table_name").isin(known), F.lit(False)))
