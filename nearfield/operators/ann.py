@@ -23,10 +23,14 @@ def build_lists(vectors: DataFrame, key: list[str], path: str, lists: int, seed:
     """Place ``lists`` centroids and write every vector under the list of its nearest one."""
     spark = vectors.sparkSession
     present = vectors.where(quoted("embedding").isNotNull()).select(*[quoted(c) for c in key], "embedding")
-    size = present.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
-    if lists * (size["dims"] or 0) * 8 > CENTROID_BYTES:
-        raise NearfieldError(f"{lists} centroids of {size['dims']} dimensions are too many to share")
-    share = min(1.0, lists * TRAINING_ROWS_PER_LIST / max(1, size["n"]))
+    one = present.first()
+    if one is None:
+        raise NearfieldError("there are no vectors to place in lists")
+    dims = len(one["embedding"])
+    if lists * dims * 8 > CENTROID_BYTES:
+        raise NearfieldError(f"{lists} centroids of {dims} dimensions are too many to share")
+    # the plain row count comes from file footers; it only sets the share of rows to train on
+    share = min(1.0, lists * TRAINING_ROWS_PER_LIST / vectors.count())
     directed = present.withColumn("_n", norm(F.col("embedding"))).where("_n > 0").select(
         array_to_vector(F.transform("embedding", lambda x: x / F.col("_n"))).alias("features")
     )

@@ -44,7 +44,8 @@ def check_select(sql: str) -> str:
 def bounded_query(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """The checked query as text columns, with one row more than shown so that a cut is noticed."""
     result = spark.sql(check_select(sql))
-    return result.limit(max_rows + 1).select(*[display_value(f, VALUE_WIDTH) for f in result.schema.fields])
+    # the limit comes last, so that Spark stops reading once it has enough rows
+    return result.select(*[display_value(f, VALUE_WIDTH) for f in result.schema.fields]).limit(max_rows + 1)
 
 
 def run_bounded(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS) -> BoundedResult:

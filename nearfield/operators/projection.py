@@ -1,7 +1,10 @@
 """Two-dimensional maps of embeddings, samples, topic clusters and their keywords."""
 
-from __future__ import annotations
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import NearfieldError
 from nearfield.functions.text import quoted, row_id
+from nearfield.operators.joins import spread
 
 # Rows on a map by default and at most, label width, digits of a coordinate.
 SAMPLE_ROWS, MAX_SAMPLE_ROWS = 1000, 5000
@@ -66,24 +70,37 @@ def topic_clusters(embeddings: DataFrame, key: list[str], clusters: int, seed: i
     return model.transform(points).select(*key, "cluster")
 
 
+def word_counts(text: Column) -> Column:
+    """Distinct words of a text with how often each occurs."""
+    entry = pa.struct([("term", pa.string()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = re.compile("[a-z0-9]+")
+        for batch in batches:
+            rows = [None if t is None else Counter(words.findall(t.lower())).items() for t in batch.to_pylist()]
+            yield pa.array([None if r is None else [{"term": w, "n": n} for w, n in r] for r in rows], pa.list_(entry))
+
+    return F.arrow_udf(count, "array<struct<term:string,n:bigint>>")(text)
+
+
 def cluster_keywords(members: DataFrame, texts: DataFrame, key: list[str], text: str, top: int = 5) -> DataFrame:
     """Most telling words per cluster: frequent in it and rare among the other documents.
 
-    Words are counted per document inside the task, so the shuffle carries one row per document and
-    distinct word, and one per cluster and word after partial aggregation.
+    Each text is cut into words once and its repeated words are counted in the task that reads it, so
+    after partial aggregation the shuffle carries about one row per cluster and word and task.
     """
-    words = F.filter(F.split(F.lower(quoted(text)), "[^a-z0-9]+"), lambda w: w != "")
-    documents = members.join(texts.select(*key, quoted(text)), key)
-    pairs = documents.select("cluster", F.explode(words).alias("term"))
-    per_document = documents.select("cluster", F.explode(F.array_distinct(words)).alias("term"))
-    total = documents.count()
-    frequency = per_document.groupBy("term").agg(F.count("*").alias("df"))
-    counts = pairs.groupBy("cluster", "term").agg(F.count("*").alias("tf"))
+    names = [quoted(c) for c in key]
+    total = members.join(texts.select(*names), key).count()  # keys only
+    texts = spread(texts.select(*names, quoted(text))).select(*names, word_counts(quoted(text)).alias("_words"))
+    documents = members.join(texts, key)
+    pairs = documents.select("cluster", F.inline("_words"))
+    counts = pairs.groupBy("cluster", "term").agg(F.sum("n").alias("tf"), F.count("*").alias("_documents"))
+    # one row per cluster is left for a term
+    counts = counts.withColumn("df", F.sum("_documents").over(Window.partitionBy("term")))
     score = F.round(F.col("tf") * F.log(F.lit(float(total)) / F.col("df")), DIGITS)
     best = Window.partitionBy("cluster").orderBy(F.desc("score"), "term")
     return (
-        counts.join(frequency, "term")
-        .withColumn("score", score)
+        counts.withColumn("score", score)
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= top)
         .select("cluster", "rank", "term", "tf", "df", "score")

@@ -9,6 +9,7 @@ from nearfield.errors import NearfieldError
 from nearfield.functions import text as X
 from nearfield.functions.scoring import coverage_pct
 from nearfield.functions.text import quoted
+from nearfield.operators.joins import rows_with_keys, rows_without_keys
 
 DETAIL_WIDTH = 2000
 
@@ -19,17 +20,24 @@ def with_content(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def unembedded_rows(source: DataFrame, embeddings: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Source rows with content that have no embedding row yet.
+    """Source rows with content that have no embedding row yet."""
+    return rows_without_keys(source.where(X.has_content(columns)), embedded_keys(embeddings, key), key)
 
-    Keys are made distinct first: a chunked row may own a large share of the embedding table.
+
+def embedded_keys(embeddings: DataFrame, key: list[str]) -> DataFrame:
+    """Each embedded key once: a chunked row may own a large share of the embedding table.
+
+    Every handled row has exactly one first chunk, or a marker without a chunk number, so no shuffle
+    is needed to make the keys distinct.
     """
-    done = embeddings.select(*[quoted(c) for c in key]).distinct()
-    return source.where(X.has_content(columns)).join(done, key, "left_anti")
+    if "chunk_index" in embeddings.columns:
+        embeddings = embeddings.where(F.coalesce("chunk_index", F.lit(0)) == 0)
+    return embeddings.select(*[quoted(c) for c in key])
 
 
 def orphan_embeddings(embeddings: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
-    """Embedding rows whose source row is gone."""
-    return embeddings.join(source.select(*[quoted(c) for c in key]), key, "left_anti")
+    """Keys of embedded rows whose source row is gone; only keys are shuffled."""
+    return embedded_keys(embeddings, key).join(source.select(*[quoted(c) for c in key]), key, "left_anti")
 
 
 def keyset_page(df: DataFrame, key: list[str], limit: int, after: list[object] | None = None) -> DataFrame:
@@ -53,8 +61,9 @@ def row_detail(df: DataFrame, key: list[str], row_id: str) -> DataFrame:
 
 def fetch_content(keys: DataFrame, source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Content per requested key; null if the row is gone or a source column is null."""
-    found = source.select(*[quoted(c) for c in key], X.content(columns).alias("content"))
-    return keys.select(*[quoted(c) for c in key]).distinct().join(found, key, "left")
+    wanted = keys.select(*[quoted(c) for c in key]).distinct()
+    found = rows_with_keys(source.select(*[quoted(c) for c in key], X.content(columns).alias("content")), wanted, key)
+    return wanted.join(found, key, "left")
 
 
 def key_violations(df: DataFrame, key: list[str]) -> DataFrame:
@@ -72,11 +81,10 @@ def require_key(df: DataFrame, key: list[str]) -> None:
         raise NearfieldError(f"{key} does not identify rows, for example {bad.asDict()}")
 
 
-def count_embedded(embeddings: DataFrame, key: list[str], chunked: bool = False) -> DataFrame:
+def count_embedded(embeddings: DataFrame, key: list[str]) -> DataFrame:
     """Rows that have an embedding; a chunked row counts once."""
     present = embeddings.where(quoted("embedding").isNotNull())
-    counted = F.count_distinct(*[quoted(c) for c in key]) if chunked else F.count("*")
-    return present.agg(counted.alias("embedded"))
+    return embedded_keys(present, key).agg(F.count("*").alias("embedded"))
 
 
 def count_content(source: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,12 +93,12 @@ def count_content(source: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def coverage(
-    source: DataFrame, embeddings: DataFrame, key: list[str], columns: list[str], chunked: bool = False
+    source: DataFrame, embeddings: DataFrame, key: list[str], columns: list[str]
 ) -> DataFrame:
     """One row: embedded rows, rows with content and the share of the two in percent."""
     counts = count_content(source, columns).select(F.col("with_content").alias("total"))
     # two one-row aggregates side by side
-    both = count_embedded(embeddings, key, chunked).withColumn("one", F.lit(1)).join(
+    both = count_embedded(embeddings, key).withColumn("one", F.lit(1)).join(
         counts.withColumn("one", F.lit(1)), "one"
     )
     return both.select("embedded", "total", coverage_pct(F.col("embedded"), F.col("total")).alias("coverage_pct"))

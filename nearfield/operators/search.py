@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from nearfield.errors import InvalidFilterError
 from nearfield.functions import text as X
 from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted
+from nearfield.operators.joins import LITERAL_KEYS, fits_broadcast, literal_keys
 from nearfield.operators.topk import SIMILARITY, by_similarity, nearest
 
 logger = logging.getLogger(__name__)
@@ -22,11 +23,6 @@ logger = logging.getLogger(__name__)
 LIMIT = 10
 SIMILARITY_DIGITS = 4
 CONTENT_WIDTH = 500
-# Up to this many winners are looked up by literal keys, so the lookup can skip Parquet row groups.
-LITERAL_KEYS = 1000
-# A filtered key set no larger than this is broadcast.
-BROADCAST_KEYS = 500_000
-BROADCAST_BYTES = 16 << 20
 
 
 def filter_condition(df: DataFrame, filters: Mapping[str, object]) -> Column | None:
@@ -73,13 +69,17 @@ def escaped_pattern(pattern: str) -> str:
 
 @dataclass(frozen=True)
 class Searchable:
-    """A source table and its vectors, joined on the real key columns."""
+    """A source table and its vectors, joined on the real key columns.
+
+    ``lookup`` reads only the stored vectors that may have one of a few given keys.
+    """
 
     source: DataFrame
     vectors: DataFrame
     key: list[str]
     columns: list[str]
     chunked: bool = False
+    lookup: Callable[[DataFrame], DataFrame] | None = None
 
     def search(
         self,
@@ -100,7 +100,9 @@ class Searchable:
             rows = best.collect()
             best = source.sparkSession.createDataFrame(rows, best.schema)
             near = literal_keys(rows, self.key)
-            source, vectors = source.where(near), vectors.where(near)
+            source = source.where(near)
+            if self.chunked:
+                vectors = (self.lookup(best) if self.lookup else vectors).where(near)
         rest = [f.name for f in source.schema.fields if f.name not in {*self.key, "embedding", "content", SIMILARITY}]
         found = best.join(source, self.key, "inner")
         if self.chunked:
@@ -147,24 +149,6 @@ class Searchable:
         return self._nearest(self.vectors.join(allowed, self.key, "left_semi"), query, limit)
 
 
-def fits_broadcast(keys: DataFrame) -> bool:
-    """Whether a set of keys is small enough to copy to every executor, by counting it."""
-    size = keys.limit(BROADCAST_KEYS + 1).agg(
-        F.count("*").alias("n"), F.sum(F.octet_length(X.row_id(keys.columns))).alias("bytes")
-    ).first()
-    return size["n"] <= BROADCAST_KEYS and (size["bytes"] or 0) <= BROADCAST_BYTES
-
-
-def literal_keys(rows: list, key: list[str]) -> Column:
-    """Rows with one of the given keys; a range per column lets row groups be skipped."""
-    if not rows:
-        return F.lit(False)
-    condition = F.lit(True)
-    for name in key:
-        condition = condition & quoted(name).isin(sorted({r[name] for r in rows}))
-    return condition
-
-
 def shaped(results: DataFrame) -> DataFrame:
     """Results for display: similarity to 4 digits, content cut at 500, no vector."""
     return (

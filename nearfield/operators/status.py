@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from nearfield.errors import NearfieldError
 from nearfield.functions.scoring import coverage_pct
 from nearfield.operators.jobs import queue_depth
-from nearfield.operators.rows import coverage
+from nearfield.operators.rows import coverage, embedded_keys
 from nearfield.registry import Registry, TableEntry
 
 COLUMNS = (
@@ -21,7 +21,7 @@ COLUMNS = (
 def table_status(spark: SparkSession, entry: TableEntry) -> DataFrame:
     """One row: counts and coverage of one table."""
     table = entry.embeddings(spark)
-    counts = coverage(entry.rows(spark), table.read(), entry.primary_key, entry.columns, entry.chunked)
+    counts = coverage(entry.rows(spark), table.read(), entry.primary_key, entry.columns)
     return counts.select(
         F.lit(entry.table).alias("table_name"),
         F.lit(entry.schema).alias("table_schema"),
@@ -55,7 +55,7 @@ def status(spark: SparkSession, registry: Registry, jobs: DataFrame | None = Non
 def migration_progress(total: DataFrame, staged: DataFrame, key: list[str]) -> DataFrame:
     """Rows a migration has finished and rows it still has to do. ``total`` holds rows with content."""
     counted = total.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
-    done = staged.select(*key).distinct().agg(F.count("*").alias("already")).withColumn("one", F.lit(1))
+    done = embedded_keys(staged, key).agg(F.count("*").alias("already")).withColumn("one", F.lit(1))
     return counted.join(done, "one").select(
         "total",
         "already",

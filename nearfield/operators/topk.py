@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.errors import DimensionMismatchError
 from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted
 from nearfield.session import estimated_bytes
@@ -87,6 +86,7 @@ def nearest_batch(
     asked = queries.where(quoted(query_embedding).isNotNull()).select(
         quoted(query_key).alias("query_id"), quoted(query_embedding).alias("vector")
     )
+    asked = asked.persist()
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
     passes = max(1, math.ceil(size["n"] * (size["dims"] or 0) * 8 / QUERY_BYTES_PER_PASS))
     id_type = asked.schema["query_id"].dataType
@@ -99,6 +99,7 @@ def nearest_batch(
         matrix = np.asarray([r["vector"] for r in rows], dtype=np.float64)
         found = _local_best(present, key, matrix, [r["query_id"] for r in rows], id_type, k, part)
         result = found if result is None else result.unionByName(found)
+    asked.unpersist()
     if part is not None:
         result = _best_part(result, key, part)
     ranked = Window.partitionBy("query_id").orderBy(*by_similarity(key))
@@ -210,14 +211,3 @@ def _local_best(
             yield from out.combine_chunks().to_batches()
 
     return present.mapInArrow(best_rows, schema)
-
-
-def check_dims(vectors: DataFrame, embedding: str = "embedding") -> int | None:
-    """Dimensions of a table's vectors, read from one row."""
-    row = vectors.where(quoted(embedding).isNotNull()).select(F.size(quoted(embedding)).alias("n")).first()
-    return row["n"] if row else None
-
-
-def require_dims(query: Sequence[float], dims: int | None) -> None:
-    if dims is not None and len(query) != dims:
-        raise DimensionMismatchError(f"query has {len(query)} dimensions, the table has {dims}")

@@ -13,6 +13,7 @@ from nearfield.functions import text as X
 from nearfield.functions.chunking import MAX_WORDS, OVERLAP, chunk_column
 from nearfield.functions.embedders import Embedder, Models
 from nearfield.functions.text import quoted
+from nearfield.operators.joins import spread
 from nearfield.operators.rows import unembedded_rows
 from nearfield.registry import Registry, TableEntry
 
@@ -36,9 +37,9 @@ def chunk_rows(
 
     That row marks the text as handled, so that an incremental run does not meet it again.
     """
-    chunks = chunk_column(X.content(columns), max_words, overlap)
+    chunks = chunk_column(F.col("_text"), max_words, overlap)
     return (
-        source.where(X.has_content(columns))
+        spread(_texts(source, key, columns))
         .select(*[quoted(c) for c in key], chunks.alias("_chunks"))
         .select(*[quoted(c) for c in key], F.posexplode_outer("_chunks").alias("chunk_index", "chunk_text"))
     )
@@ -58,8 +59,12 @@ def embed_rows(
     if chunked:
         rows = chunk_rows(source, key, columns, max_words, overlap)
         return rows.withColumn("embedding", model.column(F.col("chunk_text")))
-    rows = source.where(X.has_content(columns))
-    return rows.select(*[quoted(c) for c in key], model.column(X.content(columns)).alias("embedding"))
+    rows = spread(_texts(source, key, columns))
+    return rows.select(*[quoted(c) for c in key], model.column(F.col("_text")).alias("embedding"))
+
+
+def _texts(source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    return source.where(X.has_content(columns)).select(*[quoted(c) for c in key], X.content(columns).alias("_text"))
 
 
 def _embed(entry: TableEntry, rows: DataFrame, model: Embedder) -> DataFrame:

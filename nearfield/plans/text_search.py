@@ -15,8 +15,9 @@ EMPTY = "_source_table string, _source_schema string, row_id string, content str
 
 
 def searchable(spark: SparkSession, entry: TableEntry) -> Searchable:
+    table = entry.embeddings(spark)
     return Searchable(
-        entry.rows(spark), entry.embeddings(spark).read(), entry.primary_key, entry.columns, entry.chunked
+        entry.rows(spark), table.read(), entry.primary_key, entry.columns, entry.chunked, table.read_buckets_of
     )
 
 

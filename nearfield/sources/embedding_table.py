@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from nearfield.errors import NearfieldError
 from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted, row_id
+from nearfield.operators.joins import rows_without_keys
 from nearfield.sources import files
 
 
@@ -137,6 +138,12 @@ class EmbeddingTable:
         snap = self.snapshot(version)
         return self._rows(snap, snap.live).drop("bucket")
 
+    def read_buckets_of(self, keys: DataFrame) -> DataFrame:
+        """The buckets that can hold one of a few keys; the rest of the table is not opened."""
+        snap = self.snapshot()
+        only = [r["b"] for r in keys.select(self.bucket_of(snap).alias("b")).distinct().collect()]
+        return self._rows(snap, snap.live, only).drop("bucket")
+
     def staged(self) -> DataFrame:
         """Rows already written by a migration that has not finished."""
         snap = self.snapshot()
@@ -217,7 +224,7 @@ class EmbeddingTable:
             keys = self.spark.read.parquet(keys_path)
             # at most one row per bucket
             touched = sorted(r["bucket"] for r in keys.select("bucket").distinct().collect())
-            survivors = self._rows(snap, live, only=touched).join(keys.drop("bucket"), key, "left_anti")
+            survivors = rows_without_keys(self._rows(snap, live, only=touched), keys, key)
             gen, kept = self._write(snap, survivors.drop("bucket"), stamped=True)
             live = {g: [b for b in buckets if b not in set(touched)] for g, buckets in live.items()}
             added[gen] = kept
@@ -278,6 +285,8 @@ class EmbeddingTable:
             .withColumn("bucket", self.bucket_of(snap))
             # splits a bucket that is too big for one task and joins small ones
             .hint("rebalance", "bucket")
+            # lets a lookup by key skip row groups
+            .sortWithinPartitions("bucket", *key)
             .write.partitionBy("bucket").parquet(folder)
         )
         touched = [int(n.removeprefix("bucket=")) for n in files.names(self.spark, folder) if n.startswith("bucket=")]

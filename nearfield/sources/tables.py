@@ -48,8 +48,8 @@ def table_catalog(tables: dict[str, DataFrame]) -> DataFrame:
 
 def sample_rows(df: DataFrame, limit: int = SAMPLE_LIMIT, order: list[str] | None = None) -> DataFrame:
     """A few rows as short text; vectors are only marked."""
-    rows = df.orderBy(*order) if order else df
-    return rows.limit(max(0, min(limit, MAX_SAMPLE))).select(*[_shown(f, SAMPLE_WIDTH) for f in df.schema.fields])
+    rows = df.orderBy(*[quoted(c) for c in order]) if order else df
+    return rows.select(*[_shown(f, SAMPLE_WIDTH) for f in df.schema.fields]).limit(max(0, min(limit, MAX_SAMPLE)))
 
 
 def _shown(field: T.StructField, width: int):

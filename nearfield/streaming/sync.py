@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from nearfield.functions import text as X
 from nearfield.functions.embedders import Models
 from nearfield.functions.text import quoted
 from nearfield.operators.jobs import FAILED, POLL_MILLISECONDS, coalesce_changes
-from nearfield.operators.search import fits_broadcast
+from nearfield.operators.joins import rows_with_keys
 from nearfield.plans.indexing import embed_rows
 from nearfield.registry import TableEntry
 
@@ -43,8 +42,7 @@ def apply_changes(
         wanted = jobs.where(F.col("operation") != "DELETE").select(*[quoted(c) for c in key])
         touched = jobs.count()
         # a micro-batch is usually small next to its source, but that is checked, not assumed
-        wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
-        rows = entry.rows(spark).where(X.has_content(entry.columns)).join(wanted, key, "left_semi")
+        rows = rows_with_keys(entry.rows(spark), wanted, key)
         upserts = embed_rows(
             rows, key, entry.columns, models.get(entry.model),
             chunked=entry.chunked, max_words=entry.chunk_words, overlap=entry.chunk_overlap,
