@@ -1,5 +1,11 @@
 """Errors raised while a plan is being built or a write is being checked."""
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+
+# What a failing Spark job raises, depending on where it fails.
+JOB_ERRORS = (PySparkException, Py4JJavaError)
+
 
 class NearfieldError(Exception):
     """Base class of every error this package raises on purpose."""

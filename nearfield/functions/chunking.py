@@ -72,4 +72,5 @@ def chunk_column(
             rows = [None if v is None else split(v) for v in batch.to_pylist()]
             yield pa.array(rows, type=pa.list_(pa.string()))
 
-    return F.arrow_udf(split_batches, "array<string>")(text)
+    # see Embedder.column: keeps Catalyst from calling it twice
+    return F.arrow_udf(split_batches, "array<string>").asNondeterministic()(text)

@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +31,28 @@ Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 @dataclass(frozen=True)
 class Embedder:
-    """A model: ``factory`` is called once per Python worker and returns ``texts -> vectors``."""
+    """A model: ``factory`` is called once per Python worker process and returns ``texts -> vectors``."""
 
     key: str
     model_name: str
     dims: int
     factory: Callable[[], Encoder] | None = None
     batch_size: int = BATCH_SIZE
+    identity: str = field(default_factory=lambda: uuid.uuid4().hex, compare=False, repr=False)
 
     def column(self, text: Column) -> Column:
         """Embed a text column; only that column crosses to Python, in Arrow batches."""
-        factory, dims, size = self._require_factory(), self.dims, self.batch_size
+        factory, dims, size, identity = self._require_factory(), self.dims, self.batch_size, self.identity
+
+        def loaded() -> Encoder:
+            """Python workers are reused from task to task, and so is a model they have loaded."""
+            models = sys.modules.setdefault("_nearfield_loaded", types.ModuleType("_nearfield_loaded")).__dict__
+            if identity not in models:
+                models[identity] = factory()
+            return models[identity]
 
         def embed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encode = factory()
+            encode = loaded()
             for batch in batches:
                 present = batch.drop_null().to_pylist()
                 matrix = np.zeros((len(present), dims), dtype=np.float32)
@@ -56,7 +67,8 @@ class Embedder:
                     pa.array(offsets.astype(np.int32)), pa.array(matrix.reshape(-1)), mask=mask
                 )
 
-        return F.arrow_udf(embed_batches, "array<float>")(text)
+        # not repeatable as far as Catalyst knows, or it would copy the call into filters on its result
+        return F.arrow_udf(embed_batches, "array<float>").asNondeterministic()(text)
 
     def embed_query(self, text: str) -> list[float]:
         """Embed one short query text on the driver."""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.errors import JOB_ERRORS
 from nearfield.functions import scoring
 from nearfield.functions.text import quoted, text_columns
 
@@ -82,18 +82,17 @@ def inspect(
     spark: SparkSession, tables: dict[str, DataFrame], share: float = SAMPLE_SHARE, only: str | None = None
 ) -> DataFrame:
     """Score the text columns of all tables; a table that cannot be sampled reports zero length."""
-    merged = spark.createDataFrame([], COLUMNS)
+    rows = []
     for name, df in tables.items():
         if only is not None and name != only:
             continue
         try:
-            one = table_profile(df, name, share=share)
-        except PySparkException as error:
+            # one row per text column; run here, so that one bad table does not fail the others
+            rows += table_profile(df, name, share=share).collect()
+        except JOB_ERRORS as error:
             logger.warning("cannot sample %s: %s", name, error)
-            zero = [(name, "public", c, df.schema[c].dataType.simpleString(), 0.0, 0) for c in text_columns(df)]
-            one = spark.createDataFrame(zero, COLUMNS)
-        merged = merged.unionByName(one)
-    return scored(merged)
+            rows += [(name, "public", c, df.schema[c].dataType.simpleString(), 0.0, 0) for c in text_columns(df)]
+    return scored(spark.createDataFrame(rows, COLUMNS))
 
 
 def candidates_json(candidates: DataFrame) -> DataFrame:

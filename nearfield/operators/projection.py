@@ -80,7 +80,8 @@ def word_counts(text: Column) -> Column:
             rows = [None if t is None else Counter(words.findall(t.lower())).items() for t in batch.to_pylist()]
             yield pa.array([None if r is None else [{"term": w, "n": n} for w, n in r] for r in rows], pa.list_(entry))
 
-    return F.arrow_udf(count, "array<struct<term:string,n:bigint>>")(text)
+    # see Embedder.column: keeps Catalyst from calling it twice
+    return F.arrow_udf(count, "array<struct<term:string,n:bigint>>").asNondeterministic()(text)
 
 
 def cluster_keywords(members: DataFrame, texts: DataFrame, key: list[str], text: str, top: int = 5) -> DataFrame:

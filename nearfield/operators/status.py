@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.errors import NearfieldError
+from nearfield.errors import JOB_ERRORS, NearfieldError
 from nearfield.functions.scoring import coverage_pct
 from nearfield.operators.jobs import queue_depth
 from nearfield.operators.rows import coverage, embedded_keys
@@ -38,14 +37,15 @@ def table_status(spark: SparkSession, entry: TableEntry) -> DataFrame:
 
 def status(spark: SparkSession, registry: Registry, jobs: DataFrame | None = None) -> DataFrame:
     """One row per registered table; a table that cannot be read becomes a row with its error."""
-    merged = spark.createDataFrame([], COLUMNS)
+    rows = []
     for entry in registry.entries:
         try:
-            one = table_status(spark, entry)
-        except (PySparkException, NearfieldError) as error:
-            failed = (entry.table, entry.schema, entry.model, entry.storage, entry.applied_at)
-            one = spark.createDataFrame([(*failed, None, None, None, None, str(error).split("\n")[0])], COLUMNS)
-        merged = merged.unionByName(one)
+            # one row; run here, so that one bad table does not fail the others
+            rows += table_status(spark, entry).collect()
+        except (*JOB_ERRORS, NearfieldError) as error:
+            known = (entry.table, entry.schema, entry.model, entry.storage, entry.applied_at)
+            rows.append((*known, None, None, None, None, str(error).split("\n")[0]))
+    merged = spark.createDataFrame(rows, COLUMNS)
     if jobs is None:
         return merged.withColumn("pending", F.lit(0).cast("bigint")).withColumn("failed", F.lit(0).cast("bigint"))
     # one row per table on either side

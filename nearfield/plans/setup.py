@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.errors import NearfieldError, RegistryError
+from nearfield.errors import JOB_ERRORS, NearfieldError, RegistryError
 from nearfield.functions.chunking import MAX_WORDS, OVERLAP, check_window
 from nearfield.functions.embedders import Models
 from nearfield.operators.rows import require_key
@@ -89,7 +88,7 @@ def apply_many(spark: SparkSession, registry: Registry, models: Models, requests
         try:
             apply_table(spark, registry, models, **request)
             report.append((name, True, "registered"))
-        except (NearfieldError, PySparkException, TypeError) as error:
+        except (NearfieldError, *JOB_ERRORS, TypeError) as error:
             report.append((name, False, str(error).split("\n")[0]))
     return spark.createDataFrame(report, REPORT)
 
