@@ -22,7 +22,9 @@ from nearfield.session import estimated_bytes
 # Above this many bytes of input an Arrow matrix product beats interpreted array functions.
 ARROW_FROM_BYTES = 64 << 20
 # Query vectors shipped to every task in one pass; more queries take more passes.
-QUERY_BYTES_PER_PASS = 32 << 20
+QUERY_BYTES_PER_PASS = 8 << 20
+# Scores a task holds in memory at a time, over all queries.
+SCORES_AT_ONCE = 2_000_000
 
 SIMILARITY = "similarity"
 
@@ -144,6 +146,7 @@ def _local_best(
     def best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_column, lengths, ids = shared.value
         n_queries = len(ids)
+        slice_rows = max(1, SCORES_AT_ONCE // n_queries)
         order = [("_s", "descending")] + [(c, "ascending") for c in columns]
         # the k-th best similarity so far per query: anything lower can be skipped
         floor = np.full(n_queries, -np.inf)
@@ -176,31 +179,25 @@ def _local_best(
             if (sizes != dims).any():
                 raise ValueError(f"query has {dims} dimensions, table holds {sorted(set(sizes.tolist()))}")
             values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-            norms = np.sqrt((values * values).sum(axis=1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = (values @ by_column) / (norms[:, None] * lengths[None, :])
-            # equal vectors must get equal scores wherever they sit in a batch
-            scores = np.round(scores, 12)
-            scores[np.isnan(scores)] = -np.inf
             rows = pa.Table.from_batches([batch]).select(columns)
-            for q in range(n_queries):
-                column = scores[:, q]
-                if part is None and len(column) > k:
-                    cut = max(floor[q], np.partition(column, len(column) - k)[len(column) - k])
-                else:
-                    cut = floor[q]
-                at = np.flatnonzero(column >= cut)
+            for start in range(0, len(values), slice_rows):
+                some = values[start:start + slice_rows]
+                norms = np.sqrt((some * some).sum(axis=1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = (some @ by_column) / (norms[:, None] * lengths[None, :])
+                # equal vectors must get equal scores wherever they sit in a batch
+                scores = np.round(scores, 12)
+                scores[np.isnan(scores)] = -np.inf
+                cut = floor
+                if part is None and len(scores) > k:
+                    cut = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
+                at, q = np.nonzero(scores >= cut)
                 if len(at) == 0:
                     continue
-                mine = rows.take(pa.array(at)).append_column("_s", pa.array(column[at]))
-                if part is not None or len(at) > k:
-                    mine = mine.sort_by(order)
-                    if part is not None:
-                        mine = first_of(mine, key)
-                    mine = mine.slice(0, k)
-                pending.append(mine.append_column("_q", pa.array(np.full(len(mine), q))))
-            if sum(len(t) for t in pending) > 4 * k * n_queries:
-                compact()
+                found = rows.take(pa.array(at + start)).append_column("_s", pa.array(scores[at, q]))
+                pending.append(found.append_column("_q", pa.array(q)))
+                if sum(len(t) for t in pending) > 4 * k * n_queries:
+                    compact()
         if pending:
             compact()
         if kept is not None:
