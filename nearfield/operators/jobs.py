@@ -94,10 +94,10 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str], watched:
 
     Only the key and a digest of the watched columns are shuffled.
     """
-    watched_text = F.to_json(F.struct(*[quoted(c).cast("string") for c in watched]), {"ignoreNullFields": "false"})
+    digest = F.concat(*[F.coalesce(F.md5(quoted(c).cast("string").cast("binary")), F.lit("-")) for c in watched])
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*[quoted(c) for c in key], F.md5(watched_text).alias(name))
+        return df.select(*[quoted(c) for c in key], digest.alias(name))
 
     both = side(before, "_old").join(side(after, "_new"), key, "full_outer")
     operation = (

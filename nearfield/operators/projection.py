@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import NearfieldError
 from nearfield.functions.text import quoted, row_id
-from nearfield.operators.joins import spread
+from nearfield.operators.joins import rows_with_keys, spread
 
 # Rows on a map by default and at most, label width, digits of a coordinate.
 SAMPLE_ROWS, MAX_SAMPLE_ROWS = 1000, 5000
@@ -92,7 +92,8 @@ def cluster_keywords(members: DataFrame, texts: DataFrame, key: list[str], text:
     """
     names = [quoted(c) for c in key]
     total = members.join(texts.select(*names), key).count()  # keys only
-    texts = spread(texts.select(*names, quoted(text))).select(*names, word_counts(quoted(text)).alias("_words"))
+    wanted = rows_with_keys(texts.select(*names, quoted(text)), members, key)
+    texts = spread(wanted).select(*names, word_counts(quoted(text)).alias("_words"))
     documents = members.join(texts, key)
     pairs = documents.select("cluster", F.inline("_words"))
     counts = pairs.groupBy("cluster", "term").agg(F.sum("n").alias("tf"), F.count("*").alias("_documents"))

@@ -119,7 +119,7 @@ class Searchable:
             *[quoted(c) for c in self.key],
             *[quoted(c) for c in rest],
         )
-        return shown.orderBy(*by_similarity(self.key))
+        return shown.orderBy(*by_similarity(self.key)).limit(limit)
 
     def _nearest(self, vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
         return nearest(vectors, self.key, query, k, part="chunk_index" if self.chunked else None)

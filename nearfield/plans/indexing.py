@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.errors import NearfieldError
+from nearfield.errors import CommitConflictError, NearfieldError
 from nearfield.functions import text as X
 from nearfield.functions.chunking import MAX_WORDS, OVERLAP, chunk_column
 from nearfield.functions.embedders import Embedder, Models
@@ -105,10 +105,21 @@ def migrate_table(
     model.embed_query("test")  # the model must answer with the dimensions it declares
     target = entry.embeddings(spark)
     target.begin_migration(model.key, model.model_name, model.dims)
-    remaining = unembedded_rows(entry.rows(spark), target.staged(), entry.primary_key, entry.columns)
-    rows = target.append(_embed(entry, remaining, model), staged=True)
-    target.finish_migration()
+    written = 0
+    while True:
+        # rows changed during the migration lose their migrated vector and come up again here
+        seen = target.snapshot()
+        remaining = unembedded_rows(entry.rows(spark), target.staged(), entry.primary_key, entry.columns)
+        added = target.append(_embed(entry, remaining, model), staged=True)
+        written += added
+        if added:
+            continue
+        try:
+            target.finish_migration(seen)
+            break
+        except CommitConflictError:
+            continue
     entry.model, entry.model_name, entry.dims, entry.storage = model.key, model.model_name, model.dims, "external"
     if registry_path is not None:
         registry.save(spark, registry_path)
-    return IndexReport(rows, time.monotonic() - started)
+    return IndexReport(written, time.monotonic() - started)

@@ -1,31 +1,48 @@
 """Embedding side tables: Parquet folders that are never changed in place, and a small pointer file.
 
-Every write adds a folder ``gen=<n>/bucket=<b>/``; a snapshot file then says which generations hold
-the live rows of each bucket. Readers resolve the newest snapshot when they build their plan and keep
-reading the same files while writers go on. New rows only append; an update or delete rewrites the
-buckets it touches and no others.
+Every write adds a folder ``gen=<name>/bucket=<b>/``; a snapshot file then says which generations are
+live. Readers resolve the newest snapshot when they build their plan and keep reading the same files
+while writers go on.
+
+An update or delete writes only its new rows and its keys. Readers leave out older rows with one of
+those keys, by a join with a key set that is kept small enough to broadcast: once it grows past that,
+the buckets it touches are rewritten and it starts empty again.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.errors import NearfieldError
+from nearfield.errors import CommitConflictError, NearfieldError
 from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted, row_id
-from nearfield.operators.joins import rows_without_keys
+from nearfield.operators.joins import BROADCAST_BYTES, BROADCAST_KEYS, key_count
 from nearfield.sources import files
 
 
+# Merges kept as folders of their own before they are joined into one.
+FOLD_AFTER = 20
+
+
+def _fits(pending: list[dict]) -> bool:
+    """Whether the pending keys, counted when they were written, can be broadcast."""
+    return sum(p["keys"] for p in pending) <= BROADCAST_KEYS and sum(p["bytes"] for p in pending) <= BROADCAST_BYTES
+
+
 @dataclass(frozen=True)
 class Snapshot:
-    """What is live. ``live`` and ``staged`` map a generation to its buckets."""
+    """What is live.
+
+    ``live`` maps a generation to its ``order`` and its buckets. ``pending`` lists key sets: a row is
+    dead if a pending set with a later order holds its key.
+    """
 
     version: int
     key_schema: str
@@ -35,7 +52,11 @@ class Snapshot:
     source_column: str
     chunked: bool
     buckets: int
-    live: dict[str, list[int]] = field(default_factory=dict)
+    live: dict[str, dict] = field(default_factory=dict)
+    pending: list[dict] = field(default_factory=list)
+    # newest versions that added rows in bulk, and that emptied ``pending``
+    appended: int = 0
+    cleared: int = 0
     # last finished micro-batch per stream
     batches: dict[str, int] = field(default_factory=dict)
     # a model migration under way: its model, dimensions and finished generations
@@ -91,16 +112,16 @@ class EmbeddingTable:
         return Snapshot(**json.loads(files.read_text(self.spark, f"{self.path}/_snapshots/{version}.json")))
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete generations that none of the newest ``keep`` snapshots uses."""
+        """Delete folders that none of the newest ``keep`` snapshots uses. Not beside a writer."""
         versions = self._versions()
         used: set[str] = set()
         for version in versions[-keep:]:
             snap = self.snapshot(version)
-            used |= set(snap.live) | set((snap.staged or {}).get("live", {}))
-        unused = [
-            n for n in files.names(self.spark, self.path)
-            if n.startswith("gen=") and n.removeprefix("gen=") not in used
-        ]
+            used |= {f"gen={g}" for g in [*snap.live, *(snap.staged or {}).get("live", {})]}
+            used |= {f"_keys/{p['name']}" for p in snap.pending}
+        found = [n for n in files.names(self.spark, self.path) if n.startswith("gen=")]
+        found += [f"_keys/{n}" for n in files.names(self.spark, f"{self.path}/_keys")]
+        unused = [n for n in found if n not in used]
         for name in unused:
             files.delete(self.spark, f"{self.path}/{name}")
         for version in versions[:-keep]:
@@ -153,10 +174,13 @@ class EmbeddingTable:
         names = key or self.key_schema(snap).fieldNames()
         return F.pmod(F.xxhash64(*[quoted(c) for c in names]), F.lit(snap.buckets)).cast("int")
 
-    def _rows(self, snap: Snapshot, live: dict[str, list[int]], only: list[int] | None = None) -> DataFrame:
+    def _rows(
+        self, snap: Snapshot, live: dict[str, dict], only: list[int] | None = None, pending: list[dict] | None = None
+    ) -> DataFrame:
+        """Live rows of some generations, with their bucket."""
         wanted = {
-            gen: sorted(set(buckets) if only is None else set(buckets) & set(only))
-            for gen, buckets in live.items()
+            gen: sorted(set(one["buckets"]) if only is None else set(one["buckets"]) & set(only))
+            for gen, one in live.items()
         }
         wanted = {gen: buckets for gen, buckets in wanted.items() if buckets}
         layout = self.schema(snap).add("gen", T.StringType()).add("bucket", T.IntegerType())
@@ -174,22 +198,53 @@ class EmbeddingTable:
             if len(buckets) < snap.buckets:
                 one = one & F.col("bucket").isin(buckets)
             keep = one if keep is None else keep | one
-        return rows.where(keep).drop("gen")
+        rows = rows.where(keep)
+        pending = snap.pending if pending is None else pending
+        if pending and min(live[gen]["order"] for gen in wanted) < max(p["order"] for p in pending):
+            key = self.key_schema(snap).fieldNames()
+            dead = self._dead(snap, pending).select(*[quoted(c).alias(f"_{i}") for i, c in enumerate(key)], "_order")
+            if _fits(pending):
+                dead = F.broadcast(dead)
+            orders = F.create_map(*[F.lit(x) for gen in wanted for x in (gen, live[gen]["order"])])
+            same = orders[F.col("gen")] < F.col("_order")
+            for i, name in enumerate(key):
+                same = same & (quoted(name) == F.col(f"_{i}"))
+            rows = rows.join(dead, same, "left_anti")
+        return rows.drop("gen")
+
+    def _dead(self, snap: Snapshot, pending: list[dict]) -> DataFrame:
+        """Keys of the pending sets, each with the order up to which it kills rows."""
+        layout = T.StructType([T.StructField(f.name, f.dataType) for f in self.key_schema(snap).fields]).add("_order", T.IntegerType())
+        merged = None
+        for entry in pending:
+            one = self.spark.read.schema(layout).parquet(f"{self.path}/_keys/{entry['name']}")
+            one = one.withColumn("_order", F.coalesce("_order", F.lit(entry["order"])))
+            merged = one if merged is None else merged.unionByName(one)
+        return merged
 
     # -- writes --------------------------------------------------------------
 
     def append(self, rows: DataFrame, *, staged: bool = False) -> int:
-        """Add rows whose keys are not in the table; nothing is rewritten. Returns the source rows added."""
-        snap = self.snapshot()
-        gen, touched = self._write(snap, rows, staged)
+        """Add rows whose keys are not in the table; nothing is rewritten. Returns the source rows added.
+
+        Changes merged meanwhile are newer than these rows and win. Another append is a conflict,
+        since both may have added the same rows.
+        """
+        start = self.snapshot()
+        gen, touched = self._write(start, rows, staged)
         if not touched:
             return 0
-        if staged:
-            track = dict(snap.staged, live={**snap.staged["live"], gen: touched})
-            self._publish(self._after(snap, staged=track))
-        else:
-            self._publish(self._after(snap, live={**snap.live, gen: touched}))
-        return self._source_rows(snap, gen, touched)
+        one = {gen: {"order": start.version, "buckets": touched}}
+
+        def change(snap: Snapshot) -> dict:
+            self._refuse_after_bulk(start, snap)
+            if staged:
+                track = dict(snap.staged, live={**snap.staged["live"], **one})
+                return {"staged": track, "appended": snap.version + 1}
+            return {"live": {**snap.live, **one}, "appended": snap.version + 1}
+
+        self._commit(change)
+        return self._source_rows(start, one)
 
     def merge(
         self,
@@ -201,68 +256,170 @@ class EmbeddingTable:
     ) -> Snapshot:
         """Replace every row that shares a key with ``upserts``, drop the keys in ``deletes``.
 
-        In a chunked table a key has many rows, so this also replaces all chunks of a row. With
-        ``stream`` and ``batch_id`` a batch that is already in the table is left out.
+        In a chunked table a key has many rows, so this also replaces all chunks of a row. The cost
+        is that of the change, not of the table. With ``stream`` and ``batch_id`` a batch that is
+        already in the table is left out.
         """
-        snap = self.snapshot()
-        if stream is not None and snap.batches.get(stream, -1) >= batch_id:
-            return snap
-        key = self.key_schema(snap).fieldNames()
-        live = {gen: list(buckets) for gen, buckets in snap.live.items()}
-        added: dict[str, list[int]] = {}
-        gone = []
+        start = self.snapshot()
+        if stream is not None and start.batches.get(stream, -1) >= batch_id:
+            return start
+        key = self.key_schema(start).fieldNames()
+        gen, touched, gone = None, [], []
         if upserts is not None:
-            gen, touched = self._write(snap, upserts)
-            added[gen] = touched
-            gone.append(self._rows(snap, {gen: touched}).select(*key))
+            gen, touched = self._write(start, upserts)
+            written = self._rows(start, {gen: {"order": 0, "buckets": touched}}, pending=[])
+            gone.append(written.select(*[quoted(c) for c in key]))
         if deletes is not None:
-            gone.append(deletes.select(*key))
+            gone.append(deletes.select(*[quoted(c) for c in key]))
+        entry = {"gen": gen if touched else None}
         if gone:
             keys = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
-            keys_path = f"{self.path}/_keys/{self._new_name(snap)}"
-            keys.distinct().withColumn("bucket", self.bucket_of(snap)).write.parquet(keys_path)
-            keys = self.spark.read.parquet(keys_path)
-            # at most one row per bucket
-            touched = sorted(r["bucket"] for r in keys.select("bucket").distinct().collect())
-            survivors = rows_without_keys(self._rows(snap, live, only=touched), keys, key)
-            gen, kept = self._write(snap, survivors.drop("bucket"), stamped=True)
-            live = {g: [b for b in buckets if b not in set(touched)] for g, buckets in live.items()}
-            added[gen] = kept
-        live = {g: b for g, b in {**live, **added}.items() if b}
-        batches = dict(snap.batches)
-        if stream is not None:
-            batches[stream] = batch_id
-        return self._publish(self._after(snap, live=live, batches=batches))
+            entry |= self._write_keys(start, keys.distinct().withColumn("_order", F.lit(None).cast("int")))
+
+        def change(snap: Snapshot) -> dict | None:
+            if stream is not None and snap.batches.get(stream, -1) >= batch_id:
+                return None
+            if snap.dims != start.dims or snap.model != start.model:
+                raise CommitConflictError(f"{self.path} was migrated to {snap.model} meanwhile")
+            order = snap.version + 1
+            live = {**snap.live, gen: {"order": order, "buckets": touched}} if touched else snap.live
+            pending = [*snap.pending, {**entry, "order": order}] if entry.get("keys") else snap.pending
+            batches = snap.batches if stream is None else {**snap.batches, stream: batch_id}
+            return {"live": live, "pending": pending, "batches": batches}
+
+        self._commit(change)
+        snap = self.snapshot()
+        if not _fits(snap.pending) and snap.staged is None:
+            self.compact()
+        elif len(snap.pending) > FOLD_AFTER:
+            self.fold()
+        return self.snapshot()
+
+    def fold(self) -> None:
+        """Join the small folders of many merges into one. Costs as much as the merges, not the table."""
+        start = self.snapshot()
+        if len(start.pending) < 2:
+            return
+        small = {p["gen"]: start.live[p["gen"]] for p in start.pending if p["gen"] in start.live}
+        gen, touched = self._write(start, self._rows(start, small).drop("bucket"), stamped=True)
+        key = self.key_schema(start).fieldNames()
+        keys = self._dead(start, start.pending).groupBy(*key).agg(F.max("_order").alias("_order"))
+        order = max(p["order"] for p in start.pending)
+        entry = {"gen": gen if touched else None, "order": order, **self._write_keys(start, keys)}
+        names = {p["name"] for p in start.pending}
+
+        def change(snap: Snapshot) -> dict | None:
+            if not names <= {p["name"] for p in snap.pending} or not set(small) <= set(snap.live):
+                return None
+            live = {g: one for g, one in snap.live.items() if g not in small}
+            if touched:
+                live[gen] = {"order": order, "buckets": touched}
+            return {"live": live, "pending": [entry, *[p for p in snap.pending if p["name"] not in names]]}
+
+        self._commit(change)
+
+    def compact(self) -> None:
+        """Rewrite the buckets that hold pending keys, so that readers need not look for dead rows."""
+        start = self.snapshot()
+        if not start.pending or start.staged is not None:
+            return
+        dead = self._dead(start, start.pending)
+        # at most one row per bucket
+        hit = {r["b"] for r in dead.select(self.bucket_of(start).alias("b")).distinct().collect()}
+        gen, kept = self._write(start, self._rows(start, start.live, sorted(hit)).drop("bucket"), stamped=True)
+        names = {p["name"] for p in start.pending}
+
+        def change(snap: Snapshot) -> dict | None:
+            if snap.staged is not None or not names <= {p["name"] for p in snap.pending}:
+                return None
+            if snap.appended > start.version or not set(start.live) <= set(snap.live):
+                return None
+            live = {
+                g: dict(one, buckets=[b for b in one["buckets"] if b not in hit]) if g in start.live else one
+                for g, one in snap.live.items()
+            }
+            live[gen] = {"order": start.version, "buckets": kept}
+            live = {g: one for g, one in live.items() if one["buckets"]}
+            left = [p if p["gen"] in live else dict(p, gen=None) for p in snap.pending if p["name"] not in names]
+            return {"live": live, "pending": left, "cleared": snap.version + 1}
+
+        self._commit(change)
 
     def rewrite(self, rows: DataFrame) -> int:
-        """Replace the whole content in one step; readers see the old rows until it is done."""
-        snap = self.snapshot()
-        gen, touched = self._write(snap, rows)
-        self._publish(self._after(snap, live={gen: touched} if touched else {}))
-        return self._source_rows(snap, gen, touched) if touched else 0
+        """Replace the whole content in one step; readers see the old rows until it is done.
+
+        Changes merged meanwhile are newer than the rewritten rows and stay.
+        """
+        start = self.snapshot()
+        gen, touched = self._write(start, rows)
+        one = {gen: {"order": start.version, "buckets": touched}} if touched else {}
+
+        def change(snap: Snapshot) -> dict:
+            self._refuse_after_bulk(start, snap)
+            newer = {g: o for g, o in snap.live.items() if o["order"] > start.version}
+            left = [p if p["gen"] in newer else dict(p, gen=None) for p in snap.pending if p["order"] > start.version]
+            return {"live": {**one, **newer}, "pending": left, "appended": snap.version + 1}
+
+        self._commit(change)
+        return self._source_rows(start, one) if touched else 0
 
     def begin_migration(self, model: str, model_name: str, dims: int) -> Snapshot:
         """Open a second set of rows for another model; resume it if it is already open."""
-        snap = self.snapshot()
-        if snap.staged is not None:
-            if (snap.staged["model"], snap.staged["dims"]) != (model, dims):
-                raise NearfieldError(f"a migration to {snap.staged['model']} is already under way")
-            return snap
-        track = {"model": model, "model_name": model_name, "dims": dims, "live": {}}
-        return self._publish(self._after(snap, staged=track))
-
-    def finish_migration(self) -> Snapshot:
-        """Make the migrated rows the live ones."""
-        snap = self.snapshot()
-        if snap.staged is None:
-            raise NearfieldError("no migration is under way")
-        new = snap.staged
-        return self._publish(
-            self._after(
-                snap, model=new["model"], model_name=new["model_name"], dims=new["dims"],
-                live=new["live"], staged=None,
-            )
-        )
+        def change(snap: Snapshot) -> dict | None:
+            if snap.staged is not None:
+                if (snap.staged["model"], snap.staged["dims"]) != (model, dims):
+                    raise NearfieldError(f"a migration to {snap.staged['model']} is already under way")
+                return None
+            return {"staged": {"model": model, "model_name": model_name, "dims": dims, "live": {}}}
+
+        return self._commit(change)
+
+    def finish_migration(self, seen: Snapshot | None = None) -> Snapshot:
+        """Make the migrated rows the live ones.
+
+        With ``seen``, only if nothing was written since that snapshot: a row changed meanwhile has
+        to be migrated again first.
+        """
+        def change(snap: Snapshot) -> dict:
+            if snap.staged is None:
+                raise NearfieldError("no migration is under way")
+            if seen is not None and snap.version != seen.version:
+                raise CommitConflictError(f"{self.path} changed during its migration")
+            new = snap.staged
+            left = [dict(p, gen=None) for p in snap.pending]
+            return {
+                "model": new["model"], "model_name": new["model_name"], "dims": new["dims"], "live": new["live"],
+                "pending": left, "staged": None, "appended": snap.version + 1,
+            }
+
+        return self._commit(change)
+
+    @staticmethod
+    def _refuse_after_bulk(start: Snapshot, snap: Snapshot) -> None:
+        if snap.appended > start.version:
+            raise CommitConflictError("another writer added rows meanwhile; run again")
+        if snap.cleared > start.version:
+            raise CommitConflictError("the table was compacted meanwhile; run again")
+
+    def _commit(self, change: Callable[[Snapshot], dict | None]) -> Snapshot:
+        """Publish a change of the newest snapshot; if another writer is first, apply it to theirs."""
+        while True:
+            snap = self.snapshot()
+            changed = change(snap)
+            if changed is None:
+                return snap
+            try:
+                return self._publish(self._after(snap, **changed))
+            except CommitConflictError:
+                if self.snapshot().version == snap.version:
+                    raise
+
+    def _write_keys(self, snap: Snapshot, keys: DataFrame) -> dict:
+        name = self._new_name(snap)
+        path = f"{self.path}/_keys/{name}"
+        keys.write.parquet(path)
+        count, size = key_count(self.spark.read.schema(keys.schema).parquet(path).drop("_order"))
+        return {"name": name, "keys": count, "bytes": size}
 
     def _write(
         self, snap: Snapshot, rows: DataFrame, staged: bool = False, stamped: bool = False
@@ -292,9 +449,9 @@ class EmbeddingTable:
         touched = [int(n.removeprefix("bucket=")) for n in files.names(self.spark, folder) if n.startswith("bucket=")]
         return gen, sorted(touched)
 
-    def _source_rows(self, snap: Snapshot, gen: str, buckets: list[int]) -> int:
+    def _source_rows(self, snap: Snapshot, live: dict[str, dict]) -> int:
         """Source rows in one generation, counted from the files written, each once if chunked."""
-        written = self._rows(snap, {gen: buckets})
+        written = self._rows(snap, live, pending=[])
         return (written.where(F.coalesce("chunk_index", F.lit(0)) == 0) if snap.chunked else written).count()
 
     @staticmethod

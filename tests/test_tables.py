@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -55,14 +56,106 @@ class TestEmbeddingTable:
         assert first.items() <= table.snapshot().live.items()
         assert ids(table.read()) == list(range(150))
 
-    def test_upsert_replaces_and_touches_only_its_buckets(self, table, spark):
+    def test_upsert_replaces_and_rewrites_nothing(self, table, spark):
         table.append(vectors(spark, range(100)))
+        first = table.snapshot().live
         table.merge(vectors(spark, [3], 2.0))
         rows_ = {r["id"]: r["embedding"] for r in table.read().collect()}
         assert rows_[3] == [2.0, 2.0] and rows_[4] == [1.0, 1.0] and len(rows_) == 100
-        live = table.snapshot().live
-        first = [g for g in live if g.startswith("1-")]
-        assert len(live[first[0]]) == 3
+        assert first.items() <= table.snapshot().live.items()
+
+    def test_compaction_rewrites_only_the_buckets_of_pending_keys(self, table, spark):
+        table.append(vectors(spark, range(100)))
+        (first,) = table.snapshot().live
+        table.merge(vectors(spark, [3], 2.0))
+        before = sorted(table.read().drop("updated_at").collect())
+        table.compact()
+        snap = table.snapshot()
+        assert snap.pending == [] and len(snap.live[first]["buckets"]) == 3
+        assert sorted(table.read().drop("updated_at").collect()) == before
+
+    def test_random_writes_equal_a_dictionary(self, table, spark, monkeypatch):
+        """Merges, deletes, folds, compactions and rewrites in random order."""
+        monkeypatch.setattr("nearfield.sources.embedding_table.FOLD_AFTER", 3)
+        monkeypatch.setattr("nearfield.sources.embedding_table.BROADCAST_KEYS", 25)
+        rng, model = random.Random(11), {}
+        for step in range(14):
+            keys = rng.sample(range(40), rng.randint(1, 12))
+            gone = rng.sample(range(40), rng.randint(0, 6))
+            kind = rng.choice(["merge", "merge", "merge", "delete", "append", "rewrite"])
+            if kind == "merge":
+                table.merge(vectors(spark, keys, float(step)), vectors(spark, gone))
+                model = {k: v for k, v in model.items() if k not in gone} | dict.fromkeys(keys, float(step))
+            elif kind == "delete":
+                table.merge(deletes=vectors(spark, gone))
+                model = {k: v for k, v in model.items() if k not in gone}
+            elif kind == "append":
+                new = [k for k in keys if k not in model]
+                table.append(vectors(spark, new, float(step)))
+                model |= dict.fromkeys(new, float(step))
+            else:
+                table.rewrite(vectors(spark, keys, float(step)))
+                model = dict.fromkeys(keys, float(step))
+            found = table.read().select("id", "embedding").collect()
+            assert sorted((r["id"], r["embedding"][0]) for r in found) == sorted(model.items()), (step, kind)
+        table.vacuum(keep=1)
+        assert ids(table.read()) == sorted(model)
+
+    def test_change_during_an_append_wins(self, table, spark, monkeypatch):
+        write = table._write
+
+        def slow(snap, rows, *args, **options):
+            result = write(snap, rows, *args, **options)
+            monkeypatch.setattr(table, "_write", write)
+            EmbeddingTable(spark, table.path).merge(vectors(spark, [1], 2.0), vectors(spark, [2]))
+            return result
+
+        monkeypatch.setattr(table, "_write", slow)
+        table.append(vectors(spark, [1, 2, 3]))
+        assert {r["id"]: r["embedding"][0] for r in table.read().collect()} == {1: 2.0, 3: 1.0}
+
+    def test_two_appends_at_once_are_a_conflict(self, table, spark, monkeypatch):
+        write = table._write
+
+        def slow(*args, **options):
+            result = write(*args, **options)
+            EmbeddingTable(spark, table.path).append(vectors(spark, [1]))
+            return result
+
+        monkeypatch.setattr(table, "_write", slow)
+        with pytest.raises(CommitConflictError):
+            table.append(vectors(spark, [1]))
+        assert ids(table.read()) == [1]
+
+    def test_change_during_a_rewrite_wins(self, table, spark, monkeypatch):
+        table.append(vectors(spark, [1, 2, 3]))
+        write = table._write
+
+        def slow(snap, rows, *args, **options):
+            result = write(snap, rows, *args, **options)
+            monkeypatch.setattr(table, "_write", write)
+            EmbeddingTable(spark, table.path).merge(vectors(spark, [1], 2.0), vectors(spark, [2]))
+            return result
+
+        monkeypatch.setattr(table, "_write", slow)
+        table.rewrite(vectors(spark, [1, 2, 4], 5.0))
+        assert {r["id"]: r["embedding"][0] for r in table.read().collect()} == {1: 2.0, 4: 5.0}
+
+    def test_change_during_a_migration_is_migrated_again(self, table, spark):
+        table.append(vectors(spark, [1, 2, 3]))
+        table.begin_migration("n", "new", 3)
+        table.append(vectors(spark, [1, 2, 3], dims=3), staged=True)
+        seen = table.snapshot()
+        table.merge(vectors(spark, [1], 2.0), vectors(spark, [2]))
+        assert ids(table.staged()) == [3] and ids(table.read()) == [1, 3]
+        with pytest.raises(CommitConflictError):
+            table.finish_migration(seen)
+        table.append(vectors(spark, [1], 7.0, dims=3), staged=True)
+        table.finish_migration(table.snapshot())
+        assert {r["id"]: r["embedding"] for r in table.read().collect()} == {1: [7.0] * 3, 3: [1.0] * 3}
+        table.merge(vectors(spark, [3], 8.0, dims=3))
+        table.compact()
+        assert {r["id"]: r["embedding"][0] for r in table.read().collect()} == {1: 7.0, 3: 8.0}
 
     def test_upsert_inserts_missing(self, table, spark):
         table.append(vectors(spark, [1]))
@@ -75,7 +168,7 @@ class TestEmbeddingTable:
         assert ids(table.read()) == [0, 1, 4, 5, 6, 7, 8, 9]
 
     def test_merge_with_keys_too_many_to_broadcast(self, table, spark, monkeypatch):
-        monkeypatch.setattr(joins, "BROADCAST_KEYS", 1)
+        monkeypatch.setattr("nearfield.sources.embedding_table.BROADCAST_KEYS", 1)
         table.append(vectors(spark, range(60)))
         table.merge(vectors(spark, range(0, 20), 2.0), vectors(spark, range(50, 60)))
         rows_ = {r["id"]: r["embedding"][0] for r in table.read().collect()}
