@@ -38,34 +38,39 @@ def text_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
 def table_profile(
     df: DataFrame, table: str, schema: str = "public", share: float = SAMPLE_SHARE, columns: list[str] | None = None
 ) -> DataFrame:
-    """Profile of one table's text columns.
+    """Profile of one table's text columns; a column the sample caught nothing of is read whole."""
+    names = text_columns(df) if columns is None else columns
+    return df.sparkSession.createDataFrame(_profiles({(table, schema): (df, names)}, share), COLUMNS)
+
 
-    A sample that caught no value of a column falls back to the whole column. The fallback is part of
-    the plan and is only run when the sample came back empty.
+def _profiles(tables: dict[tuple[str, str], tuple[DataFrame, list[str]]], share: float) -> list[tuple]:
+    """Profiles of several tables in one job, plus one for the columns a sample missed.
+
+    One row per text column comes back.
     """
-    names = text_columns(df) if columns is None else columns
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    spark = df.sparkSession
-    if not names:
-        return spark.createDataFrame([], COLUMNS)
-    lengths = text_lengths(df if share >= 1.0 else df.sample(share, seed=SEED), names)
-    if share < 1.0:
-        # one row per text column
-        seen = lengths.collect()
-        empty = [r["column_name"] for r in seen if r["sampled_rows"] == 0]
-        known = [r for r in seen if r["sampled_rows"] > 0]
-        lengths = spark.createDataFrame(known, lengths.schema)
-        if empty:
-            lengths = lengths.unionByName(text_lengths(df, empty))
-    type_of = F.create_map(*[F.lit(x) for name in names for x in (name, types[name])])
-    return lengths.select(
-        F.lit(table).alias("table_name"),
-        F.lit(schema).alias("table_schema"),
-        "column_name",
-        type_of[F.col("column_name")].alias("data_type"),
-        "avg_length",
-        "sampled_rows",
-    )
+    merged = None
+    for (table, schema), (df, names) in tables.items():
+        if not names:
+            continue
+        types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        type_of = F.create_map(*[F.lit(x) for name in names for x in (name, types[name])])
+        one = text_lengths(df if share >= 1.0 else df.sample(share, seed=SEED), names).select(
+            F.lit(table).alias("table_name"),
+            F.lit(schema).alias("table_schema"),
+            "column_name",
+            type_of[F.col("column_name")].alias("data_type"),
+            "avg_length",
+            "sampled_rows",
+        )
+        merged = one if merged is None else merged.unionByName(one)
+    rows = [] if merged is None else [tuple(r) for r in merged.collect()]
+    if share >= 1.0:
+        return rows
+    missed: dict[tuple[str, str], tuple[DataFrame, list[str]]] = {}
+    for table, schema, name, _, _, seen in rows:
+        if seen == 0:
+            missed.setdefault((table, schema), (tables[table, schema][0], []))[1].append(name)
+    return [r for r in rows if r[-1] > 0] + (_profiles(missed, 1.0) if missed else [])
 
 
 def scored(profiles: DataFrame) -> DataFrame:
@@ -82,16 +87,18 @@ def inspect(
     spark: SparkSession, tables: dict[str, DataFrame], share: float = SAMPLE_SHARE, only: str | None = None
 ) -> DataFrame:
     """Score the text columns of all tables; a table that cannot be sampled reports zero length."""
-    rows = []
-    for name, df in tables.items():
-        if only is not None and name != only:
-            continue
-        try:
-            # one row per text column; run here, so that one bad table does not fail the others
-            rows += table_profile(df, name, share=share).collect()
-        except JOB_ERRORS as error:
-            logger.warning("cannot sample %s: %s", name, error)
-            rows += [(name, "public", c, df.schema[c].dataType.simpleString(), 0.0, 0) for c in text_columns(df)]
+    chosen = {(n, "public"): (df, text_columns(df)) for n, df in tables.items() if only is None or n == only}
+    try:
+        rows = _profiles(chosen, share)
+    except JOB_ERRORS:
+        # one bad table must not fail the others
+        rows = []
+        for table, (df, names) in chosen.items():
+            try:
+                rows += _profiles({table: (df, names)}, share)
+            except JOB_ERRORS as error:
+                logger.warning("cannot sample %s: %s", table[0], error)
+                rows += [(*table, c, df.schema[c].dataType.simpleString(), 0.0, 0) for c in names]
     return scored(spark.createDataFrame(rows, COLUMNS))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +39,23 @@ def table_status(spark: SparkSession, entry: TableEntry) -> DataFrame:
 
 def status(spark: SparkSession, registry: Registry, jobs: DataFrame | None = None) -> DataFrame:
     """One row per registered table; a table that cannot be read becomes a row with its error."""
-    rows = []
+    rows, readable = [], []
     for entry in registry.entries:
         try:
-            # one row; run here, so that one bad table does not fail the others
-            rows += table_status(spark, entry).collect()
+            readable.append((entry, table_status(spark, entry)))
         except (*JOB_ERRORS, NearfieldError) as error:
-            known = (entry.table, entry.schema, entry.model, entry.storage, entry.applied_at)
-            rows.append((*known, None, None, None, None, str(error).split("\n")[0]))
+            rows.append(_unreadable(entry, error))
+    try:
+        # one row per table, all in one job
+        merged = reduce(DataFrame.unionByName, [one for _, one in readable], spark.createDataFrame([], COLUMNS))
+        rows += merged.collect()
+    except JOB_ERRORS:
+        # one bad table must not fail the others
+        for entry, one in readable:
+            try:
+                rows += one.collect()
+            except JOB_ERRORS as error:
+                rows.append(_unreadable(entry, error))
     merged = spark.createDataFrame(rows, COLUMNS)
     if jobs is None:
         return merged.withColumn("pending", F.lit(0).cast("bigint")).withColumn("failed", F.lit(0).cast("bigint"))
@@ -52,6 +63,11 @@ def status(spark: SparkSession, registry: Registry, jobs: DataFrame | None = Non
     return merged.join(queue_depth(jobs), "table_name", "left").fillna(0, ["pending", "failed"])
 
 
+def _unreadable(entry: TableEntry, error: Exception) -> tuple:
+    known = (entry.table, entry.schema, entry.model, entry.storage, entry.applied_at)
+    return (*known, None, None, None, None, str(error).split("\n")[0])
+
+
 def migration_progress(total: DataFrame, staged: DataFrame, key: list[str]) -> DataFrame:
     """Rows a migration has finished and rows it still has to do. ``total`` holds rows with content."""
     counted = total.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))

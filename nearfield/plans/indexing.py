@@ -112,10 +112,11 @@ def migrate_table(
         remaining = unembedded_rows(entry.rows(spark), target.staged(), entry.primary_key, entry.columns)
         added = target.append(_embed(entry, remaining, model), staged=True)
         written += added
-        if added:
+        now = target.snapshot()
+        if now.version > seen.version + (added > 0):
             continue
         try:
-            target.finish_migration(seen)
+            target.finish_migration(now)
             break
         except CommitConflictError:
             continue

@@ -38,8 +38,13 @@ def apply_table(
     chunk_words: int = MAX_WORDS,
     chunk_overlap: int = OVERLAP,
     buckets: int = 32,
+    check_key: bool = True,
 ) -> TableEntry:
-    """Check a table, create its embedding table and register it."""
+    """Check a table, create its embedding table and register it.
+
+    ``check_key`` counts every key once, a shuffle of the key columns; leave it out where the source
+    guarantees its key.
+    """
     if (column is None) == (columns is None):
         raise RegistryError("give either column or columns")
     for name in (table, schema):
@@ -68,7 +73,8 @@ def apply_table(
     missing = [c for c in [*entry.columns, *entry.primary_key] if c not in rows.columns]
     if missing or not entry.primary_key:
         raise RegistryError(f"{table} has no column {', '.join(missing)}" if missing else f"{table} needs a key")
-    require_key(rows, entry.primary_key)
+    if check_key:
+        require_key(rows, entry.primary_key)
     key_schema = T.StructType([rows.schema[c] for c in entry.primary_key])
     EmbeddingTable.create(
         spark, entry.path, key_schema, chosen.key, chosen.model_name, chosen.dims, ",".join(entry.columns),

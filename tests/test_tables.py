@@ -452,6 +452,20 @@ class TestProfile:
         row = profile.inspect(spark, {"gone": df}, share=0.5).first()
         assert (row["column_name"], row["avg_length"], row["sampled_rows"]) == ("text", 0.0, 0)
 
+    def test_bad_table_does_not_fail_the_status_of_others(self, spark, models, products, tmp_path):
+        registry, paths = Registry(), []
+        for name in ("good", "bad"):
+            paths.append(str(tmp_path / name))
+            products.write.parquet(paths[-1])
+            entry = setup.apply_table(spark, registry, models, table=name, source=paths[-1], root=str(tmp_path / "e"),
+                                      primary_key=["id"], column="description", model="hash-64", buckets=2)
+            indexing.index_table(spark, entry, models)
+        files.delete(spark, entry.path + "/" + [n for n in files.names(spark, entry.path) if n.startswith("gen=")][0])
+        jobs = spark.createDataFrame([("good", "failed"), ("good", "pending"), ("other", "failed")], "table_name string, status string")
+        found = {r["table_name"]: r for r in status.status(spark, registry, jobs).collect()}
+        assert (found["good"]["coverage_pct"], found["good"]["failed"], found["good"]["pending"], found["good"]["error"]) == (100.0, 1, 1, None)
+        assert found["bad"]["error"] and found["bad"]["embedded"] is None and found["bad"]["failed"] == 0
+
     def test_tables(self, spark, products):
         products.createOrReplaceTempView("shop_products")
         products.createOrReplaceTempView("nearfield_hidden")
