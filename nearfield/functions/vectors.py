@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.errors import DimensionMismatchError
@@ -33,6 +33,15 @@ def cosine_similarity(vector: Column, query: Sequence[float] | Column) -> Column
     return F.try_divide(dot(vector, literal(query)), norm(vector) * F.lit(length))
 
 
+def register_functions(spark: SparkSession) -> None:
+    """``cosine_similarity(a, b)`` for SQL texts, as an expression that Catalyst inlines."""
+    dot_sql = "aggregate(zip_with({0}, {1}, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION cosine_similarity(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN "
+        f"try_divide({dot_sql.format('a', 'b')}, sqrt({dot_sql.format('a', 'a')}) * sqrt({dot_sql.format('b', 'b')}))"
+    )
+
+
 def check_query(query: Sequence[float], dims: int | None) -> list[float]:
     """Refuse a query vector of the wrong length before any plan is built."""
     if dims is not None and len(query) != dims:

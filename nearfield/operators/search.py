@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.errors import InvalidFilterError
+from nearfield.errors import InvalidFilterError, NearfieldError
 from nearfield.functions import text as X
 from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted
@@ -93,6 +93,8 @@ class Searchable:
         Chunked tables return the text of the best chunk as content. Filters act before ranking, and
         a vector whose source row is gone never takes a place in the result.
         """
+        if limit < 1:
+            raise NearfieldError(f"the number of results must be positive, got {limit}")
         query = V.check_query(query, dims)
         best = self._winners(query, limit, filter_condition(self.source, filters or {}))
         source, vectors = self.source, self.vectors
@@ -103,23 +105,23 @@ class Searchable:
             source = source.where(near)
             if self.chunked:
                 vectors = (self.lookup(best) if self.lookup else vectors).where(near)
-        rest = [f.name for f in source.schema.fields if f.name not in {*self.key, "embedding", "content", SIMILARITY}]
-        found = best.join(source, self.key, "inner")
+        key = [quoted(c) for c in self.key]
+        own = ["row_id", "content", SIMILARITY, *(["chunk_index"] if self.chunked else [])]
+        rest = [c for c in source.columns if c not in {*self.key, *own, "embedding"}]
+        # the result's own names may also be names of the source
+        found = best.join(
+            source.select(*key, X.content(self.columns).alias("_content"), *[quoted(c) for c in rest]), self.key
+        )
         if self.chunked:
-            texts = vectors.select(*[quoted(c) for c in self.key], "chunk_index", F.col("chunk_text").alias("_chunk"))
-            found = found.join(texts, [*self.key, "chunk_index"], "inner")
-            content = F.col("_chunk")
-        else:
-            content = X.content(self.columns)
-        shown = found.select(
+            texts = vectors.select(*key, "chunk_index", F.col("chunk_text").alias("_chunk"))
+            found = found.join(texts, [*self.key, "chunk_index"])
+        return found.orderBy(*by_similarity(self.key)).limit(limit).select(
             X.row_id(self.key).alias("row_id"),
-            content.alias("content"),
-            quoted(SIMILARITY),
-            *([F.col("chunk_index")] if self.chunked else []),
-            *[quoted(c) for c in self.key],
+            F.col("_chunk" if self.chunked else "_content").alias("content"),
+            *[quoted(c) for c in own[2:]],
+            *[quoted(c) for c in self.key if c not in own],
             *[quoted(c) for c in rest],
         )
-        return shown.orderBy(*by_similarity(self.key)).limit(limit)
 
     def _nearest(self, vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
         return nearest(vectors, self.key, query, k, part="chunk_index" if self.chunked else None)

@@ -14,7 +14,7 @@ from nearfield.functions.chunking import MAX_WORDS, OVERLAP, chunk_column
 from nearfield.functions.embedders import Embedder, Models
 from nearfield.functions.text import quoted
 from nearfield.operators.joins import spread
-from nearfield.operators.rows import unembedded_rows
+from nearfield.operators.rows import inline_view, unembedded_rows
 from nearfield.registry import Registry, TableEntry
 
 
@@ -74,6 +74,13 @@ def _embed(entry: TableEntry, rows: DataFrame, model: Embedder) -> DataFrame:
     )
 
 
+def embedded_view(spark: SparkSession, entry: TableEntry) -> DataFrame:
+    """The source as inline storage shows it: with its vectors as one more column."""
+    if entry.chunked:
+        raise NearfieldError(f"{entry.table} has many vectors per row and no inline view")
+    return inline_view(entry.rows(spark), entry.embeddings(spark).read(), entry.primary_key)
+
+
 def index_table(spark: SparkSession, entry: TableEntry, models: Models) -> IndexReport:
     """Embed the rows without an embedding and append them. Running it again resumes."""
     started = time.monotonic()

@@ -72,6 +72,13 @@ class ChangeSync:
 
     def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; safe to run again with the same number."""
+        batch = batch.persist()
+        try:
+            self._apply(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _apply(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # batch numbers count from zero again under a new checkpoint, which has a new query id
         query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
@@ -83,10 +90,10 @@ class ChangeSync:
         known = [e.table for e in self.entries]
         if self.dead_letter_path is not None:
             lost = batch.where(~F.coalesce(F.col("table_name").isin(known), F.lit(False)))
-            # one folder per batch: a replay overwrites it
-            lost.withColumn("status", F.lit(FAILED)).withColumn("error_msg", F.lit("table is not registered")).write.mode(
-                "overwrite"
-            ).parquet(f"{self.dead_letter_path}/batch={batch_id}")
+            lost = lost.withColumn("status", F.lit(FAILED)).withColumn("error_msg", F.lit("table is not registered"))
+            if lost.take(1):
+                # one folder per batch: a replay overwrites it
+                lost.write.mode("overwrite").parquet(f"{self.dead_letter_path}/query={query_id}/batch={batch_id}")
         if self.health_path is not None:
             beat = spark.range(1).select(
                 F.lit(self.name).alias("worker_id"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.embedders import Models, hash_embedder
+from nearfield.functions.vectors import register_functions
 from nearfield.operators import ann, topk
 from nearfield.operators.search import Searchable, TaggedTable, search_all, shaped
 from nearfield.plans.indexing import chunk_rows, embed_rows
@@ -48,6 +49,18 @@ def semantic_search(load):
     return rounded(topk.nearest(load("embeddings"), ["vec_id"], first_vector(load), 10))
 
 
+@query("sql_similarity", f"""
+    SELECT e.vec_id, e.label, round({COSINE}, 4) AS similarity
+    FROM embeddings e CROSS JOIN {FIRST_VECTOR} q WHERE {COSINE} > 0.1""")
+def sql_similarity(load):
+    """The similarity function from SQL, over the whole table."""
+    register_functions(load.spark)
+    load("embeddings").createOrReplaceTempView("nearfield_embeddings")
+    return load.spark.sql("""
+        SELECT vec_id, label, round(cosine_similarity(embedding, :query), 4) AS similarity FROM nearfield_embeddings
+        WHERE cosine_similarity(embedding, :query) > 0.1""", args={"query": first_vector(load)})
+
+
 @query("search_external", f"""
     SELECT CAST(d.doc_id AS VARCHAR) AS row_id, d.lang, d.source, round({COSINE}, 4) AS similarity
     FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id CROSS JOIN {FIRST_VECTOR} q

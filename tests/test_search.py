@@ -316,3 +316,16 @@ def test_hash_model_finds_shared_words(spark, products):
     model = hash_embedder(256)
     rows = embed_rows(products, ["id"], ["description"], model)
     assert ids(topk.nearest(rows, ["id"], model.embed_query("person tent"), 1)) == [9]
+
+
+class TestNames:
+    def test_source_columns_named_like_the_result(self, spark):
+        source = spark.createDataFrame([(1, "one", "x", 0.5), (2, "two", "y", 0.6)], "row_id bigint, content string, chunk_index string, similarity double")
+        vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "row_id bigint, embedding array<float>")
+        rows = Searchable(source, vectors, ["row_id"], ["content"]).search([1.0, 0.0], 2).collect()
+        assert [tuple(r) for r in rows] == [("1", "one", 1.0, "x"), ("2", "two", 0.0, "y")]
+
+    def test_number_of_results(self, table):
+        with pytest.raises(NearfieldError):
+            table.search(FLAT, 0)
+        assert table.search(FLAT, 2000).count() == 10
