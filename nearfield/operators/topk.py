@@ -88,14 +88,14 @@ def nearest_batch(
     asked = queries.where(quoted(query_embedding).isNotNull()).select(
         quoted(query_key).alias("query_id"), quoted(query_embedding).alias("vector")
     )
-    asked = asked.persist()
+    asked = asked.distinct().persist()
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
     passes = max(1, math.ceil(size["n"] * (size["dims"] or 0) * 8 / QUERY_BYTES_PER_PASS))
     id_type = asked.schema["query_id"].dataType
     result = None
     for number in range(passes):
         block = asked if passes == 1 else asked.where(
-            F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number
+            F.pmod(F.xxhash64("query_id", "vector"), F.lit(passes)) == number
         )
         rows = block.collect()
         matrix = np.asarray([r["vector"] for r in rows], dtype=np.float64)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ from nearfield.functions.text import quoted
 from nearfield.operators.joins import spread
 from nearfield.operators.rows import inline_view, unembedded_rows
 from nearfield.registry import Registry, TableEntry
+from nearfield.session import estimated_bytes
+
+# Source bytes that are embedded before the result is committed.
+STEP_BYTES = 256 << 30
 
 
 @dataclass(frozen=True)
@@ -81,24 +88,50 @@ def embedded_view(spark: SparkSession, entry: TableEntry) -> DataFrame:
     return inline_view(entry.rows(spark), entry.embeddings(spark).read(), entry.primary_key)
 
 
-def index_table(spark: SparkSession, entry: TableEntry, models: Models) -> IndexReport:
+def _steps(rows: DataFrame, key: list[str], steps: int | None) -> Iterator[DataFrame]:
+    """The source in parts that are embedded and committed one after the other.
+
+    A run that breaks off loses one part, not everything. Parts are sets of files where the source has
+    files, so that each file is read once; otherwise each part is a share of the keys' hashes.
+    """
+    steps = steps or max(1, math.ceil(estimated_bytes(rows) / STEP_BYTES))
+    if steps == 1:
+        yield rows
+        return
+    try:
+        rows.select("_metadata.file_path")
+        split = F.xxhash64("_metadata.file_path")
+    except AnalysisException:
+        split = F.xxhash64(*[quoted(c) for c in key])
+    for step in range(steps):
+        yield rows.where(F.pmod(split, F.lit(steps)) == step)
+
+
+def index_table(spark: SparkSession, entry: TableEntry, models: Models, steps: int | None = None) -> IndexReport:
     """Embed the rows without an embedding and append them. Running it again resumes."""
     started = time.monotonic()
-    table = entry.embeddings(spark)
-    pending = unembedded_rows(entry.rows(spark), table.read(), entry.primary_key, entry.columns)
-    rows = table.append(_embed(entry, pending, models.get(entry.model)))
-    return IndexReport(rows, time.monotonic() - started)
+    table, written = entry.embeddings(spark), 0
+    for part in _steps(entry.rows(spark), entry.primary_key, steps):
+        pending = unembedded_rows(part, table.read(), entry.primary_key, entry.columns)
+        written += table.append(_embed(entry, pending, models.get(entry.model)))
+    return IndexReport(written, time.monotonic() - started)
 
 
-def reindex_table(spark: SparkSession, entry: TableEntry, models: Models) -> IndexReport:
+def reindex_table(spark: SparkSession, entry: TableEntry, models: Models, steps: int | None = None) -> IndexReport:
     """Embed every row anew; searches see the old embeddings until the new ones are complete."""
     started = time.monotonic()
-    rows = entry.embeddings(spark).rewrite(_embed(entry, entry.rows(spark), models.get(entry.model)))
-    return IndexReport(rows, time.monotonic() - started)
+    written = _embed_beside(spark, entry, models.get(entry.model), steps)
+    return IndexReport(written, time.monotonic() - started)
 
 
 def migrate_table(
-    spark: SparkSession, registry: Registry, table: str, model_key: str, models: Models, registry_path: str | None = None
+    spark: SparkSession,
+    registry: Registry,
+    table: str,
+    model_key: str,
+    models: Models,
+    registry_path: str | None = None,
+    steps: int | None = None,
 ) -> IndexReport:
     """Re-embed a table with another model beside the live rows, then switch over.
 
@@ -110,24 +143,29 @@ def migrate_table(
     if model_key == entry.model:
         raise NearfieldError(f"{table} already uses model {model_key}")
     model.embed_query("test")  # the model must answer with the dimensions it declares
-    target = entry.embeddings(spark)
-    target.begin_migration(model.key, model.model_name, model.dims)
-    written = 0
-    while True:
-        # rows changed during the migration lose their migrated vector and come up again here
-        seen = target.snapshot()
-        remaining = unembedded_rows(entry.rows(spark), target.staged(), entry.primary_key, entry.columns)
-        added = target.append(_embed(entry, remaining, model), staged=True)
-        written += added
-        now = target.snapshot()
-        if now.version > seen.version + (added > 0):
-            continue
-        try:
-            target.finish_migration(now)
-            break
-        except CommitConflictError:
-            continue
+    written = _embed_beside(spark, entry, model, steps)
     entry.model, entry.model_name, entry.dims, entry.storage = model.key, model.model_name, model.dims, "external"
     if registry_path is not None:
         registry.save(spark, registry_path)
     return IndexReport(written, time.monotonic() - started)
+
+
+def _embed_beside(spark: SparkSession, entry: TableEntry, model: Embedder, steps: int | None) -> int:
+    """Embed all rows into a second set and make it the live one."""
+    target, written = entry.embeddings(spark), 0
+    target.begin_migration(model.key, model.model_name, model.dims)
+    while True:
+        version = target.snapshot().version
+        for part in _steps(entry.rows(spark), entry.primary_key, steps):
+            remaining = unembedded_rows(part, target.staged(), entry.primary_key, entry.columns)
+            added = target.append(_embed(entry, remaining, model), staged=True)
+            written += added
+            version += added > 0
+        now = target.snapshot()
+        # rows changed meanwhile have lost their new vector and come up again
+        if now.version == version:
+            try:
+                target.finish_migration(now)
+                return written
+            except CommitConflictError:
+                continue

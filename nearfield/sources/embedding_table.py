@@ -345,26 +345,12 @@ class EmbeddingTable:
 
         self._commit(change)
 
-    def rewrite(self, rows: DataFrame) -> int:
-        """Replace the whole content in one step; readers see the old rows until it is done.
+    def begin_migration(self, model: str, model_name: str, dims: int) -> Snapshot:
+        """Open a second set of rows, for another model or for fresh vectors of the same one.
 
-        Changes merged meanwhile are newer than the rewritten rows and stay.
+        One that is already open goes on.
         """
-        start = self.snapshot()
-        gen, touched = self._write(start, rows)
-        one = {gen: {"order": start.version, "buckets": touched}} if touched else {}
-
-        def change(snap: Snapshot) -> dict:
-            self._refuse_after_bulk(start, snap)
-            newer = {g: o for g, o in snap.live.items() if o["order"] > start.version}
-            left = [p if p["gen"] in newer else dict(p, gen=None) for p in snap.pending if p["order"] > start.version]
-            return {"live": {**one, **newer}, "pending": left, "appended": snap.version + 1}
-
-        self._commit(change)
-        return self._source_rows(start, one) if touched else 0
 
-    def begin_migration(self, model: str, model_name: str, dims: int) -> Snapshot:
-        """Open a second set of rows for another model; resume it if it is already open."""
         def change(snap: Snapshot) -> dict | None:
             if snap.staged is not None:
                 if (snap.staged["model"], snap.staged["dims"]) != (model, dims):

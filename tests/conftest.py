@@ -26,14 +26,14 @@ def models():
 
 
 PRODUCTS = [
-    (1, "Wireless Headphones", "Noise cancelling over-ear headphones with long battery life"),
+    (1, "Garden Chair", "Folding wooden chair for the patio"),
     (2, "Running Shoes", "Light shoes with a cushioned sole for long distances"),
     (3, "Coffee Maker", "Programmable machine that brews twelve cups"),
     (4, "Yoga Mat", "Thick mat with a non-slip surface"),
     (5, "Desk Lamp", "Dimmable lamp with a charging port"),
     (6, "Backpack", "Waterproof bag with a laptop sleeve"),
     (7, "Water Bottle", "Steel bottle that keeps drinks cold"),
-    (8, "Keyboard", "Mechanical keyboard with quiet switches"),
+    (8, "Piano", "Digital piano with weighted keys"),
     (9, "Tent", "Two person tent for three seasons"),
     (10, "Blender", "Powerful blender for smoothies and soup"),
 ]

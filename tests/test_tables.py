@@ -25,6 +25,14 @@ def vectors(spark, numbers, value=1.0, dims=2):
     return spark.createDataFrame([(n, [value] * dims) for n in numbers], "id bigint, embedding array<float>")
 
 
+def replace_all(table, rows_):
+    """Fresh vectors for everything, beside the live ones."""
+    snap = table.begin_migration("m", "model", 2)
+    table.append(rows_, staged=True)
+    table.finish_migration()
+    return snap
+
+
 def ids(df):
     return sorted(r["id"] for r in df.select("id").collect())
 
@@ -94,7 +102,7 @@ class TestEmbeddingTable:
                 table.append(vectors(spark, new, float(step)))
                 model |= dict.fromkeys(new, float(step))
             else:
-                table.rewrite(vectors(spark, keys, float(step)))
+                replace_all(table, vectors(spark, keys, float(step)))
                 model = dict.fromkeys(keys, float(step))
             found = table.read().select("id", "embedding").collect()
             assert sorted((r["id"], r["embedding"][0]) for r in found) == sorted(model.items()), (step, kind)
@@ -127,20 +135,6 @@ class TestEmbeddingTable:
             table.append(vectors(spark, [1]))
         assert ids(table.read()) == [1]
 
-    def test_change_during_a_rewrite_wins(self, table, spark, monkeypatch):
-        table.append(vectors(spark, [1, 2, 3]))
-        write = table._write
-
-        def slow(snap, rows, *args, **options):
-            result = write(snap, rows, *args, **options)
-            monkeypatch.setattr(table, "_write", write)
-            EmbeddingTable(spark, table.path).merge(vectors(spark, [1], 2.0), vectors(spark, [2]))
-            return result
-
-        monkeypatch.setattr(table, "_write", slow)
-        table.rewrite(vectors(spark, [1, 2, 4], 5.0))
-        assert {r["id"]: r["embedding"][0] for r in table.read().collect()} == {1: 2.0, 4: 5.0}
-
     def test_change_during_a_migration_is_migrated_again(self, table, spark):
         table.append(vectors(spark, [1, 2, 3]))
         table.begin_migration("n", "new", 3)
@@ -198,7 +192,7 @@ class TestEmbeddingTable:
         table.append(vectors(spark, range(10)))
         before = table.read()
         table.merge(deletes=vectors(spark, range(5)))
-        table.rewrite(vectors(spark, [77]))
+        replace_all(table, vectors(spark, [77]))
         assert ids(before) == list(range(10)) and ids(table.read()) == [77]
         assert ids(table.read(version=1)) == list(range(10))
 
@@ -216,8 +210,8 @@ class TestEmbeddingTable:
 
     def test_vacuum_keeps_what_is_live(self, table, spark):
         table.append(vectors(spark, range(10)))
-        table.rewrite(vectors(spark, range(5)))
-        table.rewrite(vectors(spark, range(3)))
+        replace_all(table, vectors(spark, range(5)))
+        replace_all(table, vectors(spark, range(3)))
         assert len(table.vacuum(keep=1)) == 2
         assert ids(table.read()) == [0, 1, 2]
 
@@ -297,6 +291,20 @@ class TestIndexing:
         assert indexing.migrate_table(spark, registry, "docs", "hash-128", models).rows == 2
         assert ids(target.read()) == list(range(6))
 
+    def test_source_in_parts(self, spark, models, tmp_path):
+        path = str(tmp_path / "many")
+        spark.range(40).selectExpr("id", "concat('text ', id) AS body").repartition(8).write.parquet(path)
+        registry = Registry()
+        entry = self.entry(spark, models, registry, path, tmp_path)
+        assert indexing.index_table(spark, entry, models, steps=3).rows == 40
+        assert len(entry.embeddings(spark).snapshot().live) > 1
+        assert indexing.index_table(spark, entry, models, steps=3).rows == 0
+        assert indexing.reindex_table(spark, entry, models, steps=2).rows == 40
+        assert indexing.migrate_table(spark, registry, "docs", "hash-128", models, steps=3).rows == 40
+        assert ids(entry.embeddings(spark).read()) == list(range(40))
+        joined = spark.read.parquet(path).join(spark.range(30), "id")
+        assert sum(part.count() for part in indexing._steps(joined, ["id"], 4)) == 30
+
     def test_model_that_does_not_keep_its_promise(self, spark, models, source, tmp_path):
         registry = Registry()
         self.entry(spark, models, registry, source([(1, "t", "x")]), tmp_path)
