@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions import text as X
 from nearfield.functions.scoring import uptime, worker_status
 from nearfield.functions.text import quoted
 from nearfield.sources import files
@@ -189,8 +188,3 @@ def create_job_tables(spark: SparkSession, path: str) -> tuple[str, str]:
             spark.createDataFrame([], schema).write.parquet(folder)
         made.append(folder)
     return made[0], made[1]
-
-
-def row_id_of(changes: DataFrame, key: list[str]) -> DataFrame:
-    """Changes with their display row id."""
-    return changes.withColumn("row_id", X.row_id(key))

@@ -111,12 +111,17 @@ def index_table(spark: SparkSession, entry: TableEntry, models: Models, steps: i
     """Embed the rows without an embedding and append them. Running it again resumes."""
     started = time.monotonic()
     table, written = entry.embeddings(spark), 0
+    # the parts share no rows, so each is compared with what was there before the run, if anything
+    before = table.read() if table.snapshot().live else None
     for part in _steps(entry.rows(spark), entry.primary_key, steps):
-        pending = unembedded_rows(part, table.read(), entry.primary_key, entry.columns)
-        written += table.append(_embed(entry, pending, models.get(entry.model)))
+        written += table.append(_embed(entry, _left(entry, part, before), models.get(entry.model)))
     return IndexReport(written, time.monotonic() - started)
 
 
+def _left(entry: TableEntry, part: DataFrame, before: DataFrame | None) -> DataFrame:
+    return part if before is None else unembedded_rows(part, before, entry.primary_key, entry.columns)
+
+
 def reindex_table(spark: SparkSession, entry: TableEntry, models: Models, steps: int | None = None) -> IndexReport:
     """Embed every row anew; searches see the old embeddings until the new ones are complete."""
     started = time.monotonic()
@@ -155,10 +160,10 @@ def _embed_beside(spark: SparkSession, entry: TableEntry, model: Embedder, steps
     target, written = entry.embeddings(spark), 0
     target.begin_migration(model.key, model.model_name, model.dims)
     while True:
-        version = target.snapshot().version
+        start = target.snapshot()
+        version, before = start.version, target.staged() if start.staged["live"] else None
         for part in _steps(entry.rows(spark), entry.primary_key, steps):
-            remaining = unembedded_rows(part, target.staged(), entry.primary_key, entry.columns)
-            added = target.append(_embed(entry, remaining, model), staged=True)
+            added = target.append(_embed(entry, _left(entry, part, before), model), staged=True)
             written += added
             version += added > 0
         now = target.snapshot()

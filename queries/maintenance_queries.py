@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nearfield.functions.embedders import Models
 from nearfield.operators import jobs, status
