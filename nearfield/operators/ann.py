@@ -5,13 +5,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.errors import NearfieldError
 from nearfield.functions.text import quoted
-from nearfield.functions.vectors import norm
 from nearfield.operators.topk import nearest
 
 # Vectors per list used to place the centroids; assignment always covers every vector.
@@ -31,10 +31,11 @@ def build_lists(vectors: DataFrame, key: list[str], path: str, lists: int, seed:
         raise NearfieldError(f"{lists} centroids of {dims} dimensions are too many to share")
     # the plain row count comes from file footers; it only sets the share of rows to train on
     share = min(1.0, lists * TRAINING_ROWS_PER_LIST / vectors.count())
-    directed = present.withColumn("_n", norm(F.col("embedding"))).where("_n > 0").select(
-        array_to_vector(F.transform("embedding", lambda x: x / F.col("_n"))).alias("features")
+    training = present if share >= 1.0 else present.sample(share, seed=seed)
+    training = training.where(F.exists("embedding", lambda x: x != 0)).select(
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("_v")
     )
-    training = directed if share >= 1.0 else directed.sample(share, seed=seed)
+    training = Normalizer(inputCol="_v", outputCol="features").transform(training)
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(training)
     centers = np.asarray(model.clusterCenters(), dtype=np.float64)
     spark.createDataFrame(
