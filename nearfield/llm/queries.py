@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nearfield.llm import byte_bpe, packing, page_text
+from nearfield.llm import byte_bpe, packing, page_text, quality, secrets, toxicity
+from nearfield.llm.tasks import fold
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,15 +23,33 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    chain = quality.learn(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(documents, chain).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+
+
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op4_packing, op10_page_text)
+    f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_packing, op5_secrets, op9_quality, op10_page_text)
 }
 SQL: dict[str, str] = {}
