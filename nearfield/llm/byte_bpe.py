@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame
 from nearfield.llm.tasks import map_rows, text_rows
 
 # Distinct pieces whose ids a task keeps; when full, the memory is emptied.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 1_500_000
 # Longer pieces are encoded each time, so that the kept ones stay small.
 KEPT_LENGTH = 64
+# Prefixes of pieces, up to a length in bytes, whose last token a task keeps for all pieces.
+SHARED_PREFIXES, SHARED_LENGTH = 1_000_000, 32
 
 
 class Vocabulary:
@@ -40,6 +43,8 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self._pairs: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
+        self._edges: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
+        self.prefixes: dict[bytes, int] = {}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -63,16 +68,91 @@ class Vocabulary:
             known = self._whole[token] = self.merged(self.bytes_of[token]) == [token]
         return known
 
+    def edge(self, token: int, right: bool) -> list[tuple[bytes, float]]:
+        """The parts that stand at one end of a token while its bytes are merged, from a single byte to the whole,
+        each with the rank of the merge that takes it in."""
+        known = self._edges.get((token, right))
+        if known is None:
+            data, ranks = self.bytes_of[token], self.ranks
+            parts = [data[i : i + 1] for i in range(len(data))]
+            at_end = [parts[-1 if right else 0]]
+            while len(parts) > 1:
+                _, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if parts[-1 if right else 0] != at_end[-1]:
+                    at_end.append(parts[-1 if right else 0])
+            taken_in = [ranks.get(p, math.inf) for p in at_end[1:]] + [math.inf]
+            known = self._edges[token, right] = list(zip(at_end, taken_in))
+        return known
+
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the bytes of both tokens together encode to this pair."""
+        """Whether the bytes of both tokens together encode to this pair.
+
+        Merges happen in order of rank, as a token's parts have lower ranks than itself. So only the parts on both
+        sides of the boundary matter: if at some time they would merge with one another before either is taken in
+        by its own neighbour, the boundary is lost. Of equal ranks the one further left merges first.
+        """
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            ranks, before, after = self.ranks, self.edge(left, True), self.edge(right, False)
+            i = j = 0
+            known = True
+            while known:
+                (a, a_goes), (b, b_goes) = before[i], after[j]
+                across = ranks.get(a + b, math.inf)
+                if across < a_goes and across <= b_goes and across < math.inf:
+                    known = False
+                elif a_goes == b_goes == math.inf:
+                    break
+                elif a_goes <= b_goes:
+                    i += 1
+                else:
+                    j += 1
+            self._pairs[left, right] = known
         return known
 
 
+    def last_token(self, prefix: bytes) -> int:
+        """The same table as ``Prefixes`` for short pieces, filled only where it is asked for and shared by all
+        pieces that begin alike."""
+        token = self.prefixes.get(prefix)
+        if token is None:
+            ranks, pairs = self.ranks, self._pairs
+            for start in range(max(0, len(prefix) - self.longest), len(prefix)):
+                token = ranks.get(prefix[start:])
+                if token is None:
+                    continue
+                if start == 0:
+                    if self.whole(token):
+                        break
+                else:
+                    before = self.last_token(prefix[:start])
+                    fits = pairs.get((before, token))
+                    if fits or fits is None and self.whole(token) and self.may_follow(before, token):
+                        break
+            else:
+                raise ValueError("a byte of the text has no token")
+            if len(self.prefixes) >= SHARED_PREFIXES:
+                self.prefixes.clear()
+            self.prefixes[prefix] = token
+        return token
+
+    def encode(self, data: bytes) -> list[int]:
+        """Ids of one piece."""
+        if len(data) > SHARED_LENGTH:
+            return Prefixes(self, data).ids()
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return [whole]
+        found, at = [], len(data)
+        while at:
+            found.append(self.last_token(data[:at]))
+            at -= len(self.bytes_of[found[-1]])
+        return found[::-1]
+
+
 class Prefixes:
     """The last token of every byte prefix of one piece; grows at the end and can be cut back to any prefix."""
 
@@ -83,7 +163,7 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         """Exact: what is stored for earlier prefixes stays."""
         v, last = self.vocabulary, self.last
-        ranks, pairs, whole, may_follow = v.ranks, v._pairs, v.whole, v.may_follow
+        ranks, pairs = v.ranks, v._pairs
         done = len(self.data)
         self.data = data = self.data + more
         for end in range(done + 1, len(data) + 1):
@@ -92,12 +172,12 @@ class Prefixes:
                 if token is None:
                     continue
                 if start == 0:
-                    if whole(token):
+                    if v.whole(token):
                         break
                 else:
                     before = last[start - 1]
                     fits = pairs.get((before, token))
-                    if fits or fits is None and whole(token) and may_follow(before, token):
+                    if fits or fits is None and v.whole(token) and v.may_follow(before, token):
                         break
             else:
                 raise ValueError("a byte of the text has no token")
@@ -123,30 +203,31 @@ class Prefixes:
         return found[::-1]
 
 
+class Pieces(dict):
+    """Ids of pieces already seen, as bytes; a piece that is asked for the first time is encoded."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.vocabulary.encode(piece.encode())
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Encodes texts piece by piece; ids are little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary, self.split = vocabulary, regex.compile(pattern)
-        self._kept: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        known = self._kept.get(piece)
-        if known is None:
-            ids = Prefixes(self.vocabulary, piece.encode()).ids()
-            known = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= KEPT_LENGTH:
-                if len(self._kept) >= KEPT_PIECES:
-                    self._kept.clear()
-                self._kept[piece] = known
-        return known
+        self.piece = Pieces(vocabulary).__getitem__
 
     def encode(self, text: str) -> bytes:
-        pieces = self.split.findall(text)
-        found = list(map(self._kept.get, pieces))
-        if None in found:
-            found = [self.piece(p) if ids is None else ids for p, ids in zip(pieces, found)]
-        return b"".join(found)
+        return b"".join(map(self.piece, self.split.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, memoryview(ids).cast("I")))
