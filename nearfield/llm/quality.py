@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from nearfield.llm.tasks import labelled_sample, logistic, map_rows, probability, text_rows
+from nearfield.llm.tasks import keep_rows, labelled_sample, logistic, map_rows, probability, text_rows
 
 # Labelled documents of each class used to learn from; a documented bound.
 LEARN_PER_CLASS = 1500
@@ -241,3 +241,8 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
         return ((doc_id, score_text(text, chain)) for doc_id, text in rows)
 
     return map_rows(text_rows(docs), each, "doc_id bigint, score double")
+
+
+def good_only(docs: DataFrame, chain: Chain | None, threshold: float = GOOD) -> DataFrame:
+    """``docs`` without the rows whose texts score less than ``threshold``."""
+    return keep_rows(docs, lambda: lambda text: score_text(text, chain) >= threshold)

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import byte_bpe, packing, page_text, quality, secrets, toxicity
+from nearfield.llm import (
+    byte_bpe, fingerprints, licenses, near_dups, packing, page_text, quality, secrets, toxicity, vantage,
+)
 from nearfield.llm.tasks import fold
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +25,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
     model = toxicity.learn(documents, table(spark, sf_dir, "labels"), ~held_out)
@@ -38,6 +44,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
     chain = quality.learn(documents, table(spark, sf_dir, "labels"), ~held_out)
@@ -50,6 +68,9 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_packing, op5_secrets, op9_quality, op10_page_text)
+    f.__name__: f for f in (
+        op1_byte_bpe, op2_near_dups, op3_toxicity, op4_packing, op5_secrets, op6_vantage, op7_licenses,
+        op8_fingerprints, op9_quality, op10_page_text,
+    )
 }
 SQL: dict[str, str] = {}

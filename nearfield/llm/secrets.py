@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.tasks import map_rows
+from nearfield.llm.tasks import map_rows, unused
 from nearfield.session import materialize
 
 #: Base kinds in their listed order: pattern, group that holds the value, and its least length.
@@ -126,7 +126,7 @@ def redact(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     Rows meet by doc_id and the text's hash, so that repeated rows and rows without an id get their own spans.
     Only rows with live spans change; the columns stay as they are.
     """
-    _id, _hash, _spans = (f"_live_{docs.columns}_{x}".replace("`", "") for x in ("id", "hash", "spans"))
+    _id, _hash, _spans, _own = (unused(docs.columns, x) for x in ("live_id", "live_hash", "live_spans", "own_hash"))
     live = scanned.where("n_live > 0").groupBy(F.col("doc_id").alias(_id), F.col("text_hash").alias(_hash)).agg(
         F.min("live").alias(_spans))
     own, spans = F.col("text").cast("string"), F.col(f"`{_spans}`")
@@ -146,8 +146,8 @@ def redact(docs: DataFrame, scanned: DataFrame) -> DataFrame:
             at = max(at, end)
         return "".join([*parts, text[at:]])
 
-    met = docs.withColumn(f"{_hash}_own", text_hash(own)).join(
-        live, F.col(f"`{_id}`").eqNullSafe(F.col("doc_id").cast("bigint")) & (F.col(f"`{_hash}`") == F.col(f"`{_hash}_own`")),
+    met = docs.withColumn(_own, text_hash(own)).join(
+        live, F.col(f"`{_id}`").eqNullSafe(F.col("doc_id").cast("bigint")) & (F.col(f"`{_hash}`") == F.col(f"`{_own}`")),
         "left")
     met = met.withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(without(own, spans)))
     recounted = F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))

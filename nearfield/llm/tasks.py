@@ -101,3 +101,28 @@ def logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-3, ro
 
 def probability(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features @ weights[:-1] + weights[-1], -30, 30)))
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[], Callable[[str], bool]], text: str = "text") -> DataFrame:
+    """The rows whose text passes; all columns stay as they are, whatever their names. A map: no shuffle.
+
+    ``keep`` is called once per task and gives the test. Null texts are tested as empty ones.
+    """
+    place = docs.columns.index(text)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = keep()
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_PER_BATCH):
+                part = batch.slice(start, ROWS_PER_BATCH)
+                yield part.filter(pa.array([passes(x or "") for x in part.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A name that no column has, in any case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.tasks import labelled_sample, logistic, map_rows, probability, text_rows
+from nearfield.llm.tasks import keep_rows, labelled_sample, logistic, map_rows, probability, text_rows
 from nearfield.session import materialize
 
 # Labelled documents of each class used to learn from; a documented bound, the larger tables have more.
@@ -238,15 +238,21 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = LEAR
     return model
 
 
-def scorer_of(model: Model) -> Callable[[str], float]:
-    return Scorer(model).score
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every whole text. A map: no shuffle."""
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
-        one = scorer_of(model)
+        one = Scorer(model).score
         return ((doc_id, one(text)) for doc_id, text in rows)
 
     return map_rows(text_rows(docs), each, "doc_id bigint, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = TOXIC) -> DataFrame:
+    """``docs`` without the rows whose texts score ``threshold`` or more."""
+
+    def keep():
+        one = Scorer(model).score
+        return lambda text: one(text) < threshold
+
+    return keep_rows(docs, keep)
