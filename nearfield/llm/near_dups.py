@@ -15,8 +15,8 @@ threshold. The work goes from thin to wide:
    between components is left out.
 
 Documents without words have empty sets and are linked with nothing; fewer than five words make one run. Null texts
-count as empty. Repeated rows are linked with one another. Rows without an id take no part: their component is null
-and they are kept.
+count as empty. Repeated rows are linked with one another; rows that share an id but not a text are linked by their
+texts alone. Rows without an id take no part: their component is null and they are kept.
 """
 
 from __future__ import annotations
@@ -68,6 +68,12 @@ def runs(text: str) -> np.ndarray:
     return np.unique(found ^ (found >> np.uint64(29)))
 
 
+def set_hash(found: np.ndarray) -> int:
+    """Signed 64-bit hash of a whole set; equal sets have equal hashes."""
+    value = xxhash.xxh3_64_intdigest(found.tobytes())
+    return value - (1 << 64) if value >> 63 else value
+
+
 def minima(found: np.ndarray) -> np.ndarray:
     """The least value of every hash function over a set that is not empty."""
     out = np.empty(PLACES, dtype=np.uint64)
@@ -97,8 +103,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield doc_id, 0, None, None, None
                 continue
             least = minima(found)
-            own = np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
-            yield doc_id, len(found), int(own), ((least >> np.uint64(23)) & np.uint64(255)).astype(np.uint8).tobytes(), band_keys(least).tolist()
+            yield doc_id, len(found), set_hash(found), ((least >> np.uint64(23)) & np.uint64(255)).astype(np.uint8).tobytes(), band_keys(least).tolist()
 
     return map_rows(text_rows(docs), each, "doc_id bigint, n bigint, set_hash bigint, signature binary, bands array<bigint>")
 
@@ -299,20 +304,25 @@ def second_cells(placed: DataFrame, labels: DataFrame, limit: int = BUCKET) -> D
         F.max("asks").alias("asks"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-dups-nodes")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs of classes whose full sets reach the threshold; a class's set is made anew from one of its texts."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialize(classes.join(nodes, "node", "left_semi").select("doc_id").distinct(), "near-dups-wanted")
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
-        return ((doc_id, runs(text).view(np.int64).tolist()) for doc_id, text in rows)
+        for _, text in rows:
+            found = runs(text)
+            if len(found):
+                yield set_hash(found), found.view(np.int64).tolist()
 
-    sets = map_rows(rows_with_keys(text_rows(docs), nodes, ["doc_id"]), each, "node bigint, runs array<bigint>")
+    # repeated rows give their set once; written, so that Spark may split a class with very many pairs
+    sets = materialize(map_rows(rows_with_keys(text_rows(docs), wanted, ["doc_id"]), each, "node bigint, runs array<bigint>")
+                       .groupBy("node").agg(F.first("runs").alias("runs")), "near-dups-sets")
     left = sets.select(F.col("node").alias("a"), F.col("runs").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("runs").alias("of_b"))
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
+    met = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
     union = F.size("of_a") + F.size("of_b") - F.col("shared")
-    return met.where(100 * F.col("shared") >= percent * union).select("a", "b").distinct()
+    return met.where(100 * F.col("shared") >= percent * union).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,22 +346,26 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, limit: int = BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     every = materialize(signed(docs), "near-dups-signed")
+    # node names a class: the hash of its set
     classes = materialize(
-        every.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(
-            F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"),
+        every.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("set_hash").alias("node")).agg(
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"),
             F.first("bands").alias("bands")), "near-dups-classes")
     placed = materialize(buckets(classes, limit), "near-dups-buckets")
     signatures = classes.select("node", "n", "signature")
     first = materialize(candidates(first_cells(placed, limit).join(signatures, "node"), True, percent), "near-dups-first")
-    links = materialize(verified(first, docs, percent), "near-dups-verified")
+    links = materialize(verified(first, classes, docs, percent), "near-dups-verified")
     labels = components(links)
     rest = candidates(second_cells(placed, labels, limit).join(signatures, "node"), False, percent)
     second = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-dups-second")
-    more = materialize(verified(second, docs, percent), "near-dups-verified")
+    more = materialize(verified(second, classes, docs, percent), "near-dups-verified")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
-    by_set = materialize(classes.select("set_hash", "node").join(labels, "node", "left").select(
-        "set_hash", F.coalesce("component", "node").alias("component_id")), "near-dups-components")
+    labelled = materialize(classes.select("node", "doc_id").join(labels, "node", "left").select(
+        "node", "doc_id", F.coalesce("component", "node").alias("component")), "near-dups-labelled")
+    least = materialize(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-dups-least")
+    by_set = materialize(labelled.join(least, "component").select(F.col("node").alias("set_hash"), "component_id"),
+                         "near-dups-components")
     found = every.select("doc_id", "n", "set_hash").join(by_set, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
