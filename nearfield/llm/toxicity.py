@@ -7,8 +7,8 @@ sum of the weights of its insults times all factors, plus the amounts: "you idio
 idiot" and "they said idiot" less, "kill you" scores though neither word does alone. Words alone never reject a text:
 the matched clauses of the whole text give a few figures, and a logistic curve over those gives the score.
 
-The insult words and stems with their weights are learnt from labelled rows, as are the curve's weights; the other
-word lists and the factors are parameters below.
+Insult words and stems with their weights are learnt from labelled rows, beside a short list of common ones; so are
+the curve's weights. The other word lists and the factors are parameters below.
 
 Null texts count as empty; an empty text has no clauses and scores what the curve gives for none. Repeated rows give
 repeated results. Null, repeated or contradicting labels: see ``labelled_sample``. Without labels of both classes
@@ -51,6 +51,11 @@ WORDS = {
     REPORT: "said says say told tells called calls claims claimed quoted reported wrote sagte sagt nannte dit disait "
             "appelé dijo dice llamó",
 }
+# Common insults, and their weight as long as labels give no other.
+INSULTS = ("idiot moron stupid dumb fool loser scum trash garbage filth pathetic worthless useless disgusting clown "
+           "imbecile cretin jerk pig vermin dummkopf trottel abschaum arschloch crétin imbécile connard ordure idiota "
+           "imbécil estúpido basura escoria")
+INSULT_WEIGHT = 4.0
 TOKEN = re.compile(r"\w+|[.!?;:\n|]")
 ENDS = frozenset(".!?;:\n|")
 
@@ -227,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = LEAR
             .where((F.col("toxic") >= SUPPORT) & (ratio >= RATIO))
             .select("gram", F.log(ratio).alias("weight"), (F.log(ratio) * F.col("toxic")).alias("gain"))
             .orderBy(F.desc("gain"), "gram").limit(LEXICON).collect())
-    model = Model({r["gram"]: r["weight"] for r in best})
+    model = Model({w + "$": INSULT_WEIGHT for w in INSULTS.split()} | {r["gram"]: r["weight"] for r in best})
 
     def measure(rows: Iterator[tuple]) -> Iterator[tuple]:
         scorer = Scorer(model)
