@@ -26,6 +26,9 @@ KNOWN_MODELS = {
 BATCH_SIZE = 32
 REMOTE_BATCH_SIZE = 100
 
+# A word: letters and digits of any script.
+WORD = r"[^\W_]+"
+
 Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
@@ -44,15 +47,8 @@ class Embedder:
         """Embed a text column; only that column crosses to Python, in Arrow batches."""
         factory, dims, size, identity = self._require_factory(), self.dims, self.batch_size, self.identity
 
-        def loaded() -> Encoder:
-            """Python workers are reused from task to task, and so is a model they have loaded."""
-            models = sys.modules.setdefault("_nearfield_loaded", types.ModuleType("_nearfield_loaded")).__dict__
-            if identity not in models:
-                models[identity] = factory()
-            return models[identity]
-
         def embed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encode = loaded()
+            encode = loaded(identity, factory)
             for batch in batches:
                 present = batch.drop_null().to_pylist()
                 matrix = np.zeros((len(present), dims), dtype=np.float32)
@@ -70,9 +66,42 @@ class Embedder:
         # not repeatable as far as Catalyst knows, or it would copy the call into filters on its result
         return F.arrow_udf(embed_batches, "array<float>").asNondeterministic()(text)
 
+    def column_or_error(self, text: Column) -> Column:
+        """Embed a text column to struct<embedding, error>: a text that the model refuses has an error instead.
+
+        Only when a batch fails are its texts tried one by one.
+        """
+        factory, dims, size, identity = self._require_factory(), self.dims, self.batch_size, self.identity
+        result = pa.struct([("embedding", pa.list_(pa.float32())), ("error", pa.string())])
+
+        def shaped(vectors: Sequence[Sequence[float]], n: int) -> list[list[float]]:
+            matrix = np.asarray(vectors, dtype=np.float32)
+            if matrix.shape != (n, dims):
+                raise ValueError(f"model returned shape {matrix.shape}, expected {dims} dimensions")
+            return matrix.tolist()
+
+        def embed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encode = loaded(identity, factory)
+
+            def tried(texts: list[str]) -> list[dict]:
+                try:
+                    return [{"embedding": v, "error": None} for v in shaped(encode(texts), len(texts))]
+                except Exception as error:  # whatever a model raises belongs to the text
+                    if len(texts) == 1:
+                        return [{"embedding": None, "error": f"{type(error).__name__}: {error}"}]
+                    return [one for text in texts for one in tried([text])]
+
+            for batch in batches:
+                texts = batch.to_pylist()
+                present = [t for t in texts if t is not None]
+                found = iter([r for at in range(0, len(present), size) for r in tried(present[at:at + size])])
+                yield pa.array([None if t is None else next(found) for t in texts], result)
+
+        return F.arrow_udf(embed_batches, "struct<embedding:array<float>,error:string>").asNondeterministic()(text)
+
     def embed_query(self, text: str) -> list[float]:
-        """Embed one short query text on the driver."""
-        vector = [float(x) for x in self._require_factory()()([text])[0]]
+        """Embed one short query text on the driver, with a model that is loaded once."""
+        vector = [float(x) for x in loaded(self.identity, self._require_factory())([text])[0]]
         if len(vector) != self.dims:
             raise DimensionMismatchError(f"{self.key} returned {len(vector)} dimensions, declared {self.dims}")
         return vector
@@ -83,6 +112,14 @@ class Embedder:
         return self.factory
 
 
+def loaded(identity: str, factory: Callable[[], Encoder]) -> Encoder:
+    """Processes are reused from task to task and query to query, and so is a model they have loaded."""
+    models = sys.modules.setdefault("_nearfield_loaded", types.ModuleType("_nearfield_loaded")).__dict__
+    if identity not in models:
+        models[identity] = factory()
+    return models[identity]
+
+
 def hash_embedder(dims: int = 64) -> Embedder:
     """Signed counts of hashed words. Matches shared words, not meaning; needs no model files.
 
@@ -90,7 +127,7 @@ def hash_embedder(dims: int = 64) -> Embedder:
     """
 
     def factory() -> Encoder:
-        words = re.compile("[a-z0-9]+")
+        words = re.compile(WORD)
 
         class Slots(dict):
             def __missing__(self, word):

@@ -4,6 +4,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
@@ -14,13 +15,16 @@ from nearfield.errors import NearfieldError
 from nearfield.functions.text import quoted
 from nearfield.operators.topk import nearest
 
-# Vectors per list used to place the centroids; assignment always covers every vector.
-TRAINING_ROWS_PER_LIST = 256
 CENTROID_BYTES = 64 << 20
 
 
-def build_lists(vectors: DataFrame, key: list[str], path: str, lists: int, seed: int = 42) -> None:
-    """Place ``lists`` centroids and write every vector under the list of its nearest one."""
+def build_lists(
+    vectors: DataFrame, key: list[str], path: str, lists: int, seed: int = 42, centroids: Sequence | None = None
+) -> None:
+    """Place ``lists`` centroids, or take given ones, and write every vector under the list of its nearest one.
+
+    Centroids are fitted on all vectors. A vector without direction stands in the first list.
+    """
     spark = vectors.sparkSession
     present = vectors.where(quoted("embedding").isNotNull()).select(*[quoted(c) for c in key], "embedding")
     one = present.first()
@@ -29,15 +33,12 @@ def build_lists(vectors: DataFrame, key: list[str], path: str, lists: int, seed:
     dims = len(one["embedding"])
     if lists * dims * 8 > CENTROID_BYTES:
         raise NearfieldError(f"{lists} centroids of {dims} dimensions are too many to share")
-    # the plain row count comes from file footers; it only sets the share of rows to train on
-    share = min(1.0, lists * TRAINING_ROWS_PER_LIST / vectors.count())
-    training = present if share >= 1.0 else present.sample(share, seed=seed)
-    training = training.where(F.exists("embedding", lambda x: x != 0)).select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("_v")
-    )
-    training = Normalizer(inputCol="_v", outputCol="features").transform(training)
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(training)
-    centers = np.asarray(model.clusterCenters(), dtype=np.float64)
+    if centroids is None:
+        centers = _fitted(present, lists, seed)
+    else:
+        centers = np.asarray(centroids, dtype=np.float64)
+        if centers.shape != (lists, dims):
+            raise NearfieldError(f"expected {lists} centroids of {dims} dimensions, got {centers.shape}")
     spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(centers)], "list_id int, centroid array<double>"
     ).coalesce(1).write.parquet(f"{path}/centroids")
@@ -49,6 +50,20 @@ def build_lists(vectors: DataFrame, key: list[str], path: str, lists: int, seed:
     )
 
 
+def _fitted(present: DataFrame, lists: int, seed: int) -> np.ndarray:
+    """Centroids of the directions of all vectors that have one."""
+    training = present.where(F.exists("embedding", lambda x: x != 0)).select(
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("_v")
+    )
+    # every round of the fit reads the vectors again
+    training = Normalizer(inputCol="_v", outputCol="features").transform(training).select("features").persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        return np.asarray(KMeans(k=lists, seed=seed, maxIter=10).fit(training).clusterCenters(), dtype=np.float64)
+    finally:
+        training.unpersist()
+
+
 def _nearest_list(embedding: Column, centers: np.ndarray) -> Column:
     def assign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         by_column = np.ascontiguousarray(centers.T)

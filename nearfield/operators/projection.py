@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.errors import NearfieldError
+from nearfield.functions.embedders import WORD
 from nearfield.functions.text import quoted, row_id
 from nearfield.operators.joins import rows_with_keys, spread
 
@@ -75,7 +76,7 @@ def word_counts(text: Column) -> Column:
     entry = pa.struct([("term", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = re.compile("[a-z0-9]+")
+        words = re.compile(WORD)
         for batch in batches:
             rows = [None if t is None else Counter(words.findall(t.lower())).items() for t in batch.to_pylist()]
             yield pa.array([None if r is None else [{"term": w, "n": n} for w, n in r] for r in rows], pa.list_(entry))

@@ -15,7 +15,7 @@ from nearfield.functions import text as X
 from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted
 from nearfield.operators.joins import LITERAL_KEYS, fits_broadcast, literal_keys
-from nearfield.operators.topk import SIMILARITY, by_similarity, nearest
+from nearfield.operators.topk import SIMILARITY, best_of, by_similarity, nearest, similarities
 
 logger = logging.getLogger(__name__)
 
@@ -129,26 +129,25 @@ class Searchable:
     def _winners(self, query: Sequence[float], limit: int, condition: Column | None) -> DataFrame:
         """Key, similarity [and chunk number] of the best rows that exist and pass the filter.
 
-        The vectors are by far the widest data here, so they are not shuffled to meet the source:
-        a small set of allowed keys is broadcast to them; a large one leaves most vectors eligible,
-        so the best few are ranked first and then checked, taking more until enough pass.
+        The vectors are by far the widest data here and never move. A small set of allowed keys is
+        broadcast to them. Without a filter nearly all vectors have their row, so twice the wanted
+        number is ranked and checked. Else every vector is scored in one scan, and keys with their
+        scores meet the allowed keys.
         """
         allowed = self.source if condition is None else self.source.where(condition)
         allowed = allowed.select(*[quoted(c) for c in self.key])
-        take = 2 * limit
-        if condition is not None:
-            if fits_broadcast(allowed):
-                return self._nearest(self.vectors.join(F.broadcast(allowed), self.key, "left_semi"), query, limit)
-            take = 8 * limit
-        while take <= LITERAL_KEYS:
-            ranked = self._nearest(self.vectors, query, take)
+        if condition is not None and fits_broadcast(allowed):
+            return self._nearest(self.vectors.join(F.broadcast(allowed), self.key, "left_semi"), query, limit)
+        if condition is None and 2 * limit <= LITERAL_KEYS:
+            ranked = self._nearest(self.vectors, query, 2 * limit)
             rows = ranked.collect()
             passing = {tuple(r) for r in allowed.where(literal_keys(rows, self.key)).collect()} if rows else set()
             kept = [r for r in rows if tuple(r[c] for c in self.key) in passing]
-            if len(kept) >= limit or len(rows) < take:
+            if len(kept) >= limit or len(rows) < 2 * limit:
                 return self.source.sparkSession.createDataFrame(kept[:limit], ranked.schema)
-            take *= 4
-        return self._nearest(self.vectors.join(allowed, self.key, "left_semi"), query, limit)
+        part = "chunk_index" if self.chunked else None
+        scored = similarities(self.vectors, self.key, query, part=part)
+        return best_of(scored.join(allowed, self.key, "left_semi"), self.key, limit, part)
 
 
 def shaped(results: DataFrame) -> DataFrame:

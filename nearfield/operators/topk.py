@@ -2,11 +2,13 @@
 
 Scores never leave the tasks that computed them: each task keeps the best k rows it has seen per
 query and only those rows meet in the final merge. The result does not depend on how the rows are
-partitioned, since a row of the global top-k is in the top-k of whichever task holds it.
+partitioned, since a row of the global top-k is in the top-k of whichever task holds it. There is one
+way to score, whatever the size of the table: similarities are rounded to 12 digits, equal ones are
+ordered by key, and vectors of another length than the query's are an error.
 """
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted
-from nearfield.session import estimated_bytes
 
-# Above this many bytes of input an Arrow matrix product beats interpreted array functions.
-ARROW_FROM_BYTES = 64 << 20
-# Query vectors shipped to every task in one pass; more queries take more passes.
-QUERY_BYTES_PER_PASS = 8 << 20
+# Query vectors that travel to the tasks together; all such blocks are used in one scan.
+QUERY_BYTES_PER_BLOCK = 8 << 20
 # Scores a task holds in memory at a time, over all queries.
 SCORES_AT_ONCE = 2_000_000
 
@@ -42,7 +40,6 @@ def nearest(
     *,
     embedding: str = "embedding",
     part: str | None = None,
-    method: str = "auto",
 ) -> DataFrame:
     """The ``k`` rows closest to ``query``: key columns [, part] and similarity.
 
@@ -53,19 +50,53 @@ def nearest(
     present = vectors.where(quoted(embedding).isNotNull()).select(
         *[quoted(c) for c in wanted], quoted(embedding).alias("embedding")
     )
-    if part is None and method == "auto":
-        method = "arrow" if estimated_bytes(present) > ARROW_FROM_BYTES else "expression"
-    if part is None and method == "expression":
-        scored = present.select(
-            *[quoted(c) for c in key], V.cosine_similarity(F.col("embedding"), query).alias(SIMILARITY)
-        )
-        return scored.orderBy(*by_similarity(key)).limit(k)
-    local = _local_best(present, key, np.asarray([query], dtype=np.float64), [0], T.LongType(), k, part)
+    local = _local_best(present, key, [([0], np.asarray([query], dtype=np.float64))], T.LongType(), k, part)
     if part is not None:
         local = _best_part(local, key, part)
     return local.drop("query_id").orderBy(*by_similarity(key)).limit(k)
 
 
+def similarities(
+    vectors: DataFrame,
+    key: list[str],
+    query: Sequence[float],
+    *,
+    embedding: str = "embedding",
+    part: str | None = None,
+) -> DataFrame:
+    """Key columns [, part] and similarity of every vector, scored as ``nearest`` does.
+
+    For joins with more than a broadcast holds: what is shuffled then is keys and numbers, not vectors.
+    """
+    wanted = key + ([part] if part else [])
+    present = vectors.where(quoted(embedding).isNotNull()).select(
+        *[quoted(c) for c in wanted], quoted(embedding).alias("embedding")
+    )
+    fields = [f for f in present.schema.fields if f.name != "embedding"]
+    schema = T.StructType([*fields, T.StructField(SIMILARITY, T.DoubleType())])
+    asked = np.asarray(query, dtype=np.float64)
+    length = float(np.sqrt((asked * asked).sum()))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows, values, norms = _unpacked(batch, wanted, len(asked))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.round((values @ asked) / (norms * length), 12)
+                scored = rows.append_column(SIMILARITY, pa.array(scores, mask=np.isnan(scores)))
+                yield from scored.combine_chunks().to_batches()
+
+    return present.mapInArrow(score, schema)
+
+
+def best_of(scored: DataFrame, key: list[str], k: int, part: str | None = None) -> DataFrame:
+    """The ``k`` best of scored rows; with ``part`` rows sharing a key count once, by their best part."""
+    if part is not None:
+        best = Window.partitionBy(*key).orderBy(quoted(SIMILARITY).desc_nulls_last(), quoted(part).asc())
+        scored = scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return scored.orderBy(*by_similarity(key)).limit(k)
+
+
 def nearest_batch(
     vectors: DataFrame,
     key: list[str],
@@ -79,7 +110,8 @@ def nearest_batch(
 ) -> DataFrame:
     """Top-k per query: query key, key columns [, part], similarity and rank.
 
-    The queries are shipped in passes of a bounded size, each pass one scan of ``vectors``.
+    ``vectors`` is scanned once. The queries travel in blocks of a bounded size; the driver holds one
+    block at a time.
     """
     wanted = key + ([part] if part else [])
     present = vectors.where(quoted(embedding).isNotNull()).select(
@@ -90,17 +122,18 @@ def nearest_batch(
     )
     asked = asked.distinct().persist()
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
-    passes = max(1, math.ceil(size["n"] * (size["dims"] or 0) * 8 / QUERY_BYTES_PER_PASS))
-    id_type = asked.schema["query_id"].dataType
-    result = None
-    for number in range(passes):
-        block = asked if passes == 1 else asked.where(
-            F.pmod(F.xxhash64("query_id", "vector"), F.lit(passes)) == number
-        )
-        rows = block.collect()
-        matrix = np.asarray([r["vector"] for r in rows], dtype=np.float64)
-        found = _local_best(present, key, matrix, [r["query_id"] for r in rows], id_type, k, part)
-        result = found if result is None else result.unionByName(found)
+    blocks = max(1, math.ceil(size["n"] * (size["dims"] or 0) * 8 / QUERY_BYTES_PER_BLOCK))
+
+    def shipped():
+        for number in range(blocks):
+            block = asked if blocks == 1 else asked.where(
+                F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)) == number
+            )
+            rows = block.collect()
+            if rows:
+                yield [r["query_id"] for r in rows], np.asarray([r["vector"] for r in rows], dtype=np.float64)
+
+    result = _local_best(present, key, shipped(), asked.schema["query_id"].dataType, k, part)
     asked.unpersist()
     if part is not None:
         result = _best_part(result, key, part)
@@ -123,88 +156,105 @@ def _best_part(local: DataFrame, key: list[str], part: str) -> DataFrame:
 def _local_best(
     present: DataFrame,
     key: list[str],
-    matrix: np.ndarray,
-    query_ids: list,
+    blocks: Iterable[tuple[list, np.ndarray]],
     id_type: T.DataType,
     k: int,
     part: str | None,
 ) -> DataFrame:
-    """Best ``k`` rows per query within each task."""
+    """Best ``k`` rows per query within each task; ``blocks`` are the ids and vectors of the queries."""
     schema = T.StructType(
         [T.StructField("query_id", id_type)]
         + [f for f in present.schema.fields if f.name != "embedding"]
         + [T.StructField(SIMILARITY, T.DoubleType())]
     )
-    if len(query_ids) == 0:
+    context = present.sparkSession.sparkContext
+    shared = [
+        context.broadcast((np.ascontiguousarray(matrix.T), np.sqrt((matrix * matrix).sum(axis=1)), ids))
+        for ids, matrix in blocks
+    ]
+    if not shared:
         return present.sparkSession.createDataFrame([], schema)
-    dims = matrix.shape[1]
-    shared = present.sparkSession.sparkContext.broadcast(
-        (np.ascontiguousarray(matrix.T), np.sqrt((matrix * matrix).sum(axis=1)), list(query_ids))
-    )
     columns = [f.name for f in present.schema.fields if f.name != "embedding"]
 
     def best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_column, lengths, ids = shared.value
-        n_queries = len(ids)
-        slice_rows = max(1, SCORES_AT_ONCE // n_queries)
-        order = [("_s", "descending")] + [(c, "ascending") for c in columns]
+        kept = [_Best(*block.value, columns, key, k, part) for block in shared]
+        for batch in batches:
+            if batch.num_rows:
+                rows, values, norms = _unpacked(batch, columns, len(kept[0].by_column))
+                for one in kept:
+                    one.add(rows, values, norms)
+        for one in kept:
+            yield from one.batches()
+
+    return present.mapInArrow(best_rows, schema)
+
+
+def _unpacked(batch: pa.RecordBatch, columns: list[str], dims: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The plain columns, the vectors as a matrix in double precision, and their lengths."""
+    vectors = batch.column(batch.schema.get_field_index("embedding"))
+    sizes = pc.list_value_length(vectors).to_numpy()
+    if (sizes != dims).any():
+        raise ValueError(f"query has {dims} dimensions, table holds {sorted(set(sizes.tolist()))}")
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    return pa.Table.from_batches([batch]).select(columns), values, np.sqrt((values * values).sum(axis=1))
+
+
+class _Best:
+    """The best rows of one task for one block of queries."""
+
+    def __init__(
+        self, by_column: np.ndarray, lengths: np.ndarray, ids: list, columns: list[str], key: list[str], k: int,
+        part: str | None,
+    ) -> None:
+        self.by_column, self.lengths, self.ids = by_column, lengths, ids
+        self.columns, self.key, self.k, self.part = columns, key, k, part
+        self.slice_rows = max(1, SCORES_AT_ONCE // len(ids))
         # the k-th best similarity so far per query: anything lower can be skipped
-        floor = np.full(n_queries, -np.inf)
-        kept, pending = None, []
-
-        def compact():
-            nonlocal kept, pending
-            rows = pa.concat_tables(([kept] if kept is not None else []) + pending)
-            rows = rows.sort_by([("_q", "ascending"), *order])
-            if part is not None:
-                rows = first_of(rows, ["_q", *key])
-            q = rows["_q"].to_numpy()
-            starts = np.searchsorted(q, np.arange(n_queries))
-            rank = np.arange(len(q)) - starts[q]
-            kept, pending = rows.filter(pa.array(rank < k)), []
-            at_k = rank == k - 1
-            floor[q[at_k]] = rows["_s"].to_numpy()[at_k]
-
-        def first_of(rows, names):
-            """First row per group; rows come in with the best of each group first."""
-            numbered = rows.append_column("_at", pa.array(np.arange(len(rows))))
-            first = numbered.group_by(names).aggregate([("_at", "min")])["_at_min"].to_numpy()
-            return rows.take(pa.array(np.sort(first)))
+        self.floor = np.full(len(ids), -np.inf)
+        self.kept: pa.Table | None = None
+        self.pending: list[pa.Table] = []
 
-        for batch in batches:
-            if batch.num_rows == 0:
+    def add(self, rows: pa.Table, values: np.ndarray, norms: np.ndarray) -> None:
+        for start in range(0, len(values), self.slice_rows):
+            some = slice(start, start + self.slice_rows)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = (values[some] @ self.by_column) / (norms[some, None] * self.lengths[None, :])
+            # equal vectors must get equal scores wherever they sit in a batch
+            scores = np.round(scores, 12)
+            scores[np.isnan(scores)] = -np.inf
+            cut = self.floor
+            if self.part is None and len(scores) > self.k:
+                cut = np.maximum(cut, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+            at, q = np.nonzero(scores >= cut)
+            if len(at) == 0:
                 continue
-            vectors = batch.column(batch.schema.get_field_index("embedding"))
-            sizes = pc.list_value_length(vectors).to_numpy()
-            if (sizes != dims).any():
-                raise ValueError(f"query has {dims} dimensions, table holds {sorted(set(sizes.tolist()))}")
-            values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-            rows = pa.Table.from_batches([batch]).select(columns)
-            for start in range(0, len(values), slice_rows):
-                some = values[start:start + slice_rows]
-                norms = np.sqrt((some * some).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = (some @ by_column) / (norms[:, None] * lengths[None, :])
-                # equal vectors must get equal scores wherever they sit in a batch
-                scores = np.round(scores, 12)
-                scores[np.isnan(scores)] = -np.inf
-                cut = floor
-                if part is None and len(scores) > k:
-                    cut = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
-                at, q = np.nonzero(scores >= cut)
-                if len(at) == 0:
-                    continue
-                found = rows.take(pa.array(at + start)).append_column("_s", pa.array(scores[at, q]))
-                pending.append(found.append_column("_q", pa.array(q)))
-                if sum(len(t) for t in pending) > 4 * k * n_queries:
-                    compact()
-        if pending:
-            compact()
-        if kept is not None:
-            scores = kept["_s"].to_numpy()
-            q = kept["_q"].to_numpy()
-            out = kept.select(columns).add_column(0, "query_id", pa.array([ids[i] for i in q]))
+            found = rows.take(pa.array(at + start)).append_column("_s", pa.array(scores[at, q]))
+            self.pending.append(found.append_column("_q", pa.array(q)))
+            if sum(len(t) for t in self.pending) > 4 * self.k * len(self.ids):
+                self.compact()
+
+    def compact(self) -> None:
+        order = [("_q", "ascending"), ("_s", "descending"), *[(c, "ascending") for c in self.columns]]
+        rows = pa.concat_tables(([self.kept] if self.kept is not None else []) + self.pending).sort_by(order)
+        if self.part is not None:
+            rows = self._first_of(rows)
+        q = rows["_q"].to_numpy()
+        rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.ids)))[q]
+        self.kept, self.pending = rows.filter(pa.array(rank < self.k)), []
+        last = rank == self.k - 1
+        self.floor[q[last]] = rows["_s"].to_numpy()[last]
+
+    def _first_of(self, rows: pa.Table) -> pa.Table:
+        """First row per query and key; rows come in with the best of each first."""
+        numbered = rows.append_column("_at", pa.array(np.arange(len(rows))))
+        first = numbered.group_by(["_q", *self.key]).aggregate([("_at", "min")])["_at_min"].to_numpy()
+        return rows.take(pa.array(np.sort(first)))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.pending:
+            self.compact()
+        if self.kept is not None:
+            scores, q = self.kept["_s"].to_numpy(), self.kept["_q"].to_numpy()
+            out = self.kept.select(self.columns).add_column(0, "query_id", pa.array([self.ids[i] for i in q]))
             out = out.append_column(SIMILARITY, pa.array(scores, mask=np.isneginf(scores)))
             yield from out.combine_chunks().to_batches()
-
-    return present.mapInArrow(best_rows, schema)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfield.errors import NearfieldError
 from nearfield.functions import text as X
 from nearfield.functions.text import quoted
 
@@ -15,14 +16,18 @@ CONTEXT_ROWS, CONTEXT_WIDTH = 3, 100
 VECTOR_MARK = "[vector]"
 
 
-def list_tables(spark: SparkSession) -> DataFrame:
-    """Tables and views the session can see, without this package's own, by name."""
-    found = [
+def list_tables(spark: SparkSession, schemas: list[str] | None = None) -> DataFrame:
+    """Tables and views of all databases, or of the given ones, by schema and name.
+
+    Temporary views belong to the session and to no database; their schema is empty.
+    """
+    found = {
         (t.name, ".".join(t.namespace or []))
-        for t in spark.catalog.listTables()
-        if not t.name.startswith("nearfield_")
-    ]
-    return spark.createDataFrame(sorted(found), "table_name string, table_schema string")
+        for database in spark.catalog.listDatabases()
+        for t in spark.catalog.listTables(database.name)
+    }
+    wanted = sorted(((name, schema) for name, schema in found if schemas is None or schema in schemas), key=lambda t: t[::-1])
+    return spark.createDataFrame(wanted, "table_name string, table_schema string")
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -47,9 +52,11 @@ def table_catalog(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, limit: int = SAMPLE_LIMIT, order: list[str] | None = None) -> DataFrame:
-    """A few rows as short text; vectors are only marked."""
+    """A few rows, at most MAX_SAMPLE, as short text; vectors are only marked."""
+    if not 0 <= limit <= MAX_SAMPLE:
+        raise NearfieldError(f"a sample has at most {MAX_SAMPLE} rows, asked for {limit}")
     rows = df.orderBy(*[quoted(c) for c in order]) if order else df
-    return rows.select(*[_shown(f, SAMPLE_WIDTH) for f in df.schema.fields]).limit(max(0, min(limit, MAX_SAMPLE)))
+    return rows.select(*[_shown(f, SAMPLE_WIDTH) for f in df.schema.fields]).limit(limit)
 
 
 def _shown(field: T.StructField, width: int):

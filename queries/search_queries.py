@@ -11,7 +11,7 @@ from nearfield.operators import ann, topk
 from nearfield.operators.search import Searchable, TaggedTable, search_all, shaped
 from nearfield.plans.indexing import chunk_rows, embed_rows
 from nearfield.plans.setup import apply_table
-from nearfield.plans.indexing import index_table
+from nearfield.plans.indexing import index_table, migrate_table
 from nearfield.plans.text_search import search
 from nearfield.registry import Registry
 from nearfield.session import materialize, scratch_path
@@ -266,3 +266,56 @@ def chunk_embeddings(load):
         F.aggregate("embedding", zero, lambda s, x: s + x * x).alias("squares"),
         F.aggregate("embedding", zero, lambda s, x: s + x).alias("total"),
     )
+
+
+@query("search_limit_2000", f"""
+    SELECT d.doc_id, d.lang, round({COSINE}, 4) AS similarity
+    FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id CROSS JOIN {FIRST_VECTOR} q
+    ORDER BY round({COSINE}, 12) DESC, d.doc_id LIMIT 2000""")
+def search_limit_2000(load):
+    """More results than a driver would want to hold: vectors are scored in one scan, only keys move."""
+    found = document_search(load).search(first_vector(load), 2000)
+    return rounded(found).select("doc_id", "lang", "similarity")
+
+
+@query("search_after_migration", f"""
+    SELECT CAST(d.doc_id AS VARCHAR) AS row_id, round(s.similarity, 4) AS similarity
+    FROM documents d JOIN ({text_similarity("documents", "doc_id", "text", FIRST_BENCHMARK, 128)}) s USING (doc_id)
+    ORDER BY round(s.similarity, 12) DESC NULLS LAST, d.doc_id LIMIT 5""")
+def search_after_migration(load):
+    """A registry saved before the migration finds the table with its new model all the same."""
+    models, registry, root = Models(), Registry(), scratch_path(load.spark, "migrated")
+    entry = apply_table(
+        load.spark, registry, models, table="documents", source=load.path("documents"), root=root,
+        primary_key=["doc_id"], column="text", model="hash-64", buckets=4,
+    )
+    index_table(load.spark, entry, models)
+    registry.save(load.spark, f"{root}/registry.json")
+    migrate_table(load.spark, registry, "documents", "hash-128", models)
+    earlier = Registry.load(load.spark, f"{root}/registry.json")
+    return rounded(search(load.spark, earlier, models, benchmark_text(load), "documents", limit=5)).select("row_id", "similarity")
+
+
+@query("ann_given_centroids", f"""
+    WITH parts AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    means AS (SELECT label, i, avg(x) AS c FROM parts GROUP BY label, i),
+    centers AS (SELECT label, list(c ORDER BY i) AS center, sum(c * c) / 2 AS half FROM means GROUP BY label),
+    near AS (SELECT e.vec_id, c.label AS list_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY
+                 list_dot_product(e.embedding::DOUBLE[], c.center)
+                 / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) - c.half DESC, c.label) AS n
+             FROM embeddings e CROSS JOIN centers c),
+    probed AS (SELECT c.label FROM centers c CROSS JOIN {FIRST_VECTOR} q ORDER BY
+                 list_dot_product(q.embedding::DOUBLE[], c.center)
+                 / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) - c.half DESC LIMIT 3)
+    SELECT e.vec_id, round({COSINE}, 4) AS similarity
+    FROM embeddings e JOIN near ON near.vec_id = e.vec_id AND near.n = 1 CROSS JOIN {FIRST_VECTOR} q
+    WHERE near.list_id IN (SELECT label FROM probed)
+    ORDER BY round({COSINE}, 12) DESC, e.vec_id LIMIT 10""")
+def ann_given_centroids(load):
+    """The mean vector of every label as centroids, three lists probed."""
+    parts = load("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    centers = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("c")).orderBy("label").collect()
+    path = scratch_path(load.spark, "lists")
+    ann.build_lists(load("embeddings"), ["vec_id"], path, len(centers), centroids=[[p["c"] for p in r["c"]] for r in centers])
+    return rounded(ann.probe(load.spark, path, ["vec_id"], first_vector(load), 10, probes=3))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 
+# What separates words: anything but letters and digits of any script.
+NOT_WORD = r"[^\p{L}\p{N}]+"
+
+
 def hash_slots(source: str, key: str, text: str, dims: int = 64) -> str:
     """Non-zero components of the word-hash embedding: key, slot, w."""
     return f"""
         SELECT {key}, slot, SUM(sign)::DOUBLE AS w FROM (
             SELECT {key}, ('0x' || substr(md5(tok), 1, 4))::INTEGER % {dims} AS slot,
                    CASE WHEN substr(md5(tok), 5, 1) >= '8' THEN -1 ELSE 1 END AS sign
-            FROM (SELECT {key}, unnest(string_split_regex(lower({text}), '[^a-z0-9]+')) AS tok FROM {source})
+            FROM (SELECT {key}, unnest(string_split_regex(lower({text}), '{NOT_WORD}')) AS tok FROM {source})
             WHERE tok <> '')
         GROUP BY {key}, slot HAVING SUM(sign) <> 0"""
 

@@ -12,6 +12,7 @@ from nearfield.operators.projection import cluster_keywords, project_2d, sample_
 from nearfield.sources import results, tables
 from nearfield.session import scratch_path
 from queries import TABLES, query
+from queries.sqlparts import NOT_WORD
 
 SPARK_TYPE = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
     WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date'
@@ -45,6 +46,16 @@ def table_catalog(load):
     return tables.table_catalog(load.all()).drop("nullable")
 
 
+@query("list_tables", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, 'nearfield_listing' AS table_schema" for t in TABLES))
+def list_tables(load):
+    """The given tables as views of a database of their own, found among all databases."""
+    load.spark.sql("CREATE DATABASE IF NOT EXISTS nearfield_listing")
+    for name in TABLES:
+        load.spark.sql(f"CREATE OR REPLACE VIEW nearfield_listing.{name} AS SELECT * FROM parquet.`{load.path(name)}`")
+    return tables.list_tables(load.spark, ["nearfield_listing"])
+
+
 @query("sample_rows", """
     SELECT CAST(doc_id AS VARCHAR) AS doc_id,
            CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text,
@@ -58,7 +69,7 @@ def sample_rows(load):
     SELECT CAST(vec_id AS VARCHAR) AS vec_id, '[vector]' AS embedding, CAST(label AS VARCHAR) AS label
     FROM embeddings ORDER BY embeddings.vec_id LIMIT 10""")
 def sample_vectors(load):
-    return tables.sample_rows(load("embeddings"), 50, order=["vec_id"])
+    return tables.sample_rows(load("embeddings"), 10, order=["vec_id"])
 
 
 @query("schema_context", """
@@ -287,9 +298,9 @@ def clusters(load):
     return topic_clusters(load("embeddings"), ["vec_id"], 8)
 
 
-@query("cluster_keywords", """
+@query("cluster_keywords", f"""
     WITH m AS (SELECT d.doc_id, e.label AS cluster, d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
-    w AS (SELECT doc_id, cluster, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM m),
+    w AS (SELECT doc_id, cluster, unnest(string_split_regex(lower(text), '{NOT_WORD}')) AS term FROM m),
     tf AS (SELECT cluster, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY 1, 2),
     df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w WHERE term <> '' GROUP BY 1),
     s AS (SELECT cluster, term, tf, df, round(tf * ln((SELECT count(*) FROM m)::DOUBLE / df), 4) AS score

@@ -61,22 +61,39 @@ class TestChunks:
         st.lists(st.integers(1, 40), max_size=30),
         st.integers(1, 20).flatmap(lambda w: st.tuples(st.just(w), st.integers(0, w - 1))),
     )
-    def test_ranges_equal_a_word_by_word_simulation(self, lengths, sizes):
+    def test_ranges_of_any_sentences(self, lengths, sizes):
+        """What every cutting must obey, whichever way it is computed."""
         window, overlap = sizes
-        words = iter(range(sum(lengths)))
-        held, expected = [], []
-        for length in lengths:
-            sentence = [next(words) for _ in range(length)]
-            if held and len(held) + length > window:
-                expected.append(held)
-                held = held[len(held) - min(overlap, len(held)):]
-            held = held + sentence
-            while len(held) > window:
-                expected.append(held[:window])
-                held = held[window - overlap:]
-        if held:
-            expected.append(held)
-        assert [list(range(a, b)) for a, b in windows(lengths, window, overlap)] == expected
+        found = list(windows(lengths, window, overlap))
+        total, ends = sum(lengths), {sum(lengths[: i + 1]) for i in range(len(lengths))}
+        if not total:
+            assert found == []
+            return
+        assert found[0][0] == 0 and found[-1][1] == total
+        assert all(0 < b - a <= window for a, b in found)
+        for (a, b), (c, d) in zip(found, found[1:]):
+            # neighbours share the overlap, or all of a chunk that is shorter than it
+            assert c == b - min(overlap, b - a) and d > b
+            if b in ends:
+                # a chunk that ends with a sentence had no room for the next one
+                assert min(e for e in ends if e > b) - a > window
+            else:
+                # a sentence is cut only where a chunk is full, and only if it does not fit by itself
+                sentence = min(e for e in ends if e > b)
+                begin = max([0, *(e for e in ends if e < b)])
+                assert b - a == window and sentence - min(begin, a) > window
+
+    @pytest.mark.parametrize("lengths,window,overlap,expected", [
+        ([], 5, 2, []),
+        ([3], 5, 2, [(0, 3)]),
+        ([2, 2, 2, 2], 4, 0, [(0, 4), (4, 8)]),
+        ([3, 3, 3], 6, 2, [(0, 6), (4, 9)]),
+        ([12], 5, 0, [(0, 5), (5, 10), (10, 12)]),
+        ([9], 5, 2, [(0, 5), (3, 8), (6, 9)]),
+        ([1, 10], 4, 1, [(0, 1), (0, 4), (3, 7), (6, 10), (9, 11)]),
+    ])
+    def test_ranges_worked_by_hand(self, lengths, window, overlap, expected):
+        assert [tuple(r) for r in windows(lengths, window, overlap)] == expected
 
 
 class TestText:

@@ -31,21 +31,36 @@ def ids(df):
 
 
 class TestTopK:
-    @pytest.mark.parametrize("method", ["expression", "arrow"])
-    def test_best_first(self, product_vectors, method):
-        rows = topk.nearest(product_vectors, ["id"], HOT, 3, method=method).collect()
+    def test_best_first(self, product_vectors):
+        rows = topk.nearest(product_vectors, ["id"], HOT, 3).collect()
         assert [r["id"] for r in rows] == [1, 2, 3]
         assert rows[0]["similarity"] == pytest.approx(1.0, abs=1e-6)
         assert rows[1]["similarity"] == pytest.approx(0.0561, abs=1e-4)
 
-    @pytest.mark.parametrize("method", ["expression", "arrow"])
-    def test_ties_are_in_key_order(self, product_vectors, method):
-        assert ids(topk.nearest(product_vectors.repartition(7), ["id"], FLAT, 10, method=method)) == list(range(1, 11))
-
-    @pytest.mark.parametrize("method", ["expression", "arrow"])
-    def test_null_vectors_are_left_out_and_zero_vectors_come_last(self, spark, method):
+    def test_ties_are_in_key_order(self, product_vectors):
+        assert ids(topk.nearest(product_vectors.repartition(7), ["id"], FLAT, 10)) == list(range(1, 11))
+
+    def test_repeated_texts_tie(self, spark):
+        """A text written once or many times has the same direction, so the lowest keys win."""
+        model = hash_embedder(64)
+        source = spark.createDataFrame([(i, "late deliveries of heavy goods " * (i + 1)) for i in range(60)], "id bigint, t string")
+        rows = embed_rows(source, ["id"], ["t"], model).repartition(5)
+        query = model.embed_query("late deliveries of heavy goods")
+        assert ids(topk.nearest(rows, ["id"], query, 8)) == list(range(8))
+        scored = topk.best_of(topk.similarities(rows, ["id"], query), ["id"], 8)
+        assert scored.collect() == topk.nearest(rows, ["id"], query, 8).collect()
+
+    def test_scores_in_one_scan_equal_the_ranked_ones(self, spark):
+        rng = np.random.default_rng(8)
+        rows = [(i, i % 4, [float(x) for x in rng.normal(size=5)]) for i in range(400)] + [(900, 0, [0.0] * 5)]
+        df = spark.createDataFrame(rows, "id bigint, n int, embedding array<float>")
+        for part in (None, "n"):
+            scored = topk.best_of(topk.similarities(df, ["id"], [1.0, 2.0, 0.0, 1.0, 3.0], part=part), ["id"], 500, part)
+            assert scored.collect() == topk.nearest(df, ["id"], [1.0, 2.0, 0.0, 1.0, 3.0], 500, part=part).collect()
+
+    def test_null_vectors_are_left_out_and_zero_vectors_come_last(self, spark):
         df = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 1.0])], "id bigint, embedding array<float>")
-        rows = topk.nearest(df, ["id"], [1.0, 0.0], 10, method=method).collect()
+        rows = topk.nearest(df, ["id"], [1.0, 0.0], 10).collect()
         assert [(r["id"], None if r["similarity"] is None else round(r["similarity"], 4)) for r in rows] == [
             (4, 0.7071), (3, 0.0), (2, None)]
 
@@ -55,9 +70,7 @@ class TestTopK:
         rows = [(i, [1.0, 0.5, 0.0] if i % 3 == 0 else [float(x) for x in rng.normal(size=3)]) for i in range(9000)]
         df = spark.createDataFrame(rows, "id bigint, embedding array<float>").repartition(11)
         query = [1.0, 0.5, 0.0]
-        for method in ("expression", "arrow"):
-            found = ids(topk.nearest(df, ["id"], query, 50, method=method))
-            assert found == [i for i in range(0, 9000, 3)][:50]
+        assert ids(topk.nearest(df, ["id"], query, 50)) == [i for i in range(0, 9000, 3)][:50]
 
     def test_batch_equals_one_by_one(self, spark):
         rng = np.random.default_rng(1)
@@ -68,13 +81,13 @@ class TestTopK:
         asked = spark.createDataFrame([(f"q{i}", [float(x) for x in rng.normal(size=4)]) for i in range(7)], "q string, v array<double>")
         found = topk.nearest_batch(df, ["a", "b"], asked, "q", 9, query_embedding="v").collect()
         for row in asked.collect():
-            expected = topk.nearest(df, ["a", "b"], row["v"], 9, method="expression").collect()
+            expected = topk.nearest(df, ["a", "b"], row["v"], 9).collect()
             mine = sorted((r for r in found if r["q"] == row["q"]), key=lambda r: r["rank"])
             assert [(r["a"], r["b"]) for r in mine] == [(r["a"], r["b"]) for r in expected]
 
-    def test_many_queries_take_several_passes(self, spark, product_vectors, monkeypatch):
+    def test_many_queries_travel_in_several_blocks(self, spark, product_vectors, monkeypatch):
         whole = topk.nearest_batch(product_vectors, ["id"], product_vectors.withColumnRenamed("id", "q"), "q", 3).collect()
-        monkeypatch.setattr(topk, "QUERY_BYTES_PER_PASS", 384 * 8 * 3)
+        monkeypatch.setattr(topk, "QUERY_BYTES_PER_BLOCK", 384 * 8 * 3)
         parts = topk.nearest_batch(product_vectors, ["id"], product_vectors.withColumnRenamed("id", "q"), "q", 3).collect()
         assert sorted(parts) == sorted(whole) and len(parts) == 30
 
@@ -84,7 +97,9 @@ class TestTopK:
 
     def test_wrong_length(self, product_vectors):
         with pytest.raises(PySparkException, match="table holds"):
-            topk.nearest(product_vectors, ["id"], [1.0, 2.0], 3, method="arrow").collect()
+            topk.nearest(product_vectors, ["id"], [1.0, 2.0], 3).collect()
+        with pytest.raises(PySparkException, match="table holds"):
+            topk.similarities(product_vectors, ["id"], [1.0, 2.0]).collect()
 
     def test_best_chunk_per_row(self, spark):
         angle = lambda s: [float(s), float(np.sqrt(1 - s * s))]
@@ -307,7 +322,7 @@ def test_embedding_runs_once_per_text(spark, tmp_path):
     model = Embedder("counting", "counting", 2, factory)
     source = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "id bigint, t string")
     rows = embed_rows(source, ["id"], ["t"], model)
-    assert len(topk.nearest(rows, ["id"], [1.0, 0.0], 5, method="arrow").collect()) == 5
+    assert len(topk.nearest(rows, ["id"], [1.0, 0.0], 5).collect()) == 5
     seen = open(log).read().split("\n")[:-1]
     assert sorted(seen) == sorted(f"text {i}" for i in range(30))
 

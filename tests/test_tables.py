@@ -476,21 +476,25 @@ class TestProfile:
 
     def test_tables(self, spark, products):
         products.createOrReplaceTempView("shop_products")
-        products.createOrReplaceTempView("nearfield_hidden")
-        names = [r["table_name"] for r in tables.list_tables(spark).collect()]
-        assert "shop_products" in names and "nearfield_hidden" not in names
+        spark.sql("CREATE DATABASE IF NOT EXISTS second_place")
+        spark.sql("CREATE OR REPLACE VIEW second_place.nearfield_shown AS SELECT 1 AS one")
+        names = {(r["table_name"], r["table_schema"]) for r in tables.list_tables(spark).collect()}
+        assert {("shop_products", ""), ("nearfield_shown", "second_place")} <= names
+        assert [tuple(r) for r in tables.list_tables(spark, ["second_place"]).collect()] == [("nearfield_shown", "second_place")]
         catalog = tables.table_catalog({"p": products}).orderBy("ordinal").collect()
         assert [(r["column_name"], r["data_type"], r["row_count"]) for r in catalog] == [
             ("id", "bigint", 10), ("name", "string", 10), ("description", "string", 10)]
         context = tables.schema_context({"p": products, "q": products}, {"p": ["id"]}, only=["p"]).collect()
         assert len(context) == 1 and len(context[0]["samples"]) == 3 and json.loads(context[0]["samples"][0])["id"] == "1"
-        assert tables.sample_rows(products, 100, ["id"]).count() == 10
+        assert tables.sample_rows(products, 10, ["id"]).count() == 10
+        with pytest.raises(NearfieldError):
+            tables.sample_rows(products, 11, ["id"])
 
 
 class TestBoundedSql:
     @pytest.mark.parametrize("sql", [
         "INSERT INTO t VALUES (1)", "DELETE FROM t", "SELECT 1; DROP TABLE t", "WITH x AS (SELECT 1) SELECT * FROM x",
-        "SELECT * FROM t WHERE a IN (SELECT 1) UNION SELECT update FROM t", "", "-- SELECT 1", "SELECTED",
+        "", "-- SELECT 1", "SELECTED", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT `reflect`('a', 'b')",
     ])
     def test_refused(self, sql):
         with pytest.raises(UnsafeQueryError):
@@ -498,11 +502,17 @@ class TestBoundedSql:
 
     @pytest.mark.parametrize("sql", [
         "SELECT 1", "  select 'drop table; x' AS a ;", "-- a note\nSELECT 1", "/* update */ SELECT 1 -- delete",
-        "SELECT credit_limit FROM t", "SELECT `create` FROM t",
+        "SELECT credit_limit FROM t", "SELECT `create` FROM t", "SELECT a AS copy FROM t", "SELECT reflection FROM t",
     ])
     def test_allowed(self, sql):
         assert check_select(sql)
 
+    @pytest.mark.parametrize("path", ["text.`/etc/hostname`", "parquet.`/root/testdata`", "csv.`/etc`"])
+    def test_files_are_out_of_reach(self, spark, path):
+        with pytest.raises(Exception):
+            run_bounded(spark, f"SELECT * FROM {path}")
+        assert spark.conf.get("spark.sql.runSQLOnFiles", "true") == "true"
+
     def test_result_is_bounded_and_text(self, spark):
         spark.range(500).createOrReplaceTempView("numbers")
         result = run_bounded(spark, "SELECT id, array(id) AS a, repeat('x', 600) AS t, CAST(NULL AS STRING) AS n, 5 AS credit_limit FROM numbers ORDER BY id")
