@@ -6,7 +6,7 @@ changes of one row, and a time. A job is the newest change of a row that still h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,15 +47,23 @@ HEALTH_SCHEMA = T.StructType(
 )
 
 
+def operation_of(operation: Column) -> Column:
+    """The operation in its fixed spelling, or null for one that is not known."""
+    spelled = F.upper(F.trim(operation))
+    return F.when(spelled.isin(OPERATIONS), spelled)
+
+
 def coalesce_changes(
     changes: DataFrame, key: list[str], *, operation: str = "operation", sequence: str = "seq", at: str = "created_at"
 ) -> DataFrame:
     """One pending job per key: the last operation, the first time, the last time and sequence.
 
     All aggregates keep fixed-width buffers (operations travel as small numbers), so each task hashes
-    its changes down to one row per key before the shuffle, however many changes one key has.
+    its changes down to one row per key before the shuffle, however many changes one key has. Changes
+    with an unknown operation are to be set aside before; one among them is an error, never a delete.
     """
-    code = F.array_position(F.array(*[F.lit(o) for o in OPERATIONS]), quoted(operation)).cast("int")
+    known = F.coalesce(operation_of(quoted(operation)), F.raise_error(F.concat(F.lit("unknown operation: "), quoted(operation))))
+    code = F.array_position(F.array(*[F.lit(o) for o in OPERATIONS]), known).cast("int")
     coalesced = changes.groupBy(*[quoted(c) for c in key]).agg(
         F.max_by(code, quoted(sequence)).alias("_code"),
         F.max(quoted(sequence)).alias("seq"),
@@ -165,7 +173,10 @@ def queue_depth(jobs: DataFrame) -> DataFrame:
 
 
 def worker_health(heartbeats: DataFrame, now) -> DataFrame:
-    """Latest state per worker from its appended heartbeats, most recent first."""
+    """Latest state per worker from its appended heartbeats, most recent first.
+
+    A worker is one run of a stream, so that uptime does not span restarts.
+    """
     return (
         heartbeats.groupBy("worker_id")
         .agg(

@@ -61,13 +61,20 @@ def embed_rows(
     chunked: bool = False,
     max_words: int = MAX_WORDS,
     overlap: int = OVERLAP,
+    errors: bool = False,
 ) -> DataFrame:
-    """Rows for an embedding table; each text is embedded exactly once."""
-    if chunked:
-        rows = chunk_rows(source, key, columns, max_words, overlap)
-        return rows.withColumn("embedding", model.column(F.col("chunk_text")))
-    rows = spread(_texts(source, key, columns))
-    return rows.select(*[quoted(c) for c in key], model.column(F.col("_text")).alias("embedding"))
+    """Rows for an embedding table; each text is embedded exactly once.
+
+    With ``errors`` a text that the model refuses gives a row with its error in ``error_msg``; without,
+    it is an error of the job.
+    """
+    text = "chunk_text" if chunked else "_text"
+    rows = chunk_rows(source, key, columns, max_words, overlap) if chunked else spread(_texts(source, key, columns))
+    if errors:
+        rows = rows.withColumn("_result", model.column_or_error(F.col(text)))
+        rows = rows.withColumn("embedding", F.col("_result.embedding")).withColumn("error_msg", F.col("_result.error"))
+        return rows.drop("_result", "_text")
+    return rows.withColumn("embedding", model.column(F.col(text))).drop("_text")
 
 
 def _texts(source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -111,10 +118,12 @@ def index_table(spark: SparkSession, entry: TableEntry, models: Models, steps: i
     """Embed the rows without an embedding and append them. Running it again resumes."""
     started = time.monotonic()
     table, written = entry.embeddings(spark), 0
+    # the table itself says which model its vectors are of; an entry may be older
+    model = models.get(table.snapshot().model)
     # the parts share no rows, so each is compared with what was there before the run, if anything
     before = table.read() if table.snapshot().live else None
     for part in _steps(entry.rows(spark), entry.primary_key, steps):
-        written += table.append(_embed(entry, _left(entry, part, before), models.get(entry.model)))
+        written += table.append(_embed(entry, _left(entry, part, before), model), model=model.key)
     return IndexReport(written, time.monotonic() - started)
 
 
@@ -125,7 +134,7 @@ def _left(entry: TableEntry, part: DataFrame, before: DataFrame | None) -> DataF
 def reindex_table(spark: SparkSession, entry: TableEntry, models: Models, steps: int | None = None) -> IndexReport:
     """Embed every row anew; searches see the old embeddings until the new ones are complete."""
     started = time.monotonic()
-    written = _embed_beside(spark, entry, models.get(entry.model), steps)
+    written = _embed_beside(spark, entry, models.get(entry.embeddings(spark).snapshot().model), steps)
     return IndexReport(written, time.monotonic() - started)
 
 
@@ -137,15 +146,16 @@ def migrate_table(
     models: Models,
     registry_path: str | None = None,
     steps: int | None = None,
+    schema: str | None = None,
 ) -> IndexReport:
     """Re-embed a table with another model beside the live rows, then switch over.
 
     A run that stopped half way continues with the rows it has not written yet.
     """
     started = time.monotonic()
-    entry = registry.require(table)
+    entry = registry.require(table, schema)
     model = models.get(model_key)
-    if model_key == entry.model:
+    if model_key == entry.embeddings(spark).snapshot().model:
         raise NearfieldError(f"{table} already uses model {model_key}")
     model.embed_query("test")  # the model must answer with the dimensions it declares
     written = _embed_beside(spark, entry, model, steps)
@@ -163,7 +173,7 @@ def _embed_beside(spark: SparkSession, entry: TableEntry, model: Embedder, steps
         start = target.snapshot()
         version, before = start.version, target.staged() if start.staged["live"] else None
         for part in _steps(entry.rows(spark), entry.primary_key, steps):
-            added = target.append(_embed(entry, _left(entry, part, before), model), staged=True)
+            added = target.append(_embed(entry, _left(entry, part, before), model), staged=True, model=model.key)
             written += added
             version += added > 0
         now = target.snapshot()

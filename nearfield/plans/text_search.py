@@ -10,14 +10,18 @@ from nearfield.errors import NearfieldError
 from nearfield.functions.embedders import Models
 from nearfield.operators.search import LIMIT, Searchable, TaggedTable, search_all
 from nearfield.registry import Registry, TableEntry
+from nearfield.sources.embedding_table import Snapshot
 
 EMPTY = "_source_table string, _source_schema string, row_id string, content string, similarity double, row_json string"
 
 
-def searchable(spark: SparkSession, entry: TableEntry) -> Searchable:
+def searchable(spark: SparkSession, entry: TableEntry, snap: Snapshot | None = None) -> Searchable:
+    """The rows of one snapshot; queries must be embedded with the model that this snapshot names."""
     table = entry.embeddings(spark)
+    snap = snap or table.snapshot()
     return Searchable(
-        entry.rows(spark), table.read(), entry.primary_key, entry.columns, entry.chunked, table.read_buckets_of
+        entry.rows(spark), table.read(snap.version), entry.primary_key, entry.columns, entry.chunked,
+        lambda keys: table.read_buckets_of(keys, snap.version),
     )
 
 
@@ -29,21 +33,27 @@ def search(
     table: str | None = None,
     filters: Mapping[str, object] | None = None,
     limit: int = LIMIT,
+    schema: str | None = None,
 ) -> DataFrame:
-    """One table if named, with filters if given; otherwise all registered tables."""
+    """One table if named, with filters if given; otherwise all registered tables.
+
+    The model is the one each table's vectors are of now, also when the registry was saved before a migration.
+    """
     if not query.strip():
         raise NearfieldError("the query text is empty")
     if table is not None:
-        entry = registry.require(table)
-        vector = models.get(entry.model).embed_query(query)
-        return searchable(spark, entry).search(vector, limit, filters, entry.dims)
+        entry = registry.require(table, schema)
+        snap = entry.embeddings(spark).snapshot()
+        vector = models.get(snap.model).embed_query(query)
+        return searchable(spark, entry, snap).search(vector, limit, filters, snap.dims)
     if filters:
         raise NearfieldError("filters need a table")
+    entries = [(e, e.embeddings(spark).snapshot()) for e in registry.entries if schema in (None, e.schema)]
     vectors = {
         key: model.embed_query(query)
-        for key in {e.model for e in registry.entries}
+        for key in {snap.model for _, snap in entries}
         if (model := models.provided(key)) is not None
     }
-    tagged = [TaggedTable(e.table, e.schema, e.model, searchable(spark, e)) for e in registry.entries]
+    tagged = [TaggedTable(e.table, e.schema, snap.model, searchable(spark, e, snap)) for e, snap in entries]
     found = search_all(tagged, vectors, limit)
     return found if found is not None else spark.createDataFrame([], EMPTY)

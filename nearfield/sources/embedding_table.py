@@ -36,6 +36,13 @@ def _fits(pending: list[dict]) -> bool:
     return sum(p["keys"] for p in pending) <= BROADCAST_KEYS and sum(p["bytes"] for p in pending) <= BROADCAST_BYTES
 
 
+def _last_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the one that is last by ``order``."""
+    rest = [c for c in rows.columns if c not in key and c not in order]
+    kept = rows.groupBy(*[quoted(c) for c in key]).agg(F.max(F.struct(*[quoted(c) for c in [*order, *rest]])).alias("_last"))
+    return kept.select(*[quoted(c) for c in key], "_last.*")
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """What is live.
@@ -159,9 +166,9 @@ class EmbeddingTable:
         snap = self.snapshot(version)
         return self._rows(snap, snap.live).drop("bucket")
 
-    def read_buckets_of(self, keys: DataFrame) -> DataFrame:
+    def read_buckets_of(self, keys: DataFrame, version: int | None = None) -> DataFrame:
         """The buckets that can hold one of a few keys; the rest of the table is not opened."""
-        snap = self.snapshot()
+        snap = self.snapshot(version)
         only = [r["b"] for r in keys.select(self.bucket_of(snap).alias("b")).distinct().collect()]
         return self._rows(snap, snap.live, only).drop("bucket")
 
@@ -224,13 +231,14 @@ class EmbeddingTable:
 
     # -- writes --------------------------------------------------------------
 
-    def append(self, rows: DataFrame, *, staged: bool = False) -> int:
+    def append(self, rows: DataFrame, *, staged: bool = False, model: str | None = None) -> int:
         """Add rows whose keys are not in the table; nothing is rewritten. Returns the source rows added.
 
         Changes merged meanwhile are newer than these rows and win. Another append is a conflict,
-        since both may have added the same rows.
+        since both may have added the same rows. Vectors of another ``model`` than the table's are refused.
         """
         start = self.snapshot()
+        self._check_model(start.staged["model"] if staged else start.model, model)
         gen, touched = self._write(start, rows, staged)
         if not touched:
             return 0
@@ -253,21 +261,32 @@ class EmbeddingTable:
         *,
         stream: str | None = None,
         batch_id: int | None = None,
+        model: str | None = None,
+        sequence: str | None = None,
     ) -> Snapshot:
         """Replace every row that shares a key with ``upserts``, drop the keys in ``deletes``.
 
-        In a chunked table a key has many rows, so this also replaces all chunks of a row. The cost
-        is that of the change, not of the table. With ``stream`` and ``batch_id`` a batch that is
-        already in the table is left out.
+        In a chunked table a key has many rows, so this also replaces all chunks of a row. A key (or
+        chunk) that comes several times is stored once: the row with the largest ``sequence`` if that
+        column is named, else the one whose vector sorts last. With ``stream`` and ``batch_id`` a batch
+        that is already in the table is left out. Vectors of another ``model`` than the table's are refused.
         """
         start = self.snapshot()
+        self._check_model(start.model, model)
         if stream is not None and start.batches.get(stream, -1) >= batch_id:
             return start
         key = self.key_schema(start).fieldNames()
         gen, touched, gone = None, [], []
         if upserts is not None:
+            single = [*key, "chunk_index"] if start.chunked else key
+            if sequence is not None:
+                upserts = _last_of_each(upserts, single, [sequence])
             gen, touched = self._write(start, upserts)
             written = self._rows(start, {gen: {"order": 0, "buckets": touched}}, pending=[])
+            # seen from what was written, so that no text is embedded twice; only keys are shuffled
+            if not written.groupBy(*[quoted(c) for c in single]).count().where("count > 1").isEmpty():
+                gen, touched = self._write(start, _last_of_each(written.drop("bucket"), single, ["embedding"]), stamped=True)
+                written = self._rows(start, {gen: {"order": 0, "buckets": touched}}, pending=[])
             gone.append(written.select(*[quoted(c) for c in key]))
         if deletes is not None:
             gone.append(deletes.select(*[quoted(c) for c in key]))
@@ -400,6 +419,10 @@ class EmbeddingTable:
                 if self.snapshot().version == snap.version:
                     raise
 
+    def _check_model(self, expected: str, given: str | None) -> None:
+        if given is not None and given != expected:
+            raise NearfieldError(f"{self.path} holds vectors of {expected}, not of {given}")
+
     def _write_keys(self, snap: Snapshot, keys: DataFrame) -> dict:
         name = self._new_name(snap)
         path = f"{self.path}/_keys/{name}"

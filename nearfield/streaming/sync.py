@@ -7,16 +7,22 @@ changes nothing. Changes are replayed from the checkpoint, never claimed and los
 
 from __future__ import annotations
 
+import datetime
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from nearfield.functions.embedders import Models
 from nearfield.functions.text import quoted
-from nearfield.operators.jobs import FAILED, POLL_MILLISECONDS, coalesce_changes
+from nearfield.operators.jobs import FAILED, HEARTBEAT_SECONDS, POLL_MILLISECONDS, coalesce_changes, operation_of
 from nearfield.operators.joins import rows_with_keys
 from nearfield.plans.indexing import embed_rows
 from nearfield.registry import TableEntry
+from nearfield.session import materialize
 
 
 def apply_changes(
@@ -27,16 +33,27 @@ def apply_changes(
     *,
     stream: str | None = None,
     batch_id: int | None = None,
+    dead_letters: Callable[[DataFrame], None] | None = None,
 ) -> int:
     """Bring one table's embeddings up to date with a batch of changes; returns the rows touched.
 
     A row that is gone, or whose text has become null, loses its embedding. The text comes from the
-    source as it is now, so only the last change of a row matters.
+    source as it is now, so only the last change of a row matters. Changes with an unknown operation
+    and rows whose text the model refuses go to ``dead_letters`` with their error, keep the embedding
+    they have, and don't hold up the rest; without ``dead_letters`` they are an error.
     """
     key = entry.primary_key
     table = entry.embeddings(spark)
-    if stream is not None and table.snapshot().batches.get(stream, -1) >= batch_id:
+    start = table.snapshot()
+    if stream is not None and start.batches.get(stream, -1) >= batch_id:
         return 0
+    # the table itself says which model its vectors are of
+    model = models.get(start.model)
+    if dead_letters is not None:
+        known = operation_of(F.col("operation")).isNotNull()
+        dead_letters(changes.where(~known).withColumn(
+            "error_msg", F.concat(F.lit("unknown operation: "), F.coalesce("operation", F.lit("null")))))
+        changes = changes.where(known)
     jobs = coalesce_changes(changes, key).persist()
     try:
         wanted = jobs.where(F.col("operation") != "DELETE").select(*[quoted(c) for c in key])
@@ -44,18 +61,31 @@ def apply_changes(
         # a micro-batch is usually small next to its source, but that is checked, not assumed
         rows = rows_with_keys(entry.rows(spark), wanted, key)
         upserts = embed_rows(
-            rows, key, entry.columns, models.get(entry.model),
-            chunked=entry.chunked, max_words=entry.chunk_words, overlap=entry.chunk_overlap,
+            rows, key, entry.columns, model,
+            chunked=entry.chunked, max_words=entry.chunk_words, overlap=entry.chunk_overlap, errors=dead_letters is not None,
         )
+        drops = jobs.select(*key)
+        if dead_letters is not None:
+            # written, so that a text is embedded once for both uses
+            upserts = materialize(upserts, "sync-embedded")
+            refused = upserts.where("error_msg IS NOT NULL").groupBy(*[quoted(c) for c in key]).agg(
+                F.min("error_msg").alias("error_msg"))
+            dead_letters(jobs.drop("error_msg").join(refused, key))
+            bad = refused.select(*[quoted(c) for c in key])
+            upserts = upserts.drop("error_msg").join(bad, key, "left_anti")
+            drops = drops.join(bad, key, "left_anti")
         # every touched key is dropped first, so whatever has no new row ends up without an embedding
-        table.merge(upserts, jobs.select(*key), stream=stream, batch_id=batch_id)
+        table.merge(upserts, drops, stream=stream, batch_id=batch_id, model=model.key)
         return touched
     finally:
         jobs.unpersist()
 
 
 class ChangeSync:
-    """Routes micro-batches of changes to the registered tables they name."""
+    """Routes micro-batches of changes to the registered tables they name.
+
+    Dead letters are one folder per stream, batch and reason, so a batch that is replayed overwrites its own.
+    """
 
     def __init__(
         self,
@@ -69,6 +99,12 @@ class ChangeSync:
     ) -> None:
         self.spark, self.entries, self.models, self.name = spark, entries, models, name
         self.health_path, self.dead_letter_path = health_path, dead_letter_path
+        self._new_run()
+
+    def _new_run(self) -> None:
+        self.worker_id = f"{self.name}:{uuid.uuid4().hex[:8]}"
+        self.started_at = datetime.datetime.now(datetime.timezone.utc)
+        self._last_beat = 0.0
 
     def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; safe to run again with the same number."""
@@ -83,33 +119,85 @@ class ChangeSync:
         # batch numbers count from zero again under a new checkpoint, which has a new query id
         query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
         stream = f"{self.name}:{query_id}"
+        folder = f"query={query_id or 'none'}/batch={batch_id}"
         processed = 0
-        for entry in self.entries:
+        for number, entry in enumerate(self.entries):
             mine = batch.where(F.col("table_name") == entry.table)
-            processed += apply_changes(spark, entry, self.models, mine, stream=stream, batch_id=batch_id)
-        known = [e.table for e in self.entries]
-        if self.dead_letter_path is not None:
+            if "table_schema" in batch.columns:
+                mine = mine.where(F.coalesce(F.col("table_schema") == entry.schema, F.lit(True)))
+            letters = self._letters(f"{folder}/table={number}")
+            processed += apply_changes(spark, entry, self.models, mine, stream=stream, batch_id=batch_id, dead_letters=letters)
+        letters = self._letters(f"{folder}/table=none")
+        if letters is not None:
+            known = [e.table for e in self.entries]
             lost = batch.where(~F.coalesce(F.col("table_name").isin(known), F.lit(False)))
-            lost = lost.withColumn("status", F.lit(FAILED)).withColumn("error_msg", F.lit("table is not registered"))
-            if lost.take(1):
-                # one folder per batch: a replay overwrites it
-                lost.write.mode("overwrite").parquet(f"{self.dead_letter_path}/query={query_id}/batch={batch_id}")
-        if self.health_path is not None:
-            beat = spark.range(1).select(
-                F.lit(self.name).alias("worker_id"),
-                F.current_timestamp().alias("last_heartbeat"),
-                F.lit(processed).cast("bigint").alias("jobs_processed"),
-                F.current_timestamp().alias("started_at"),
-            )
-            beat.write.mode("append").parquet(self.health_path)
+            letters(lost.withColumn("error_msg", F.lit("table is not registered")))
+        self.beat(processed)
+
+    def _letters(self, folder: str) -> Callable[[DataFrame], None] | None:
+        if self.dead_letter_path is None:
+            return None
+        written: list[int] = []
+
+        def write(lost: DataFrame) -> None:
+            written.append(1)
+            if not lost.isEmpty():
+                path = f"{self.dead_letter_path}/{folder}/reason={len(written)}"
+                lost.withColumn("status", F.lit(FAILED)).write.mode("overwrite").parquet(path)
+
+        return write
+
+    def beat(self, processed: int) -> None:
+        """Append one heartbeat of this run."""
+        if self.health_path is None:
+            return
+        self._last_beat = time.monotonic()
+        self.spark.range(1).select(
+            F.lit(self.worker_id).alias("worker_id"),
+            F.current_timestamp().alias("last_heartbeat"),
+            F.lit(processed).cast("bigint").alias("jobs_processed"),
+            F.lit(self.started_at).alias("started_at"),
+        ).write.mode("append").parquet(self.health_path)
+
+    def beat_if_due(self) -> None:
+        if time.monotonic() - self._last_beat >= HEARTBEAT_SECONDS:
+            self.beat(0)
 
     def start(
         self, changes: DataFrame, checkpoint: str, *, once: bool = False, every_milliseconds: int = POLL_MILLISECONDS
     ) -> StreamingQuery:
-        """Run continuously, or with ``once`` until everything available is applied."""
+        """Run continuously, or with ``once`` until everything available is applied.
+
+        A stream without changes goes on beating.
+        """
+        self._new_run()
         writer = changes.writeStream.queryName(self.name).option("checkpointLocation", checkpoint).foreachBatch(
             self.apply_batch
         )
         if once:
             return writer.trigger(availableNow=True).start()
-        return writer.trigger(processingTime=f"{every_milliseconds} milliseconds").start()
+        query = writer.trigger(processingTime=f"{every_milliseconds} milliseconds").start()
+        if self.health_path is not None:
+            self.spark.streams.addListener(_IdleBeats(self, str(query.runId)))
+        return query
+
+
+class _IdleBeats(StreamingQueryListener):
+    """Heartbeats of one run while it has nothing to do."""
+
+    def __init__(self, sync: ChangeSync, run_id: str) -> None:
+        self.sync, self.run_id = sync, run_id
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        if str(event.runId) == self.run_id:
+            self.sync.beat_if_due()
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.run_id:
+            self.sync.spark.streams.removeListener(self)

@@ -203,11 +203,11 @@ def job_rows(load):
     )
 
 
-def change_rows(events, table="documents"):
+def change_rows(events, table="documents", spelled=None):
     return events.select(
         F.lit(table).alias("table_name"),
         F.col("user_id").alias("doc_id"),
-        operation().alias("operation"),
+        (operation() if spelled is None else F.expr(spelled)).alias("operation"),
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("created_at"),
     )
@@ -365,3 +365,64 @@ def sync_stream(load):
     running = sync.start(change_rows(events), scratch_path(load.spark, "sync-checkpoint"), once=True)
     running.awaitTermination()
     return squares(entry.embeddings(load.spark).read(), "doc_id")
+
+
+@query("upsert_duplicates", f"""
+    WITH now AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+                                     THEN 'revised 2 ' || text ELSE text END AS text FROM documents)
+    {squares_sql('now', 'doc_id', 'text')}""")
+def upsert_duplicates(load):
+    """Every changed row comes twice in one batch; the later one is stored, once."""
+    entry, _ = registered(load)
+    index_table(load.spark, entry, MODELS)
+    table = entry.embeddings(load.spark)
+    toxic = load("documents").join(load("labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    batch = None
+    for number in (2, 1):
+        text = F.concat(F.lit(f"revised {number} "), "text")
+        rows = embed_rows(toxic.withColumn("text", text), ["doc_id"], ["text"], MODEL).withColumn("seq", F.lit(number))
+        batch = rows if batch is None else batch.unionByName(rows)
+    table.merge(batch, sequence="seq")
+    return squares(table.read(), "doc_id")
+
+
+# clicks carry an operation nobody knows, errors theirs in small letters; other operations are as in sync_batch
+ODD_OPERATION = """CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'UPSERT' ELSE 'UPDATE' END"""
+
+
+@query("sync_unknown_operations", f"""
+    WITH last AS (SELECT user_id AS doc_id, arg_max({OPERATION}, event_id) AS operation
+                  FROM events WHERE event_type <> 'click' GROUP BY user_id),
+    now AS (SELECT d.doc_id, CASE WHEN l.operation IS NULL THEN d.lang || ' ' || d.source ELSE d.text END AS text
+            FROM documents d LEFT JOIN last l USING (doc_id) WHERE l.operation IS DISTINCT FROM 'DELETE')
+    SELECT *, (SELECT count(*) FROM events WHERE event_type = 'click') AS dead_letters
+    FROM ({squares_sql("now", "doc_id", "text")})""")
+def sync_unknown_operations(load):
+    """Unknown operations become dead letters and change nothing; the others are applied in any spelling."""
+    entry, dead = before_sync(load), scratch_path(load.spark, "dead-letter")
+    odd = change_rows(load("events"), spelled=ODD_OPERATION)
+    ChangeSync(load.spark, [entry], MODELS, dead_letter_path=dead).apply_batch(odd, 0)
+    letters = load.spark.read.parquet(dead).count()
+    return squares(entry.embeddings(load.spark).read(), "doc_id").withColumn("dead_letters", F.lit(letters).cast("bigint"))
+
+
+@query("sync_dead_letters", f"""
+    WITH last AS (SELECT user_id AS doc_id, arg_max({OPERATION}, event_id) AS operation FROM events GROUP BY user_id)
+    SELECT d.doc_id, 'ValueError: line break' AS error_msg FROM documents d JOIN last l USING (doc_id)
+    WHERE l.operation <> 'DELETE' AND contains(d.text, chr(10))""")
+def sync_dead_letters(load):
+    """A model that refuses texts with line breaks: those rows become dead letters, the batch commits."""
+    from nearfield.functions.embedders import Embedder
+
+    def factory():
+        def encode(texts):
+            if any("\n" in t for t in texts):
+                raise ValueError("line break")
+            return [[float(len(t))] * 64 for t in texts]
+        return encode
+
+    strict = Models()
+    strict.register(Embedder(MODEL.key, MODEL.model_name, MODEL.dims, factory))
+    entry, dead = before_sync(load), scratch_path(load.spark, "dead-letter")
+    ChangeSync(load.spark, [entry], strict, dead_letter_path=dead).apply_batch(change_rows(load("events")), 0)
+    return load.spark.read.parquet(dead).select("doc_id", "error_msg")

@@ -152,7 +152,7 @@ def test_stream_equals_batch_and_resumes(spark, models, setup_docs, tmp_path):
     run(sync, feed(spark, folder), checkpoint)
     assert embeddings(spark, setup_docs) == expected(models, setup_docs.chunked)
     health = jobs.worker_health(spark.read.parquet(str(tmp_path / "health")), F.current_timestamp()).first()
-    assert health["worker_id"] == "sync" and health["status"] == "running"
+    assert health["worker_id"].startswith("sync:") and health["status"] == "running"
     assert spark.read.parquet(str(tmp_path / "health")).agg(F.sum("jobs_processed")).first()[0] == 7
     dead = spark.read.parquet(str(tmp_path / "dead")).collect()
     assert [(r["table_name"], r["status"], r["error_msg"]) for r in dead] == [("unknown", "failed", "table is not registered")]
@@ -175,3 +175,99 @@ def test_replayed_batch_changes_nothing(spark, models, setup_docs):
     version = setup_docs.embeddings(spark).snapshot().version
     assert apply_changes(spark, setup_docs, models, batch, stream="s", batch_id=0) == 0
     assert setup_docs.embeddings(spark).snapshot().version == version
+
+
+def test_unknown_operations_delete_nothing(spark, models, setup_docs, tmp_path):
+    before = embeddings(spark, setup_docs)
+    dead = str(tmp_path / "dead")
+    batch = changes(spark, (1, "UPSERT", 1), (2, " update ", 2), (4, "delete", 3), (5, None, 4))
+    ChangeSync(spark, [setup_docs], models, dead_letter_path=dead).apply_batch(batch, 0)
+    after = embeddings(spark, setup_docs)
+    assert after[1] == before[1] and after[5] == before[5] and after[2] != before[2] and 4 not in after
+    found = sorted((r["id"], r["error_msg"]) for r in spark.read.parquet(dead).collect())
+    assert found == [(1, "unknown operation: UPSERT"), (5, "unknown operation: null")]
+    with pytest.raises(Exception, match="unknown operation"):
+        apply_changes(spark, setup_docs, models, batch)
+
+
+def test_a_text_the_model_refuses_holds_nothing_up(spark, models, setup_docs, tmp_path):
+    from nearfield.functions.embedders import Embedder, Models, hash_embedder
+
+    def factory():
+        inner = hash_embedder(64).factory()
+
+        def encode(texts):
+            if any("completely" in t for t in texts):
+                raise ValueError("no such text")
+            return inner(texts)
+        return encode
+
+    strict = Models()
+    strict.register(Embedder("hash-64", "md5-word-hash-64", 64, factory))
+    before, dead = embeddings(spark, setup_docs), str(tmp_path / "dead")
+    ChangeSync(spark, [setup_docs], strict, dead_letter_path=dead).apply_batch(changes(spark, *ALL), 0)
+    want = {**expected(models, setup_docs.chunked), 2: before[2]}
+    assert embeddings(spark, setup_docs) == want
+    row = spark.read.parquet(dead).first()
+    assert (row["id"], row["status"], row["error_msg"]) == (2, "failed", "ValueError: no such text")
+
+
+def test_an_idle_stream_goes_on_beating(spark, models, setup_docs, tmp_path, monkeypatch):
+    import time
+
+    from nearfield.streaming import sync as module
+
+    monkeypatch.setattr(module, "HEARTBEAT_SECONDS", 0)
+    folder, health = str(tmp_path / "feed"), str(tmp_path / "health")
+    write_feed(spark, folder, "a", ALL[:1])
+    sync = ChangeSync(spark, [setup_docs], models, health_path=health)
+    query = sync.start(feed(spark, folder), str(tmp_path / "checkpoint"), every_milliseconds=200)
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if query.lastProgress and spark.read.schema(jobs.HEALTH_SCHEMA).parquet(health).count() > 1:
+                break
+        beats = spark.read.parquet(health).collect()
+    finally:
+        query.stop()
+    assert len(beats) > 1 and len({b["worker_id"] for b in beats}) == 1
+
+
+def test_model_of_the_table_wins_over_a_stale_entry(spark, models, tmp_path):
+    import dataclasses
+
+    from nearfield.errors import NearfieldError
+    from nearfield.plans.indexing import migrate_table
+    from nearfield.plans.text_search import search
+
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "red apples"), (2, "blue plums")], "id bigint, body string").write.parquet(path)
+    registry = Registry()
+    entry = setup.apply_table(spark, registry, models, table="docs", source=path, root=str(tmp_path / "emb"),
+                              primary_key=["id"], column="body", model="hash-64", buckets=2)
+    index_table(spark, entry, models)
+    stale = Registry([dataclasses.replace(entry)])
+    migrate_table(spark, registry, "docs", "hash-128", models)
+    found = search(spark, stale, models, "blue plums", "docs", limit=1).first()
+    assert (found["row_id"], found["similarity"]) == ("2", 1.0)
+    assert search(spark, stale, models, "blue plums").first()["row_id"] == "2"
+    spark.createDataFrame([(3, "green pears")], "id bigint, body string").write.mode("append").parquet(path)
+    assert index_table(spark, stale.require("docs"), models).rows == 1
+    apply_changes(spark, stale.require("docs"), models, changes(spark, (1, "UPDATE", 1)))
+    rows = entry.embeddings(spark).read().collect()
+    assert {(r["model_name"], len(r["embedding"])) for r in rows} == {("md5-word-hash-128", 128)}
+    with pytest.raises(NearfieldError, match="holds vectors"):
+        entry.embeddings(spark).merge(entry.embeddings(spark).read().select("id", "embedding"), model="hash-64")
+
+
+def test_duplicate_keys_are_stored_once(spark, models, setup_docs):
+    if setup_docs.chunked:
+        return
+    table = setup_docs.embeddings(spark)
+    one, two = [1.0] * 64, [2.0] * 64
+    rows = spark.createDataFrame([(3, two, 1), (3, one, 2), (4, one, 1)], "id bigint, embedding array<float>, seq bigint")
+    table.merge(rows.drop("seq"))
+    assert sorted(r["id"] for r in table.read().where("id IN (3, 4)").collect()) == [3, 4]
+    assert list(table.read().where("id = 3").first()["embedding"]) == two
+    table.merge(rows, sequence="seq")
+    assert [list(r["embedding"]) for r in table.read().where("id = 3").collect()] == [one]
