@@ -10,9 +10,9 @@ threshold. The work goes from thin to wide:
 3. Within a bucket signatures are compared a batch of places at a time. After every batch a pair is dropped once the
    posterior probability that it reaches the threshold falls below MISS.
 4. Survivors are verified on their full sets. First only a forest of the likeliest pairs per bucket is verified and
-   joined to components; then all surviving pairs between different components. A pair within a component needs no
-   verification, so a large group of near copies costs about as many verifications as it has members, and no link
-   between components is left out.
+   joined to components. Then the full sets of documents that have survivors in other components come to their
+   buckets, where all such pairs are verified; only links that join something leave the task. A pair within a
+   component needs no verification, no table of all pairs is ever made, and no link between components is left out.
 
 Documents without words have empty sets and are linked with nothing; fewer than five words make one run. Null texts
 count as empty. Repeated rows are linked with one another; rows that share an id but not a text are linked by their
@@ -157,16 +157,19 @@ def _pairs_within(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class _Roots:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+    """Sets that are joined as links are found."""
 
-    def of(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def of(self, i):
+        up = self.up
+        while (above := up.get(i, i)) != i:
+            up[i] = up.get(above, above)
+            i = above
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i, j) -> bool:
         i, j = self.of(i), self.of(j)
         self.up[j] = i
         return i != j
@@ -176,19 +179,24 @@ class _Roots:
 SHORT = 16
 
 
-def _compare(node: np.ndarray, size: np.ndarray, component: np.ndarray, asks: np.ndarray, signatures: np.ndarray,
-             cells: np.ndarray, forest: bool, least: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of nodes in different components, within each cell; rows are sorted by cell.
+def _compare(rows: dict[str, np.ndarray], forest: bool, least: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of surviving pairs of rows in different components, within each cell; rows are sorted by cell.
 
     In a pair at least one row must ask. With ``forest``, large cells give only a forest of their likeliest pairs.
+    Without, a pair is given in the first band only that both share, and likelier pairs come first within a cell.
     """
+    cells, component, asks, signatures = rows["cell"], rows["component"], rows["asks"], rows["signature"]
     starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
     ends = np.append(starts[1:], len(cells))
     out_left, out_right = [], []
 
     def sift(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = (component[left] != component[right]) & (asks[left] | asks[right])
-        return surviving(signatures, size, left[keep], right[keep], least, percent)
+        left, right, equal = surviving(signatures, rows["n"], left[keep], right[keep], least, percent)
+        if not forest and len(left):
+            keep = ~_met_before(rows, left, right)
+            left, right, equal = left[keep], right[keep], equal[keep]
+        return left, right, equal
 
     short = ends - starts <= SHORT
     left, right, _ = sift(*_pairs_within(starts[short], ends[short]))
@@ -202,51 +210,104 @@ def _compare(node: np.ndarray, size: np.ndarray, component: np.ndarray, asks: np
             above = right > left
             found.append(sift(left[above], right[above]))
         left, right, equal = (np.concatenate(x) for x in zip(*found))
+        likely = np.argsort(-equal, kind="stable")
+        left, right = left[likely], right[likely]
         if forest and len(left):
-            roots, chosen = _Roots(end - start), []
-            for k in np.argsort(-equal, kind="stable").tolist():
-                if roots.join(int(left[k]) - start, int(right[k]) - start):
-                    chosen.append(k)
-                    if len(chosen) == end - start - 1:
-                        break
+            roots = _Roots()
+            chosen = [k for k, (i, j) in enumerate(zip(left.tolist(), right.tolist())) if roots.join(i, j)]
             left, right = left[chosen], right[chosen]
         out_left.append(left), out_right.append(right)
-    left, right = node[np.concatenate(out_left)], node[np.concatenate(out_right)]
-    different = left != right
-    return np.minimum(left, right)[different], np.maximum(left, right)[different]
+    return np.concatenate(out_left), np.concatenate(out_right)
+
+
+def _met_before(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pairs that also share an earlier band, whose bucket then holds them both whole."""
+    same = (rows["signature"][left].reshape(-1, BANDS, ROWS) == rows["signature"][right].reshape(-1, BANDS, ROWS)).all(2)
+    band = rows["band"][left]
+    earlier = same & (np.arange(BANDS)[None, :] < band[:, None])
+    return earlier.any(1) & rows["whole"][left] & rows["whole"][right]
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Columns of whole cells, from rows sorted by cell."""
+    held: pa.Table | None = None
+
+    def columns(table: pa.Table) -> dict:
+        table = table.combine_chunks()
+        found = {c: table[c].to_numpy() for c in table.column_names if c not in ("signature", "runs")}
+        found["signature"] = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
+        if "runs" in table.column_names:
+            found["runs"] = table["runs"].to_numpy()
+        return found
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        cell = held["cell"].to_numpy()
+        # the last cell may go on in the next batch
+        ready = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if len(cell) and cell[0] != cell[-1] else 0
+        if ready:
+            yield columns(held.slice(0, ready))
+            held = held.slice(ready)
+    if held is not None and held.num_rows:
+        yield columns(held)
+
+
+def _in_cells(cells: DataFrame, each, schema: str) -> DataFrame:
+    """What ``each`` makes of the columns of whole cells: two equally long arrays at a time."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_cell(batches):
+            one, other = each(rows)
+            for i in range(0, len(one), 50_000):
+                yield pa.RecordBatch.from_pydict({names[0]: one[i : i + 50_000], names[1]: other[i : i + 50_000]})
 
+    return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(task, schema)
 
-def candidates(cells: DataFrame, forest: bool, percent: int = PERCENT) -> DataFrame:
-    """Distinct surviving pairs (a < b). ``cells`` holds cell, node, n, component, asks and signature."""
+
+def likely_pairs(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs a < b of nodes: a forest per large cell, all survivors of small ones."""
     least = least_matches(percent=percent)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not table.num_rows:
-                return
-            table = table.combine_chunks()
-            columns = [table[c].to_numpy() for c in ("node", "n", "component", "asks")]
-            signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
-            a, b = _compare(*columns, signatures, table["cell"].to_numpy(), forest, least, percent)
-            for i in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_pydict({"a": a[i : i + 50_000], "b": b[i : i + 50_000]})
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            cell = held["cell"].to_numpy()
-            # the last cell may go on in the next batch
-            ready = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
-            if ready:
-                yield from done(held.slice(0, ready))
-                held = held.slice(ready)
-        if held is not None:
-            yield from done(held)
-
-    sorted_cells = cells.select("cell", "node", "n", "component", "asks", "signature").repartition("cell").sortWithinPartitions("cell", "node")
-    return sorted_cells.mapInArrow(task, "a bigint, b bigint").distinct()
+    def each(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+        left, right = _compare(rows, True, least, percent)
+        left, right = rows["node"][left], rows["node"][right]
+        return np.minimum(left, right), np.maximum(left, right)
+
+    return _in_cells(cells, each, "a bigint, b bigint").where("a != b").distinct()
+
+
+def participants(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """cell and node of the rows that have a survivor in another component of their cell."""
+    least = least_matches(percent=percent)
+
+    def each(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+        places = np.unique(np.concatenate(_compare(rows, False, least, percent)))
+        return rows["cell"][places], rows["node"][places]
+
+    return _in_cells(cells, each, "cell bigint, node bigint").distinct()
+
+
+def links_between(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Verified links between components; of those that join the same components in a cell, one. ``cells`` also holds
+    the full sets in runs."""
+    least = least_matches(percent=percent)
+
+    def each(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+        roots, found = _Roots(), ([], [])
+        cell, node, component, sets = rows["cell"].tolist(), rows["node"], rows["component"].tolist(), rows["runs"]
+        for i, j in zip(*(x.tolist() for x in _compare(rows, False, least, percent))):
+            a, b = (cell[i], component[i]), (cell[j], component[j])
+            if roots.of(a) == roots.of(b):
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                roots.join(a, b)
+                found[0].append(int(node[i])), found[1].append(int(node[j]))
+        return np.array(found[0], dtype=np.int64), np.array(found[1], dtype=np.int64)
+
+    return _in_cells(cells, each, "a bigint, b bigint").distinct()
 
 
 def _shared(keyed: DataFrame, name: str) -> DataFrame:
@@ -255,20 +316,23 @@ def _shared(keyed: DataFrame, name: str) -> DataFrame:
 
 
 def buckets(classes: DataFrame, limit: int = BUCKET) -> DataFrame:
-    """key, node and number of members: classes that share a band; those of too large buckets also share another."""
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    shared = _shared(keyed, "near-dups-keys")
-    # nodes of large buckets take the pair of this band and another as key
+    """key, node, number of members and band: classes that share a band; those of too large buckets also share another
+    and have band -1. ``whole`` tells whether none of a node's buckets was too large."""
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = _shared(keyed.select("key"), "near-dups-keys")
     large = shared.where(F.col("members") > limit).select("key")
     if large.isEmpty():
-        return keyed.join(shared, "key")
+        return keyed.join(shared, "key").withColumn("whole", F.lit(True))
     placed = classes.select("node", "bands", F.posexplode("bands").alias("band", "key")).join(large, "key")
+    cut = materialize(placed.select("node").distinct().withColumn("cut", F.lit(True)), "near-dups-cut")
+    # nodes of large buckets take the pair of this band and another as key
+    other = lambda i: F.get("bands", (F.col("band") + i) % BANDS)
     second = placed.select("node", F.explode(F.transform(
         F.sequence(F.lit(1), F.lit(SECOND)),
-        lambda i: F.xxhash64(F.least("key", F.get("bands", (F.col("band") + i) % BANDS)),
-                             F.greatest("key", F.get("bands", (F.col("band") + i) % BANDS))))).alias("key")).distinct()
-    return keyed.join(shared.where(F.col("members") <= limit), "key").unionByName(
-        second.join(_shared(second, "near-dups-second-keys"), "key"))
+        lambda i: F.xxhash64(F.least("key", other(i)), F.greatest("key", other(i))))).alias("key")).distinct()
+    both = keyed.join(shared.where(F.col("members") <= limit), "key").unionByName(
+        second.join(_shared(second, "near-dups-second-keys"), "key").withColumn("band", F.lit(-1)))
+    return both.join(cut, "node", "left").withColumn("whole", F.col("cut").isNull()).drop("cut")
 
 
 def first_cells(placed: DataFrame, limit: int = BUCKET) -> DataFrame:
@@ -278,15 +342,16 @@ def first_cells(placed: DataFrame, limit: int = BUCKET) -> DataFrame:
     # about PIVOTS members of a large bucket, by hash
     pivot = (blocks > 1) & (F.pmod(F.xxhash64("node", F.lit(5)), F.greatest(F.lit(1), (F.col("members") / PIVOTS).cast("bigint"))) == 0)
     where = F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))
-    return placed.select("key", "node", F.explode(where).alias("block")).select(
-        F.xxhash64("key", "block").alias("cell"), "node", F.col("node").alias("component"), F.lit(True).alias("asks"))
+    return placed.select("key", "node", "band", "whole", F.explode(where).alias("block")).select(
+        F.xxhash64("key", "block").alias("cell"), "node", "band", "whole", F.col("node").alias("component"),
+        F.lit(True).alias("asks"))
 
 
 def second_cells(placed: DataFrame, labels: DataFrame, limit: int = BUCKET) -> DataFrame:
     """Buckets whose members are in different components: all members in blocks, and in every block those that are
     not in the bucket's commonest component, in parts of bounded size; only these ask."""
     met = materialize(placed.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")), "near-dups-met")
+        "key", "node", "band", "whole", F.coalesce("component", "node").alias("component")), "near-dups-met")
     each = met.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = materialize(each.groupBy("key").agg(
         F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members"))
@@ -295,18 +360,17 @@ def second_cells(placed: DataFrame, labels: DataFrame, limit: int = BUCKET) -> D
     blocks, parts = (F.greatest(F.lit(1), F.ceil(F.col(c) / limit)).cast("int") for c in ("members", "others"))
     rows = met.join(mixed, "key").withColumn("blocks", blocks).withColumn("parts", parts)
     block, part = (F.pmod(F.xxhash64("node", F.lit(salt)), F.col(c)).cast("int") for salt, c in ((1, "blocks"), (2, "parts")))
-    as_member = rows.select("key", "node", "component", block.alias("block"),
+    as_member = rows.select("key", "node", "band", "whole", "component", block.alias("block"),
                             F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
     as_other = rows.where("component != common").select(
-        "key", "node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        "key", "node", "band", "whole", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         part.alias("part"), F.lit(True).alias("asks"))
-    return as_member.unionByName(as_other).groupBy(F.xxhash64("key", "block", "part").alias("cell"), "node", "component").agg(
-        F.max("asks").alias("asks"))
+    return as_member.unionByName(as_other).groupBy(
+        F.xxhash64("key", "block", "part").alias("cell"), "node", "band", "whole", "component").agg(F.max("asks").alias("asks"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs of classes whose full sets reach the threshold; a class's set is made anew from one of its texts."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and its whole set, made anew from one of the class's texts."""
     wanted = materialize(classes.join(nodes, "node", "left_semi").select("doc_id").distinct(), "near-dups-wanted")
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -316,8 +380,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
                 yield set_hash(found), found.view(np.int64).tolist()
 
     # repeated rows give their set once; written, so that Spark may split a class with very many pairs
-    sets = materialize(map_rows(rows_with_keys(text_rows(docs), wanted, ["doc_id"]), each, "node bigint, runs array<bigint>")
+    return materialize(map_rows(rows_with_keys(text_rows(docs), wanted, ["doc_id"]), each, "node bigint, runs array<bigint>")
                        .groupBy("node").agg(F.first("runs").alias("runs")), "near-dups-sets")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs of classes whose full sets reach the threshold."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs)
     left = sets.select(F.col("node").alias("a"), F.col("runs").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("runs").alias("of_b"))
     met = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
@@ -353,12 +422,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, limit: int = BUCKET
             F.first("bands").alias("bands")), "near-dups-classes")
     placed = materialize(buckets(classes, limit), "near-dups-buckets")
     signatures = classes.select("node", "n", "signature")
-    first = materialize(candidates(first_cells(placed, limit).join(signatures, "node"), True, percent), "near-dups-first")
+    first = materialize(likely_pairs(first_cells(placed, limit).join(signatures, "node"), percent), "near-dups-first")
     links = materialize(verified(first, classes, docs, percent), "near-dups-verified")
     labels = components(links)
-    rest = candidates(second_cells(placed, labels, limit).join(signatures, "node"), False, percent)
-    second = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-dups-second")
-    more = materialize(verified(second, classes, docs, percent), "near-dups-verified")
+    cells = materialize(second_cells(placed, labels, limit).join(signatures, "node"), "near-dups-cells")
+    rest = materialize(participants(cells, percent), "near-dups-rest")
+    sets = full_sets(rest.select("node").distinct(), classes, docs)
+    more = materialize(links_between(cells.join(rest, ["cell", "node"]).join(sets, "node"), percent), "near-dups-more")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     labelled = materialize(classes.select("node", "doc_id").join(labels, "node", "left").select(
