@@ -33,8 +33,8 @@ from nearfield.session import materialize
 
 # Labelled documents of each class used to learn from; a documented bound, the larger tables have more.
 LEARN_PER_CLASS = 3000
-# Words and stems kept from those, and the least number of toxic documents one must occur in.
-LEXICON, SUPPORT = 400, 5
+# Words and stems kept from those, and the least number and share of the toxic documents one must occur in.
+LEXICON, SUPPORT, SUPPORT_SHARE = 400, 5, 0.008
 # Lengths of word beginnings tried as stems besides whole words.
 STEMS = (4, 6, 8)
 # Least ratio of document shares (toxic to other) for a word to count as an insult.
@@ -229,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = LEAR
     counted = map_rows(single.select("text", "label"), grams, "gram string, toxic bigint, other bigint")
     ratio = ((F.col("toxic") + 0.5) / (sizes[1] + 1)) / ((F.col("other") + 0.5) / (sizes[0] + 1))
     best = (counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-            .where((F.col("toxic") >= SUPPORT) & (ratio >= RATIO))
+            .where((F.col("toxic") >= max(SUPPORT, SUPPORT_SHARE * sizes[1])) & (ratio >= RATIO))
             .select("gram", F.log(ratio).alias("weight"), (F.log(ratio) * F.col("toxic")).alias("gain"))
             .orderBy(F.desc("gain"), "gram").limit(LEXICON).collect())
     model = Model({w + "$": INSULT_WEIGHT for w in INSULTS.split()} | {r["gram"]: r["weight"] for r in best})
