@@ -4,6 +4,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer
@@ -31,6 +32,43 @@ def sample_rows(embeddings: DataFrame, key: list[str], n: int = SAMPLE_ROWS, see
     return present.orderBy(order, *[quoted(c) for c in key]).limit(n)
 
 
+def vector_stats(embeddings: DataFrame) -> DataFrame:
+    """Mean, variance, least and largest value of every component, from 0 on."""
+    parts = embeddings.where(quoted("embedding").isNotNull()).select(F.posexplode("embedding").alias("component", "_x"))
+    value = F.col("_x").cast("double")
+    return parts.groupBy("component").agg(
+        F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.min(value).alias("least"), F.max(value).alias("largest")
+    )
+
+
+def covariance(embeddings: DataFrame) -> DataFrame:
+    """Sample covariance of every pair of components a <= b.
+
+    Each task adds up the products of its own vectors, so what is shuffled has the size of the matrix
+    per task and does not grow with the vectors.
+    """
+    present = embeddings.where(quoted("embedding").isNotNull()).select(quoted("embedding").cast("array<double>").alias("_v"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                own = rows.T @ rows, rows.sum(axis=0), len(rows)
+                total = own if total is None else tuple(x + y for x, y in zip(total, own))
+        if total is not None:
+            products, plain, n = total
+            a, b = np.triu_indices(len(plain))
+            yield pa.RecordBatch.from_pydict({
+                "a": a.astype(np.int32), "b": b.astype(np.int32), "ab": products[a, b], "sa": plain[a], "sb": plain[b],
+                "n": np.full(len(a), n, dtype=np.int64)})
+
+    added = present.mapInArrow(sums, "a int, b int, ab double, sa double, sb double, n bigint").groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in ("ab", "sa", "sb", "n")])
+    return added.select("a", "b", F.try_divide(
+        F.col("ab") - F.col("sa") * F.col("sb") / F.col("n"), (F.col("n") - 1).cast("double")).alias("covariance"))
+
+
 def project_2d(embeddings: DataFrame, key: list[str], label: Column | None = None) -> DataFrame:
     """First two principal components of the vectors, each scaled to 0..1.
 
@@ -59,8 +97,10 @@ def project_2d(embeddings: DataFrame, key: list[str], label: Column | None = Non
     return flat.select(*names, scaled("x"), scaled("y"))
 
 
-def topic_clusters(embeddings: DataFrame, key: list[str], clusters: int, seed: int = 42) -> DataFrame:
-    """Cluster number per row, by direction of its vector."""
+def topic_clusters(
+    embeddings: DataFrame, key: list[str], clusters: int, seed: int = 42, centers: bool = False
+) -> DataFrame:
+    """Cluster number per row, by direction of its vector; with ``centers`` also the centres of all clusters."""
     points = embeddings.where(quoted("embedding").isNotNull()).select(
         *[quoted(c) for c in key], array_to_vector(quoted("embedding").cast("array<double>")).alias("_v")
     )
@@ -68,7 +108,12 @@ def topic_clusters(embeddings: DataFrame, key: list[str], clusters: int, seed: i
         F.exists(vector_to_array("_u"), lambda x: x != 0)
     )
     model = KMeans(k=clusters, seed=seed, featuresCol="_u", predictionCol="cluster").fit(points)
-    return model.transform(points).select(*key, "cluster")
+    found = model.transform(points).select(*key, "cluster")
+    if not centers:
+        return found
+    # one number per cluster and component
+    return found.withColumn("centers", F.array(*[
+        F.array(*[F.lit(float(x)) for x in center]) for center in model.clusterCenters()]))
 
 
 def word_counts(text: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.errors import CommitConflictError, NearfieldError
@@ -16,10 +16,10 @@ from nearfield.functions import text as X
 from nearfield.functions.chunking import MAX_WORDS, OVERLAP, chunk_column
 from nearfield.functions.embedders import Embedder, Models
 from nearfield.functions.text import quoted
-from nearfield.operators.joins import spread
-from nearfield.operators.rows import inline_view, unembedded_rows
+from nearfield.operators.joins import rows_with_keys, spread
+from nearfield.operators.rows import embedded_keys, inline_view, unembedded_rows
 from nearfield.registry import Registry, TableEntry
-from nearfield.session import estimated_bytes
+from nearfield.session import estimated_bytes, materialize
 
 # Source bytes that are embedded before the result is committed.
 STEP_BYTES = 256 << 30
@@ -105,13 +105,39 @@ def _steps(rows: DataFrame, key: list[str], steps: int | None) -> Iterator[DataF
     if steps == 1:
         yield rows
         return
+    split = _split(rows, key)
+    for step in range(steps):
+        yield rows.where(F.pmod(split, F.lit(steps)) == step)
+
+
+def _split(rows: DataFrame, key: list[str]) -> Column:
     try:
         rows.select("_metadata.file_path")
-        split = F.xxhash64("_metadata.file_path")
+        return F.xxhash64("_metadata.file_path")
     except AnalysisException:
-        split = F.xxhash64(*[quoted(c) for c in key])
+        return F.xxhash64(*[quoted(c) for c in key])
+
+
+def _to_embed(spark: SparkSession, entry: TableEntry, before: DataFrame | None, steps: int | None) -> Iterator[DataFrame]:
+    """The rows that ``before`` has no embedding of, in parts.
+
+    The embedded keys are read once for the whole run: what is left of the keys is written with its
+    part, and each part then meets its own keys only.
+    """
+    rows, key = entry.rows(spark), entry.primary_key
+    steps = steps or max(1, math.ceil(estimated_bytes(rows) / STEP_BYTES))
+    if before is None:
+        yield from _steps(rows, key, steps)
+        return
+    if steps == 1:
+        yield unembedded_rows(rows, before, key, entry.columns)
+        return
+    part = F.pmod(_split(rows, key), F.lit(steps))
+    names = [quoted(c) for c in key]
+    wanted = rows.where(X.has_content(entry.columns)).select(*names, part.cast("int").alias("_step"))
+    left = materialize(wanted.join(embedded_keys(before, key), key, "left_anti"), "keys-to-embed")
     for step in range(steps):
-        yield rows.where(F.pmod(split, F.lit(steps)) == step)
+        yield rows_with_keys(rows.where(part == step), left.where(F.col("_step") == step).select(*names), key)
 
 
 def index_table(spark: SparkSession, entry: TableEntry, models: Models, steps: int | None = None) -> IndexReport:
@@ -122,15 +148,11 @@ def index_table(spark: SparkSession, entry: TableEntry, models: Models, steps: i
     model = models.get(table.snapshot().model)
     # the parts share no rows, so each is compared with what was there before the run, if anything
     before = table.read() if table.snapshot().live else None
-    for part in _steps(entry.rows(spark), entry.primary_key, steps):
-        written += table.append(_embed(entry, _left(entry, part, before), model), model=model.key)
+    for part in _to_embed(spark, entry, before, steps):
+        written += table.append(_embed(entry, part, model), model=model.key)
     return IndexReport(written, time.monotonic() - started)
 
 
-def _left(entry: TableEntry, part: DataFrame, before: DataFrame | None) -> DataFrame:
-    return part if before is None else unembedded_rows(part, before, entry.primary_key, entry.columns)
-
-
 def reindex_table(spark: SparkSession, entry: TableEntry, models: Models, steps: int | None = None) -> IndexReport:
     """Embed every row anew; searches see the old embeddings until the new ones are complete."""
     started = time.monotonic()
@@ -172,8 +194,8 @@ def _embed_beside(spark: SparkSession, entry: TableEntry, model: Embedder, steps
     while True:
         start = target.snapshot()
         version, before = start.version, target.staged() if start.staged["live"] else None
-        for part in _steps(entry.rows(spark), entry.primary_key, steps):
-            added = target.append(_embed(entry, _left(entry, part, before), model), staged=True, model=model.key)
+        for part in _to_embed(spark, entry, before, steps):
+            added = target.append(_embed(entry, part, model), staged=True, model=model.key)
             written += added
             version += added > 0
         now = target.snapshot()

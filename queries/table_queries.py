@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions import text as X
-from nearfield.operators import profile, rows
+from nearfield.operators import profile, projection as projection_module, rows
 from nearfield.operators.bounded_sql import bounded_query
 from nearfield.operators.projection import cluster_keywords, project_2d, sample_rows as sample_embedded, topic_clusters
 from nearfield.sources import results, tables
@@ -293,6 +293,47 @@ def projection(load):
     return project_2d(load("embeddings"), ["vec_id"], F.col("label"))
 
 
+@query("vector_stats", """
+    SELECT CAST(i - 1 AS INTEGER) AS component, round(avg(x), 9) AS mean, round(var_samp(x), 9) AS variance,
+           min(x) AS least, max(x) AS largest
+    FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY i""")
+def vector_stats(load):
+    found = projection_module.vector_stats(load("embeddings"))
+    return found.withColumn("mean", F.round("mean", 9)).withColumn("variance", F.round("variance", 9))
+
+
+@query("covariance", """
+    WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
+    SELECT CAST(p.i AS INTEGER) AS a, CAST(q.i AS INTEGER) AS b, round(covar_samp(p.v, q.v), 9) AS covariance
+    FROM x p JOIN x q ON p.vec_id = q.vec_id AND p.i <= q.i GROUP BY p.i, q.i""")
+def covariance(load):
+    return projection_module.covariance(load("embeddings")).withColumn("covariance", F.round("covariance", 9))
+
+
+@query("projection_facts", """
+    SELECT count(*) AS points, 0.0::DOUBLE AS least_x, 1.0::DOUBLE AS largest_x, 0.0::DOUBLE AS least_y,
+           1.0::DOUBLE AS largest_y, 0.0::DOUBLE AS correlation FROM embeddings""")
+def projection_facts(load):
+    """Every vector has a point, both axes reach from 0 to 1, and the axes are uncorrelated."""
+    points = project_2d(load("embeddings"), ["vec_id"])
+    return points.agg(
+        F.count("*").alias("points"), F.min("x").alias("least_x"), F.max("x").alias("largest_x"), F.min("y").alias("least_y"),
+        F.max("y").alias("largest_y"), F.abs(F.round(F.corr("x", "y"), 3)).alias("correlation"))
+
+
+@query("cluster_facts", "SELECT count(*) AS members, CAST(0 AS BIGINT) AS nearer_elsewhere FROM embeddings")
+def cluster_facts(load):
+    """Every vector has a cluster, and nearly the nearest one: after the last round of the fit few would still move."""
+    vectors = load("embeddings")
+    found = topic_clusters(vectors, ["vec_id"], 8, centers=True)
+    unit = vectors.select("vec_id", (F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    length = F.sqrt(dot(F.col("v"), F.col("v")))
+    gaps = F.transform("centers", lambda c: dot(c, c) - 2 * dot(c, F.col("v")) / length)
+    scored = found.join(unit, "vec_id").select(F.get(gaps, F.col("cluster")).alias("own"), F.array_min(gaps).alias("least"))
+    return scored.agg(F.count("*").alias("members"), F.count_if(F.col("own") > F.col("least") + 1e-9).alias("nearer_elsewhere"))
+
+
 @query("topic_clusters")
 def clusters(load):
     return topic_clusters(load("embeddings"), ["vec_id"], 8)

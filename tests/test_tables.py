@@ -491,6 +491,21 @@ class TestProfile:
             tables.sample_rows(products, 11, ["id"])
 
 
+class TestParts:
+    def test_embedded_keys_are_read_once(self, spark, models, tmp_path, monkeypatch):
+        path, registry = str(tmp_path / "docs"), Registry()
+        spark.createDataFrame([(i, f"text {i}") for i in range(40)], "id bigint, body string").repartition(8).write.parquet(path)
+        entry = setup.apply_table(spark, registry, models, table="docs", source=path, root=str(tmp_path / "emb"),
+                                  primary_key=["id"], column="body", model="hash-64", buckets=2)
+        some = entry.rows(spark).where("id % 3 = 0")
+        entry.embeddings(spark).append(indexing.embed_rows(some, ["id"], ["body"], models.get("hash-64")))
+        calls = []
+        whole = indexing.embedded_keys
+        monkeypatch.setattr(indexing, "embedded_keys", lambda *a: calls.append(1) or whole(*a))
+        assert indexing.index_table(spark, entry, models, steps=4).rows == 26 and len(calls) == 1
+        assert sorted(ids(entry.embeddings(spark).read())) == list(range(40))
+
+
 class TestBoundedSql:
     @pytest.mark.parametrize("sql", [
         "INSERT INTO t VALUES (1)", "DELETE FROM t", "SELECT 1; DROP TABLE t", "WITH x AS (SELECT 1) SELECT * FROM x",
