@@ -55,18 +55,18 @@ def digests(text: str) -> np.ndarray:
     data = text.encode("utf-32-le", "surrogatepass")
     points = np.frombuffer(data, dtype=np.uint32).astype(np.uint64)
     space = (points == 32) | (points == 10) | (points == 9) | (points == 13)
-    first = np.empty(len(points), dtype=bool)
-    first[0] = True
-    first[1:] = space[:-1] & ~space[1:]
-    starts = np.flatnonzero(first)
-    padded = np.append(points, np.zeros(3, dtype=np.uint64))
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        # white space alone is one run
+        starts, ends = np.array([0]), np.array([len(points)])
+    padded = np.concatenate([points, np.zeros(3, dtype=np.uint64)])
     letters = padded[starts] * np.uint64(1 << 42) + padded[starts + 1] * np.uint64(1 << 21) + padded[starts + 2]
-    cut = _mixed(letters, 7) % np.uint64(RUN) == 0
-    cut |= padded[starts - 1] == 10
+    cut = (_mixed(letters, 7) % np.uint64(RUN) == 0) | (padded[starts - 1] == 10)
     cut[0] = True
-    cuts = [*(4 * starts[cut]).tolist(), len(data)]
-    cuts[0] = 0
-    found = np.array([xxhash.xxh3_64_intdigest(data[a:b].rstrip(b"\0\x20\n")) for a, b in zip(cuts, cuts[1:])],
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(starts)) - 1
+    found = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip((4 * starts[first]).tolist(), (4 * ends[last]).tolist())],
                      dtype=np.uint64)
     found.sort()
     new = np.append(True, found[1:] != found[:-1])
