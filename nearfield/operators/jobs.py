@@ -165,8 +165,9 @@ def retry_failed(jobs: DataFrame, table: str | None = None) -> DataFrame:
 
 
 def queue_depth(jobs: DataFrame) -> DataFrame:
-    """Pending and failed jobs of every table, in one pass."""
-    return jobs.groupBy("table_name").agg(
+    """Pending and failed jobs of every table, in one pass; jobs that name a schema count for that schema only."""
+    names = [c for c in ("table_schema", "table_name") if c in jobs.columns]
+    return jobs.groupBy(*names).agg(
         F.count_if(F.col("status") == PENDING).alias("pending"),
         F.count_if(F.col("status") == FAILED).alias("failed"),
     )

@@ -60,7 +60,8 @@ def status(spark: SparkSession, registry: Registry, jobs: DataFrame | None = Non
     if jobs is None:
         return merged.withColumn("pending", F.lit(0).cast("bigint")).withColumn("failed", F.lit(0).cast("bigint"))
     # one row per table on either side
-    return merged.join(queue_depth(jobs), "table_name", "left").fillna(0, ["pending", "failed"])
+    names = [c for c in merged.columns if c in ("table_schema", "table_name") and c in jobs.columns]
+    return merged.join(queue_depth(jobs), names, "left").fillna(0, ["pending", "failed"])
 
 
 def _unreadable(entry: TableEntry, error: Exception) -> tuple:

@@ -100,16 +100,20 @@ def apply_many(spark: SparkSession, registry: Registry, models: Models, requests
 
 
 def teardown_table(
-    spark: SparkSession, registry: Registry, table: str, jobs: DataFrame | None = None
+    spark: SparkSession, registry: Registry, table: str, jobs: DataFrame | None = None, schema: str | None = None
 ) -> tuple[dict[str, bool], DataFrame | None]:
     """Remove embeddings, registration and jobs of a table; says what was there to remove.
 
-    Returns the jobs that are left, for the caller to write.
+    Returns the jobs that are left, for the caller to write. Where jobs name a schema, those of a table
+    of the same name in another schema stay.
     """
-    entry = registry.require(table)
+    entry = registry.require(table, schema)
+    own = F.col("table_name") == entry.table
+    if jobs is not None and "table_schema" in jobs.columns:
+        own = own & F.coalesce(F.col("table_schema") == entry.schema, F.lit(True))
     removed = {
         "embeddings": entry.embeddings(spark).drop(),
         "registration": registry.remove(entry.table, entry.schema),
-        "jobs": jobs is not None and jobs.where(F.col("table_name") == table).take(1) != [],
+        "jobs": jobs is not None and jobs.where(own).take(1) != [],
     }
-    return removed, None if jobs is None else jobs.where(F.col("table_name") != table)
+    return removed, None if jobs is None else jobs.where(~own)

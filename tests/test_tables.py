@@ -392,6 +392,21 @@ class TestSetup:
         assert [r["id"] for r in left.collect()] == [2] and registry.entries == []
         assert not files.exists(spark, str(tmp_path / "e" / "public.products"))
 
+    def test_two_schemas_with_the_same_table(self, spark, models, source, tmp_path):
+        registry = Registry()
+        for schema in ("one", "two"):
+            setup.apply_table(spark, registry, models, table="docs", source=source, root=str(tmp_path / schema),
+                              primary_key=["id"], column="description", model="hash-64", schema=schema)
+        jobs = spark.createDataFrame([("one", "docs", 1, "pending"), ("one", "docs", 2, "pending"), ("two", "docs", 3, "failed")],
+                                     "table_schema string, table_name string, id int, status string")
+        found = {r["table_schema"]: (r["pending"], r["failed"]) for r in status.status(spark, registry, jobs).collect()}
+        assert found == {"one": (2, 0), "two": (0, 1)}
+        with pytest.raises(RegistryError):
+            setup.teardown_table(spark, registry, "docs", jobs)
+        removed, left = setup.teardown_table(spark, registry, "docs", jobs, schema="one")
+        assert removed["jobs"] and [r["id"] for r in left.collect()] == [3]
+        assert [e.schema for e in registry.entries] == ["two"]
+
     @pytest.mark.parametrize("name,ok", [("a_1", True), ("_x", True), ("1a", False), ("a-b", False), ("", False), ("a" * 128, True), ("a" * 129, False)])
     def test_identifiers(self, name, ok):
         if ok:
