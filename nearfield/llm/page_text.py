@@ -50,6 +50,10 @@ NO_ARTICLE = frozenset(
     "navigation newsletter notice pagination pager popup promo promoted promotion related replies search share sharing "
     "sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Those of them that mark a part even if it holds elements of its own called article.
+NEVER_ARTICLE = frozenset("comment comments commentlist disqus related replies sidebar promo promoted promotion ad ads".split())
+#: Names with such a beginning tell about the page, not about the part: has-sidebar, no-ads.
+ABOUT_PAGE = re.compile(r"\b(?:has|have|with|without|no|is|not)[-_][\w-]*")
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -70,6 +74,7 @@ class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.by_name: set[int] = set()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
@@ -83,6 +88,15 @@ class Tree(HTMLParser):
             self._close(*SIBLINGS[tag])
         node = Node(tag, self.at, tag in NO_TEXT or _no_article(tag, attrs, self.at))
         self.at.children.append(node)
+        if node.hidden and tag not in NO_TEXT and not _marks(attrs) & NEVER_ARTICLE:
+            self.by_name.add(id(node))
+        if tag in ("article", "main") and not node.hidden:
+            # a part that holds the article is hidden for no name it has
+            above = self.at
+            while above is not None:
+                if id(above) in self.by_name:
+                    above.hidden = False
+                above = above.parent
         if tag not in VOID:
             self.at = node
 
@@ -124,21 +138,30 @@ class Tree(HTMLParser):
             self.at = node.parent
 
 
-def _no_article(tag: str, attrs: list, parent: Node) -> bool:
-    if tag in ("html", "body", "article", "main"):
+def _marks(attrs: list) -> set[str]:
+    """Words of the names given to an element that mark it as no article."""
+    names = " ".join(v for n, v in attrs if v and n in ("class", "id", "role", "data-role")).lower()
+    return NO_ARTICLE.intersection(WORDS.findall(ABOUT_PAGE.sub(" ", names))) if names else set()
+
+
+def _no_article(tag: str, attrs: list, parent: Node | None) -> bool:
+    if tag in ("html", "body", "main"):
         return False
-    if tag == "header":
+    marks = _marks(attrs)
+    if tag == "article":
+        return bool(marks & NEVER_ARTICLE)
+    if tag == "header" or marks == {"header"}:
         # a header within an article holds its title
         while parent is not None:
             if parent.tag in ("article", "main"):
                 return False
             parent = parent.parent
         return True
+    if marks:
+        return True
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role", "data-role") and value and not NO_ARTICLE.isdisjoint(WORDS.findall(value.lower())):
-            return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
     return False

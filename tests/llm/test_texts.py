@@ -157,6 +157,14 @@ def test_a_file_with_other_rules_uses_the_library():
     ("<script>var t='</p>';</script><style>p{}</style><p>kept<!-- not kept --></p>", "kept"),
     ("<div><ul><li><a href=a>x</a><li><a href=b>y</a></ul></div><div><p>Dense text with many words in it.</p><p>More of "
      "the same dense text here.</p></div>", "Dense text with many words in it.\nMore of the same dense text here."),
+    ("<body class=has-sidebar><div class='page nav-wrapper no-ads'><main><div class='post-header'><h1>Head</h1></div><p>Body of it."
+     "</p></main></div></body>", "Head\nBody of it."),
+    ("<body><article><p>The story itself, at some length.</p></article><ol class=commentlist><li><article class=comment-body>"
+     "<p>A comment that is far longer than the story, in fact it goes on and on and on.</p></article></ol></body>",
+     "The story itself, at some length."),
+    ("<body><div class=sidebar><article><p>A teaser.</p></article></div><article><p>Story text.</p><p>More story.</p></article></body>",
+     "Story text.\nMore story."),
+    ("<p>a&nbsp;b &lt;c&gt; &#x41;</p>", "a b <c> A"),
     ("<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</article>", "deep"),
 ])
 def test_main_text(spark, html, text):
