@@ -21,6 +21,8 @@ from nearfield.functions.text import quoted
 
 # Query vectors that travel to the tasks together; all such blocks are used in one scan.
 QUERY_BYTES_PER_BLOCK = 8 << 20
+# Groups in which the rows of one query are reduced before they meet.
+MERGE_GROUPS = 64
 # Scores a task holds in memory at a time, over all queries.
 SCORES_AT_ONCE = 2_000_000
 
@@ -137,6 +139,10 @@ def nearest_batch(
     asked.unpersist()
     if part is not None:
         result = _best_part(result, key, part)
+    # in two steps, so that the best rows of very many tasks do not meet in one
+    groups = Window.partitionBy("query_id", "_group").orderBy(*by_similarity(key))
+    result = result.withColumn("_group", F.pmod(F.xxhash64(*[quoted(c) for c in key]), F.lit(MERGE_GROUPS)))
+    result = result.withColumn("rank", F.row_number().over(groups)).where(F.col("rank") <= k).drop("rank", "_group")
     ranked = Window.partitionBy("query_id").orderBy(*by_similarity(key))
     return (
         result.withColumn("rank", F.row_number().over(ranked))

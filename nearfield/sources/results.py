@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfield.errors import NearfieldError
 from nearfield.functions.text import quoted
 
+# Rows that one JSON array may hold.
+MOST_ROWS = 10_000
+
 
 def _flat(df: DataFrame) -> DataFrame:
     """CSV holds plain values only, so nested ones are written as JSON."""
@@ -37,6 +41,12 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def json_array(top: DataFrame) -> str:
-    """A bounded result, such as a top-k, as one JSON array; ``[]`` when empty."""
-    return "[" + ", ".join(r["json"] for r in json_lines(top).collect()) + "]"
+def json_array(top: DataFrame, most: int = MOST_ROWS) -> str:
+    """A bounded result, such as a top-k, as one JSON array; ``[]`` when empty.
+
+    A result of more than ``most`` rows is refused: it belongs in files.
+    """
+    rows = json_lines(top).limit(most + 1).collect()
+    if len(rows) > most:
+        raise NearfieldError(f"more than {most} rows for one JSON array; write JSON lines instead")
+    return "[" + ", ".join(r["json"] for r in rows) + "]"

@@ -91,6 +91,11 @@ class TestTopK:
         parts = topk.nearest_batch(product_vectors, ["id"], product_vectors.withColumnRenamed("id", "q"), "q", 3).collect()
         assert sorted(parts) == sorted(whole) and len(parts) == 30
 
+    def test_rows_of_one_query_meet_in_two_steps(self, spark, product_vectors):
+        found = topk.nearest_batch(product_vectors, ["id"], product_vectors.withColumnRenamed("id", "q"), "q", 3)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("row_number") >= 2 and "_group" in plan
+
     def test_no_queries(self, spark, product_vectors):
         none = product_vectors.where("id < 0").withColumnRenamed("id", "q")
         assert topk.nearest_batch(product_vectors, ["id"], none, "q", 3).count() == 0
