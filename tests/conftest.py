@@ -14,8 +14,11 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", 4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"})
+def spark(tmp_path_factory):
+    session = local_session("tests", 4, **{
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
+    })
     yield session
     session.stop()
 

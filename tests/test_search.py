@@ -338,6 +338,26 @@ def test_hash_model_finds_shared_words(spark, products):
     assert ids(topk.nearest(rows, ["id"], model.embed_query("person tent"), 1)) == [9]
 
 
+@pytest.mark.parametrize("chunked", [False, True])
+def test_large_filters_move_no_vectors(spark, monkeypatch, chunked):
+    """With more allowed keys than are broadcast, one scan scores all vectors and only keys and scores meet the rest."""
+    from nearfield.operators import search as module
+
+    rng = np.random.default_rng(9)
+    rows = [(i // 2 if chunked else i, i % 2, f"part {i}", [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "id bigint, chunk_index int, chunk_text string, embedding array<float>")
+    source = spark.createDataFrame([(i, f"text {i}", i % 3) for i in range(280)], "id bigint, t string, kind int")
+    one = Searchable(source, vectors if chunked else vectors.select("id", "embedding"), ["id"], ["t"], chunked)
+    query = [1.0, 0.0, 2.0, 0.0, 1.0, 1.0]
+    small = one.search(query, 7, {"kind": 1}).collect()
+    monkeypatch.setattr(module, "fits_broadcast", lambda keys: False)
+    assert one.search(query, 7, {"kind": 1}).collect() == small
+    plan = one._winners(query, 7, F.col("kind") == 1)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange" in line and "embedding" in line]
+    assert plan.count("MapInArrow") <= 2 and not moved
+    assert len(one.search(query, 1500).collect()) == (150 if chunked else 280)
+
+
 class TestNames:
     def test_source_columns_named_like_the_result(self, spark):
         source = spark.createDataFrame([(1, "one", "x", 0.5), (2, "two", "y", 0.6)], "row_id bigint, content string, chunk_index string, similarity double")
