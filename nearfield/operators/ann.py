@@ -79,6 +79,13 @@ def _nearest_list(embedding: Column, centers: np.ndarray) -> Column:
 
 def probe(spark: SparkSession, path: str, key: list[str], query: Sequence[float], k: int, probes: int) -> DataFrame:
     """Top-k among the ``probes`` lists closest to the query; probing all lists is exact."""
+    return nearest(probed(spark, path, query, probes), key, query, k)
+
+
+def probed(spark: SparkSession, path: str, query: Sequence[float], probes: int) -> DataFrame:
+    """The vectors of the ``probes`` lists closest to the query, as they were written."""
+    if probes < 1:
+        raise NearfieldError(f"at least one list must be probed, got {probes}")
     rows = spark.read.parquet(f"{path}/centroids").collect()  # bounded when the lists were built
     centers = np.asarray([r["centroid"] for r in rows], dtype=np.float64)
     vector = np.asarray(query, dtype=np.float64)
@@ -86,8 +93,7 @@ def probe(spark: SparkSession, path: str, key: list[str], query: Sequence[float]
     closeness = centers @ vector - (centers * centers).sum(axis=1) / 2
     chosen = [rows[i]["list_id"] for i in np.argsort(-closeness, kind="stable")[:probes]]
     # a filter on the partition column: the other lists are not even listed
-    stored = spark.read.parquet(f"{path}/lists").where(F.col("list_id").isin(chosen))
-    return nearest(stored, key, query, k)
+    return spark.read.parquet(f"{path}/lists").where(F.col("list_id").isin(chosen)).drop("list_id")
 
 
 def recall(exact: DataFrame, approximate: DataFrame, key: list[str]) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.errors import NearfieldError
 from nearfield.functions.embedders import Models
+from nearfield.operators import ann
 from nearfield.operators.search import LIMIT, Searchable, TaggedTable, search_all
 from nearfield.registry import Registry, TableEntry
+from nearfield.sources import files
 from nearfield.sources.embedding_table import Snapshot
 
+logger = logging.getLogger(__name__)
+
 EMPTY = "_source_table string, _source_schema string, row_id string, content string, similarity double, row_json string"
 
 
@@ -25,6 +31,26 @@ def searchable(spark: SparkSession, entry: TableEntry, snap: Snapshot | None = N
     )
 
 
+def build_lists(spark: SparkSession, entry: TableEntry, lists: int) -> None:
+    """Lists for approximate search of the table as it is now; build them again after larger changes."""
+    table = entry.embeddings(spark)
+    snap = table.snapshot()
+    key = [*entry.primary_key, *(["chunk_index"] if entry.chunked else [])]
+    ann.build_lists(table.read(snap.version), key, table.lists_path(snap.version), lists)
+
+
+def _near(spark: SparkSession, entry: TableEntry, snap: Snapshot, vector: list[float], probes: int | None) -> Searchable:
+    """All vectors of the snapshot, or those of the probed lists if this very snapshot has lists."""
+    one = searchable(spark, entry, snap)
+    if probes is None:
+        return one
+    path = entry.embeddings(spark).lists_path(snap.version)
+    if not files.exists(spark, path):
+        logger.warning("%s has changed since its lists were built, searching all of it", entry.table)
+        return one
+    return replace(one, vectors=ann.probed(spark, path, vector, probes))
+
+
 def search(
     spark: SparkSession,
     registry: Registry,
@@ -34,10 +60,12 @@ def search(
     filters: Mapping[str, object] | None = None,
     limit: int = LIMIT,
     schema: str | None = None,
+    probes: int | None = None,
 ) -> DataFrame:
     """One table if named, with filters if given; otherwise all registered tables.
 
-    The model is the one each table's vectors are of now, also when the registry was saved before a migration.
+    With ``probes`` only so many lists of vectors are read, the closest ones, where lists have been built
+    since the table last changed; else all vectors are. The model is the one each table's vectors are of now, also when the registry was saved before a migration.
     """
     if not query.strip():
         raise NearfieldError("the query text is empty")
@@ -45,7 +73,7 @@ def search(
         entry = registry.require(table, schema)
         snap = entry.embeddings(spark).snapshot()
         vector = models.get(snap.model).embed_query(query)
-        return searchable(spark, entry, snap).search(vector, limit, filters, snap.dims)
+        return _near(spark, entry, snap, vector, probes).search(vector, limit, filters, snap.dims)
     if filters:
         raise NearfieldError("filters need a table")
     entries = [(e, e.embeddings(spark).snapshot()) for e in registry.entries if schema in (None, e.schema)]
@@ -54,6 +82,10 @@ def search(
         for key in {snap.model for _, snap in entries}
         if (model := models.provided(key)) is not None
     }
-    tagged = [TaggedTable(e.table, e.schema, snap.model, searchable(spark, e, snap)) for e, snap in entries]
+    tagged = [
+        TaggedTable(e.table, e.schema, snap.model, _near(spark, e, snap, vectors[snap.model], probes)
+                    if snap.model in vectors else searchable(spark, e, snap))
+        for e, snap in entries
+    ]
     found = search_all(tagged, vectors, limit)
     return found if found is not None else spark.createDataFrame([], EMPTY)

@@ -118,6 +118,10 @@ class EmbeddingTable:
             version = versions[-1]
         return Snapshot(**json.loads(files.read_text(self.spark, f"{self.path}/_snapshots/{version}.json")))
 
+    def lists_path(self, version: int) -> str:
+        """Where the lists for approximate search of one snapshot stand, if they were built."""
+        return f"{self.path}/_lists/{version}"
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete folders that none of the newest ``keep`` snapshots uses. Not beside a writer."""
         versions = self._versions()
@@ -133,6 +137,7 @@ class EmbeddingTable:
             files.delete(self.spark, f"{self.path}/{name}")
         for version in versions[:-keep]:
             files.delete(self.spark, f"{self.path}/_snapshots/{version}.json")
+            files.delete(self.spark, self.lists_path(version))
         return unused
 
     # -- shape ---------------------------------------------------------------

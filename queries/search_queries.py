@@ -12,7 +12,7 @@ from nearfield.operators.search import Searchable, TaggedTable, search_all, shap
 from nearfield.plans.indexing import chunk_rows, embed_rows
 from nearfield.plans.setup import apply_table
 from nearfield.plans.indexing import index_table, migrate_table
-from nearfield.plans.text_search import search
+from nearfield.plans.text_search import build_lists, search
 from nearfield.registry import Registry
 from nearfield.session import materialize, scratch_path
 from queries import query
@@ -319,3 +319,20 @@ def ann_given_centroids(load):
     path = scratch_path(load.spark, "lists")
     ann.build_lists(load("embeddings"), ["vec_id"], path, len(centers), centroids=[[p["c"] for p in r["c"]] for r in centers])
     return rounded(ann.probe(load.spark, path, ["vec_id"], first_vector(load), 10, probes=3))
+
+
+@query("search_probed", f"""
+    SELECT CAST(d.doc_id AS VARCHAR) AS row_id, d.lang, round(s.similarity, 4) AS similarity
+    FROM documents d JOIN ({text_similarity("documents", "doc_id", "text", FIRST_BENCHMARK)}) s USING (doc_id)
+    WHERE d.lang ILIKE 'en' ORDER BY round(s.similarity, 12) DESC NULLS LAST, d.doc_id LIMIT 5""")
+def search_probed(load):
+    """Approximate search through the entry a user calls, with a filter; all lists probed, so it is exact."""
+    models, registry, root = Models(), Registry(), scratch_path(load.spark, "probed")
+    entry = apply_table(
+        load.spark, registry, models, table="documents", source=load.path("documents"), root=root,
+        primary_key=["doc_id"], column="text", model="hash-64", buckets=4,
+    )
+    index_table(load.spark, entry, models)
+    build_lists(load.spark, entry, 8)
+    found = search(load.spark, registry, models, benchmark_text(load), "documents", {"lang": "en"}, limit=5, probes=8)
+    return rounded(found).select("row_id", "lang", "similarity")

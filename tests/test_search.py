@@ -288,6 +288,28 @@ class TestApproximate:
         plan = ann.probe(spark, path, ["id"], HOT, 3, probes=1)._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"list_id#\d+ (=|IN)", plan)
 
+    @pytest.mark.parametrize("chunked", [False, True])
+    def test_search_entry_uses_lists_until_the_table_changes(self, spark, models, tmp_path, chunked, caplog):
+        from nearfield.plans.indexing import index_table
+        from nearfield.plans.setup import apply_table
+        from nearfield.plans.text_search import build_lists, search
+        from nearfield.registry import Registry
+
+        path, registry = str(tmp_path / "docs"), Registry()
+        rows = [(i, f"subject {i % 7} item {i} " * 3, i % 2) for i in range(80)]
+        spark.createDataFrame(rows, "id bigint, body string, kind int").write.parquet(path)
+        entry = apply_table(spark, registry, models, table="docs", source=path, root=str(tmp_path / "emb"), primary_key=["id"],
+                            column="body", model="hash-64", buckets=2, chunked=chunked, chunk_words=4, chunk_overlap=1)
+        index_table(spark, entry, models)
+        exact = search(spark, registry, models, "subject 3 item 10", "docs", {"kind": 0}).collect()
+        build_lists(spark, entry, 5)
+        assert search(spark, registry, models, "subject 3 item 10", "docs", {"kind": 0}, probes=5).collect() == exact
+        some = search(spark, registry, models, "subject 3 item 10", probes=1).collect()
+        assert some[0]["row_id"] == exact[0]["row_id"] and "since its lists" not in caplog.text
+        entry.embeddings(spark).merge(deletes=spark.createDataFrame([(int(exact[0]["row_id"]),)], "id bigint"))
+        after = search(spark, registry, models, "subject 3 item 10", "docs", {"kind": 0}, probes=5).collect()
+        assert exact[0]["row_id"] not in [r["row_id"] for r in after] and "since its lists" in caplog.text
+
     def test_no_vectors(self, spark, tmp_path, product_vectors):
         with pytest.raises(NearfieldError):
             ann.build_lists(product_vectors.where("id < 0"), ["id"], str(tmp_path / "lists"), lists=2)
