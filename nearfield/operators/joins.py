@@ -72,9 +72,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input is too small to fill them by itself.
 
     Embedding and chunking cost far more than reading, and one small file would keep one core busy.
-    Inputs with enough partitions of their own are left as they are.
+    Inputs with enough bytes or files to fill the cores are left as they are.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     per_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if estimated_bytes(df) < cores * per_task else df
+    if estimated_bytes(df) >= cores * per_task or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)

@@ -5,13 +5,14 @@ live. Readers resolve the newest snapshot when they build their plan and keep re
 while writers go on.
 
 An update or delete writes only its new rows and its keys. Readers leave out older rows with one of
-those keys, by a join with a key set that is kept small enough to broadcast: once it grows past that,
-the buckets it touches are rewritten and it starts empty again.
+those keys, by joins with key sets of a size that may be broadcast: once there are too many of these,
+the buckets they touch are rewritten and they start empty again.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
@@ -31,9 +32,34 @@ from nearfield.sources import files
 FOLD_AFTER = 20
 
 
+# Broadcasts of pending keys that a read makes at most; each holds a set of proven size.
+MOST_BROADCASTS = 8
+
+
+def _broadcasts(pending: list[dict]) -> list[list[tuple[dict, int, int]]]:
+    """Pending sets, counted when they were written, in groups that can be broadcast each.
+
+    A set that is too large by itself is cut into parts by hash, twice as many as its size asks for.
+    """
+    groups: list[list[tuple[dict, int, int]]] = []
+    keys = size = 0
+    for entry in pending:
+        asked = max(math.ceil(entry["keys"] / BROADCAST_KEYS), math.ceil(entry["bytes"] / BROADCAST_BYTES))
+        if asked > 1:
+            groups += [[(entry, part, 2 * asked)] for part in range(2 * asked)]
+            keys, size = BROADCAST_KEYS, BROADCAST_BYTES
+            continue
+        if not groups or keys + entry["keys"] > BROADCAST_KEYS or size + entry["bytes"] > BROADCAST_BYTES:
+            groups.append([])
+            keys = size = 0
+        groups[-1].append((entry, 0, 1))
+        keys, size = keys + entry["keys"], size + entry["bytes"]
+    return groups
+
+
 def _fits(pending: list[dict]) -> bool:
-    """Whether the pending keys, counted when they were written, can be broadcast."""
-    return sum(p["keys"] for p in pending) <= BROADCAST_KEYS and sum(p["bytes"] for p in pending) <= BROADCAST_BYTES
+    """Whether readers can leave out the pending keys without a shuffle."""
+    return len(_broadcasts(pending)) <= MOST_BROADCASTS
 
 
 def _last_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -214,22 +240,30 @@ class EmbeddingTable:
         pending = snap.pending if pending is None else pending
         if pending and min(live[gen]["order"] for gen in wanted) < max(p["order"] for p in pending):
             key = self.key_schema(snap).fieldNames()
-            dead = self._dead(snap, pending).select(*[quoted(c).alias(f"_{i}") for i, c in enumerate(key)], "_order")
-            if _fits(pending):
-                dead = F.broadcast(dead)
             orders = F.create_map(*[F.lit(x) for gen in wanted for x in (gen, live[gen]["order"])])
             same = orders[F.col("gen")] < F.col("_order")
             for i, name in enumerate(key):
                 same = same & (quoted(name) == F.col(f"_{i}"))
-            rows = rows.join(dead, same, "left_anti")
+
+            def named(dead: DataFrame) -> DataFrame:
+                return dead.select(*[quoted(c).alias(f"_{i}") for i, c in enumerate(key)], "_order")
+
+            if _fits(pending):
+                for group in _broadcasts(pending):
+                    rows = rows.join(F.broadcast(named(self._dead(snap, group))), same, "left_anti")
+            else:
+                rows = rows.join(named(self._dead(snap, [(p, 0, 1) for p in pending])), same, "left_anti")
         return rows.drop("gen")
 
-    def _dead(self, snap: Snapshot, pending: list[dict]) -> DataFrame:
-        """Keys of the pending sets, each with the order up to which it kills rows."""
+    def _dead(self, snap: Snapshot, pending: list[tuple[dict, int, int]]) -> DataFrame:
+        """Keys of the pending sets, or of one part of them, each with the order up to which it kills rows."""
         layout = T.StructType([T.StructField(f.name, f.dataType) for f in self.key_schema(snap).fields]).add("_order", T.IntegerType())
         merged = None
-        for entry in pending:
+        for entry, part, parts in pending:
             one = self.spark.read.schema(layout).parquet(f"{self.path}/_keys/{entry['name']}")
+            if parts > 1:
+                hashed = F.xxhash64(*[quoted(f.name) for f in self.key_schema(snap).fields])
+                one = one.where(F.pmod(hashed, F.lit(parts)) == part)
             one = one.withColumn("_order", F.coalesce("_order", F.lit(entry["order"])))
             merged = one if merged is None else merged.unionByName(one)
         return merged
@@ -327,7 +361,7 @@ class EmbeddingTable:
         small = {p["gen"]: start.live[p["gen"]] for p in start.pending if p["gen"] in start.live}
         gen, touched = self._write(start, self._rows(start, small).drop("bucket"), stamped=True)
         key = self.key_schema(start).fieldNames()
-        keys = self._dead(start, start.pending).groupBy(*key).agg(F.max("_order").alias("_order"))
+        keys = self._dead(start, [(p, 0, 1) for p in start.pending]).groupBy(*key).agg(F.max("_order").alias("_order"))
         order = max(p["order"] for p in start.pending)
         entry = {"gen": gen if touched else None, "order": order, **self._write_keys(start, keys)}
         names = {p["name"] for p in start.pending}
@@ -347,7 +381,7 @@ class EmbeddingTable:
         start = self.snapshot()
         if not start.pending or start.staged is not None:
             return
-        dead = self._dead(start, start.pending)
+        dead = self._dead(start, [(p, 0, 1) for p in start.pending])
         # at most one row per bucket
         hit = {r["b"] for r in dead.select(self.bucket_of(start).alias("b")).distinct().collect()}
         gen, kept = self._write(start, self._rows(start, start.live, sorted(hit)).drop("bucket"), stamped=True)

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -82,8 +83,10 @@ class TestEmbeddingTable:
         assert snap.pending == [] and len(snap.live[first]["buckets"]) == 3
         assert sorted(table.read().drop("updated_at").collect()) == before
 
-    def test_random_writes_equal_a_dictionary(self, table, spark, monkeypatch):
+    @pytest.mark.parametrize("broadcasts", [1, 8])
+    def test_random_writes_equal_a_dictionary(self, table, spark, monkeypatch, broadcasts):
         """Merges, deletes, folds, compactions and rewrites in random order."""
+        monkeypatch.setattr("nearfield.sources.embedding_table.MOST_BROADCASTS", broadcasts)
         monkeypatch.setattr("nearfield.sources.embedding_table.FOLD_AFTER", 3)
         monkeypatch.setattr("nearfield.sources.embedding_table.BROADCAST_KEYS", 25)
         rng, model = random.Random(11), {}
@@ -161,7 +164,24 @@ class TestEmbeddingTable:
         table.merge(deletes=vectors(spark, [2, 3, 99]))
         assert ids(table.read()) == [0, 1, 4, 5, 6, 7, 8, 9]
 
-    def test_merge_with_keys_too_many_to_broadcast(self, table, spark, monkeypatch):
+    def test_reads_leave_out_many_keys_without_a_shuffle(self, table, spark, monkeypatch):
+        """Pending keys go out in groups that may be broadcast; nothing is rewritten, also while a migration is open."""
+        monkeypatch.setattr("nearfield.sources.embedding_table.BROADCAST_KEYS", 10)
+        table.append(vectors(spark, range(60)))
+        first = next(iter(table.snapshot().live))
+        table.begin_migration("m2", "model2", 2)
+        table.merge(vectors(spark, range(0, 20), 2.0))
+        table.merge(deletes=vectors(spark, range(55, 60)))
+        snap = table.snapshot()
+        assert len(snap.pending) == 2 and len(snap.live[first]["buckets"]) == snap.buckets
+        plan = table.read()._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not re.search(r"Exchange (hash|range|rebalance)", plan)
+        rows_ = {r["id"]: r["embedding"][0] for r in table.read().collect()}
+        assert rows_ == {n: 2.0 if n < 20 else 1.0 for n in range(55)}
+
+    @pytest.mark.parametrize("broadcasts", [1, 8])
+    def test_merge_with_keys_too_many_to_broadcast(self, table, spark, monkeypatch, broadcasts):
+        monkeypatch.setattr("nearfield.sources.embedding_table.MOST_BROADCASTS", broadcasts)
         monkeypatch.setattr("nearfield.sources.embedding_table.BROADCAST_KEYS", 1)
         table.append(vectors(spark, range(60)))
         table.merge(vectors(spark, range(0, 20), 2.0), vectors(spark, range(50, 60)))
