@@ -24,7 +24,7 @@ from nearfield.llm.tasks import map_rows
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text.
 NO_TEXT = frozenset(
-    "head script style noscript template iframe object svg canvas math audio video map title "
+    "head script style noscript template iframe object svg canvas audio video map title "
     "form button select textarea input option datalist dialog menu nav aside footer".split()
 )
 #: Elements that begin and end a block of text.
