@@ -224,7 +224,8 @@ def beside_next(docs: DataFrame) -> DataFrame:
         return pd.Series(np.searchsorted(bounds, values.to_numpy(dtype=np.int64)).astype(np.int32))
 
     # one row per range
-    firsts = sorted((r["bucket"], r["id"]) for r in ids.groupBy(bucket("id").alias("bucket")).agg(F.max("id").alias("id")).collect())
+    by_range = ids.groupBy(bucket("id").alias("bucket")).agg(F.max("id").alias("id"))
+    firsts = sorted((r["bucket"], r["id"]) for r in by_range.collect())
     goes_to: dict[int, list[int]] = {}
     for (at, _), (_, successor) in zip(firsts, [firsts[-1], *firsts[:-1]] if firsts else []):
         goes_to.setdefault(successor, []).append(at)

@@ -103,7 +103,8 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield doc_id, 0, None, None, None
                 continue
             least = minima(found)
-            yield doc_id, len(found), set_hash(found), ((least >> np.uint64(23)) & np.uint64(255)).astype(np.uint8).tobytes(), band_keys(least).tolist()
+            signature = ((least >> np.uint64(23)) & np.uint64(255)).astype(np.uint8)
+            yield doc_id, len(found), set_hash(found), signature.tobytes(), band_keys(least).tolist()
 
     return map_rows(text_rows(docs), each, "doc_id bigint, n bigint, set_hash bigint, signature binary, bands array<bigint>")
 
@@ -340,7 +341,8 @@ def first_cells(placed: DataFrame, limit: int = BUCKET) -> DataFrame:
     blocks = F.ceil(F.col("members") / limit).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     # about PIVOTS members of a large bucket, by hash
-    pivot = (blocks > 1) & (F.pmod(F.xxhash64("node", F.lit(5)), F.greatest(F.lit(1), (F.col("members") / PIVOTS).cast("bigint"))) == 0)
+    one_in = F.greatest(F.lit(1), (F.col("members") / PIVOTS).cast("bigint"))
+    pivot = (blocks > 1) & (F.pmod(F.xxhash64("node", F.lit(5)), one_in) == 0)
     where = F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))
     return placed.select("key", "node", "band", "whole", F.explode(where).alias("block")).select(
         F.xxhash64("key", "block").alias("cell"), "node", "band", "whole", F.col("node").alias("component"),

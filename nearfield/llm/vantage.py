@@ -135,7 +135,9 @@ class _Search:
     def _worst(self, active: np.ndarray) -> np.ndarray:
         """Distance of the worst neighbour held."""
         worst = self.scores[active, -1]
-        return np.where(np.isinf(worst), np.inf, np.sqrt(np.maximum(self.lengths[active] - 2 * np.where(np.isinf(worst), 0, worst), 0)))
+        none = np.isinf(worst)
+        squares = self.lengths[active] - 2 * np.where(none, 0, worst)
+        return np.where(none, np.inf, np.sqrt(np.maximum(squares, 0)))
 
     def _offer(self, active: np.ndarray, members: np.ndarray) -> np.ndarray:
         """Keep the best of what is held and the members; gives the distances to the members."""
