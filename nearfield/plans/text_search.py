@@ -65,7 +65,8 @@ def search(
     """One table if named, with filters if given; otherwise all registered tables.
 
     With ``probes`` only so many lists of vectors are read, the closest ones, where lists have been built
-    since the table last changed; else all vectors are. The model is the one each table's vectors are of now, also when the registry was saved before a migration.
+    since the table last changed; else all vectors are. The model is the one each table's vectors are of
+    now, also when the registry was saved before a migration.
     """
     if not query.strip():
         raise NearfieldError("the query text is empty")
