@@ -40,10 +40,10 @@ def row_counts(load):
 
 @query("table_catalog", " UNION ALL ".join(
     f"""SELECT '{t}' AS table_name, CAST(row_number() OVER () AS INTEGER) AS ordinal, column_name,
-    {SPARK_TYPE} AS data_type, (SELECT count(*) FROM {t}) AS row_count FROM (DESCRIBE SELECT * FROM {t})"""
+    {SPARK_TYPE} AS data_type, "null" = 'YES' AS nullable, (SELECT count(*) FROM {t}) AS row_count FROM (DESCRIBE SELECT * FROM {t})"""
     for t in TABLES))
 def table_catalog(load):
-    return tables.table_catalog(load.all()).drop("nullable")
+    return tables.table_catalog(load.all())
 
 
 @query("list_tables", " UNION ALL ".join(
@@ -76,23 +76,26 @@ def sample_vectors(load):
     SELECT 'documents' AS table_name, (SELECT count(*) FROM documents) AS row_count,
            'doc_id:bigint text:string lang:string source:string n_chars:bigint' AS columns,
            CAST(doc_id AS VARCHAR) AS doc_id,
-           CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text, lang
+           CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text, lang, source,
+           CAST(n_chars AS VARCHAR) AS n_chars, NULL AS conv_id, NULL AS turn, NULL AS role
     FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 3)
     UNION ALL
     SELECT 'conversations', (SELECT count(*) FROM conversations),
            'conv_id:bigint turn:bigint role:string text:string', NULL,
-           CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END, NULL
+           CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END, NULL, NULL, NULL,
+           CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role
     FROM (SELECT * FROM conversations ORDER BY conv_id, turn LIMIT 3)""")
 def schema_context(load):
     chosen = {name: load(name) for name in ("documents", "conversations", "embeddings")}
     context = tables.schema_context(
         chosen, {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}, only=["documents", "conversations"]
     )
-    sample = F.from_json("sample", "doc_id string, text string, lang string")
+    names = ["doc_id", "text", "lang", "source", "n_chars", "conv_id", "turn", "role"]
+    sample = F.from_json("sample", ", ".join(f"{n} string" for n in names))
     described = F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type"])), " ")
     return context.select("table_name", "row_count", described.alias("columns"), F.explode("samples").alias("sample")).select(
         "table_name", "row_count", "columns", sample.alias("s")
-    ).select("table_name", "row_count", "columns", "s.doc_id", "s.text", "s.lang")
+    ).select("table_name", "row_count", "columns", *[f"s.{n}" for n in names])
 
 
 @query("inline_view", """
