@@ -39,7 +39,8 @@ LEXICON, SUPPORT, SUPPORT_SHARE = 400, 5, 0.008
 STEMS = (4, 6, 8)
 # Least ratio of document shares (toxic to other) for a word to count as an insult.
 RATIO = 5.0
-KEPT_WORDS = 500_000
+# Words whose reading a task keeps, and words counted by a task before they are passed on.
+KEPT_WORDS, COUNTED_WORDS = 150_000, 150_000
 # A score from which a document counts as toxic.
 TOXIC = 0.5
 
@@ -221,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = LEAR
         for text, label in rows:
             words = {w for w in TOKEN.findall(text.lower()) if 3 <= len(w) <= 24}
             (toxic if label else other).update({w + "$" for w in words} | {w[:n] for w in words for n in STEMS if len(w) >= n})
-            if len(toxic) + len(other) > 500_000:
+            if len(toxic) + len(other) > COUNTED_WORDS:
                 yield from ((g, toxic[g], other[g]) for g in toxic.keys() | other.keys())
                 toxic, other = Counter(), Counter()
         yield from ((g, toxic[g], other[g]) for g in toxic.keys() | other.keys())
