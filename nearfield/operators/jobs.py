@@ -62,7 +62,8 @@ def coalesce_changes(
     its changes down to one row per key before the shuffle, however many changes one key has. Changes
     with an unknown operation are to be set aside before; one among them is an error, never a delete.
     """
-    known = F.coalesce(operation_of(quoted(operation)), F.raise_error(F.concat(F.lit("unknown operation: "), quoted(operation))))
+    message = F.concat(F.lit("unknown operation: "), F.coalesce(quoted(operation), F.lit("null")))
+    known = F.coalesce(operation_of(quoted(operation)), F.raise_error(message))
     code = F.array_position(F.array(*[F.lit(o) for o in OPERATIONS]), known).cast("int")
     coalesced = changes.groupBy(*[quoted(c) for c in key]).agg(
         F.max_by(code, quoted(sequence)).alias("_code"),
