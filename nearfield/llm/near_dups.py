@@ -6,7 +6,8 @@ threshold. The work goes from thin to wide:
 1. One pass over the texts makes a hash of every set, its signature of minima and its band keys. Documents with equal
    sets become one class, however many they are; everything after this sees a class once.
 2. Classes that share a band key stand in one bucket. Keys are counted before anything else is joined to them, and
-   buckets that are too large are cut by a second key, then into blocks of bounded size.
+   buckets that are too large are cut: for the forest of step 4 by a second key, then into blocks of bounded size; for
+   the second pass into cells of bounded size in which every pair of components' members meets.
 3. Within a bucket signatures are compared a batch of places at a time. After every batch a pair is dropped once the
    posterior probability that it reaches the threshold falls below MISS.
 4. Survivors are verified on their full sets. First only a forest of the likeliest pairs per bucket is verified and
@@ -43,7 +44,7 @@ PLACES = BANDS * ROWS
 BATCH, MISS = 16, 1e-5
 # Members of a bucket compared in one task; larger buckets are cut.
 BUCKET = 2048
-# Other bands by which a large bucket is cut, and members of it that meet every block.
+# Other bands by which the forest's part of a large bucket is cut, and members of it that meet every block.
 SECOND, PIVOTS = 12, 8
 
 _RNG = np.random.default_rng(20240229)
@@ -222,11 +223,9 @@ def _compare(rows: dict[str, np.ndarray], forest: bool, least: list[int], percen
 
 
 def _met_before(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Pairs that also share an earlier band, whose bucket then holds them both whole."""
-    same = (rows["signature"][left].reshape(-1, BANDS, ROWS) == rows["signature"][right].reshape(-1, BANDS, ROWS)).all(2)
-    band = rows["band"][left]
-    earlier = same & (np.arange(BANDS)[None, :] < band[:, None])
-    return earlier.any(1) & rows["whole"][left] & rows["whole"][right]
+    """Pairs that also share the key of an earlier band, in whose bucket they meet."""
+    same = rows["bands"][left] == rows["bands"][right]
+    return (same & (np.arange(BANDS)[None, :] < rows["band"][left][:, None])).any(1)
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -235,8 +234,10 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
     def columns(table: pa.Table) -> dict:
         table = table.combine_chunks()
-        found = {c: table[c].to_numpy() for c in table.column_names if c not in ("signature", "runs")}
+        found = {c: table[c].to_numpy() for c in table.column_names if c not in ("signature", "bands", "runs")}
         found["signature"] = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
+        if "bands" in table.column_names:
+            found["bands"] = pa.concat_arrays([c.flatten() for c in table["bands"].chunks]).to_numpy().reshape(-1, BANDS)
         if "runs" in table.column_names:
             found["runs"] = table["runs"].to_numpy()
         return found
@@ -316,24 +317,25 @@ def _shared(keyed: DataFrame, name: str) -> DataFrame:
     return materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), name)
 
 
-def buckets(classes: DataFrame, limit: int = BUCKET) -> DataFrame:
-    """key, node, number of members and band: classes that share a band; those of too large buckets also share another
-    and have band -1. ``whole`` tells whether none of a node's buckets was too large."""
+def buckets(classes: DataFrame) -> DataFrame:
+    """key, node, number of members and band: classes that share a band."""
     keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = _shared(keyed.select("key"), "near-dups-keys")
-    large = shared.where(F.col("members") > limit).select("key")
+    return keyed.join(_shared(keyed.select("key"), "near-dups-keys"), "key")
+
+
+def cut_buckets(placed: DataFrame, classes: DataFrame, limit: int = BUCKET) -> DataFrame:
+    """key, node and number of members: members of too large buckets share another band as well. Pairs that share no
+    other band are left to the second pass."""
+    large = materialize(placed.where(F.col("members") > limit).select("node", "band", "key"), "near-dups-large")
     if large.isEmpty():
-        return keyed.join(shared, "key").withColumn("whole", F.lit(True))
-    placed = classes.select("node", "bands", F.posexplode("bands").alias("band", "key")).join(large, "key")
-    cut = materialize(placed.select("node").distinct().withColumn("cut", F.lit(True)), "near-dups-cut")
+        return placed.select("key", "node", "members")
     # nodes of large buckets take the pair of this band and another as key
     other = lambda i: F.get("bands", (F.col("band") + i) % BANDS)
-    second = placed.select("node", F.explode(F.transform(
+    second = large.join(classes.select("node", "bands"), "node").select("node", F.explode(F.transform(
         F.sequence(F.lit(1), F.lit(SECOND)),
         lambda i: F.xxhash64(F.least("key", other(i)), F.greatest("key", other(i))))).alias("key")).distinct()
-    both = keyed.join(shared.where(F.col("members") <= limit), "key").unionByName(
-        second.join(_shared(second, "near-dups-second-keys"), "key").withColumn("band", F.lit(-1)))
-    return both.join(cut, "node", "left").withColumn("whole", F.col("cut").isNull()).drop("cut")
+    return placed.where(F.col("members") <= limit).select("key", "node", "members").unionByName(
+        second.join(_shared(second, "near-dups-second-keys"), "key"))
 
 
 def first_cells(placed: DataFrame, limit: int = BUCKET) -> DataFrame:
@@ -344,16 +346,15 @@ def first_cells(placed: DataFrame, limit: int = BUCKET) -> DataFrame:
     one_in = F.greatest(F.lit(1), (F.col("members") / PIVOTS).cast("bigint"))
     pivot = (blocks > 1) & (F.pmod(F.xxhash64("node", F.lit(5)), one_in) == 0)
     where = F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))
-    return placed.select("key", "node", "band", "whole", F.explode(where).alias("block")).select(
-        F.xxhash64("key", "block").alias("cell"), "node", "band", "whole", F.col("node").alias("component"),
-        F.lit(True).alias("asks"))
+    return placed.select("key", "node", F.explode(where).alias("block")).select(
+        F.xxhash64("key", "block").alias("cell"), "node", F.col("node").alias("component"), F.lit(True).alias("asks"))
 
 
 def second_cells(placed: DataFrame, labels: DataFrame, limit: int = BUCKET) -> DataFrame:
     """Buckets whose members are in different components: all members in blocks, and in every block those that are
     not in the bucket's commonest component, in parts of bounded size; only these ask."""
     met = materialize(placed.join(labels, "node", "left").select(
-        "key", "node", "band", "whole", F.coalesce("component", "node").alias("component")), "near-dups-met")
+        "key", "node", "band", F.coalesce("component", "node").alias("component")), "near-dups-met")
     each = met.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = materialize(each.groupBy("key").agg(
         F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members"))
@@ -362,13 +363,13 @@ def second_cells(placed: DataFrame, labels: DataFrame, limit: int = BUCKET) -> D
     blocks, parts = (F.greatest(F.lit(1), F.ceil(F.col(c) / limit)).cast("int") for c in ("members", "others"))
     rows = met.join(mixed, "key").withColumn("blocks", blocks).withColumn("parts", parts)
     block, part = (F.pmod(F.xxhash64("node", F.lit(salt)), F.col(c)).cast("int") for salt, c in ((1, "blocks"), (2, "parts")))
-    as_member = rows.select("key", "node", "band", "whole", "component", block.alias("block"),
+    as_member = rows.select("key", "node", "band", "component", block.alias("block"),
                             F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
     as_other = rows.where("component != common").select(
-        "key", "node", "band", "whole", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        "key", "node", "band", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         part.alias("part"), F.lit(True).alias("asks"))
     return as_member.unionByName(as_other).groupBy(
-        F.xxhash64("key", "block", "part").alias("cell"), "node", "band", "whole", "component").agg(F.max("asks").alias("asks"))
+        F.xxhash64("key", "block", "part").alias("cell"), "node", "band", "component").agg(F.max("asks").alias("asks"))
 
 
 def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -422,12 +423,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, limit: int = BUCKET
         every.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("set_hash").alias("node")).agg(
             F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"),
             F.first("bands").alias("bands")), "near-dups-classes")
-    placed = materialize(buckets(classes, limit), "near-dups-buckets")
+    placed = materialize(buckets(classes), "near-dups-buckets")
     signatures = classes.select("node", "n", "signature")
-    first = materialize(likely_pairs(first_cells(placed, limit).join(signatures, "node"), percent), "near-dups-first")
+    first = materialize(likely_pairs(first_cells(cut_buckets(placed, classes, limit), limit).join(signatures, "node"),
+                                     percent), "near-dups-first")
     links = materialize(verified(first, classes, docs, percent), "near-dups-verified")
     labels = components(links)
-    cells = materialize(second_cells(placed, labels, limit).join(signatures, "node"), "near-dups-cells")
+    cells = materialize(second_cells(placed, labels, limit).join(classes.select("node", "n", "signature", "bands"), "node"),
+                        "near-dups-cells")
     rest = materialize(participants(cells, percent), "near-dups-rest")
     sets = full_sets(rest.select("node").distinct(), classes, docs)
     more = materialize(links_between(cells.join(rest, ["cell", "node"]).join(sets, "node"), percent), "near-dups-more")

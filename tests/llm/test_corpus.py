@@ -93,6 +93,24 @@ def test_components_of_the_given_table(spark):
     assert found == brute_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_equal_bytes_are_no_shared_band():
+    """A pair whose bytes agree in an earlier band, but not its minima, is given in the band that it does share."""
+    bands = np.arange(2 * near_dups.BANDS, dtype=np.int64).reshape(2, -1)
+    bands[:, 7] = bands[:, 9] = -1
+    rows = {"cell": np.zeros(2, np.int64), "node": np.arange(2), "component": np.arange(2), "asks": np.ones(2, bool),
+            "n": np.full(2, 100), "signature": np.zeros((2, near_dups.PLACES), np.uint8), "bands": bands, "whole": np.ones(2, bool)}
+    found = [len(near_dups._compare(rows | {"band": np.full(2, b)}, False, near_dups.least_matches(), 75)[0]) for b in (7, 9)]
+    assert found == [1, 0]
+
+
+def test_links_of_a_large_bucket_need_no_other_band(spark, frame, monkeypatch):
+    plain, rows = near_dups.signed, families()
+    key = lambda x, i: F.when(i == 3, F.lit(1).cast("bigint")).otherwise(F.xxhash64("set_hash", i))
+    monkeypatch.setattr(near_dups, "signed", lambda docs: plain(docs).withColumn("bands", F.transform("bands", key)))
+    found = sorted((tuple(r) for r in near_dups.near_duplicates(frame(rows), limit=12).collect()), key=str)
+    assert found == brute_components(rows)
+
+
 def test_bounds_follow_the_posterior():
     strict, loose = near_dups.least_matches(1e-2), near_dups.least_matches(1e-8)
     assert len(strict) == near_dups.PLACES // near_dups.BATCH
