@@ -34,7 +34,11 @@ BASE = (
 )
 #: Kinds this operator adds; they come after the base kinds.
 ADDED = (
-    ("private", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1),
+    # through the END line; without one, to the end of the base64 block
+    ("private", re.compile(
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----|"
+        r"(?:\s++[A-Z][A-Za-z-]*+: [^\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})*+"
+        r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/]++={1,2})?)"), 0, 1),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 1),
     ("forge", re.compile(r"(?:gh[pousr]|glpat|github_pat)[_-][A-Za-z0-9_-]{20,}"), 0, 1),
     ("chat", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 1),
@@ -45,22 +49,37 @@ KINDS = {kind: i for i, (kind, *_) in enumerate(BASE + ADDED)}
 COPIED_OWNERS = 3
 # A live-looking value has at least so many distinct characters and none of these words.
 DISTINCT = 6
+# A key body so long and with so many distinct characters holds such words by chance only.
+KEY_LENGTH, KEY_DISTINCT = 64, 24
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "dummy", "sample", "redacted")
 
 
+HEADER = re.compile(r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+NO_KEY = re.compile(r"\\[nrt]|[^A-Za-z0-9+/=]")
+
+
+def key_body(found: str) -> str:
+    """What tells one private key from others, however its lines are broken; a header without a key stands for itself."""
+    return NO_KEY.sub("", HEADER.sub("", found)) or found
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(start, kind's place, end, value) of every match, by start and then kind."""
     found = []
     for kind, pattern, group, least in BASE + ADDED:
         for m in pattern.finditer(text):
             value = m.group(group)
+            if kind == "private":
+                value = key_body(value)
             if len(value) >= least:
                 found.append((m.start(), KINDS[kind], m.end(), value))
     return sorted(found)
 
 
-def looks_live(value: str) -> bool:
+def looks_live(value: str, kind: int = 0) -> bool:
     lower = value.lower()
+    if kind == KINDS["private"] and len(value) >= KEY_LENGTH and len(set(lower)) >= KEY_DISTINCT:
+        return True
     return len(set(lower)) >= DISTINCT and not any(p in lower for p in PLACEHOLDERS)
 
 
@@ -85,7 +104,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield (doc_id, source, xxhash.xxh64_intdigest(text.encode()) >> 1, *counts,
                    hashlib.sha256(span_list(base).encode()).hexdigest(), span_list([f[:3] for f in found]),
                    [span_list([f[:3]]) for f in found], [xxhash.xxh64_intdigest(f[3]) >> 1 for f in found],
-                   [looks_live(f[3]) for f in found])
+                   [looks_live(f[3], f[1]) for f in found])
 
     schema = ("doc_id bigint, repository string, text_hash bigint, n_assign bigint, n_access bigint, n_hex bigint, "
               "base_sha256 string, spans string, found array<string>, value array<bigint>, looks array<boolean>")
