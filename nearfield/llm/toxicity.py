@@ -143,19 +143,18 @@ class Scorer:
         self._kept.update(self._fixed)
 
     def _read(self, token: str) -> tuple[int, float]:
-        """Symbol and weight of a word: its own weight if it was learnt, else its longest stem's."""
+        """Symbol and weight of a word: the fixed lists come first, then its own weight if it was learnt, then its
+        longest stem's."""
         lexicon = self.model.lexicon
         weight = lexicon.get(token + "$")
         if weight is None:
             for n in sorted(STEMS, reverse=True):
                 if len(token) >= n and (weight := lexicon.get(token[:n])) is not None:
                     break
-        if token in self._fixed and weight is None:
-            found = self._fixed[token]
-        else:
-            found = (INSULT, weight) if weight is not None else (OTHER, 0.0)
+        found = (INSULT, weight) if weight is not None else (OTHER, 0.0)
         if len(self._kept) >= KEPT_WORDS:
             self._kept.clear()
+            self._kept.update(self._fixed)
         if len(token) <= 40:
             self._kept[token] = found
         return found
@@ -230,6 +229,8 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = LEAR
     counted = map_rows(single.select("text", "label"), grams, "gram string, toxic bigint, other bigint")
     ratio = ((F.col("toxic") + 0.5) / (sizes[1] + 1)) / ((F.col("other") + 0.5) / (sizes[0] + 1))
     best = (counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+            # words of the fixed lists are never read as insults
+            .where(~F.col("gram").isin([w + "$" for words in WORDS.values() for w in words.split()]))
             .where((F.col("toxic") >= max(SUPPORT, SUPPORT_SHARE * sizes[1])) & (ratio >= RATIO))
             .select("gram", F.log(ratio).alias("weight"), (F.log(ratio) * F.col("toxic")).alias("gain"))
             .orderBy(F.desc("gain"), "gram").limit(LEXICON).collect())

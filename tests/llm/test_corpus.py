@@ -196,6 +196,17 @@ def test_grammar_scores_clauses():
     assert one.clauses("idiot " * 20_000)[1] == 20_000
 
 
+def test_a_reading_does_not_depend_on_words_seen(monkeypatch):
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 200)
+    one = toxicity.Scorer(toxicity.Model({"kill$": 4.0, "murd": 3.0, "your$": 2.0, "idiot$": 4.0}, (1.0, 0.0, 0.0, 0.0, 0.0, -1.0)))
+    texts = ["they will kill you", "murder", "your kill", "you idiot"]
+    fresh = [one.clauses(t) for t in texts]
+    assert fresh[1] == ([], 1)
+    for i in range(1000):
+        one.clauses(f"word{i}")
+        assert i % 50 or [one.clauses(t) for t in texts] == fresh
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = read(spark, "documents", LARGER), read(spark, "labels", LARGER)
     held_out = fold("doc_id", 5) == 0
