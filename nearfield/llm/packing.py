@@ -94,7 +94,7 @@ class Tokens:
 
     Where the file's merges come in the order of their ids and its texts are split by the public pattern, the ids are
     those of the tiktoken library for the same byte strings, which is several times faster; otherwise the tokenizers
-    library itself is used.
+    library itself is used. The file's added tokens, such as <|endoftext|>, have their ids where texts hold them.
     """
 
     def __init__(self, path: str) -> None:
@@ -102,12 +102,12 @@ class Tokens:
             said = json.load(file)
         ranks = _ranks(said)
         if ranks is not None:
-            fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                     special_tokens={t["content"]: t["id"] for t in said.get("added_tokens") or ()})
+            self.encode = lambda text: fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
             return
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         slow = tokenizers.Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         self.encode = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
@@ -122,7 +122,12 @@ def _ranks(said: dict) -> dict[bytes, int] | None:
     vocabulary = model["vocab"]
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     order = [vocabulary[left + right] for left, right in merges]
-    special = {t["content"] for t in said.get("added_tokens") or ()}
+    added = said.get("added_tokens") or ()
+    special = {t["content"] for t in added}
+    # with options, or where one begins another, added tokens are found in ways of the library's own
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(
+            a != b and a.startswith(b) for a in special for b in special):
+        return None
     # byte-level files write a byte as a printable character: itself, or the next free one from 256 on
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(shown)))}

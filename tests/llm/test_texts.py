@@ -122,6 +122,20 @@ def test_packing_places_every_token_once(spark, odd):
         assert at <= 1024
 
 
+def test_added_tokens_have_their_ids(monkeypatch):
+    library = tokenizers.Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(7)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "  <|endoftext|>  \n<|endoftext|><|endoftext|"]
+    texts += ["".join(rng.choices(PIECES, k=rng.randint(0, 30))) for _ in range(300)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    fast = packing.Tokens(TOKENIZER).encode
+    assert [ids_of(fast(t)) for t in texts] == want
+    monkeypatch.setattr(packing, "_ranks", lambda said: None)
+    slow = packing.Tokens(TOKENIZER).encode
+    assert [ids_of(slow(t)) for t in texts] == want
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(3)
     for _ in range(200):
