@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 #: Phrases and labels that are always reported where their words stand consecutively.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: License families: label, keyword that every match holds, name as words (a regular expression), and short identifier.
+#: License families: label, keyword that every match holds, name as words (a regular expression), and short identifier
+#: if it has one of its own.
 FAMILIES = (
     ("apache-2.0", "apache", "apache(?: software)?(?: public)? license(?: version)? v?2(?: 0)?", "apache 2 0"),
     ("apache-1.1", "apache", "apache(?: software)? license(?: version)? 1 1", "apache 1 1"),
     ("apache", "apache", "apache(?: software| public)* license", "apache"),
-    ("mit", "mit", "(?:mit|expat|x11)(?: style)? license", "mit"),
+    ("mit", "mit", "mit(?: style)? license", "mit"),
+    ("mit", "expat", "expat(?: style)? license", None),
+    ("mit", "x11", "x11(?: style)? license", None),
     ("bsd-3-clause", "bsd", "(?:new |revised |modified )?bsd 3 clause|3 clause bsd|(?:new|revised|modified) bsd license", "bsd 3 clause"),
     ("bsd-2-clause", "bsd", "(?:simplified )?bsd 2 clause|2 clause bsd|simplified bsd license|freebsd license", "bsd 2 clause"),
     ("bsd", "bsd", "bsd(?: style)? license", "bsd"),
@@ -92,7 +95,7 @@ WORDINGS = (
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose", 1, 0.9),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification", 1, 0.9),
     ("gpl", "free software", "this program is free software you can redistribute it", 1, 0.9),
-    ("apache-2.0", "apache", "you may not use this file except in compliance with the license", 1, 0.9),
+    ("apache-2.0", "in compliance with", "you may not use this file except in compliance with the license", 1, 0.9),
     ("bsl-1.0", "boost", "distributed under the boost software license", 1, 0.95),
     ("zlib", "as is", "this software is provided as is without any express or implied warranty", 2, 0.6),
     ("no-warranty", "warranty", "without warranty of any kind", 3, 0.5),
@@ -105,18 +108,20 @@ WORDINGS = (
     ("reserved", "rechte", "alle rechte vorbehalten", 2, 0.6),
     ("reserved", "droits", "tous droits réservés", 2, 0.6),
     ("reserved", "derechos", "todos los derechos reservados", 2, 0.6),
-    ("reserved", "rights", "some rights reserved|no part of this (?:work|publication|book) may be reproduced", 2, 0.6),
+    ("reserved", "rights", "some rights reserved", 2, 0.6),
+    ("reserved", "no part of this", "no part of this (?:work|publication|book) may be reproduced", 2, 0.6),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", 3, 0.4),
     ("copyright", "copyright", "copyright (?:by|of|holders?|notice)", 3, 0.3),
-    ("gpl", "lizenz", "gnu general public lizenz|unter der gpl", 2, 0.8),
-    ("cc-by", "lizenz", "creative commons (?:namensnennung|lizenz)", 2, 0.8),
+    ("gpl", "lizenz", "gnu general public lizenz", 2, 0.8),
+    ("gpl", "gpl", "unter der gpl", 2, 0.8),
+    ("cc-by", "creative commons", "creative commons (?:namensnennung|lizenz)", 2, 0.8),
     ("cc", "licence", "licence creative commons", 2, 0.8),
     ("cc", "licencia", "licencia creative commons", 2, 0.8),
 )
 #: Some general word stands in every text that any rule can match.
 GENERAL = ("licen", "lizenz", "right", "recht", "droit", "derecho", "permi", "free", "public", "commons", "spdx", "cc0",
            "cc by", "wtfpl", "gpl", "bsd", "boost", "redistribution", "warrant", "proprietary", "unauthorized", "as is",
-           "org licenses")
+           "org licenses", "no part of this")
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -126,6 +131,8 @@ def rules() -> dict[str, list[tuple[str, str, int, float]]]:
     found: dict[str, list[tuple[str, str, int, float]]] = {}
     for label, keyword, name, short in FAMILIES:
         for pattern, priority, confidence in TEMPLATES:
+            if short is None and "{id}" in pattern:
+                continue
             # an identifier or address holds the short form, which need not hold the family's keyword
             key = short.split(" ")[0] if "{id}" in pattern else keyword
             found.setdefault(key, []).append((pattern.format(name=name, id=short), label, priority, confidence))

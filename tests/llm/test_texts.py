@@ -297,6 +297,10 @@ def test_license_base_equals_brute_force(spark, frame, odd):
     ("GNU Lesser General Public License", "gpl,lgpl", 1),
     ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa", 1),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit", 1),
+    ("No part of this book may be reproduced.", "reserved", 1),
+    ("steht unter der GPL", "gpl", 1), ("Creative Commons Namensnennung", "cc-by", 1),
+    ("under the Expat License", "mit", 1), ("X11 license", "mit", 1),
+    ("you may not use this file except in compliance with the License", "apache-2.0", 1),
     ("an apache helicopter and a permit", "", 0),
     ("Copyright (c) 2020 Someone. All rights reserved.", "copyright,reserved", 2),
 ])
@@ -305,6 +309,33 @@ def test_license_rules(frame, text, labels, n):
     assert (row.labels, row.n_matches) == (labels, n)
 
 
+def examples(parsed):
+    """Texts that a parsed expression matches: every branch, with and without what is optional."""
+    found = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            own = [chr(value)]
+        elif kind == "BRANCH":
+            own = [e for branch in value[1] for e in examples(branch)]
+        elif kind == "SUBPATTERN":
+            own = examples(value[3])
+        elif kind == "MAX_REPEAT":
+            own = [e * n for n in {value[0], max(value[0], 1)} for e in examples(value[2])]
+        else:
+            own = ["1" if str(value[0][0]) == "RANGE" else "x" if str(value[0][0]) == "CATEGORY" else chr(value[0][1])]
+        found = list(dict.fromkeys(a + b for a in found for b in own))
+    return found
+
+
+def test_every_match_of_a_rule_passes_its_gates():
+    for keyword, own in licenses.rules().items():
+        for pattern, *_ in own:
+            made = examples(re._parser.parse(pattern))
+            assert re.fullmatch(pattern, made[0])
+            assert all(keyword in e and any(g in e for g in licenses.GENERAL) for e in made), (keyword, pattern)
+
+
 def test_license_plan_has_no_python(frame):
     plan = licenses.scan(frame([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
