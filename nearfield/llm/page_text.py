@@ -5,6 +5,7 @@ lower it, so menus are thin and running text is dense. The sum of the densities
 dense blocks stand side by side: that node holds the article. The least density on the path from it to the body is
 the threshold by which ancestors are taken in as well. Parts that are no article by their markup (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are cut out before anything is counted.
+A form, or a part hidden for its name, that holds the article or most of the page's text is not.
 
 A null page counts as empty and gives an empty text. Repeated rows give repeated results.
 """
@@ -42,6 +43,8 @@ SIBLINGS = {
     "tr": (frozenset(["tr"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "option": (frozenset(["option"]), frozenset(["select"])),
 }
+#: Elements whose id is often made from their text: only a whole name marks them.
+HEADED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 HOLDS = frozenset(["article", "main", "body"])
 #: Words in class, id, role or data-role that mark a part as no article.
 NO_ARTICLE = frozenset(
@@ -75,6 +78,9 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
         self.by_name: set[int] = set()
+        # hidden parts that may hold most of the page's text
+        self.doubtful: list[Node] = []
+        self.has_article = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
@@ -88,9 +94,12 @@ class Tree(HTMLParser):
             self._close(*SIBLINGS[tag])
         node = Node(tag, self.at, tag in NO_TEXT or _no_article(tag, attrs, self.at))
         self.at.children.append(node)
-        if node.hidden and tag not in NO_TEXT and not _marks(attrs) & NEVER_ARTICLE:
+        if node.hidden and (tag == "form" or tag not in NO_TEXT) and not _marks(attrs) & NEVER_ARTICLE:
             self.by_name.add(id(node))
+            if not _unseen(attrs):
+                self.doubtful.append(node)
         if tag in ("article", "main") and not node.hidden:
+            self.has_article = True
             # a part that holds the article is hidden for no name it has
             above = self.at
             while above is not None:
@@ -138,10 +147,31 @@ class Tree(HTMLParser):
             self.at = node.parent
 
 
-def _marks(attrs: list) -> set[str]:
-    """Words of the names given to an element that mark it as no article."""
-    names = " ".join(v for n, v in attrs if v and n in ("class", "id", "role", "data-role")).lower()
-    return NO_ARTICLE.intersection(WORDS.findall(ABOUT_PAGE.sub(" ", names))) if names else set()
+def _marks(attrs: list, whole: tuple[str, ...] = ()) -> set[str]:
+    """Words of the names given to an element that mark it as no article; of names in the attributes ``whole`` only
+    those that have no other words."""
+    found: set[str] = set()
+    for n, v in attrs:
+        if v and n in ("class", "id", "role", "data-role"):
+            names = ABOUT_PAGE.sub(" ", v.lower())
+            for words in map(WORDS.findall, names.split() if n in whole else [names]):
+                marks = NO_ARTICLE.intersection(words)
+                if n not in whole or len(marks) == len(set(words)):
+                    found |= marks
+    return found
+
+
+def _within_article(node: Node | None) -> bool:
+    while node is not None:
+        if node.tag in ("article", "main"):
+            return True
+        node = node.parent
+    return False
+
+
+def _unseen(attrs: list) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true"
+               or name == "style" and value and "display:none" in value.replace(" ", "").lower() for name, value in attrs)
 
 
 def _no_article(tag: str, attrs: list, parent: Node | None) -> bool:
@@ -149,38 +179,50 @@ def _no_article(tag: str, attrs: list, parent: Node | None) -> bool:
         return False
     marks = _marks(attrs)
     if tag == "article":
-        return bool(marks & NEVER_ARTICLE)
+        return bool(marks and _marks(attrs, ("id",)) & NEVER_ARTICLE)
     if tag == "header" or marks == {"header"}:
         # a header within an article holds its title
-        while parent is not None:
-            if parent.tag in ("article", "main"):
-                return False
-            parent = parent.parent
-        return True
-    if marks:
-        return True
-    for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+        return not _within_article(parent)
+    if marks and (tag in HEADED or _within_article(parent)):
+        marks = _marks(attrs, ("class", "id"))
+    return bool(marks) or _unseen(attrs)
 
 
 def parse(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    if tree.doubtful:
+        _reveal(tree)
     return tree.root
 
 
-def _in_order(root: Node) -> list[Node]:
-    """Visible nodes, parents before children, without recursion."""
+def _reveal(tree: Tree) -> None:
+    """Shows forms that hold more text outside of links than all that is visible; on pages without an article, so do
+    parts hidden for their names."""
+    if not any(n.hidden and (n.tag == "form" or not tree.has_article) for n in tree.doubtful):
+        return
+    doubtful = {id(n) for n in tree.doubtful if n.tag == "form" or not tree.has_article}
+    visible = sum(len("".join(c.split())) for n in _in_order(tree.root, links=False) for c in n.children if isinstance(c, str))
+    nodes, todo, held = [], [tree.root], {}
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo.extend(c for c in node.children if not isinstance(c, str) and c.tag != "a")
+    for node in reversed(nodes):
+        own = sum(len("".join(c.split())) if isinstance(c, str) else held.get(id(c), 0) for c in node.children)
+        if node.hidden and id(node) in doubtful and own > visible:
+            node.hidden = False
+        held[id(node)] = 0 if node.hidden else own
+
+
+def _in_order(root: Node, links: bool = True) -> list[Node]:
+    """Visible nodes, parents before children, without recursion; without those in links unless ``links``."""
     found, todo = [], [root]
     while todo:
         node = todo.pop()
         found.append(node)
-        todo.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.hidden)
+        todo.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.hidden and (links or c.tag != "a"))
     return found
 
 

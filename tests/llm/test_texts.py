@@ -161,6 +161,22 @@ def test_a_file_with_other_rules_uses_the_library():
 # -- pages -------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<form><input value=x><div><article><p>The story.</p></article></div></form>", "The story."),
+    ("<body><form id=aspnetForm><div class=menu>a</div><p>Long text of the page.</p><p>More of it.</p></form><p>tail</p></body>",
+     "Long text of the page.\nMore of it."),
+    ("<article><h2 id=search-results>Found</h2><section id='related-work'><p>Others did.</p></section><p id=share-of-votes>Votes."
+     "</p><div id=banner-design>Banners</div><div class='social-share'>tell</div><div class='share'>share</div></article>",
+     "Found\nOthers did.\nVotes.\nBanners"),
+    ("<body><div id='banner-design'><p>The whole text of a page.</p></div><p>end</p></body>", "The whole text of a page.\nend"),
+    ("<body><main><p>Story text here.</p><form>mail <input></form></main></body>", "Story text here."),
+    ("<body><div id=comments><p>A long comment about it all.</p></div><p>Story.</p></body>", "Story."),
+    ("<article id='post-the-ads-we-love'><p>Story.</p></article>", "Story."),
+])
+def test_parts_that_hold_the_article_are_not_hidden(html, text):
+    assert page_text.main_text(html) == text
+
+
 @pytest.mark.parametrize("html, text", [
     ("", ""), (None, ""), ("plain words", "plain words"), ("<p>a &amp; b&#33;</p>", "a & b!"),
     ("<body><nav><a href=1>menu</a></nav><div class=ad>buy</div><article><h1>T</h1><p><b>One\n two<br><p>Three</article>"
