@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.tasks import map_rows, text_rows
+from nearfield.llm.tasks import map_rows, text_rows, unused
 from nearfield.operators.joins import rows_with_keys, rows_without_keys
 from nearfield.session import materialize
 
@@ -415,8 +415,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, limit: int = BUCKET) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def judged(docs: DataFrame, percent: int = PERCENT, limit: int = BUCKET) -> DataFrame:
+    """doc_id, n, set_hash, component and its least doc_id of every row; the latter two are null for rows that take no
+    part. Components that have the same least doc_id are told apart by ``component``."""
     every = materialize(signed(docs), "near-dups-signed")
     # node names a class: the hash of its set
     classes = materialize(
@@ -439,24 +440,48 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, limit: int = BUCKET
     labelled = materialize(classes.select("node", "doc_id").join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component")), "near-dups-labelled")
     least = materialize(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-dups-least")
-    by_set = materialize(labelled.join(least, "component").select(F.col("node").alias("set_hash"), "component_id"),
-                         "near-dups-components")
-    found = every.select("doc_id", "n", "set_hash").join(by_set, "set_hash", "left")
+    by_set = materialize(labelled.join(least, "component").select(F.col("node").alias("set_hash"), "component",
+                                                                    "component_id"), "near-dups-components")
+    return every.select("doc_id", "n", "set_hash").join(by_set, "set_hash", "left")
+
+
+def _with_kept(found: DataFrame) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, limit: int = BUCKET) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return _with_kept(judged(docs, percent, limit))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of every group of near duplicates, the one with the least doc_id.
 
-    Rows that share both id and text are one document and stay once.
+    Rows that share both id and text are one document and stay once. Rows that share an id but not a text stay or go by
+    their own texts; of several in one group under its least id, one stays.
     """
-    dropped = materialize(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-dups-dropped")
+    found = materialize(judged(docs), "near-dups-judged")
+    dropped = materialize(_with_kept(found).where(~F.col("kept")).select("doc_id").distinct(), "near-dups-dropped")
     kept = rows_without_keys(docs, dropped, ["doc_id"])
     repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"),
                            "near-dups-repeated")
     if repeated.isEmpty():
         return kept
-    return rows_without_keys(kept, repeated, ["doc_id"]).unionByName(
-        rows_with_keys(kept, repeated, ["doc_id"]).dropDuplicates(["doc_id", "text"]))
+    _hash, _least = unused(docs.columns, "set_hash"), unused(docs.columns, "least_text")
+
+    @F.udf("bigint", useArrow=True)
+    def hash_of(text):
+        own = runs(text or "")
+        return set_hash(own) if len(own) else None
+
+    # only rows with repeated ids are read as sets again
+    rows = rows_with_keys(docs, repeated, ["doc_id"]).withColumn(_hash, hash_of(F.col("text").cast("string")))
+    empty = rows.where(F.col(_hash).isNull())
+    chosen = found.where("doc_id = component_id").groupBy("component").agg(
+        F.min("doc_id").alias("doc_id"), F.min("set_hash").alias(_hash)).drop("component")
+    least = rows.join(chosen, ["doc_id", _hash], "left_semi").groupBy("doc_id", _hash).agg(F.min("text").alias(_least))
+    alone = rows.join(least, ["doc_id", _hash]).where(F.col("text") == F.col(_least))
+    both = alone.select(*docs.columns).unionByName(empty.select(*docs.columns))
+    return rows_without_keys(kept, repeated, ["doc_id"]).unionByName(both.dropDuplicates(["doc_id", "text"]))

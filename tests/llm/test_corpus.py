@@ -136,6 +136,15 @@ def test_one_of_each_keeps_columns_and_one_row(spark, frame):
         ("1", "a b c d e f"), ("3", "other words entirely"), ("None", "x"), ("None", "x")]
 
 
+def test_rows_with_one_id_stay_by_their_own_texts(frame):
+    copy = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, copy), (2, copy + " end"), (2, "a text that nobody else has"), (3, copy.upper()), (1, copy + " more"), (1, "another one of its own"),
+            (4, ""), (4, " "), (4, "")]
+    found = sorted((r.doc_id, r.text) for r in near_dups.one_of_each(frame(rows)).collect())
+    assert found[2:] == [(2, "a text that nobody else has"), (4, ""), (4, " ")]
+    assert found[0] == (1, "another one of its own") and found[1] in [(1, copy), (1, copy + " more")]
+
+
 # -- nearest neighbours ------------------------------------------------------
 
 
