@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import (
-    byte_bpe, fingerprints, licenses, near_dups, packing, page_text, quality, secrets, toxicity, vantage,
+    byte_bpe, fill_middle, fingerprints, licenses, line_dedup, near_dups, packing, page_text, quality, secrets, toxicity,
+    vantage,
 )
 from nearfield.llm.tasks import fold
 
@@ -67,10 +68,61 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restored(F.col("output"), F.col("form"))
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                         F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_byte_bpe, op2_near_dups, op3_toxicity, op4_packing, op5_secrets, op6_vantage, op7_licenses,
-        op8_fingerprints, op9_quality, op10_page_text,
+        op8_fingerprints, op9_quality, op10_page_text, op11_line_dedup, op13_fill_middle,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS position
+            FROM documents),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines),
+        common AS (
+            SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (c.key IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN common c USING (key) GROUP BY doc_id""",
+    "op13_fill_middle": r"""
+        WITH units AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS parts
+            FROM documents),
+        drawn AS (
+            SELECT doc_id, text, parts, len(parts) AS n,
+                   ('0x' || digest[1:8])::BIGINT % (len(parts) + 1) AS one, ('0x' || digest[9:16])::BIGINT % (len(parts) + 1) AS two,
+                   ('0x' || digest[17:24])::BIGINT % 100 AS whether, ('0x' || digest[25:32])::BIGINT % 100 AS which
+            FROM units),
+        cut AS (
+            SELECT doc_id, text, n, array_to_string(parts[1:least(one, two)], '') AS prefix,
+                   array_to_string(parts[least(one, two) + 1:greatest(one, two)], '') AS middle,
+                   array_to_string(parts[greatest(one, two) + 1:], '') AS suffix,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                             OR whether >= 50 THEN 'plain'
+                        WHEN which < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                      ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM cut""",
+}
