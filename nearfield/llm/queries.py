@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import (
-    byte_bpe, fill_middle, fingerprints, licenses, line_dedup, near_dups, packing, page_text, quality, secrets, toxicity,
-    vantage,
+    byte_bpe, fill_middle, fingerprints, hard_negatives, licenses, line_dedup, near_dups, packing, page_text, quality,
+    secrets, toxicity, vantage,
 )
 from nearfield.llm.tasks import fold
 
@@ -73,6 +73,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     formed = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     restored = fill_middle.restored(F.col("output"), F.col("form"))
@@ -83,7 +89,8 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_byte_bpe, op2_near_dups, op3_toxicity, op4_packing, op5_secrets, op6_vantage, op7_licenses,
-        op8_fingerprints, op9_quality, op10_page_text, op11_line_dedup, op13_fill_middle,
+        op8_fingerprints, op9_quality, op10_page_text, op11_line_dedup, op12_hard_negatives,
+        op13_fill_middle,
     )
 }
 SQL: dict[str, str] = {
@@ -101,6 +108,25 @@ SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (c.key IS NULL), '')) AS kept_sha256
         FROM keyed LEFT JOIN common c USING (key) GROUP BY doc_id""",
+    "op12_hard_negatives": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+            FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
     "op13_fill_middle": r"""
         WITH units AS (
             SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest,
