@@ -2,12 +2,14 @@
 
 For every node of the page's tree the density is its characters per tag, adjusted by links: link text and link tags
 lower it, so menus are thin and running text is dense. The sum of the densities of a node's children is highest where
-dense blocks stand side by side: that node holds the article. The least density on the path from it to the body is
-the threshold by which ancestors are taken in as well. Parts that are no article by their markup (menus, headers,
+dense blocks stand side by side: that node is the article, or its innermost part if sums are equal. The least density
+on the path from it to the body is the threshold that parts beside the path must reach to be taken in as well; an
+element called article or main on that path is taken whole. Parts that are no article by their markup (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are cut out before anything is counted.
 A form, or a part hidden for its name, that holds the article or most of the page's text is not.
 
-A null page counts as empty and gives an empty text. Repeated rows give repeated results.
+A null page counts as empty and gives an empty text, pages may be of any length, a null page_id stays null. Repeated
+rows give repeated results; an empty table gives no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -45,6 +47,14 @@ SIBLINGS = {
 }
 #: Elements whose id is often made from their text: only a whole name marks them.
 HEADED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADINGS = HEADED - {"p"}
+#: Elements of running text, however short.
+RUNNING = HEADED | frozenset("blockquote pre ol dl figure figcaption hr br details summary".split())
+#: Elements that are a part of running text and never hold an article.
+WITHIN_TEXT = HEADED | frozenset(
+    "a abbr b bdi bdo big br cite code del dfn em font hr i ins kbd label mark q s samp small span strike strong sub sup "
+    "time tt u var".split()
+)
 HOLDS = frozenset(["article", "main", "body"])
 #: Words in class, id, role or data-role that mark a part as no article.
 NO_ARTICLE = frozenset(
@@ -59,16 +69,19 @@ NEVER_ARTICLE = frozenset("comment comments commentlist disqus related replies s
 ABOUT_PAGE = re.compile(r"\b(?:has|have|with|without|no|is|not)[-_][\w-]*")
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+#: How a line about rights begins, at the foot of a page.
+IMPRINT = re.compile(r"©|\(c\)|copyright\b|impressum\b|imprint\b", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "hidden", "chars", "link_chars", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "hidden", "chars", "link_chars", "tags", "link_tags", "density", "sum", "blocks")
 
     def __init__(self, tag: str, parent: Node | None, hidden: bool = False) -> None:
         self.tag, self.parent, self.hidden = tag, parent, hidden
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.blocks = False
 
 
 class Tree(HTMLParser):
@@ -238,6 +251,7 @@ def measure(root: Node) -> list[Node]:
                 node.link_chars += child.link_chars
                 node.tags += child.tags + 1
                 node.link_tags += child.link_tags + (child.tag == "a")
+                node.blocks |= child.blocks or child.tag in BLOCKS and child.tag != "br"
         if node.tag == "a":
             node.link_chars = node.chars
     body = max(root.chars, 1)
@@ -265,33 +279,100 @@ def composite_density(chars: int, link_chars: int, tags: int, link_tags: int, li
 
 
 def main_node(root: Node) -> Node | None:
-    """The node whose children's densities sum to most, widened to ancestors at least as dense as the path's threshold."""
+    """The node to take text from: the article around the densest node, or else the body with what is no content hidden.
+
+    The node whose children's densities sum to most is content. The least density on its path to the body is the
+    threshold that other parts beside the path must reach.
+    """
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    inside = [n for n in nodes if n.chars]
-    if not inside:
+    if not root.chars:
         return None
-    best = max(inside, key=lambda n: n.sum)
-    path, node = [], best
-    while node is not None and node is not body and node is not root:
-        path.append(node)
+    inside = [n for n in nodes if n.chars and n.tag not in WITHIN_TEXT] or [body]
+    # of equal sums the innermost: what is around it adds nothing
+    best = inside[0]
+    for node in inside:
+        if node.sum > best.sum or node.sum == best.sum and _above(node, best):
+            best = node
+    path, node = [best], best
+    while node is not body and node.parent is not None:
         node = node.parent
-    threshold = min((n.density for n in path), default=0.0)
-    chosen = best
+        path.append(node)
     for node in path:
-        parent = node.parent
-        if node.tag in ("article", "main"):
-            chosen = node
-        elif parent is not None and parent is not body and parent is not root and node.tag not in HOLDS and (
-                parent.density >= threshold):
-            chosen = parent
-    # an article whose dense part is one of several sections is taken whole
-    node = chosen
-    while node is not None and node is not body:
+        # an article whose dense part is one of several sections is taken whole
         if node.tag in ("article", "main"):
             return node
+    threshold = min(n.density for n in path)
+    for node, inner in zip(path, [None, *path]):
+        _keep_content(node, inner, threshold, root)
+    return path[-1]
+
+
+def _above(node: Node, other: Node) -> bool:
+    """Whether ``other`` holds ``node``."""
+    while node.parent is not None:
         node = node.parent
-    return chosen
+        if node is other:
+            return True
+    return False
+
+
+def _pieces(node: Node) -> list[list[int]]:
+    """Places of the children that belong together: a block each, and runs of text with the elements within them."""
+    pieces: list[list[int]] = []
+    running = False
+    for at, child in enumerate(node.children):
+        if not isinstance(child, str) and child.hidden:
+            continue
+        block = not isinstance(child, str) and (child.tag in BLOCKS or child.blocks)
+        if block or not running:
+            pieces.append([at])
+        else:
+            pieces[-1].append(at)
+        running = not block
+    return pieces
+
+
+def _text(pieces: list[Node | str]) -> str:
+    return "".join(c for n in pieces for c in ([n] if isinstance(n, str) else [
+        x for inner in _in_order(n) for x in inner.children if isinstance(x, str)])).strip()
+
+
+def _keep_content(node: Node, inner: Node | None, threshold: float, root: Node) -> None:
+    """Empties the pieces of a node before its first and behind its last piece of content.
+
+    Above the densest node (``inner`` is the path's next node then) a piece is content if its density reaches the
+    threshold and it is no line about rights, or if it is a heading right before content; what lies between must not be
+    mostly links. In the densest node itself all kinds of running text are content.
+    """
+    pieces = _pieces(node)
+    good, linked = [], []
+    for places in pieces:
+        own = [node.children[at] for at in places]
+        first = own[0] if not isinstance(own[0], str) else None
+        chars = sum(len("".join(c.split())) if isinstance(c, str) else c.chars for c in own)
+        links = sum(c.link_chars for c in own if not isinstance(c, str))
+        tags = sum(c.tags + 1 for c in own if not isinstance(c, str)) if len(own) > 1 or first is None else first.tags
+        link_tags = sum(c.link_tags + (c.tag == "a") for c in own if not isinstance(c, str))
+        density = composite_density(chars, links, tags, link_tags, root.link_chars / max(root.chars, 1), max(root.chars, 1))
+        running = inner is None and first is not None and first.tag in RUNNING and 2 * links <= chars
+        imprint = not running and chars < 500 and IMPRINT.match(_text(own))
+        good.append(chars > 0 and (first is not None and first is inner or running or density >= threshold and not imprint))
+        linked.append(2 * links > chars)
+    for at in range(len(pieces) - 2, -1, -1):
+        child = node.children[pieces[at][0]]
+        if not isinstance(child, str) and child.tag in HEADINGS and good[at + 1] and not linked[at]:
+            good[at] = True
+    kept = [at for at, one in enumerate(good) if one]
+    for at, places in enumerate(pieces):
+        if kept and kept[0] <= at <= kept[-1] and (good[at] or inner is None or not linked[at]):
+            continue
+        for place in places:
+            child = node.children[place]
+            if isinstance(child, str):
+                node.children[place] = ""
+            else:
+                child.hidden = True
 
 
 def text_of(node: Node) -> str:

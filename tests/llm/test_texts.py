@@ -203,6 +203,38 @@ def test_main_text(spark, html, text):
     assert (row.page_id, row.url, row.text, row.n_chars) == (1, "u", text, len(text))
 
 
+STORY = "<p>A long story with many words about things that happened.</p><p>It goes on for quite a while here.</p><p>Yes.</p>"
+TOLD = "A long story with many words about things that happened.\nIt goes on for quite a while here.\nYes."
+LINKS = "<div><a href=1>Home</a> <a href=2>About us</a> <a href=3>Contact</a></div>"
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<body><div id=wrap>{LINKS}<div>{STORY}</div></div></body>", TOLD),
+    (f"<body><div><div>{LINKS}<div><h1>Title</h1><div>{STORY}</div></div><div>Terms</div></div></div></body>", "Title\n" + TOLD),
+    (f"<body><table><tr><td>{LINKS}</td><td>{STORY}</td></tr><tr><td colspan=2>Imprint Terms</td></tr></table></body>", TOLD),
+    (f"<body><div>{LINKS}<div>{STORY}</div><div>&copy; 2020 Someone at some place, all of these rights are reserved</div></div></body>", TOLD),
+    (f"<body><div>{LINKS}<div>One long text that stands in a part of its own, without paragraphs.</div><div>Terms</div></div></body>",
+     "One long text that stands in a part of its own, without paragraphs."),
+    (f"<body><div><h1>Title</h1>{LINKS}<div>{STORY}</div></div></body>", TOLD),
+    ("<body>" + "<span>" * 3000 + f"<div>{STORY}</div></body>", TOLD),
+])
+def test_wrapped_pages_without_telling_tags(html, text):
+    assert page_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("before, after", [("", ""), ("<div id=wrap>", "</div>"), ("<table><tr><td>", "</td></tr></table>")])
+def test_density_finds_the_article_that_no_tag_names(spark, before, after):
+    """The given pages with article, nav and main as plain divs, bare or wrapped, give the same text."""
+    for p in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:article|nav|main)\b", r"<\1div", p.html)
+        assert page_text.main_text(plain.replace("<body>", f"<body>{before}").replace("</body>", f"{after}</body>")) == (
+            page_text.main_text(p.html)), p.page_id
+
+
+def test_no_pages(spark):
+    assert page_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
 def test_pages_of_the_given_table(spark):
     import html as entities
 
