@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -94,6 +95,21 @@ def test_encoded_table_decodes(spark, frame):
 # -- packing -----------------------------------------------------------------
 
 
+def test_long_runs_of_white_space(frame):
+    """Runs that the faster library gives up on, within a text and at its ends."""
+    library = tokenizers.Tokenizer.from_file(TOKENIZER)
+    texts = [" " * 2_000_000, "a" + "\t" * 1_200_000 + "b c", "\n" * 10_000 + "x", " " * 9_999 + "x" + " " * 300, "y" + "\u2003" * 12_000]
+    for row in packing.pack(frame(list(enumerate(texts))), TOKENIZER, 1 << 22).collect():
+        want = library.encode(texts[row.doc_id], add_special_tokens=False).ids + [0]
+        assert (row.length, row.ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
+def test_no_documents_and_clashing_columns(frame):
+    assert packing.pack(frame([]).limit(0), TOKENIZER).collect() == []
+    docs = frame([(1, "one two")]).select("*", *[F.lit("x").alias(n) for n in ("start", "length", "Offset", "sequence_id")])
+    assert [(r.doc_id, r.start, r.offset) for r in packing.pack(docs, TOKENIZER).collect()] == [(1, 0, 0)]
+
+
 def test_packing_places_every_token_once(spark, odd):
     docs = documents(spark).unionByName(odd)
     library = tokenizers.Tokenizer.from_file(TOKENIZER)
