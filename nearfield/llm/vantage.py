@@ -31,8 +31,10 @@ FACTOR = 0.9
 # Vectors of a shard and queries of a block, about: they bound the memory of a group.
 SHARD_ROWS, BLOCK_ROWS = 8192, 2048
 LEAF = 128
-# Scores are compared at this many digits when neighbours are chosen, so that equal vectors tie wherever they stand.
-DIGITS = 12
+# Share of the longest possible score that a sum's order may change, and that of a distance: far more than rounding.
+SLACK, FAR_SLACK = 1e-12, 1e-7
+# Pairs whose scores are summed at a time.
+PAIRS = 1 << 16
 
 
 class Tree:
@@ -94,14 +96,17 @@ class Tree:
         return np.sqrt(np.maximum(2 * self.longest**2 - 2 * products, 0))
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Per query the places of its nearest vectors and their rounded products; places -1 where there are fewer."""
+        """Per query the places of its nearest vectors and their scores; places -1 where there are fewer."""
         return _Search(self, ids, queries.astype(np.float64), k, factor).run()
 
 
 class _Search:
     def __init__(self, tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> None:
         self.tree, self.ids, self.queries, self.k, self.factor = tree, ids, queries, k, factor
-        self.lengths = (queries * queries).sum(1) + tree.longest**2
+        squares = (queries * queries).sum(1)
+        self.lengths = squares + tree.longest**2
+        self.slack = SLACK * np.sqrt(squares) * tree.longest
+        self.far_slack = FAR_SLACK * np.sqrt(self.lengths)
         self.scores = np.full((len(queries), k), -np.inf)
         self.places = np.full((len(queries), k), -1, dtype=np.int64)
 
@@ -110,7 +115,7 @@ class _Search:
         while todo:
             node, active, least = todo.pop()
             if least is not None:
-                keep = least <= self.factor * self._worst(active) + 1e-9
+                keep = least <= self.factor * self._worst(active) + self.far_slack[active]
                 active = active[keep]
             if not len(active):
                 continue
@@ -142,9 +147,15 @@ class _Search:
     def _offer(self, active: np.ndarray, members: np.ndarray) -> np.ndarray:
         """Keep the best of what is held and the members; gives the distances to the members."""
         products = self.queries[active] @ self.tree.vectors[members].astype(np.float64).T
-        scores = np.round(products, DIGITS)
-        scores[self.ids[active][:, None] == self.tree.ids[members][None, :]] = -np.inf
-        better = scores.max(1) >= self.scores[active, -1]
+        own = self.ids[active][:, None] == self.tree.ids[members][None, :]
+        # a product that may belong to the best is summed in one order, so that equal vectors tie wherever they stand
+        possible = ~own & (products >= (self.scores[active, -1] - self.slack[active])[:, None])
+        scores = np.full(products.shape, -np.inf)
+        rows, columns = np.nonzero(possible)
+        for start in range(0, len(rows), PAIRS):
+            r, c = rows[start : start + PAIRS], columns[start : start + PAIRS]
+            scores[r, c] = inner_products(self.queries[active[r]], self.tree.vectors[members[c]])
+        better = possible.any(1)
         if better.any():
             rows = active[better]
             all_scores = np.hstack([self.scores[rows], scores[better]])
@@ -157,6 +168,11 @@ class _Search:
         return np.sqrt(np.maximum(self.lengths[active][:, None] - 2 * products, 0))
 
 
+def inner_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Row by row in double precision, always summed in the same order."""
+    return np.add.reduce(left.astype(np.float64) * right.astype(np.float64), axis=1)
+
+
 def taking_part(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, embedding and its length (dim) of the vectors that take part, one row per id."""
     v = F.col("embedding")
@@ -203,11 +219,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FA
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for tree in map(Tree.of_state, map(pickle.loads, _bytes(left))):
             for ids, found in map(pickle.loads, _bytes(right)):
-                places, _ = tree.search(ids, found, k, factor)
+                places, scores = tree.search(ids, found, k, factor)
                 at, column = np.nonzero(places >= 0)
-                chosen = places[at, column]
-                exact = np.add.reduce(found[at].astype(np.float64) * tree.vectors[chosen].astype(np.float64), axis=1)
-                for part, values in zip(out, (ids[at], tree.ids[chosen], exact)):
+                for part, values in zip(out, (ids[at], tree.ids[places[at, column]], scores[at, column])):
                     part.append(values)
         return pa.table({n: np.concatenate(p) for n, p in zip(("query_id", "vec_id", "score"), out)})
 

@@ -174,6 +174,24 @@ def test_exact_factor_gives_the_nearest(spark, monkeypatch):
             assert found == want
 
 
+@pytest.mark.parametrize("scale", [1e-9, 1e-4, 1e9, None])
+def test_factor_one_is_exact_whatever_the_lengths(spark, monkeypatch, scale):
+    """Vectors much shorter or longer than 1, of lengths that differ by 18 orders, of several dimensions, and copies."""
+    monkeypatch.setattr(vantage, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vantage, "LEAF", 8)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i, r in enumerate(read(spark, "embeddings").limit(400).collect()):
+        own = scale or 10.0 ** int(rng.integers(-9, 10))
+        rows.append((r.vec_id, [own * x for x in r.embedding[: 64 if i % 10 else 16]]))
+    rows += [(1000 + i, rows[i % 3][1]) for i in range(60)]
+    found = defaultdict(list)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for r in sorted(vantage.nearest(table, F.col("vec_id") % 20 == 0, factor=1.0).collect(), key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append(r.vec_id)
+    assert found == {q: ids for q, ids in brute_nearest(rows).items() if ids}
+
+
 def test_vectors_that_take_no_part_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]),
             (None, [1.0, 1.0]), (6, [2.0, 0.0]), (7, [2.0, 0.0]), (8, [-1.0, 0.0]), (8, [-1.0, 0.0]), (20, [1.0, 0.0, 0.0]),
