@@ -41,6 +41,20 @@ def literal_keys(rows: list, key: list[str]) -> Column:
     return condition
 
 
+def pushed_keys(rows: list, key: list[str], at_once: int = 10) -> Column:
+    """As ``literal_keys``, in short lists: the Parquet reader tests these value by value and can skip pages."""
+    if not rows:
+        return F.lit(False)
+    condition = F.lit(True)
+    for name in key:
+        values = sorted({r[name] for r in rows})
+        some = F.lit(False)
+        for start in range(0, len(values), at_once):
+            some = some | quoted(name).isin(values[start : start + at_once])
+        condition = condition & some
+    return condition
+
+
 def rows_with_keys(wide: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``wide`` whose key is in ``keys``."""
     keys = keys.select(*[quoted(c) for c in key])

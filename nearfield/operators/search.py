@@ -14,8 +14,9 @@ from nearfield.errors import InvalidFilterError, NearfieldError
 from nearfield.functions import text as X
 from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted
-from nearfield.operators.joins import LITERAL_KEYS, fits_broadcast, literal_keys
+from nearfield.operators.joins import LITERAL_KEYS, fits_broadcast, literal_keys, pushed_keys
 from nearfield.operators.topk import SIMILARITY, best_of, by_similarity, nearest, similarities
+from nearfield.session import materialize
 
 logger = logging.getLogger(__name__)
 
@@ -23,6 +24,8 @@ logger = logging.getLogger(__name__)
 LIMIT = 10
 SIMILARITY_DIGITS = 4
 CONTENT_WIDTH = 500
+# Vectors compared in full for each one wanted, after a scan of codes, and how many at most; beyond, all are.
+RERANKED, MOST_RERANKED = 8, 4000
 
 
 def filter_condition(df: DataFrame, filters: Mapping[str, object]) -> Column | None:
@@ -67,11 +70,21 @@ def escaped_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+@dataclass(frozen=True)
+class Winners:
+    """Keys and similarities of the best rows, and their number; as rows too if they are few."""
+
+    best: DataFrame
+    count: int
+    rows: list | None = None
+
+
 @dataclass(frozen=True)
 class Searchable:
     """A source table and its vectors, joined on the real key columns.
 
-    ``lookup`` reads only the stored vectors that may have one of a few given keys.
+    ``lookup`` reads only the stored vectors that may have one of a few given keys. With ``decode``, vectors
+    have a code that stands for them roughly; codes are ranked first and only the best vectors in full.
     """
 
     source: DataFrame
@@ -80,6 +93,7 @@ class Searchable:
     columns: list[str]
     chunked: bool = False
     lookup: Callable[[DataFrame], DataFrame] | None = None
+    decode: Callable[[Column], Column] | None = None
 
     def search(
         self,
@@ -91,20 +105,36 @@ class Searchable:
         """Best rows with their content, similarity and remaining source columns.
 
         Chunked tables return the text of the best chunk as content. Filters act before ranking, and
-        a vector whose source row is gone never takes a place in the result.
+        a vector whose source row is gone never takes a place in the result. Winners are found at once,
+        their rows are read when the result is.
         """
+        return self.with_rows(self.winners(query, limit, filters, dims), limit)
+
+    def winners(
+        self, query: Sequence[float], limit: int, filters: Mapping[str, object] | None = None, dims: int | None = None
+    ) -> Winners:
+        """Keys and similarities of the best rows."""
         if limit < 1:
             raise NearfieldError(f"the number of results must be positive, got {limit}")
         query = V.check_query(query, dims)
         best = self._winners(query, limit, filter_condition(self.source, filters or {}))
-        source, vectors = self.source, self.vectors
+        spark = best.sparkSession
         if limit <= LITERAL_KEYS:
             rows = best.collect()
-            best = source.sparkSession.createDataFrame(rows, best.schema)
-            near = literal_keys(rows, self.key)
+            return Winners(spark.createDataFrame(rows, best.schema), len(rows), rows)
+        best = materialize(best, "winners")
+        return Winners(best, best.count())
+
+    def with_rows(self, winners: Winners, limit: int) -> DataFrame:
+        """The winners' source rows, best first."""
+        source, vectors, best = self.source, self.vectors, winners.best
+        if winners.rows is not None:
+            near = literal_keys(winners.rows, self.key)
             source = source.where(near)
             if self.chunked:
                 vectors = (self.lookup(best) if self.lookup else vectors).where(near)
+        elif self.chunked and self.lookup:
+            vectors = self.lookup(best)
         key = [quoted(c) for c in self.key]
         own = ["row_id", "content", SIMILARITY, *(["chunk_index"] if self.chunked else [])]
         rest = [c for c in source.columns if c not in {*self.key, *own, "embedding"}]
@@ -124,7 +154,13 @@ class Searchable:
         )
 
     def _nearest(self, vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
-        return nearest(vectors, self.key, query, k, part="chunk_index" if self.chunked else None)
+        part = "chunk_index" if self.chunked else None
+        if self.decode is not None and RERANKED * k <= MOST_RERANKED:
+            # the codes alone are read first, then the vectors that look best
+            coded = vectors.withColumn("embedding", self.decode(F.col("code")))
+            rows = nearest(coded, self.key, query, RERANKED * k, part=part).collect()
+            vectors = vectors.where(pushed_keys(rows, self.key))
+        return nearest(vectors, self.key, query, k, part=part)
 
     def _winners(self, query: Sequence[float], limit: int, condition: Column | None) -> DataFrame:
         """Key, similarity [and chunk number] of the best rows that exist and pass the filter.
@@ -161,12 +197,13 @@ def shaped(results: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TaggedTable:
-    """One table of a search across tables."""
+    """One table of a search across tables; ``find`` is its own way to search, if not all vectors."""
 
     name: str
     schema: str
     model: str
     table: Searchable
+    find: Callable[[Sequence[float]], DataFrame] | None = None
 
 
 def search_all(
@@ -183,7 +220,7 @@ def search_all(
         if query is None:
             logger.warning("no provider for model %s, leaving out table %s", tagged.model, tagged.name)
             continue
-        found = tagged.table.search(query, limit)
+        found = tagged.find(query) if tagged.find else tagged.table.search(query, limit)
         common = ["row_id", "content", SIMILARITY, "chunk_index"]
         rest = [c for c in found.columns if c not in common]
         one = found.select(

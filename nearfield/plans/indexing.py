@@ -181,6 +181,10 @@ def migrate_table(
         raise NearfieldError(f"{table} already uses model {model_key}")
     model.embed_query("test")  # the model must answer with the dimensions it declares
     written = _embed_beside(spark, entry, model, steps)
+    lists = entry.embeddings(spark).lists()
+    if lists.count() and lists.current() is None and entry.embeddings(spark).snapshot().live:
+        # lists of the old model's vectors say nothing about the new ones
+        lists.build(lists.count())
     entry.model, entry.model_name, entry.dims, entry.storage = model.key, model.model_name, model.dims, "external"
     if registry_path is not None:
         registry.save(spark, registry_path)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.errors import NearfieldError
 from nearfield.functions.embedders import Models
-from nearfield.operators import ann
 from nearfield.operators.search import LIMIT, Searchable, TaggedTable, search_all
 from nearfield.registry import Registry, TableEntry
 from nearfield.sources import files
@@ -31,24 +30,33 @@ def searchable(spark: SparkSession, entry: TableEntry, snap: Snapshot | None = N
     )
 
 
-def build_lists(spark: SparkSession, entry: TableEntry, lists: int) -> None:
-    """Lists for approximate search of the table as it is now; build them again after larger changes."""
-    table = entry.embeddings(spark)
-    snap = table.snapshot()
-    key = [*entry.primary_key, *(["chunk_index"] if entry.chunked else [])]
-    ann.build_lists(table.read(snap.version), key, table.lists_path(snap.version), lists)
+def build_lists(spark: SparkSession, entry: TableEntry, lists: int, code_bytes: int | None = None) -> None:
+    """Lists for approximate search. Every later write of the table keeps them, also a migration.
+
+    Codes of ``code_bytes`` bytes are scanned before vectors; 0 means that vectors of the probed lists are scanned.
+    """
+    entry.embeddings(spark).lists().build(lists, code_bytes=code_bytes)
 
 
-def _near(spark: SparkSession, entry: TableEntry, snap: Snapshot, vector: list[float], probes: int | None) -> Searchable:
-    """All vectors of the snapshot, or those of the probed lists if this very snapshot has lists."""
-    one = searchable(spark, entry, snap)
-    if probes is None:
-        return one
-    path = entry.embeddings(spark).lists_path(snap.version)
-    if not files.exists(spark, path):
-        logger.warning("%s has changed since its lists were built, searching all of it", entry.table)
-        return one
-    return replace(one, vectors=ann.probed(spark, path, vector, probes))
+def _found(
+    spark: SparkSession, entry: TableEntry, snap: Snapshot, vector: list[float], limit: int, filters: Mapping[str, object] | None,
+    probes: int | None,
+) -> DataFrame:
+    """Search one snapshot; with ``probes`` the closest lists, twice as many until enough rows are found."""
+    one, lists = searchable(spark, entry, snap), entry.embeddings(spark).lists()
+    build = lists.current(snap) if probes is not None else None
+    if build is None:
+        if probes is not None:
+            logger.warning("%s has no lists, searching all of it", entry.table)
+        return one.search(vector, limit, filters, snap.dims)
+    while True:
+        near = replace(one, vectors=lists.probed(snap, build, vector, probes))
+        if build.coded and probes < build.lists:
+            near = replace(near, decode=lists.quantizer(build).decoded)
+        winners = near.winners(vector, limit, filters, snap.dims)
+        if probes >= build.lists or winners.count >= limit:
+            return near.with_rows(winners, limit)
+        probes *= 2
 
 
 def search(
@@ -64,9 +72,9 @@ def search(
 ) -> DataFrame:
     """One table if named, with filters if given; otherwise all registered tables.
 
-    With ``probes`` only so many lists of vectors are read, the closest ones, where lists have been built
-    since the table last changed; else all vectors are. The model is the one each table's vectors are of
-    now, also when the registry was saved before a migration.
+    With ``probes`` only so many lists of vectors are read, the closest ones, where a table has lists; if fewer rows than
+    ``limit`` pass the filters there, more lists are. Probing all lists is exact. The model is the one each table's
+    vectors are of now, also when the registry was saved before a migration.
     """
     if not query.strip():
         raise NearfieldError("the query text is empty")
@@ -74,7 +82,7 @@ def search(
         entry = registry.require(table, schema)
         snap = entry.embeddings(spark).snapshot()
         vector = models.get(snap.model).embed_query(query)
-        return _near(spark, entry, snap, vector, probes).search(vector, limit, filters, snap.dims)
+        return _found(spark, entry, snap, vector, limit, filters, probes)
     if filters:
         raise NearfieldError("filters need a table")
     entries = [(e, e.embeddings(spark).snapshot()) for e in registry.entries if schema in (None, e.schema)]
@@ -84,8 +92,8 @@ def search(
         if (model := models.provided(key)) is not None
     }
     tagged = [
-        TaggedTable(e.table, e.schema, snap.model, _near(spark, e, snap, vectors[snap.model], probes)
-                    if snap.model in vectors else searchable(spark, e, snap))
+        TaggedTable(e.table, e.schema, snap.model, searchable(spark, e, snap), lambda query, e=e, snap=snap: _found(
+            spark, e, snap, query, limit, None, probes))
         for e, snap in entries
     ]
     found = search_all(tagged, vectors, limit)

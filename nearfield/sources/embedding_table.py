@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted, row_id
 from nearfield.operators.joins import BROADCAST_BYTES, BROADCAST_KEYS, key_count
 from nearfield.sources import files
+from nearfield.sources.vector_lists import VectorLists
 
 
 # Merges kept as folders of their own before they are joined into one.
@@ -144,9 +145,9 @@ class EmbeddingTable:
             version = versions[-1]
         return Snapshot(**json.loads(files.read_text(self.spark, f"{self.path}/_snapshots/{version}.json")))
 
-    def lists_path(self, version: int) -> str:
-        """Where the lists for approximate search of one snapshot stand, if they were built."""
-        return f"{self.path}/_lists/{version}"
+    def lists(self) -> VectorLists:
+        """The lists for approximate search, which every write of this table keeps up to date."""
+        return VectorLists(self)
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete folders that none of the newest ``keep`` snapshots uses. Not beside a writer."""
@@ -163,7 +164,7 @@ class EmbeddingTable:
             files.delete(self.spark, f"{self.path}/{name}")
         for version in versions[:-keep]:
             files.delete(self.spark, f"{self.path}/_snapshots/{version}.json")
-            files.delete(self.spark, self.lists_path(version))
+        self.lists().vacuum({n.removeprefix("gen=") for n in used})
         return unused
 
     # -- shape ---------------------------------------------------------------
@@ -216,6 +217,11 @@ class EmbeddingTable:
         self, snap: Snapshot, live: dict[str, dict], only: list[int] | None = None, pending: list[dict] | None = None
     ) -> DataFrame:
         """Live rows of some generations, with their bucket."""
+        rows = self.generations(snap, live, only)
+        return self._without_dead(snap, rows, live, snap.pending if pending is None else pending).drop("gen")
+
+    def generations(self, snap: Snapshot, live: dict[str, dict], only: list[int] | None = None) -> DataFrame:
+        """Rows of some generations as they were written, dead ones too, with their bucket and generation."""
         wanted = {
             gen: sorted(set(one["buckets"]) if only is None else set(one["buckets"]) & set(only))
             for gen, one in live.items()
@@ -223,24 +229,38 @@ class EmbeddingTable:
         wanted = {gen: buckets for gen, buckets in wanted.items() if buckets}
         layout = self.schema(snap).add("gen", T.StringType()).add("bucket", T.IntegerType())
         if not wanted:
-            return self.spark.createDataFrame([], layout).drop("gen")
+            return self.spark.createDataFrame([], layout)
         rows = (
             self.spark.read.schema(layout)
             .option("basePath", self.path)
             .parquet(*[f"{self.path}/gen={gen}" for gen in wanted])
         )
         # partition columns only, so Spark prunes folders before it lists files
-        keep = None
+        return rows.where(self._in_buckets(snap, wanted))
+
+    def alive(self, snap: Snapshot, rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` (with key, bucket and generation, stored elsewhere) that the table has in this snapshot."""
+        live = {gen: one for gen, one in snap.live.items() if one["buckets"]}
+        if not live:
+            return rows.limit(0)
+        rows = rows.where(self._in_buckets(snap, {gen: one["buckets"] for gen, one in live.items()}))
+        return self._without_dead(snap, rows, live, snap.pending)
+
+    @staticmethod
+    def _in_buckets(snap: Snapshot, wanted: dict[str, list[int]]) -> Column:
+        keep = F.lit(False)
         for gen, buckets in wanted.items():
             one = F.col("gen") == gen
             if len(buckets) < snap.buckets:
                 one = one & F.col("bucket").isin(buckets)
-            keep = one if keep is None else keep | one
-        rows = rows.where(keep)
-        pending = snap.pending if pending is None else pending
-        if pending and min(live[gen]["order"] for gen in wanted) < max(p["order"] for p in pending):
+            keep = keep | one
+        return keep
+
+    def _without_dead(self, snap: Snapshot, rows: DataFrame, live: dict[str, dict], pending: list[dict]) -> DataFrame:
+        """Rows (with their generation) without those that a later pending set holds the key of."""
+        if pending and live and min(one["order"] for one in live.values()) < max(p["order"] for p in pending):
             key = self.key_schema(snap).fieldNames()
-            orders = F.create_map(*[F.lit(x) for gen in wanted for x in (gen, live[gen]["order"])])
+            orders = F.create_map(*[F.lit(x) for gen, one in live.items() for x in (gen, one["order"])])
             same = orders[F.col("gen")] < F.col("_order")
             for i, name in enumerate(key):
                 same = same & (quoted(name) == F.col(f"_{i}"))
@@ -253,7 +273,7 @@ class EmbeddingTable:
                     rows = rows.join(F.broadcast(named(self._dead(snap, group))), same, "left_anti")
             else:
                 rows = rows.join(named(self._dead(snap, [(p, 0, 1) for p in pending])), same, "left_anti")
-        return rows.drop("gen")
+        return rows
 
     def _dead(self, snap: Snapshot, pending: list[tuple[dict, int, int]]) -> DataFrame:
         """Keys of the pending sets, or of one part of them, each with the order up to which it kills rows."""
@@ -453,10 +473,14 @@ class EmbeddingTable:
             if changed is None:
                 return snap
             try:
-                return self._publish(self._after(snap, **changed))
+                after = self._publish(self._after(snap, **changed))
             except CommitConflictError:
                 if self.snapshot().version == snap.version:
                     raise
+                continue
+            if not after.live.keys() <= snap.live.keys():
+                self.lists().follow()
+            return after
 
     def _check_model(self, expected: str, given: str | None) -> None:
         if given is not None and given != expected:

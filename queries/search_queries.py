@@ -15,6 +15,7 @@ from nearfield.plans.indexing import index_table, migrate_table
 from nearfield.plans.text_search import build_lists, search
 from nearfield.registry import Registry
 from nearfield.session import materialize, scratch_path
+from nearfield.sources.embedding_table import EmbeddingTable
 from queries import query
 from queries.sqlparts import chunks, hash_slots, text_similarity
 
@@ -321,6 +322,49 @@ def ann_given_centroids(load):
     return rounded(ann.probe(load.spark, path, ["vec_id"], first_vector(load), 10, probes=3))
 
 
+NOW_VECTORS = """
+    now AS (SELECT vec_id, CASE WHEN label = 3 THEN list_reverse(embedding) ELSE embedding END::DOUBLE[] AS v
+            FROM embeddings WHERE label IS DISTINCT FROM 4)"""
+
+
+@query("ann_after_changes", f"""
+    WITH {NOW_VECTORS},
+    parts AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    means AS (SELECT label, i, avg(x) AS c FROM parts GROUP BY label, i),
+    centers AS (SELECT label, list(c ORDER BY i) AS center, sum(c * c) / 2 AS half FROM means GROUP BY label),
+    near AS (SELECT vec_id, v, c.label AS list_id, row_number() OVER (PARTITION BY vec_id ORDER BY
+                 round(list_dot_product(v, c.center) / sqrt(list_dot_product(v, v)) - c.half, 12) DESC, c.label) AS n
+             FROM now CROSS JOIN centers c),
+    probed AS (SELECT a.label AS asked, a.center AS q, c.label FROM centers a CROSS JOIN centers c WHERE a.label < 4
+               QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY
+                   list_dot_product(a.center, c.center) / sqrt(2 * a.half) - c.half DESC) <= 3)
+    SELECT asked, vec_id, round(list_cosine_similarity(v, q), 4) AS similarity
+    FROM near JOIN probed ON near.n = 1 AND near.list_id = probed.label
+    QUALIFY row_number() OVER (PARTITION BY asked ORDER BY round(list_cosine_similarity(v, q), 12) DESC, vec_id) <= 10""")
+def ann_after_changes(load):
+    """Lists are built once; then rows are replaced, deleted and added, and three lists are probed for several vectors."""
+    vectors = load("embeddings")
+    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    centers = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("c")).orderBy("label").collect()
+    table = EmbeddingTable.create(
+        load.spark, scratch_path(load.spark, "changing"), vectors.select("vec_id").schema, "given", "given",
+        len(first_vector(load)), "embedding", buckets=4)
+    table.append(vectors.where("NOT label <=> 5").select("vec_id", "embedding"))
+    build = table.lists().build(len(centers), centroids=[[p["c"] for p in r["c"]] for r in centers])
+    table.merge(vectors.where("label = 3").select("vec_id", F.reverse("embedding").alias("embedding")))
+    table.merge(deletes=vectors.where("label = 4").select("vec_id"))
+    table.append(vectors.where("label = 5").select("vec_id", "embedding"))
+    snap = table.snapshot()
+    found = None
+    for label, row in enumerate(centers[:4]):
+        query = [p["c"] for p in row["c"]]
+        one = topk.nearest(table.lists().probed(snap, build, query, probes=3), ["vec_id"], query, 10)
+        one = one.select(F.lit(label).alias("asked"), "*")
+        found = one if found is None else found.unionByName(one)
+    return rounded(found)
+
+
 @query("search_probed", f"""
     SELECT CAST(d.doc_id AS VARCHAR) AS row_id, d.lang, round(s.similarity, 4) AS similarity
     FROM documents d JOIN ({text_similarity("documents", "doc_id", "text", FIRST_BENCHMARK)}) s USING (doc_id)

@@ -11,11 +11,13 @@ from nearfield.errors import DimensionMismatchError, InvalidFilterError, Nearfie
 from nearfield.functions.embedders import hash_embedder
 from nearfield.operators import ann, joins, topk
 from nearfield.operators.search import Searchable, TaggedTable, escaped_pattern, search_all, shaped
-from nearfield.plans.indexing import embed_rows, index_table
+from nearfield.operators import search as searching
+from nearfield.plans.indexing import embed_rows, index_table, migrate_table, reindex_table
 from nearfield.plans.setup import apply_table
-from nearfield.plans.text_search import search
+from nearfield.plans.text_search import build_lists, search
 from nearfield.registry import Registry
-from nearfield.sources import results
+from nearfield.sources import files, results
+from nearfield.sources.vector_lists import VectorLists
 
 HOT = [1.0 if i == 1 else 0.01 for i in range(384)]
 FLAT = [0.1] * 384
@@ -288,33 +290,145 @@ class TestApproximate:
         plan = ann.probe(spark, path, ["id"], HOT, 3, probes=1)._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"list_id#\d+ (=|IN)", plan)
 
-    @pytest.mark.parametrize("chunked", [False, True])
-    def test_search_entry_uses_lists_until_the_table_changes(self, spark, models, tmp_path, chunked, caplog):
-        from nearfield.plans.indexing import index_table
-        from nearfield.plans.setup import apply_table
-        from nearfield.plans.text_search import build_lists, search
-        from nearfield.registry import Registry
-
-        path, registry = str(tmp_path / "docs"), Registry()
-        rows = [(i, f"subject {i % 7} item {i} " * 3, i % 2) for i in range(80)]
-        spark.createDataFrame(rows, "id bigint, body string, kind int").write.parquet(path)
-        entry = apply_table(spark, registry, models, table="docs", source=path, root=str(tmp_path / "emb"), primary_key=["id"],
-                            column="body", model="hash-64", buckets=2, chunked=chunked, chunk_words=4, chunk_overlap=1)
-        index_table(spark, entry, models)
-        exact = search(spark, registry, models, "subject 3 item 10", "docs", {"kind": 0}).collect()
-        build_lists(spark, entry, 5)
-        assert search(spark, registry, models, "subject 3 item 10", "docs", {"kind": 0}, probes=5).collect() == exact
-        some = search(spark, registry, models, "subject 3 item 10", probes=1).collect()
-        assert some[0]["row_id"] == exact[0]["row_id"] and "since its lists" not in caplog.text
-        entry.embeddings(spark).merge(deletes=spark.createDataFrame([(int(exact[0]["row_id"]),)], "id bigint"))
-        after = search(spark, registry, models, "subject 3 item 10", "docs", {"kind": 0}, probes=5).collect()
-        assert exact[0]["row_id"] not in [r["row_id"] for r in after] and "since its lists" in caplog.text
+    def test_codes_stand_for_vectors(self, spark):
+        rng = np.random.default_rng(3)
+        points = rng.normal(size=(2000, 32))
+        df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(5000, [0.0] * 32)],
+                                   "id bigint, embedding array<float>")
+        quantizer = ann.fit(df, 4, code_bytes=16)
+        placed = df.withColumn("place", quantizer.place(F.col("embedding"))).withColumn("back", quantizer.decoded(F.col("place.code")))
+        rows = {r["id"]: r for r in placed.collect()}
+        assert rows[5000]["place"]["code"] is None and not any(rows[5000]["back"]) and rows[5000]["place"]["list_id"] == 0
+        likeness = [np.dot(rows[i]["back"], p) / np.linalg.norm(p) / np.linalg.norm(rows[i]["back"]) for i, p in enumerate(points)]
+        assert len(rows[0]["place"]["code"]) == 16 and np.mean(likeness) > 0.9
 
     def test_no_vectors(self, spark, tmp_path, product_vectors):
         with pytest.raises(NearfieldError):
             ann.build_lists(product_vectors.where("id < 0"), ["id"], str(tmp_path / "lists"), lists=2)
 
 
+@pytest.fixture
+def indexed(request, spark, models, tmp_path):
+    """A registered table of 80 rows, embedded, and what searches it."""
+    path, registry = str(tmp_path / "docs"), Registry()
+    rows = [(i, f"subject {i % 7} item {i} " * 3, i % 2) for i in range(80)]
+    spark.createDataFrame(rows, "id bigint, body string, kind int").write.parquet(path)
+    entry = apply_table(spark, registry, models, table="docs", source=path, root=str(tmp_path / "emb"), primary_key=["id"],
+                        column="body", model="hash-64", buckets=2, chunked=request.param, chunk_words=4, chunk_overlap=1)
+    index_table(spark, entry, models)
+    return entry, registry
+
+
+WHOLE = pytest.mark.parametrize("indexed", [False], indirect=True, ids=["whole"])
+
+
+class TestListsThatFollowTheirTable:
+    def built(self, spark, entry):
+        lists = entry.embeddings(spark).lists()
+        build = lists.current()
+        return build, set(files.names(spark, f"{lists.root}/{build.name}/done")) if build else set()
+
+    def ask(self, spark, models, registry, **more):
+
+        return search(spark, registry, models, "subject 3 item 10", "docs", **more).collect()
+
+    def change(self, spark, models, entry, keys):
+        rows = spark.createDataFrame([(k, f"subject {k} was changed to item 10") for k in keys], "id bigint, body string")
+        entry.embeddings(spark).merge(embed_rows(rows, ["id"], ["body"], models.get("hash-64"), chunked=entry.chunked,
+                                                 max_words=entry.chunk_words, overlap=entry.chunk_overlap))
+
+    @pytest.mark.parametrize("indexed", [True], indirect=True, ids=["chunked"])
+    def test_every_write_keeps_them(self, spark, models, indexed, caplog):
+        entry, registry = indexed
+        build_lists(spark, entry, 3)
+        build, before = self.built(spark, entry)
+        table = entry.embeddings(spark)
+        for write in (
+            lambda: self.change(spark, models, entry, [3, 10, 24]),
+            lambda: table.merge(deletes=spark.createDataFrame([(17,), (31,)], "id bigint")),
+            table.fold, table.compact,
+        ):
+            write()
+            now, placed = self.built(spark, entry)
+            assert now == build and set(table.snapshot().live) <= {m.split(".")[0] for m in placed}
+            # what was placed before stays as it is
+            assert before <= placed
+            before = placed
+            assert self.ask(spark, models, registry, probes=3) == self.ask(spark, models, registry)
+        reindex_table(spark, entry, models)
+        assert self.ask(spark, models, registry, filters={"kind": 1}, probes=3) == self.ask(spark, models, registry, filters={"kind": 1})
+        assert "searching all" not in caplog.text
+
+    @WHOLE
+    def test_rows_that_are_not_placed_yet_are_found(self, spark, models, indexed, monkeypatch):
+        entry, registry = indexed
+        build_lists(spark, entry, 3)
+        with monkeypatch.context() as patch:
+            patch.setattr(VectorLists, "follow", lambda self: None)
+            self.change(spark, models, entry, [3, 10, 99])
+        assert self.ask(spark, models, registry, probes=3) == self.ask(spark, models, registry)
+        some = self.ask(spark, models, registry, limit=3, probes=1)
+        entry.embeddings(spark).lists().follow()
+        assert self.ask(spark, models, registry, limit=3, probes=1) == some
+
+    @WHOLE
+    def test_build_that_broke_off_is_not_read_and_can_be_repeated(self, spark, models, indexed, monkeypatch, caplog):
+        entry, registry = indexed
+        with monkeypatch.context() as patch:
+            patch.setattr(VectorLists, "_place", lambda *arguments: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                build_lists(spark, entry, 5)
+        assert self.built(spark, entry)[0] is None
+        exact = self.ask(spark, models, registry)
+        assert self.ask(spark, models, registry, probes=1) == exact and "has no lists" in caplog.text
+        for lists in (3, 2):
+            build_lists(spark, entry, lists)
+            assert self.built(spark, entry)[0].lists == lists
+            assert self.ask(spark, models, registry, probes=lists) == exact
+
+    @WHOLE
+    def test_too_few_rows_widen_the_search(self, spark, models, indexed):
+        entry, registry = indexed
+        build_lists(spark, entry, 8)
+        assert len(self.ask(spark, models, registry, limit=40, probes=1)) == 40
+        assert len(self.ask(spark, models, registry, limit=30, filters={"kind": 1}, probes=1)) == 30
+        assert len(self.ask(spark, models, registry, filters={"id_min": 76}, limit=30, probes=1)) == 4
+
+    @WHOLE
+    def test_codes_are_read_before_vectors(self, spark, models, indexed, monkeypatch):
+        entry, registry = indexed
+        build_lists(spark, entry, 2)
+        plans, plain = [], searching.nearest
+        monkeypatch.setattr(searching, "nearest", lambda v, *a, **k: plans.append(
+            v.select(*a[0], "embedding")._jdf.queryExecution().executedPlan().toString()) or plain(v, *a, **k))
+        assert self.ask(spark, models, registry, limit=2, probes=1)
+        schemas = [re.findall(r"ReadSchema: struct<([^\n]*)>", p) for p in plans[:2]]
+        assert all("code" in x and "embedding" not in x for x in schemas[0])
+        assert all("embedding" in x for x in schemas[1]) and "PushedFilters: [" in plans[1] and re.search(r"In\(id|EqualTo\(id", plans[1])
+
+    @WHOLE
+    def test_migration_builds_them_for_the_new_model(self, spark, models, indexed):
+        entry, registry = indexed
+        build_lists(spark, entry, 4)
+        migrate_table(spark, registry, "docs", "hash-128", models)
+        assert (self.built(spark, entry)[0].model, self.built(spark, entry)[0].lists) == ("hash-128", 4)
+        assert self.ask(spark, models, registry, probes=4) == self.ask(spark, models, registry)
+
+    @WHOLE
+    def test_vacuum_keeps_the_current_build(self, spark, models, indexed):
+        entry, registry = indexed
+        build_lists(spark, entry, 4)
+        build_lists(spark, entry, 5)
+        for key in (1, 2, 3):
+            self.change(spark, models, entry, [key])
+        entry.embeddings(spark).fold()
+        entry.embeddings(spark).vacuum(keep=1)
+        lists = entry.embeddings(spark).lists()
+        assert set(files.names(spark, lists.root)) == {lists.current().name, "current.json"}
+        assert {m.split(".")[0] for m in self.built(spark, entry)[1]} == set(entry.embeddings(spark).snapshot().live)
+        assert self.ask(spark, models, registry, probes=5) == self.ask(spark, models, registry)
+
+
 class TestResults:
     def test_json(self, table, spark):
         best = table.search(HOT, 1).select("row_id", "similarity")
@@ -335,7 +449,6 @@ class TestResults:
 
 def test_embedding_runs_once_per_text(spark, tmp_path):
     """Filters on the result must not make Spark call the model a second time."""
-    from nearfield.functions.embedders import Embedder
 
     log = str(tmp_path / "texts")
 
@@ -363,7 +476,6 @@ def test_hash_model_finds_shared_words(spark, products):
 @pytest.mark.parametrize("chunked", [False, True])
 def test_large_filters_move_no_vectors(spark, monkeypatch, chunked):
     """With more allowed keys than are broadcast, one scan scores all vectors and only keys and scores meet the rest."""
-    from nearfield.operators import search as module
 
     rng = np.random.default_rng(9)
     rows = [(i // 2 if chunked else i, i % 2, f"part {i}", [float(x) for x in rng.normal(size=6)]) for i in range(300)]
