@@ -175,7 +175,7 @@ def queue_depth(jobs: DataFrame) -> DataFrame:
 
 
 def worker_health(heartbeats: DataFrame, now) -> DataFrame:
-    """Latest state per worker from its appended heartbeats, most recent first.
+    """Latest state per worker from its heartbeats, most recent first.
 
     A worker is one run of a stream, so that uptime does not span restarts.
     """

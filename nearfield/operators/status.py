@@ -20,19 +20,20 @@ COLUMNS = (
 
 
 def table_status(spark: SparkSession, entry: TableEntry) -> DataFrame:
-    """One row: counts and coverage of one table."""
+    """One row: counts and coverage of one table, all of one snapshot; its model is the one the snapshot names."""
     table = entry.embeddings(spark)
-    counts = coverage(entry.rows(spark), table.read(), entry.primary_key, entry.columns)
+    snap = table.snapshot()
+    counts = coverage(entry.rows(spark), table.read(snap.version), entry.primary_key, entry.columns)
     return counts.select(
         F.lit(entry.table).alias("table_name"),
         F.lit(entry.schema).alias("table_schema"),
-        F.lit(entry.model).alias("model"),
+        F.lit(snap.model).alias("model"),
         F.lit(entry.storage).alias("storage"),
         F.lit(entry.applied_at).alias("applied_at"),
         "embedded",
         "total",
         "coverage_pct",
-        F.lit(table.snapshot().staged is not None).alias("migrating"),
+        F.lit(snap.staged is not None).alias("migrating"),
         F.lit(None).cast("string").alias("error"),
     )
 

@@ -353,6 +353,9 @@ class EmbeddingTable:
         if gone:
             keys = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
             entry |= self._write_keys(start, keys.distinct().withColumn("_order", F.lit(None).cast("int")))
+        if not touched and not entry.get("keys"):
+            # nothing to change: no snapshot, so whatever was built for this one stays current
+            return start
 
         def change(snap: Snapshot) -> dict | None:
             if stream is not None and snap.batches.get(stream, -1) >= batch_id:

@@ -8,21 +8,25 @@ changes nothing. Changes are replayed from the checkpoint, never claimed and los
 from __future__ import annotations
 
 import datetime
+import json
 import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from nearfield.functions.embedders import Models
 from nearfield.functions.text import quoted
-from nearfield.operators.jobs import FAILED, HEARTBEAT_SECONDS, POLL_MILLISECONDS, coalesce_changes, operation_of
+from nearfield.operators.jobs import (
+    FAILED, HEALTH_SCHEMA, HEARTBEAT_SECONDS, POLL_MILLISECONDS, coalesce_changes, operation_of,
+)
 from nearfield.operators.joins import rows_with_keys
 from nearfield.plans.indexing import embed_rows
 from nearfield.registry import TableEntry
 from nearfield.session import materialize
+from nearfield.sources import files
 
 
 def apply_changes(
@@ -58,6 +62,8 @@ def apply_changes(
     try:
         wanted = jobs.where(F.col("operation") != "DELETE").select(*[quoted(c) for c in key])
         touched = jobs.count()
+        if not touched:
+            return 0
         # a micro-batch is usually small next to its source, but that is checked, not assumed
         rows = rows_with_keys(entry.rows(spark), wanted, key)
         upserts = embed_rows(
@@ -105,6 +111,7 @@ class ChangeSync:
         self.worker_id = f"{self.name}:{uuid.uuid4().hex[:8]}"
         self.started_at = datetime.datetime.now(datetime.timezone.utc)
         self._last_beat = 0.0
+        self._processed = 0
 
     def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; safe to run again with the same number."""
@@ -120,20 +127,31 @@ class ChangeSync:
         query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
         stream = f"{self.name}:{query_id}"
         folder = f"query={query_id or 'none'}/batch={batch_id}"
+        wanted = {number: self._is_for(entry, batch) for number, entry in enumerate(self.entries)}
+        known = F.coalesce(F.col("table_name").isin([e.table for e in self.entries]), F.lit(False))
+        # one look at the batch, one row: tables without a change are not touched at all
+        found = batch.agg(
+            F.max(~known).alias("lost"), *[F.max(F.coalesce(c, F.lit(False))).alias(f"t{n}") for n, c in wanted.items()]
+        ).first()
         processed = 0
-        for number, entry in enumerate(self.entries):
-            mine = batch.where(F.col("table_name") == entry.table)
-            if "table_schema" in batch.columns:
-                mine = mine.where(F.coalesce(F.col("table_schema") == entry.schema, F.lit(True)))
-            letters = self._letters(f"{folder}/table={number}")
-            processed += apply_changes(spark, entry, self.models, mine, stream=stream, batch_id=batch_id, dead_letters=letters)
+        for number, condition in wanted.items():
+            if found[f"t{number}"]:
+                letters = self._letters(f"{folder}/table={number}")
+                processed += apply_changes(
+                    spark, self.entries[number], self.models, batch.where(condition), stream=stream, batch_id=batch_id,
+                    dead_letters=letters)
         letters = self._letters(f"{folder}/table=none")
-        if letters is not None:
-            known = [e.table for e in self.entries]
-            lost = batch.where(~F.coalesce(F.col("table_name").isin(known), F.lit(False)))
-            letters(lost.withColumn("error_msg", F.lit("table is not registered")))
+        if letters is not None and found["lost"]:
+            letters(batch.where(~known).withColumn("error_msg", F.lit("table is not registered")))
         self.beat(processed)
 
+    @staticmethod
+    def _is_for(entry: TableEntry, batch: DataFrame) -> Column:
+        mine = F.col("table_name") == entry.table
+        if "table_schema" in batch.columns:
+            mine = mine & F.coalesce(F.col("table_schema") == entry.schema, F.lit(True))
+        return mine
+
     def _letters(self, folder: str) -> Callable[[DataFrame], None] | None:
         if self.dead_letter_path is None:
             return None
@@ -148,16 +166,18 @@ class ChangeSync:
         return write
 
     def beat(self, processed: int) -> None:
-        """Append one heartbeat of this run."""
+        """Replace the one row of this run: its last heartbeat and all that it has processed."""
         if self.health_path is None:
             return
         self._last_beat = time.monotonic()
-        self.spark.range(1).select(
-            F.lit(self.worker_id).alias("worker_id"),
-            F.current_timestamp().alias("last_heartbeat"),
-            F.lit(processed).cast("bigint").alias("jobs_processed"),
-            F.lit(self.started_at).alias("started_at"),
-        ).write.mode("append").parquet(self.health_path)
+        self._processed += processed
+        row = {
+            "worker_id": self.worker_id, "last_heartbeat": datetime.datetime.now(datetime.timezone.utc).isoformat(),
+            "jobs_processed": self._processed, "started_at": self.started_at.isoformat(),
+        }
+        # names of files may not hold a colon everywhere
+        path = f"{self.health_path}/{self.worker_id.replace(':', '-')}.json"
+        files.write_text(self.spark, path, json.dumps(row) + "\n", replace=True)
 
     def beat_if_due(self) -> None:
         if time.monotonic() - self._last_beat >= HEARTBEAT_SECONDS:
@@ -182,6 +202,11 @@ class ChangeSync:
         return query
 
 
+def heartbeats(spark: SparkSession, health_path: str) -> DataFrame:
+    """One row per run of a stream, for ``worker_health``."""
+    return spark.read.schema(HEALTH_SCHEMA).option("pathGlobFilter", "*.json").json(health_path)
+
+
 class _IdleBeats(StreamingQueryListener):
     """Heartbeats of one run while it has nothing to do."""
 

@@ -367,6 +367,32 @@ def sync_stream(load):
     return squares(entry.embeddings(load.spark).read(), "doc_id")
 
 
+@query("sync_two_tables", f"""
+    WITH last AS (SELECT user_id AS doc_id, arg_max({OPERATION}, event_id) AS operation FROM events GROUP BY user_id),
+    now AS (SELECT d.doc_id, CASE WHEN l.operation IS NULL THEN d.lang || ' ' || d.source ELSE d.text END AS text
+            FROM documents d LEFT JOIN last l USING (doc_id) WHERE l.operation IS DISTINCT FROM 'DELETE')
+    SELECT 'documents' AS table_name, true AS changed, doc_id AS id, squares, total
+    FROM ({squares_sql("now", "doc_id", "text")})
+    UNION ALL SELECT 'benchmark', false, item_id, squares, total FROM ({squares_sql("benchmark", "item_id", "text")})""")
+def sync_two_tables(load):
+    """Two batches of changes of one table: the other one keeps its snapshot."""
+    entry = before_sync(load)
+    other, _ = registered(load, "benchmark", ["item_id"])
+    index_table(load.spark, other, MODELS)
+    before = {e.table: e.embeddings(load.spark).snapshot().version for e in (entry, other)}
+    sync = ChangeSync(load.spark, [entry, other], MODELS)
+    first = F.col("created_at") < F.lit("2024-01-16").cast("timestamp")
+    for number, some in enumerate((first, ~first)):
+        sync.apply_batch(change_rows(load("events")).withColumn("table_name", F.lit("documents")).where(some), number)
+    merged = None
+    for e in (entry, other):
+        table = e.embeddings(load.spark)
+        one = squares(table.read(), F.col(e.primary_key[0]).alias("id")).select(
+            F.lit(e.table).alias("table_name"), F.lit(table.snapshot().version > before[e.table]).alias("changed"), "*")
+        merged = one if merged is None else merged.unionByName(one)
+    return merged
+
+
 @query("upsert_duplicates", f"""
     WITH now AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
                                      THEN 'revised 2 ' || text ELSE text END AS text FROM documents)

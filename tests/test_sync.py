@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.operators import jobs
+from nearfield.operators.status import status
 from nearfield.plans import setup
 from nearfield.plans.indexing import index_table
 from nearfield.registry import Registry
-from nearfield.streaming.sync import ChangeSync, apply_changes
+from nearfield.streaming.sync import ChangeSync, apply_changes, heartbeats
 
 T0 = datetime.datetime(2024, 1, 1)
 CHANGE = "table_name string, id bigint, operation string, seq bigint, created_at timestamp"
@@ -151,9 +152,11 @@ def test_stream_equals_batch_and_resumes(spark, models, setup_docs, tmp_path):
     write_feed(spark, folder, "d", [(1, "DELETE", 9)], table="unknown")
     run(sync, feed(spark, folder), checkpoint)
     assert embeddings(spark, setup_docs) == expected(models, setup_docs.chunked)
-    health = jobs.worker_health(spark.read.parquet(str(tmp_path / "health")), F.current_timestamp()).first()
+    beats = heartbeats(spark, str(tmp_path / "health"))
+    health = jobs.worker_health(beats, F.current_timestamp()).first()
     assert health["worker_id"].startswith("sync:") and health["status"] == "running"
-    assert spark.read.parquet(str(tmp_path / "health")).agg(F.sum("jobs_processed")).first()[0] == 7
+    # one row per run, however many batches it had; the second run had none
+    assert sorted(r["jobs_processed"] for r in beats.collect()) == [3, 4]
     dead = spark.read.parquet(str(tmp_path / "dead")).collect()
     assert [(r["table_name"], r["status"], r["error_msg"]) for r in dead] == [("unknown", "failed", "table is not registered")]
 
@@ -217,20 +220,52 @@ def test_an_idle_stream_goes_on_beating(spark, models, setup_docs, tmp_path, mon
 
     from nearfield.streaming import sync as module
 
+    if setup_docs.chunked:
+        return
     monkeypatch.setattr(module, "HEARTBEAT_SECONDS", 0)
     folder, health = str(tmp_path / "feed"), str(tmp_path / "health")
     write_feed(spark, folder, "a", ALL[:1])
     sync = ChangeSync(spark, [setup_docs], models, health_path=health)
     query = sync.start(feed(spark, folder), str(tmp_path / "checkpoint"), every_milliseconds=200)
+    seen = set()
     try:
         for _ in range(60):
             time.sleep(0.5)
-            if query.lastProgress and spark.read.schema(jobs.HEALTH_SCHEMA).parquet(health).count() > 1:
+            # the stream reports that it is idle every ten seconds
+            seen |= {tuple(r) for r in heartbeats(spark, health).collect()} if query.lastProgress else set()
+            if len({r[1] for r in seen}) > 1:
                 break
-        beats = spark.read.parquet(health).collect()
+        last = heartbeats(spark, health).collect()
     finally:
         query.stop()
-    assert len(beats) > 1 and len({b["worker_id"] for b in beats}) == 1
+    assert len({r[1] for r in seen}) > 1 and {(r[0], r[2]) for r in seen} == {(sync.worker_id, 1)} and len(last) == 1
+
+
+def test_a_batch_touches_only_the_tables_it_names(spark, models, setup_docs, tmp_path):
+    from nearfield.sources import files
+
+    path = str(tmp_path / "notes")
+    spark.createDataFrame([(1, "a note")], "id bigint, body string").write.parquet(path)
+    other = setup.apply_table(spark, Registry(), models, table="notes", source=path, root=str(tmp_path / "other"),
+                              primary_key=["id"], column="body", model="hash-64", buckets=2)
+    index_table(spark, other, models)
+    table = other.embeddings(spark)
+    table.lists().build(1)
+    before = table.snapshot(), sorted(files.names(spark, table.path)), table.lists().current()
+    sync = ChangeSync(spark, [other, setup_docs], models)
+    version = setup_docs.embeddings(spark).snapshot().version
+    for number, some in enumerate((ALL[:2], ALL[2:], [])):
+        sync.apply_batch(changes(spark, *some), number)
+    assert (table.snapshot(), sorted(files.names(spark, table.path)), table.lists().current()) == before
+    assert setup_docs.embeddings(spark).snapshot().version == version + 2
+    assert embeddings(spark, setup_docs) == expected(models, setup_docs.chunked)
+
+
+def test_a_merge_of_nothing_publishes_nothing(spark, models, setup_docs):
+    table = setup_docs.embeddings(spark)
+    before = table.snapshot()
+    nothing = table.read().limit(0)
+    assert table.merge(nothing, nothing.select("id")) == before == table.snapshot()
 
 
 def test_model_of_the_table_wins_over_a_stale_entry(spark, models, tmp_path):
@@ -251,6 +286,7 @@ def test_model_of_the_table_wins_over_a_stale_entry(spark, models, tmp_path):
     found = search(spark, stale, models, "blue plums", "docs", limit=1).first()
     assert (found["row_id"], found["similarity"]) == ("2", 1.0)
     assert search(spark, stale, models, "blue plums").first()["row_id"] == "2"
+    assert status(spark, stale).first()["model"] == "hash-128"
     spark.createDataFrame([(3, "green pears")], "id bigint, body string").write.mode("append").parquet(path)
     assert index_table(spark, stale.require("docs"), models).rows == 1
     apply_changes(spark, stale.require("docs"), models, changes(spark, (1, "UPDATE", 1)))
