@@ -118,7 +118,8 @@ def fit(
     if lists * dims * 8 > CENTROID_BYTES:
         raise NearfieldError(f"{lists} centroids of {dims} dimensions are too many to share")
     if centroids is None:
-        centers = _fitted(present, lists, seed)
+        # one list needs no centroid of its own
+        centers = _fitted(present, lists, seed) if lists > 1 else np.zeros((1, dims))
     else:
         centers = np.asarray(centroids, dtype=np.float64)
         if centers.shape != (lists, dims):
