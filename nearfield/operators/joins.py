@@ -26,9 +26,10 @@ def key_count(keys: DataFrame) -> tuple[int, int]:
     return size["n"], size["bytes"] or 0
 
 
-def fits_broadcast(keys: DataFrame) -> bool:
-    n, size = key_count(keys)
-    return n <= BROADCAST_KEYS and size <= BROADCAST_BYTES
+def fits_broadcast(keys: DataFrame | tuple[int, int], most: int | None = None) -> bool:
+    """Whether a key set, or one of a known size, is no larger than ``most`` keys, or than any set that is broadcast."""
+    n, size = key_count(keys) if isinstance(keys, DataFrame) else keys
+    return n <= (BROADCAST_KEYS if most is None else most) and size <= BROADCAST_BYTES
 
 
 def literal_keys(rows: list, key: list[str]) -> Column:

@@ -14,7 +14,7 @@ from nearfield.errors import InvalidFilterError, NearfieldError
 from nearfield.functions import text as X
 from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted
-from nearfield.operators.joins import LITERAL_KEYS, fits_broadcast, literal_keys, pushed_keys
+from nearfield.operators.joins import LITERAL_KEYS, fits_broadcast, key_count, literal_keys, pushed_keys, rows_with_keys
 from nearfield.operators.topk import SIMILARITY, best_of, by_similarity, nearest, similarities
 from nearfield.session import materialize
 
@@ -26,6 +26,8 @@ SIMILARITY_DIGITS = 4
 CONTENT_WIDTH = 500
 # Vectors compared in full for each one wanted, after a scan of codes, and how many at most; beyond, all are.
 RERANKED, MOST_RERANKED = 8, 4000
+# Bins of the scores' histogram for a similarity of 1, and how many times the expected number of scores is looked at.
+SCORE_BINS, CUT_MARGIN = 512, 2
 
 
 def filter_condition(df: DataFrame, filters: Mapping[str, object]) -> Column | None:
@@ -79,6 +81,15 @@ class Winners:
     rows: list | None = None
 
 
+def fetched(best: DataFrame, limit: int) -> Winners:
+    """At most ``limit`` rows, on the driver if they are few and else written."""
+    if limit <= LITERAL_KEYS:
+        rows = best.collect()
+        return Winners(best.sparkSession.createDataFrame(rows, best.schema), len(rows), rows)
+    best = materialize(best, "winners")
+    return Winners(best, best.count())
+
+
 @dataclass(frozen=True)
 class Searchable:
     """A source table and its vectors, joined on the real key columns.
@@ -94,6 +105,8 @@ class Searchable:
     chunked: bool = False
     lookup: Callable[[DataFrame], DataFrame] | None = None
     decode: Callable[[Column], Column] | None = None
+    # allowed keys that are broadcast at most, if not as many as any set
+    most_allowed: int | None = None
 
     def search(
         self,
@@ -116,14 +129,7 @@ class Searchable:
         """Keys and similarities of the best rows."""
         if limit < 1:
             raise NearfieldError(f"the number of results must be positive, got {limit}")
-        query = V.check_query(query, dims)
-        best = self._winners(query, limit, filter_condition(self.source, filters or {}))
-        spark = best.sparkSession
-        if limit <= LITERAL_KEYS:
-            rows = best.collect()
-            return Winners(spark.createDataFrame(rows, best.schema), len(rows), rows)
-        best = materialize(best, "winners")
-        return Winners(best, best.count())
+        return self._winners(V.check_query(query, dims), limit, filter_condition(self.source, filters or {}))
 
     def with_rows(self, winners: Winners, limit: int) -> DataFrame:
         """The winners' source rows, best first."""
@@ -162,28 +168,61 @@ class Searchable:
             vectors = vectors.where(pushed_keys(rows, self.key))
         return nearest(vectors, self.key, query, k, part=part)
 
-    def _winners(self, query: Sequence[float], limit: int, condition: Column | None) -> DataFrame:
+    def _winners(self, query: Sequence[float], limit: int, condition: Column | None) -> Winners:
         """Key, similarity [and chunk number] of the best rows that exist and pass the filter.
 
         The vectors are by far the widest data here and never move. A small set of allowed keys is
         broadcast to them. Without a filter nearly all vectors have their row, so twice the wanted
-        number is ranked and checked. Else every vector is scored in one scan, and keys with their
-        scores meet the allowed keys.
+        number is ranked and checked. Else every vector is scored in one scan, and only the keys of the
+        best scores meet the filter.
         """
         allowed = self.source if condition is None else self.source.where(condition)
         allowed = allowed.select(*[quoted(c) for c in self.key])
-        if condition is not None and fits_broadcast(allowed):
-            return self._nearest(self.vectors.join(F.broadcast(allowed), self.key, "left_semi"), query, limit)
+        share = 1.0
+        if condition is not None:
+            size = key_count(allowed)
+            if fits_broadcast(size, self.most_allowed):
+                near = self.vectors.join(F.broadcast(allowed), self.key, "left_semi")
+                return fetched(self._nearest(near, query, limit), limit)
+            share = size[0] / max(1, self.source.count())
         if condition is None and 2 * limit <= LITERAL_KEYS:
             ranked = self._nearest(self.vectors, query, 2 * limit)
             rows = ranked.collect()
             passing = {tuple(r) for r in allowed.where(literal_keys(rows, self.key)).collect()} if rows else set()
             kept = [r for r in rows if tuple(r[c] for c in self.key) in passing]
             if len(kept) >= limit or len(rows) < 2 * limit:
-                return self.source.sparkSession.createDataFrame(kept[:limit], ranked.schema)
+                kept = kept[:limit]
+                return Winners(self.source.sparkSession.createDataFrame(kept, ranked.schema), len(kept), kept)
+        return self._above_a_cut(query, limit, allowed, share)
+
+    def _above_a_cut(self, query: Sequence[float], limit: int, allowed: DataFrame, share: float) -> Winners:
+        """Winners among the best scores only: as many as the share of allowed rows asks for, more if too few pass.
+
+        All scores are written once, not shuffled; their histogram tells which score so many rows reach. Whatever
+        passes above that score beats all rows below, so enough of them are the result.
+        """
         part = "chunk_index" if self.chunked else None
         scored = similarities(self.vectors, self.key, query, part=part)
-        return best_of(scored.join(allowed, self.key, "left_semi"), self.key, limit, part)
+        scored = materialize(scored.sortWithinPartitions(quoted(SIMILARITY).desc_nulls_last()), "scores")
+        counts = {
+            r["bin"]: r["n"]
+            for r in scored.groupBy(F.floor(quoted(SIMILARITY) * SCORE_BINS).alias("bin")).agg(F.count("*").alias("n")).collect()
+        }  # similarities are from -1 to 1, so there are at most so many bins on either side of 0
+        wanted = CUT_MARGIN * limit / max(share, 1e-12)
+        while True:
+            reached, cut = 0, None
+            for number in sorted((b for b in counts if b is not None), reverse=True):
+                reached += counts[number]
+                if reached >= wanted:
+                    cut = number
+                    break
+            above = scored if cut is None else scored.where(quoted(SIMILARITY) >= cut / SCORE_BINS)
+            # only these keys meet the filter
+            passing = rows_with_keys(allowed, above.select(*[quoted(c) for c in self.key]).distinct(), self.key)
+            winners = fetched(best_of(above.join(passing, self.key, "left_semi"), self.key, limit, part), limit)
+            if cut is None or winners.count >= limit:
+                return winners
+            wanted *= CUT_MARGIN ** 3
 
 
 def shaped(results: DataFrame) -> DataFrame:

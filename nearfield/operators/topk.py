@@ -13,14 +13,18 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.text import quoted
+from nearfield.session import estimated_bytes, materialize
 
-# Query vectors that travel to the tasks together; all such blocks are used in one scan.
-QUERY_BYTES_PER_BLOCK = 8 << 20
+# Query vectors that are multiplied together, and that travel to the tasks for one scan.
+QUERY_BYTES_PER_BLOCK, QUERY_BYTES_PER_PASS = 8 << 20, 64 << 20
+# Queries that are fetched without being counted first.
+FEW_QUERIES = 2000
 # Groups in which the rows of one query are reduced before they meet.
 MERGE_GROUPS = 64
 # Scores a task holds in memory at a time, over all queries.
@@ -109,11 +113,13 @@ def nearest_batch(
     embedding: str = "embedding",
     query_embedding: str = "embedding",
     part: str | None = None,
+    pass_bytes: int = QUERY_BYTES_PER_PASS,
 ) -> DataFrame:
     """Top-k per query: query key, key columns [, part], similarity and rank.
 
-    ``vectors`` is scanned once. The queries travel in blocks of a bounded size; the driver holds one
-    block at a time.
+    The vectors never move. Queries travel to them, ``pass_bytes`` at most in one scan; more of them take further
+    scans, one after the other, each of which writes its winners and lets its queries go. Scoring so many queries
+    costs far more than reading the vectors once more.
     """
     wanted = key + ([part] if part else [])
     present = vectors.where(quoted(embedding).isNotNull()).select(
@@ -121,28 +127,61 @@ def nearest_batch(
     )
     asked = queries.where(quoted(query_embedding).isNotNull()).select(
         quoted(query_key).alias("query_id"), quoted(query_embedding).alias("vector")
-    )
-    asked = asked.distinct().persist()
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
-    blocks = max(1, math.ceil(size["n"] * (size["dims"] or 0) * 8 / QUERY_BYTES_PER_BLOCK))
-
-    def shipped():
-        for number in range(blocks):
-            block = asked if blocks == 1 else asked.where(
-                F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)) == number
-            )
-            rows = block.collect()
-            if rows:
-                yield [r["query_id"] for r in rows], np.asarray([r["vector"] for r in rows], dtype=np.float64)
-
-    result = _local_best(present, key, shipped(), asked.schema["query_id"].dataType, k, part)
-    asked.unpersist()
-    if part is not None:
-        result = _best_part(result, key, part)
+    ).distinct()
+    id_type = asked.schema["query_id"].dataType
+    first = asked.limit(FEW_QUERIES + 1).collect()
+    if len(first) <= FEW_QUERIES and _bytes(first) <= pass_bytes:
+        return _ranked(_winners(present, key, _blocks(first, pass_bytes), id_type, k, part), key, query_key, k, part)
+    asked = materialize(asked, "queries")
+    size = asked.agg(F.sum(8 * F.size("vector")).alias("bytes")).first()["bytes"]
+    # hashes are not quite even, so a pass is asked for half of what it may hold
+    passes = math.ceil(2 * size / pass_bytes)
+    found = None
+    for number in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("query_id", "vector"), F.lit(passes)) == number).collect()
+        if not rows:
+            continue
+        shared: list[Broadcast] = []
+        best = _ranked(_winners(present, key, _blocks(rows, pass_bytes), id_type, k, part, shared), key, query_key, k, part)
+        best = materialize(best, "winners")
+        for one in shared:
+            one.unpersist()
+        found = best if found is None else found.unionByName(best)
+    # a query that comes with several vectors has one list of winners
+    again = Window.partitionBy(quoted(query_key)).orderBy(*by_similarity(key))
+    return found.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
+
+
+def _bytes(rows: list) -> int:
+    return sum(8 * len(r["vector"]) for r in rows)
+
+
+def _blocks(rows: list, pass_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of queries in blocks of a bounded size."""
+    if not rows:
+        return
+    at_once = max(1, min(QUERY_BYTES_PER_BLOCK, pass_bytes) // max(8, 8 * len(rows[0]["vector"])))
+    for start in range(0, len(rows), at_once):
+        block = rows[start : start + at_once]
+        yield [r["query_id"] for r in block], np.asarray([r["vector"] for r in block], dtype=np.float64)
+
+
+def _winners(
+    present: DataFrame, key: list[str], blocks: Iterable[tuple[list, np.ndarray]], id_type: T.DataType, k: int, part: str | None,
+    shared: list[Broadcast] | None = None,
+) -> DataFrame:
+    """The best rows of every task."""
+    result = _local_best(present, key, blocks, id_type, k, part, shared)
+    return result if part is None else _best_part(result, key, part)
+
+
+def _ranked(result: DataFrame, key: list[str], query_key: str, k: int, part: str | None) -> DataFrame:
     # in two steps, so that the best rows of very many tasks do not meet in one
     groups = Window.partitionBy("query_id", "_group").orderBy(*by_similarity(key))
-    result = result.withColumn("_group", F.pmod(F.xxhash64(*[quoted(c) for c in key]), F.lit(MERGE_GROUPS)))
-    result = result.withColumn("rank", F.row_number().over(groups)).where(F.col("rank") <= k).drop("rank", "_group")
+    per_task = result.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if estimated_bytes(result) > MERGE_GROUPS * per_task:
+        result = result.withColumn("_group", F.pmod(F.xxhash64(*[quoted(c) for c in key]), F.lit(MERGE_GROUPS)))
+        result = result.withColumn("rank", F.row_number().over(groups)).where(F.col("rank") <= k).drop("rank", "_group")
     ranked = Window.partitionBy("query_id").orderBy(*by_similarity(key))
     return (
         result.withColumn("rank", F.row_number().over(ranked))
@@ -166,24 +205,30 @@ def _local_best(
     id_type: T.DataType,
     k: int,
     part: str | None,
+    shared: list[Broadcast] | None = None,
 ) -> DataFrame:
-    """Best ``k`` rows per query within each task; ``blocks`` are the ids and vectors of the queries."""
+    """Best ``k`` rows per query within each task; ``blocks`` are the ids and vectors of the queries.
+
+    What is shared with the tasks is added to ``shared``.
+    """
     schema = T.StructType(
         [T.StructField("query_id", id_type)]
         + [f for f in present.schema.fields if f.name != "embedding"]
         + [T.StructField(SIMILARITY, T.DoubleType())]
     )
     context = present.sparkSession.sparkContext
-    shared = [
+    sent = [
         context.broadcast((np.ascontiguousarray(matrix.T), np.sqrt((matrix * matrix).sum(axis=1)), ids))
         for ids, matrix in blocks
     ]
-    if not shared:
+    if shared is not None:
+        shared += sent
+    if not sent:
         return present.sparkSession.createDataFrame([], schema)
     columns = [f.name for f in present.schema.fields if f.name != "embedding"]
 
     def best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [_Best(*block.value, columns, key, k, part) for block in shared]
+        kept = [_Best(*block.value, columns, key, k, part) for block in sent]
         for batch in batches:
             if batch.num_rows:
                 rows, values, norms = _unpacked(batch, columns, len(kept[0].by_column))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +115,14 @@ def hybrid_labels(load):
     return rounded(found).select("doc_id", "quality", "toxic", "similarity")
 
 
+@query("hybrid_cut", hybrid_sql("d.lang ILIKE 'en' AND d.n_chars >= 500"))
+def hybrid_cut(load):
+    """A filter that lets too many keys pass to be broadcast: only the keys of the best scores meet it."""
+    table = replace(document_search(load), most_allowed=0)
+    found = table.search(first_vector(load), 10, {"lang": "en", "n_chars_min": 500})
+    return rounded(found).select("doc_id", "lang", "source", "n_chars", "similarity")
+
+
 @query("batch_topk", """
     SELECT item_id, vec_id, round(s, 4) AS similarity, CAST(rank AS INTEGER) AS rank FROM (
         SELECT b.item_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s,
@@ -127,6 +137,20 @@ def batch_topk(load):
     return rounded(found).select("item_id", "vec_id", "similarity", "rank")
 
 
+@query("batch_topk_blocks", """
+    SELECT q.vec_id AS asked, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity
+    FROM embeddings q CROSS JOIN embeddings e
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY
+        round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id) <= 3""")
+def batch_topk_blocks(load):
+    """Every vector asks, in passes that hold a third of the queries each at most."""
+    vectors = load("embeddings")
+    asked = vectors.select(F.col("vec_id").alias("asked"), "embedding")
+    size = asked.agg(F.sum(8 * F.size("embedding"))).first()[0]
+    found = topk.nearest_batch(vectors, ["vec_id"], asked, "asked", 3, pass_bytes=size // 3)
+    return rounded(found).select("asked", "vec_id", "similarity")
+
+
 @query("text_search_batch", f"""
     WITH d AS ({hash_slots("documents", "doc_id", "text")}), q AS ({hash_slots("benchmark", "item_id", "text")}),
     dn AS (SELECT doc_id, SUM(w * w) AS nn FROM d GROUP BY 1), qn AS (SELECT item_id, SUM(w * w) AS nn FROM q GROUP BY 1),

