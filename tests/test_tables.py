@@ -341,6 +341,43 @@ class TestIndexing:
             assert ids(joins.rows_with_keys(source, done, ["id"])) == list(range(0, 50, 2))
 
 
+class TestPlaces:
+    """Wide rows of files and more keys than are broadcast: rows are found by their place, no text is shuffled."""
+
+    @pytest.fixture()
+    def wide(self, spark, tmp_path):
+        path = str(tmp_path / "wide")
+        rows = spark.range(0, 120_000, 1, 3).select("id", F.concat(F.lit("text "), "id").alias("text"))
+        rows.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id, 'no key' AS text").coalesce(1)).write.parquet(path)
+        return spark.read.parquet(path)
+
+    @pytest.mark.parametrize("groups", [1, 3])
+    def test_rows_by_place(self, spark, wide, monkeypatch, groups):
+        monkeypatch.setattr(joins, "BROADCAST_KEYS", 100)
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", joins.BROADCAST_BYTES if groups == 1 else 3 * joins.BITMAP_BYTES)
+        keys = spark.range(0, 120_000, 3).unionByName(spark.range(500_000, 500_100)).select("id")
+        present = wide.where("text != 'text 30'")
+        for found, want in (
+            (joins.rows_with_keys(present, keys, ["id"]), [i for i in range(0, 120_000, 3) if i != 30]),
+            (joins.rows_without_keys(present, keys, ["id"]), [i for i in range(120_000) if i % 3] + [None]),
+        ):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet [id") == groups and not re.search(r"(?<!Broadcast)Exchange", plan)
+            rows = found.collect()
+            assert sorted((r["id"] for r in rows), key=str) == sorted(want, key=str) and found.columns == ["id", "text"]
+            assert all(r["text"] == ("no key" if r["id"] is None else f"text {r['id']}") for r in rows)
+
+    def test_rows_without_places_meet_in_a_shuffle(self, spark, monkeypatch):
+        monkeypatch.setattr(joins, "BROADCAST_KEYS", 10)
+        rows, keys = spark.range(100).withColumn("text", F.lit("x")), spark.range(0, 100, 2)
+        assert sorted(ids(joins.rows_with_keys(rows, keys, ["id"]))) == list(range(0, 100, 2))
+        assert sorted(ids(joins.rows_without_keys(rows, keys, ["id"]))) == list(range(1, 100, 2))
+
+    def test_nothing_is_left(self, spark, wide, monkeypatch):
+        monkeypatch.setattr(joins, "BROADCAST_KEYS", 10)
+        assert joins.rows_with_keys(wide, spark.range(200_000, 200_100), ["id"]).count() == 0
+
+
 class TestSetup:
     @pytest.fixture()
     def source(self, products, tmp_path):
@@ -543,23 +580,37 @@ class TestParts:
 
 class TestBoundedSql:
     @pytest.mark.parametrize("sql", [
-        "INSERT INTO t VALUES (1)", "DELETE FROM t", "SELECT 1; DROP TABLE t", "WITH x AS (SELECT 1) SELECT * FROM x",
-        "", "-- SELECT 1", "SELECTED", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT `reflect`('a', 'b')",
+        "INSERT INTO t VALUES (1)", "DELETE FROM t", "SELECT 1; DROP TABLE t", "DROP VIEW t", "CREATE TABLE u AS SELECT 1", "SHOW TABLES",
+        "", "-- SELECT 1", "SELECTED", "SET spark.sql.ansi.enabled = false", "CACHE TABLE t AS SELECT 1", "EXPLAIN SELECT 1",
+        "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "WITH x AS (SELECT 1) SELECT * FROM x", "FROM t INSERT INTO u SELECT *",
+    ])
+    def test_other_statements_are_refused(self, spark, sql):
+        with pytest.raises(UnsafeQueryError):
+            check_select(spark, sql)
+
+    @pytest.mark.parametrize("sql", [
+        "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT `reflect`('a', 'b')", "SELECT reflect/**/('java.lang.System','getProperty','user.dir')",
+        "SELECT reflect -- note\n('java.lang.System', 'getProperty', 'user.dir')", "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.lang.System', 'nanoTime'))",
+        "SELECT 1 FROM (WITH x AS (SELECT a FROM sly) SELECT a FROM x)", "SELECT 1 FROM (WITH x AS (SELECT Reflect('java.lang.System', 'nanoTime') AS a) SELECT a FROM x)", "SELECT * FROM sly", "SELECT (SELECT max(a) FROM sly) AS b",
+        "SELECT transform(array(1), x -> reflect('java.lang.System', 'nanoTime'))", "SELECT TRANSFORM(id) USING 'cat' AS (a STRING) FROM range(3)",
     ])
-    def test_refused(self, sql):
+    def test_programs_are_refused_whatever_they_are_written_like(self, spark, sql):
+        spark.sql("SELECT reflect('java.lang.System', 'nanoTime') AS a").createOrReplaceTempView("sly")
         with pytest.raises(UnsafeQueryError):
-            check_select(sql)
+            check_select(spark, sql)
 
     @pytest.mark.parametrize("sql", [
-        "SELECT 1", "  select 'drop table; x' AS a ;", "-- a note\nSELECT 1", "/* update */ SELECT 1 -- delete",
-        "SELECT credit_limit FROM t", "SELECT `create` FROM t", "SELECT a AS copy FROM t", "SELECT reflection FROM t",
+        "SELECT 1", "  select 'drop table; x' AS a ;", "-- a note\nSELECT 1", "/* update */ SELECT 1 -- delete", "SELECT credit_limit FROM t",
+        "SELECT `create` FROM t", "SELECT `create` AS copy FROM t", "SELECT reflection FROM t", "SELECT 'reflect(1)' AS a; -- reflect('a')",
+        "SELECT * FROM (WITH x AS (SELECT * FROM t) SELECT * FROM x UNION ALL SELECT * FROM x)", "SELECT transform(array(1), x -> x + 1)",
     ])
-    def test_allowed(self, sql):
-        assert check_select(sql)
+    def test_allowed(self, spark, sql):
+        spark.createDataFrame([(1, 2, 3)], "credit_limit int, `create` int, reflection int").createOrReplaceTempView("t")
+        check_select(spark, sql)
 
-    @pytest.mark.parametrize("path", ["text.`/etc/hostname`", "parquet.`/root/testdata`", "csv.`/etc`"])
+    @pytest.mark.parametrize("path", ["text.`/etc/hostname`", "parquet.`/root/testdata`", "csv.`/etc`", "(SELECT * FROM json.`/etc`)"])
     def test_files_are_out_of_reach(self, spark, path):
-        with pytest.raises(Exception):
+        with pytest.raises(UnsafeQueryError, match="only registered tables"):
             run_bounded(spark, f"SELECT * FROM {path}")
         assert spark.conf.get("spark.sql.runSQLOnFiles", "true") == "true"
 
