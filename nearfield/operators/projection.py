@@ -21,6 +21,8 @@ from nearfield.operators.joins import rows_with_keys, spread
 SAMPLE_ROWS, MAX_SAMPLE_ROWS = 1000, 5000
 LABEL_WIDTH = 100
 DIGITS = 4
+# Tasks per core that add up products of vectors.
+SUMS_PER_CORE = 4
 
 
 def sample_rows(embeddings: DataFrame, key: list[str], n: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
@@ -44,10 +46,12 @@ def vector_stats(embeddings: DataFrame) -> DataFrame:
 def covariance(embeddings: DataFrame) -> DataFrame:
     """Sample covariance of every pair of components a <= b.
 
-    Each task adds up the products of its own vectors, so what is shuffled has the size of the matrix
-    per task and does not grow with the vectors.
+    Each task adds up the products of its own vectors, and there are only a few tasks for each core, which read
+    several parts of the input one after the other: what is shuffled is a matrix per task, whatever the number of
+    vectors or files.
     """
     present = embeddings.where(quoted("embedding").isNotNull()).select(quoted("embedding").cast("array<double>").alias("_v"))
+    present = present.coalesce(SUMS_PER_CORE * embeddings.sparkSession.sparkContext.defaultParallelism)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None

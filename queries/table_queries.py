@@ -267,6 +267,16 @@ def profile_columns(load):
     return profile.inspect(load.spark, load.all(), share=1.0).withColumn("avg_length", F.round("avg_length", 4))
 
 
+@query("length_estimates", """
+    SELECT 'text' AS column_name, round(avg(length(text)), 4) AS avg_length, 0.0::DOUBLE AS error, count(text) AS sampled_rows
+    FROM documents
+    UNION ALL SELECT 'source', round(avg(length(source)), 4), 0.0, count(source) FROM documents""")
+def length_estimates(load):
+    """With everything read the estimate is exact."""
+    found = profile.length_estimates(load("documents"), ["text", "source"], share=1.0)
+    return found.select("column_name", F.round("avg_length", 4).alias("avg_length"), "error", "sampled_rows")
+
+
 @query("safe_sql", """
     SELECT CAST(n_name AS VARCHAR) AS n_name, CAST(count(*) AS VARCHAR) AS customers,
            CAST(max(c_custkey) AS VARCHAR) AS newest

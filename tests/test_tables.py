@@ -578,6 +578,32 @@ class TestParts:
         assert sorted(ids(entry.embeddings(spark).read())) == list(range(40))
 
 
+class TestSampledProfile:
+    def test_samples_are_whole_files_and_carry_their_error(self, spark, tmp_path, monkeypatch):
+        """Of 60 files some are read, the others are not; the truth lies within a few errors of the estimate."""
+        path = str(tmp_path / "many")
+        rows = spark.range(0, 6000, 1, 60).select("id", F.repeat(F.lit("x"), (F.col("id") % 40 + F.floor(F.col("id") / 100)).cast("int")).alias("t"))
+        rows.write.parquet(path)
+        df = spark.read.parquet(path)
+        monkeypatch.setattr(profile, "LEAST_FILES", 5)
+        some = profile.sampled(df, 0.25)
+        read = len(some.select("_metadata.file_path").distinct().collect())
+        assert 5 <= read <= 30 and some.count() == 100 * read
+        # the files are left out when the scan is planned
+        assert len(some.rdd.glom().map(len).collect()) < 60
+        row = profile.length_estimates(df, ["t"], 0.25).first()
+        truth = df.agg(F.avg(F.length("t"))).first()[0]
+        assert row["files"] == read and 0 < row["error"] < 10 and abs(row["avg_length"] - truth) < 4 * row["error"]
+        whole = profile.length_estimates(df, ["t"], 1.0).first()
+        assert (round(whole["avg_length"], 6), whole["error"], whole["sampled_rows"]) == (round(truth, 6), 0.0, 6000)
+
+    def test_tables_of_few_files_are_sampled_by_row(self, spark):
+        df = spark.range(2000).select(F.lit("abc").alias("t"))
+        assert 50 < profile.sampled(df, 0.05).count() < 200
+        row = profile.length_estimates(df, ["t"], 0.05).first()
+        assert (row["avg_length"], row["error"]) == (3.0, None)
+
+
 class TestBoundedSql:
     @pytest.mark.parametrize("sql", [
         "INSERT INTO t VALUES (1)", "DELETE FROM t", "SELECT 1; DROP TABLE t", "DROP VIEW t", "CREATE TABLE u AS SELECT 1", "SHOW TABLES",
