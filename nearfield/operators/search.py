@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ CONTENT_WIDTH = 500
 RERANKED, MOST_RERANKED = 8, 4000
 # Bins of the scores' histogram for a similarity of 1, and how many times the expected number of scores is looked at.
 SCORE_BINS, CUT_MARGIN = 512, 2
+FOUND = "_source_table string, _source_schema string, row_id string, content string, similarity double, row_json string"
 
 
 def filter_condition(df: DataFrame, filters: Mapping[str, object]) -> Column | None:
@@ -250,27 +252,74 @@ def search_all(
 ) -> DataFrame | None:
     """Top-k over several tables: each table's own top-k, tagged with its table, then merged.
 
-    Tables may have different columns, so the remaining ones travel as JSON. A table whose model
-    has no query vector is left out with a warning; None means that no table was left.
+    All tables are ranked in one job, and rows are read only from tables that have a row among the best of all. Tables
+    may have different columns, so the remaining ones travel as JSON. A table whose model has no query vector is left
+    out with a warning; None means that no table was left.
     """
-    merged = None
+    asked = []
     for tagged in tables:
         query = query_vectors.get(tagged.model)
         if query is None:
             logger.warning("no provider for model %s, leaving out table %s", tagged.model, tagged.name)
-            continue
-        found = tagged.find(query) if tagged.find else tagged.table.search(query, limit)
+        else:
+            asked.append((tagged, V.check_query(query, None)))
+    if not asked:
+        return None
+    found = [(tagged, tagged.find(query)) for tagged, query in asked if tagged.find]
+    plain = [(tagged, query) for tagged, query in asked if not tagged.find]
+    best = _best_of_all(plain, limit)
+    found += [(tagged, tagged.table.with_rows(one, limit)) for (tagged, _), one in zip(plain, best) if one.count]
+    merged = asked[0][0].table.source.sparkSession.createDataFrame([], FOUND)
+    for tagged, rows in found:
         common = ["row_id", "content", SIMILARITY, "chunk_index"]
-        rest = [c for c in found.columns if c not in common]
-        one = found.select(
+        rest = [c for c in rows.columns if c not in common]
+        merged = merged.unionByName(rows.select(
             F.lit(tagged.name).alias("_source_table"),
             F.lit(tagged.schema).alias("_source_schema"),
             "row_id",
             "content",
             SIMILARITY,
             F.to_json(F.struct(*[quoted(c) for c in rest])).alias("row_json"),
-        )
-        merged = one if merged is None else merged.unionByName(one)
-    if merged is None:
-        return None
+        ))
     return merged.orderBy(*by_similarity(["_source_schema", "_source_table", "row_id"])).limit(limit)
+
+
+def _best_of_all(tables: list[tuple[TaggedTable, Sequence[float]]], limit: int) -> list[Winners]:
+    """Winners of every table, as far as they can be among the ``limit`` best of all tables.
+
+    As in a search of one table, twice the wanted number of vectors is ranked and their source rows are looked for; here
+    each step is one job for all tables. A table that lost too many rows is searched by itself.
+    """
+    if 2 * limit > LITERAL_KEYS or len(tables) < 2:
+        return [tagged.table.winners(query, limit) for tagged, query in tables]
+    ranked, merged = [], None
+    for at, (tagged, query) in enumerate(tables):
+        table = tagged.table
+        ranked.append(table._nearest(table.vectors, query, 2 * limit))
+        one = ranked[-1].select(F.lit(at).alias("_table"), F.struct("*").alias(f"_row_{at}"))
+        merged = one if merged is None else merged.unionByName(one, allowMissingColumns=True)
+    rows: list[list] = [[] for _ in tables]
+    for row in merged.collect():  # at most 2 * limit for each table
+        rows[row["_table"]].append(row[f"_row_{row['_table']}"])
+    merged = None
+    for at, (tagged, _) in enumerate(tables):
+        key = [quoted(c) for c in tagged.table.key]
+        one = tagged.table.source.where(literal_keys(rows[at], tagged.table.key)).select(
+            F.lit(at).alias("_table"), F.struct(*key).alias(f"_row_{at}"))
+        merged = one if merged is None else merged.unionByName(one, allowMissingColumns=True)
+    passing: list[set] = [set() for _ in tables]
+    for row in merged.collect():
+        passing[row["_table"]].add(tuple(row[f"_row_{row['_table']}"]))
+    best = []
+    for at, (tagged, query) in enumerate(tables):
+        kept = [r for r in rows[at] if tuple(r[c] for c in tagged.table.key) in passing[at]]
+        if len(kept) < limit and len(rows[at]) == 2 * limit:
+            kept = tagged.table.winners(query, limit).rows
+        order = [-math.inf if r[SIMILARITY] is None else r[SIMILARITY] for r in kept]
+        best.append([kept[i] for i in sorted(range(len(kept)), key=lambda i: -order[i])][:limit])
+    # a row below this similarity is behind ``limit`` others, whatever table it is of
+    scores = sorted((r[SIMILARITY] for one in best for r in one if r[SIMILARITY] is not None), reverse=True)
+    least = scores[limit - 1] if len(scores) >= limit else None
+    best = [one if least is None else [r for r in one if r[SIMILARITY] is not None and r[SIMILARITY] >= least] for one in best]
+    spark = tables[0][0].table.source.sparkSession
+    return [Winners(spark.createDataFrame(one, frame.schema), len(one), one) for one, frame in zip(best, ranked)]

@@ -10,16 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.errors import NearfieldError
 from nearfield.functions.embedders import Models
-from nearfield.operators.search import LIMIT, Searchable, TaggedTable, search_all
+from nearfield.operators.search import FOUND, LIMIT, Searchable, TaggedTable, search_all
 from nearfield.registry import Registry, TableEntry
 from nearfield.sources import files
 from nearfield.sources.embedding_table import Snapshot
 
 logger = logging.getLogger(__name__)
 
-EMPTY = "_source_table string, _source_schema string, row_id string, content string, similarity double, row_json string"
-
-
 def searchable(spark: SparkSession, entry: TableEntry, snap: Snapshot | None = None) -> Searchable:
     """The rows of one snapshot; queries must be embedded with the model that this snapshot names."""
     table = entry.embeddings(spark)
@@ -91,10 +88,11 @@ def search(
         for key in {snap.model for _, snap in entries}
         if (model := models.provided(key)) is not None
     }
-    tagged = [
-        TaggedTable(e.table, e.schema, snap.model, searchable(spark, e, snap), lambda query, e=e, snap=snap: _found(
-            spark, e, snap, query, limit, None, probes))
-        for e, snap in entries
-    ]
+    tagged = []
+    for entry, snap in entries:
+        def find(query, entry=entry, snap=snap):
+            return _found(spark, entry, snap, query, limit, None, probes)
+
+        tagged.append(TaggedTable(entry.table, entry.schema, snap.model, searchable(spark, entry, snap), find if probes else None))
     found = search_all(tagged, vectors, limit)
-    return found if found is not None else spark.createDataFrame([], EMPTY)
+    return found if found is not None else spark.createDataFrame([], FOUND)

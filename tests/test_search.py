@@ -239,6 +239,23 @@ class TestSearchAll:
         found = search_all(self.tables(spark, products, product_vectors), {"local": HOT}, 20).collect()
         assert {r["_source_table"] for r in found} == {"products"} and len(found) == 10
 
+    @pytest.mark.parametrize("limit", [3, 12, 600])
+    def test_tables_ranked_together_equal_tables_searched_one_by_one(self, spark, products, product_vectors, limit):
+        """With rows whose source is gone, vectors without direction, and a table that loses too many rows."""
+        rng = np.random.default_rng(12)
+        tables = []
+        for name, count, gone in (("many", 40, 0), ("half", 30, 25), ("few", 3, 0), ("none", 5, 5)):
+            rows = [(i, f"{name} {i}", [float(x) for x in rng.normal(size=384)] if i else [0.0] * 384) for i in range(count)]
+            df = spark.createDataFrame(rows, "id bigint, t string, embedding array<float>")
+            source = df.where(F.col("id") >= gone).drop("embedding")
+            tables.append(TaggedTable(name, "s", "m", Searchable(source, df.drop("t"), ["id"], ["t"])))
+        found = search_all(tables, {"m": HOT}, limit).collect()
+        single = []
+        for one in tables:
+            single += [(one.name, r["row_id"], r["similarity"]) for r in one.table.search(HOT, limit).collect()]
+        single.sort(key=lambda r: (-(r[2] if r[2] is not None else -9), r[0], r[1]))
+        assert [(r["_source_table"], r["row_id"], r["similarity"]) for r in found] == single[:limit]
+
     def test_no_tables(self, spark, models):
         assert search_all([], {}, 5) is None
         assert search(spark, Registry(), models, "anything").count() == 0
