@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.tasks import map_rows, unused
+from nearfield.operators.joins import fits_broadcast
 from nearfield.session import materialize
 
 #: Base kinds in their listed order: pattern, group that holds the value, and its least length.
@@ -143,11 +144,15 @@ def redact(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """``docs`` with the live spans of their texts replaced by "[secret]", and n_chars counted anew where it changes.
 
     Rows meet by doc_id and the text's hash, so that repeated rows and rows without an id get their own spans.
-    Only rows with live spans change; the columns stay as they are.
+    Only rows with live spans change; the columns stay as they are. The spans travel to the texts as long as their
+    counted number and size allow it; beyond that texts are shuffled.
     """
     _id, _hash, _spans, _own = (unused(docs.columns, x) for x in ("live_id", "live_hash", "live_spans", "own_hash"))
-    live = scanned.where("n_live > 0").groupBy(F.col("doc_id").alias(_id), F.col("text_hash").alias(_hash)).agg(
-        F.min("live").alias(_spans))
+    live = materialize(scanned.where("n_live > 0").groupBy(F.col("doc_id").alias(_id), F.col("text_hash").alias(_hash)).agg(
+        F.min("live").alias(_spans)), "secrets-live")
+    size = live.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.concat_ws(",", _spans))).alias("bytes")).first()
+    if fits_broadcast((size["n"], size["bytes"] or 0)):
+        live = F.broadcast(live)
     own, spans = F.col("text").cast("string"), F.col(f"`{_spans}`")
 
     @F.udf("bigint", useArrow=True)
