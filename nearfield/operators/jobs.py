@@ -6,10 +6,13 @@ changes of one row, and a time. A job is the newest change of a row that still h
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfield.errors import NearfieldError
 from nearfield.functions.scoring import uptime, worker_status
 from nearfield.functions.text import quoted
 from nearfield.sources import files
@@ -22,6 +25,8 @@ MAX_RETRIES = 3
 CLAIM_SIZE = 10
 POLL_MILLISECONDS = 500
 HEARTBEAT_SECONDS = 60
+# Buckets of a kept state.
+STATE_BUCKETS = 1024
 
 JOB_SCHEMA = T.StructType(
     [
@@ -102,12 +107,16 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str], watched:
 
     Only the key and a digest of the watched columns are shuffled.
     """
+    return _differences(_digested(before, key, watched), _digested(after, key, watched), key)
+
+
+def _digested(df: DataFrame, key: list[str], watched: list[str]) -> DataFrame:
     digest = F.concat(*[F.coalesce(F.md5(quoted(c).cast("string").cast("binary")), F.lit("-")) for c in watched])
+    return df.select(*[quoted(c) for c in key], digest.alias("_digest"))
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*[quoted(c) for c in key], digest.alias(name))
 
-    both = side(before, "_old").join(side(after, "_new"), key, "full_outer")
+def _differences(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    both = before.withColumnRenamed("_digest", "_old").join(after.withColumnRenamed("_digest", "_new"), key, "full_outer")
     operation = (
         F.when(F.col("_old").isNull(), "INSERT")
         .when(F.col("_new").isNull(), "DELETE")
@@ -116,6 +125,58 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str], watched:
     return both.withColumn("operation", operation).where(F.col("operation").isNotNull()).select(*key, "operation")
 
 
+class KeptState:
+    """Keys and digests of a table as it was, in buckets, each with a digest of all its rows.
+
+    The next state is compared bucket by bucket: its own bucket digests are added up where its rows are read, and only
+    buckets that differ are read from what was kept, and shuffled. Two sums and a parity of hashes tell buckets apart.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def keep(cls, df: DataFrame, path: str, key: list[str], watched: list[str], buckets: int = STATE_BUCKETS) -> KeptState:
+        """Write the state of ``df``; the digests come last, so a state that is not complete cannot be compared."""
+        rows = cls._bucketed(_digested(df, key, watched), key, buckets)
+        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{path}/rows")
+        state = cls(df.sparkSession, path)
+        written = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+        about = F.lit(json.dumps({"key": key, "watched": watched, "buckets": buckets})).alias("about")
+        cls._digests(written, key).select("*", about).coalesce(1).write.parquet(f"{path}/digests")
+        return state
+
+    @staticmethod
+    def _bucketed(rows: DataFrame, key: list[str], buckets: int) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64(*[quoted(c) for c in key]), F.lit(buckets)).cast("int"))
+
+    @staticmethod
+    def _digests(rows: DataFrame, key: list[str]) -> DataFrame:
+        own = F.xxhash64(*[quoted(c) for c in key], "_digest")
+        return rows.groupBy("_bucket").agg(
+            F.count("*").alias("_n"), F.sum(own.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_low"),
+            F.sum(F.shiftrightunsigned(own, 32)).alias("_high"), F.bit_xor(own).alias("_parity"))
+
+    def changes(self, after: DataFrame) -> DataFrame:
+        """As ``snapshot_diff`` of the kept state and ``after``."""
+        kept = self.spark.read.parquet(f"{self.path}/digests")
+        first = kept.first()
+        if first is None:
+            raise NearfieldError(f"the state kept at {self.path} had no rows; compare with an empty table instead")
+        about = json.loads(first["about"])
+        key, buckets = about["key"], about["buckets"]
+        now = self._bucketed(_digested(after, key, about["watched"]), key, buckets)
+        names = ["_n", "_low", "_high", "_parity"]
+        old, new = kept.select("_bucket", F.struct(*names).alias("_was")), self._digests(now, key).select(
+            "_bucket", F.struct(*names).alias("_is"))
+        # at most one row per bucket
+        differ = [r["_bucket"] for r in old.join(new, "_bucket", "full_outer").where(
+            ~F.col("_was").eqNullSafe(F.col("_is"))).select("_bucket").collect()]
+        before = self.spark.read.schema(now.schema).parquet(f"{self.path}/rows")
+        wanted = F.col("_bucket").isin(differ)
+        return _differences(before.where(wanted).drop("_bucket"), now.where(wanted).drop("_bucket"), key)
+
+
 def claim(jobs: DataFrame, limit: int = CLAIM_SIZE) -> DataFrame:
     """The oldest pending jobs."""
     return jobs.where(F.col("status") == PENDING).orderBy("created_at", "id").limit(limit)

@@ -314,18 +314,31 @@ def worker_health(load):
     return jobs.worker_health(beats, F.lit(datetime.datetime.fromisoformat(NOW)).cast("timestamp_ntz"))
 
 
-@query("snapshot_diff", """
+SNAPSHOT_SQL = """
     SELECT doc_id, 'UPDATE' AS operation FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
     UNION ALL SELECT doc_id, 'DELETE' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 0)
-    UNION ALL SELECT 1000000 + page_id, 'INSERT' FROM pages""")
-def snapshot_diff(load):
+    UNION ALL SELECT 1000000 + page_id, 'INSERT' FROM pages"""
+
+
+def later_documents(load):
     """Toxic documents were revised, poor ones deleted and the pages added; other columns don't count."""
     documents, labels = load("documents"), load("labels")
     revised = changed(load)
     kept = documents.join(labels.where("toxic = 1 OR quality = 0").select("doc_id"), "doc_id", "left_anti")
     added = load("pages").select((F.col("page_id") + 1_000_000).alias("doc_id"), F.col("html").alias("text"))
-    after = kept.withColumn("n_chars", F.col("n_chars") + 1).unionByName(revised).unionByName(added, allowMissingColumns=True)
-    return jobs.snapshot_diff(documents, after, ["doc_id"], ["text"])
+    return kept.withColumn("n_chars", F.col("n_chars") + 1).unionByName(revised).unionByName(added, allowMissingColumns=True)
+
+
+@query("snapshot_diff", SNAPSHOT_SQL)
+def snapshot_diff(load):
+    return jobs.snapshot_diff(load("documents"), later_documents(load), ["doc_id"], ["text"])
+
+
+@query("snapshot_diff_tree", SNAPSHOT_SQL)
+def snapshot_diff_tree(load):
+    """The same against a kept state: buckets whose digests agree are not read."""
+    state = jobs.KeptState.keep(load("documents"), scratch_path(load.spark, "state"), ["doc_id"], ["text"], buckets=64)
+    return state.changes(later_documents(load))
 
 
 SYNCED_SQL = f"""

@@ -1,8 +1,10 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield.errors import NearfieldError
 from nearfield.operators import jobs
 from nearfield.operators.status import status
 from nearfield.plans import setup
@@ -64,6 +66,26 @@ class TestJobs:
         assert sorted(tuple(r) for r in jobs.snapshot_diff(before, after, ["id"], ["t"]).collect()) == [
             (2, "UPDATE"), (3, "DELETE"), (4, "UPDATE"), (6, "INSERT")]
 
+    def test_only_buckets_that_differ_are_read(self, spark, tmp_path):
+        rows = [(i, f"text {i}", None if i % 5 else i) for i in range(3000)]
+        before = spark.createDataFrame(rows, "id bigint, t string, n int")
+        state = jobs.KeptState.keep(before, str(tmp_path / "state"), ["id"], ["t", "n"], buckets=50)
+        assert state.changes(before.repartition(7)).count() == 0
+        after = before.where("id != 7").withColumn("t", F.when(F.col("id") == 9, "x").otherwise(F.col("t"))).unionByName(
+            spark.createDataFrame([(5000, None, None)], before.schema))
+        found = jobs.KeptState(spark, str(tmp_path / "state")).changes(after)
+        assert sorted(tuple(r) for r in found.collect()) == [(7, "DELETE"), (9, "UPDATE"), (5000, "INSERT")]
+        # three of fifty buckets at most, pruned as folders
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        folders = re.search(r"PartitionFilters: \[[^\]]*_bucket#\d+ (?:IN \(([\d,]+)\)|= \d+|INSET ([\d, ]+))", plan)
+        assert folders and len((folders[1] or folders[2] or "0").split(",")) <= 3
+
+    def test_a_state_without_rows(self, spark, tmp_path):
+        nothing = spark.createDataFrame([], "id bigint, t string")
+        state = jobs.KeptState.keep(nothing, str(tmp_path / "state"), ["id"], ["t"])
+        with pytest.raises(NearfieldError, match="no rows"):
+            state.changes(nothing)
+
     def test_job_tables_are_made_once(self, spark, tmp_path):
         first = jobs.create_job_tables(spark, str(tmp_path))
         spark.createDataFrame([(1, "t", "1", "c", "INSERT", "pending", 0, None, T0, T0)], jobs.JOB_SCHEMA).write.mode("append").parquet(first[0])
