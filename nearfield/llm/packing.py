@@ -117,7 +117,8 @@ class Tokens:
 
     def encode(self, text: str) -> bytes:
         # the pattern of the faster library steps back over white space and gives up on very long runs of it
-        if self.fast is None or any(m.end() - m.start() >= LONG_SPACE for m in SPACES.finditer(text)):
+        if self.fast is None or len(text) >= LONG_SPACE and any(
+                m.end() - m.start() >= LONG_SPACE for m in SPACES.finditer(text)):
             return self.slow(text)
         return self.fast(text)
 
