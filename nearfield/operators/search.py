@@ -17,7 +17,7 @@ from nearfield.functions import vectors as V
 from nearfield.functions.text import quoted
 from nearfield.operators.joins import LITERAL_KEYS, fits_broadcast, key_count, literal_keys, pushed_keys, rows_with_keys
 from nearfield.operators.topk import SIMILARITY, best_of, by_similarity, nearest, similarities
-from nearfield.session import materialize
+from nearfield.session import estimated_bytes, materialize
 
 logger = logging.getLogger(__name__)
 
@@ -29,6 +29,7 @@ CONTENT_WIDTH = 500
 RERANKED, MOST_RERANKED = 8, 4000
 # Bins of the scores' histogram for a similarity of 1, and how many times the expected number of scores is looked at.
 SCORE_BINS, CUT_MARGIN = 512, 2
+SMALL_BYTES = 64 << 20
 FOUND = "_source_table string, _source_schema string, row_id string, content string, similarity double, row_json string"
 
 
@@ -109,6 +110,8 @@ class Searchable:
     decode: Callable[[Column], Column] | None = None
     # allowed keys that are broadcast at most, if not as many as any set
     most_allowed: int | None = None
+    # vectors of so many bytes have few enough scores to meet a large filter all
+    small_bytes: int = SMALL_BYTES
 
     def search(
         self,
@@ -200,11 +203,13 @@ class Searchable:
     def _above_a_cut(self, query: Sequence[float], limit: int, allowed: DataFrame, share: float) -> Winners:
         """Winners among the best scores only: as many as the share of allowed rows asks for, more if too few pass.
 
-        All scores are written once, not shuffled; their histogram tells which score so many rows reach. Whatever
+        Of a small table all scores meet the filter. Else all scores are written once, not shuffled; their histogram tells which score so many rows reach. Whatever
         passes above that score beats all rows below, so enough of them are the result.
         """
         part = "chunk_index" if self.chunked else None
         scored = similarities(self.vectors, self.key, query, part=part)
+        if estimated_bytes(self.vectors) <= self.small_bytes:
+            return fetched(best_of(scored.join(allowed, self.key, "left_semi"), self.key, limit, part), limit)
         scored = materialize(scored.sortWithinPartitions(quoted(SIMILARITY).desc_nulls_last()), "scores")
         counts = {
             r["bin"]: r["n"]

@@ -118,7 +118,7 @@ def hybrid_labels(load):
 @query("hybrid_cut", hybrid_sql("d.lang ILIKE 'en' AND d.n_chars >= 500"))
 def hybrid_cut(load):
     """A filter that lets too many keys pass to be broadcast: only the keys of the best scores meet it."""
-    table = replace(document_search(load), most_allowed=0)
+    table = replace(document_search(load), most_allowed=0, small_bytes=0)
     found = table.search(first_vector(load), 10, {"lang": "en", "n_chars_min": 500})
     return rounded(found).select("doc_id", "lang", "source", "n_chars", "similarity")
 

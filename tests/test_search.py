@@ -1,6 +1,7 @@
 import json
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -518,6 +519,8 @@ def test_large_filters_move_no_vectors(spark, monkeypatch, chunked):
     small = one.search(query, 7, {"kind": 1}).collect()
     monkeypatch.setattr(searching, "fits_broadcast", lambda *keys: False)
     assert one.search(query, 7, {"kind": 1}).collect() == small
+    assert replace(one, small_bytes=0).search(query, 7, {"kind": 1}).collect() == small
+    assert len(replace(one, small_bytes=0).search(query, 1500).collect()) == (150 if chunked else 280)
     assert len(one.search(query, 1500).collect()) == (150 if chunked else 280)
 
 
@@ -534,7 +537,7 @@ def test_only_the_best_scores_meet_a_large_filter(spark, monkeypatch, share):
     source = spark.createDataFrame([(i, "t", i in allowed) for i in range(4001)], "id bigint, t string, ok boolean")
     met, plain = [], searching.rows_with_keys
     monkeypatch.setattr(searching, "rows_with_keys", lambda wide, keys, key: met.append(keys.count()) or plain(wide, keys, key))
-    found = ids(Searchable(source, df, ["id"], ["t"], most_allowed=10).search(query, 10, {"ok": True}))
+    found = ids(Searchable(source, df, ["id"], ["t"], most_allowed=10, small_bytes=0).search(query, 10, {"ok": True}))
     assert found == [int(i) for i in by_score if int(i) in allowed][:10]
     assert met[0] < (100 if share == 2 else 1000) and (len(met) == 1 if share == 2 else met[-1] > 1000)
 
