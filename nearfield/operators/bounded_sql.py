@@ -40,7 +40,8 @@ def check_select(spark: SparkSession, sql: str) -> None:
     if parsed.nodeName() == "UnresolvedWith":
         raise UnsafeQueryError("only queries that start with SELECT are allowed")
     # statements of other kinds and functions by name first, since the analysis looks tables and classes up
-    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in ("Command", "ParsedStatement")]
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    kinds = [spark._jvm.java.lang.Class.forName(f"{logical}.{name}") for name in ("Command", "ParsedStatement")]
     for node in _nodes(parsed):
         if any(kind.isInstance(node) for kind in kinds):
             raise UnsafeQueryError("only SELECT queries are allowed")

@@ -59,10 +59,12 @@ def length_estimates(df: DataFrame, columns: list[str], share: float = SAMPLE_SH
     files = _file(df)
     counted = []
     for name in columns:
-        counted += [F.sum(F.length(quoted(name).cast("string"))).cast("double").alias(f"y_{name}"), F.count(quoted(name)).alias(f"x_{name}")]
+        length = F.length(quoted(name).cast("string"))
+        counted += [F.sum(length).cast("double").alias(f"y_{name}"), F.count(quoted(name)).alias(f"x_{name}")]
     by_file = some.groupBy((F.lit("") if files is None else files).alias("_file")).agg(*counted)
     entries = [
-        F.struct(F.lit(name).alias("column_name"), F.coalesce(quoted(f"y_{name}"), F.lit(0.0)).alias("y"), quoted(f"x_{name}").alias("x"))
+        F.struct(F.lit(name).alias("column_name"), F.coalesce(quoted(f"y_{name}"), F.lit(0.0)).alias("y"),
+                 quoted(f"x_{name}").alias("x"))
         for name in columns
     ]
     sums = by_file.select("_file", F.inline(F.array(*entries))).where("x > 0").groupBy("column_name").agg(

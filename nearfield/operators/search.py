@@ -203,8 +203,9 @@ class Searchable:
     def _above_a_cut(self, query: Sequence[float], limit: int, allowed: DataFrame, share: float) -> Winners:
         """Winners among the best scores only: as many as the share of allowed rows asks for, more if too few pass.
 
-        Of a small table all scores meet the filter. Else all scores are written once, not shuffled; their histogram tells which score so many rows reach. Whatever
-        passes above that score beats all rows below, so enough of them are the result.
+        Of a small table all scores meet the filter. Else all scores are written once, not shuffled; their histogram tells
+        which score so many rows reach. Whatever passes above that score beats all rows below, so enough of them are the
+        result.
         """
         part = "chunk_index" if self.chunked else None
         scored = similarities(self.vectors, self.key, query, part=part)

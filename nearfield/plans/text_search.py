@@ -12,7 +12,6 @@ from nearfield.errors import NearfieldError
 from nearfield.functions.embedders import Models
 from nearfield.operators.search import FOUND, LIMIT, Searchable, TaggedTable, search_all
 from nearfield.registry import Registry, TableEntry
-from nearfield.sources import files
 from nearfield.sources.embedding_table import Snapshot
 
 logger = logging.getLogger(__name__)
@@ -93,6 +92,8 @@ def search(
         def find(query, entry=entry, snap=snap):
             return _found(spark, entry, snap, query, limit, None, probes)
 
-        tagged.append(TaggedTable(entry.table, entry.schema, snap.model, searchable(spark, entry, snap), find if probes else None))
+        tagged.append(TaggedTable(
+            entry.table, entry.schema, snap.model, searchable(spark, entry, snap),
+            None if probes is None else find))
     found = search_all(tagged, vectors, limit)
     return found if found is not None else spark.createDataFrame([], FOUND)
