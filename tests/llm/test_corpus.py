@@ -294,7 +294,8 @@ def test_lines_of_a_mixed_document(spark):
 def test_every_operator_is_registered():
     names = driver.queries()
     assert QUERIES.keys() <= names.keys() and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+    assert {"op11_line_dedup", "op12_hard_negatives", "op13_fill_middle"} <= driver.oracle_sql().keys()
 
 
 def test_stages_against_plain_versions(spark, odd):
