@@ -57,13 +57,3 @@ def test_ownership_equals_brute_force(spark):
         want[doc_id] = (sum(copied), sorted(live), secrets.span_list([f[:3] for f in found]))
     assert {r.doc_id: (r.n_copied, sorted(r.live), r.spans) for r in secrets.scan(docs).collect()} == want
     assert any(w[0] for w in want.values()) or any(w[1] for w in want.values())
-
-
-@pytest.mark.parametrize("most", [0, 1 << 20])
-def test_spans_travel_to_the_texts(frame, monkeypatch, most):
-    monkeypatch.setattr(secrets, "fits_broadcast", lambda size: size[0] <= most)
-    docs = frame([(i, f"token: Zq{i}xwvut81Kp and more") for i in range(20)] + [(50, "nothing here"), (50, "nothing here")])
-    hidden = secrets.redact(docs, secrets.scan(docs))
-    assert sorted(r.text for r in hidden.collect()) == sorted(["[secret] and more"] * 20 + ["nothing here"] * 2)
-    plan = hidden._jdf.queryExecution().optimizedPlan().toString()
-    assert ("broadcast" in plan) == bool(most)
