@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from nearfield.errors import DimensionMismatchError, UnknownModelError
+from nearfield.functions.batches import WORD
 
 # Provider key, model name and vector dimensions of the known models; batch sizes.
 KNOWN_MODELS = {
@@ -26,9 +27,6 @@ KNOWN_MODELS = {
 BATCH_SIZE = 32
 REMOTE_BATCH_SIZE = 100
 
-# A word: letters and digits of any script.
-WORD = r"[^\W_]+"
-
 Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 

@@ -1,7 +1,5 @@
 """Two-dimensional maps of embeddings, samples, topic clusters and their keywords."""
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.errors import NearfieldError
-from nearfield.functions.embedders import WORD
+from nearfield.functions.batches import counted_words
 from nearfield.functions.text import quoted, row_id
 from nearfield.operators.joins import rows_with_keys, spread
 
@@ -122,16 +120,8 @@ def topic_clusters(
 
 def word_counts(text: Column) -> Column:
     """Distinct words of a text with how often each occurs."""
-    entry = pa.struct([("term", pa.string()), ("n", pa.int64())])
-
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = re.compile(WORD)
-        for batch in batches:
-            rows = [None if t is None else Counter(words.findall(t.lower())).items() for t in batch.to_pylist()]
-            yield pa.array([None if r is None else [{"term": w, "n": n} for w, n in r] for r in rows], pa.list_(entry))
-
     # see Embedder.column: keeps Catalyst from calling it twice
-    return F.arrow_udf(count, "array<struct<term:string,n:bigint>>").asNondeterministic()(text)
+    return F.arrow_udf(counted_words, "array<struct<term:string,n:bigint>>").asNondeterministic()(text)
 
 
 def cluster_keywords(members: DataFrame, texts: DataFrame, key: list[str], text: str, top: int = 5) -> DataFrame:

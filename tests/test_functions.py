@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,8 +11,10 @@ from pyspark.sql import types as T
 
 from nearfield.errors import DimensionMismatchError, NearfieldError, UnknownModelError
 from nearfield.functions import scoring, text, vectors
+from nearfield.functions.batches import counted_words, pieces
 from nearfield.functions.chunking import chunk_column, windows
 from nearfield.functions.embedders import Embedder, hash_embedder
+from nearfield.operators.projection import word_counts
 
 
 def chunk(spark, value, *args, **options):
@@ -247,3 +251,43 @@ def test_random_windows_cover_every_word():
         lengths = [rng.randint(1, 30) for _ in range(rng.randint(1, 40))]
         ranges = windows(lengths, 16, 4)
         assert sorted({w for a, b in ranges for w in range(a, b)}) == list(range(sum(lengths)))
+
+
+def peak_of(job) -> int:
+    """The most bytes of Python objects while ``job`` runs, which drops what it gets."""
+    tracemalloc.start()
+    try:
+        job()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def some_texts(n: int) -> pa.Array:
+    """Texts of 1,000 different words each, some 6 KB."""
+    return pa.array([" ".join(f"w{(i * 7 + j) % 5000:04}" for j in range(1000)) for i in range(n)])
+
+
+class TestPieces:
+    def test_are_the_whole_batch(self):
+        batch = pa.array(["aa", None, "", "bbbb", "c" * 50, None, "d", "e", None])[1:]
+        for most, size in ((None, 5), (2, 1000), (1, 1), (None, 1000)):
+            found = list(pieces(batch, most, size))
+            assert pa.concat_arrays(found).to_pylist() == batch.to_pylist()
+            for piece in found:
+                held = [t for t in piece.to_pylist() if t is not None]
+                assert most is None or len(held) <= most
+                assert sum(map(len, held)) <= size or len(piece) == 1
+        assert [len(p) for p in pieces(batch, 2, 1000)] == [3, 3, 2]
+        assert [len(p) for p in pieces(pa.array([], pa.string()))] == [0]
+        assert [len(p) for p in pieces(pa.array([None] * 3, pa.string()), 1)] == [3]
+
+    def test_word_counts_hold_a_piece_of_a_large_batch(self, spark):
+        texts = [None, "", "One two, ONE", "--"]
+        df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+        rows = [r["w"] for r in df.select(word_counts(F.col("t")).alias("w")).collect()]
+        assert [None if r is None else [(e["term"], e["n"]) for e in r] for r in rows] == [None, [], [("one", 2), ("two", 1)], []]
+        batch = some_texts(2000)
+        seen = []
+        peak = peak_of(lambda: seen.extend(len(found) for found in counted_words(iter([batch]))))
+        assert sum(seen) == 2000 and len(seen) > 4 and peak < 60 << 20
