@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from nearfield.errors import DimensionMismatchError, UnknownModelError
-from nearfield.functions.batches import WORD
+from nearfield.functions.batches import WORD, pieces
 
 # Provider key, model name and vector dimensions of the known models; batch sizes.
 KNOWN_MODELS = {
@@ -26,6 +26,8 @@ KNOWN_MODELS = {
 }
 BATCH_SIZE = 32
 REMOTE_BATCH_SIZE = 100
+# Words whose slots a process remembers, and their length at most.
+KNOWN_WORDS, KNOWN_LENGTH = 1 << 17, 32
 
 Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -47,18 +49,16 @@ class Embedder:
 
         def embed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encode = loaded(identity, factory)
-            for batch in batches:
-                present = batch.drop_null().to_pylist()
-                matrix = np.zeros((len(present), dims), dtype=np.float32)
-                for at in range(0, len(present), size):
-                    part = np.asarray(encode(present[at:at + size]), dtype=np.float32)
-                    if part.shape != (len(present[at:at + size]), dims):
-                        raise ValueError(f"model returned shape {part.shape}, expected {dims} dimensions")
-                    matrix[at:at + size] = part
-                offsets = np.concatenate([[0], np.cumsum(np.asarray(batch.is_valid()).astype(np.int32) * dims)])
-                mask = pa.array(np.asarray(batch.is_null()))
+            for piece in (p for batch in batches for p in pieces(batch, size)):
+                present = piece.drop_null().to_pylist()
+                matrix = np.zeros((0, dims), dtype=np.float32)
+                if present:
+                    matrix = np.asarray(encode(present), dtype=np.float32)
+                if matrix.shape != (len(present), dims):
+                    raise ValueError(f"model returned shape {matrix.shape}, expected {dims} dimensions")
+                offsets = np.concatenate([[0], np.cumsum(np.asarray(piece.is_valid()).astype(np.int32) * dims)])
                 yield pa.ListArray.from_arrays(
-                    pa.array(offsets.astype(np.int32)), pa.array(matrix.reshape(-1)), mask=mask
+                    pa.array(offsets.astype(np.int32)), pa.array(matrix.reshape(-1)), mask=piece.is_null()
                 )
 
         # not repeatable as far as Catalyst knows, or it would copy the call into filters on its result
@@ -89,10 +89,10 @@ class Embedder:
                         return [{"embedding": None, "error": f"{type(error).__name__}: {error}"}]
                     return [one for text in texts for one in tried([text])]
 
-            for batch in batches:
-                texts = batch.to_pylist()
+            for piece in (p for batch in batches for p in pieces(batch, size)):
+                texts = piece.to_pylist()
                 present = [t for t in texts if t is not None]
-                found = iter([r for at in range(0, len(present), size) for r in tried(present[at:at + size])])
+                found = iter(tried(present) if present else [])
                 yield pa.array([None if t is None else next(found) for t in texts], result)
 
         return F.arrow_udf(embed_batches, "struct<embedding:array<float>,error:string>").asNondeterministic()(text)
@@ -129,11 +129,12 @@ def hash_embedder(dims: int = 64) -> Embedder:
 
         class Slots(dict):
             def __missing__(self, word):
-                if len(self) >= 1_000_000:
-                    self.clear()
                 digest = hashlib.md5(word.encode()).hexdigest()
                 slot = int(digest[:4], 16) % dims + (dims if digest[4] >= "8" else 0)
-                self[word] = slot
+                if len(word) <= KNOWN_LENGTH:
+                    if len(self) >= KNOWN_WORDS:
+                        self.clear()
+                    self[word] = slot
                 return slot
 
         slot_of = Slots().__getitem__
@@ -149,7 +150,8 @@ def hash_embedder(dims: int = 64) -> Embedder:
 
         return encode
 
-    return Embedder(f"hash-{dims}", f"md5-word-hash-{dims}", dims, factory, batch_size=1024)
+    name = f"md5-word-hash-{dims}"
+    return Embedder(f"hash-{dims}", name, dims, factory, batch_size=1024, identity=name)
 
 
 class Models:

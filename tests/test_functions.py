@@ -268,6 +268,22 @@ def some_texts(n: int) -> pa.Array:
     return pa.array([" ".join(f"w{(i * 7 + j) % 5000:04}" for j in range(1000)) for i in range(n)])
 
 
+def called(column):
+    """The function that ``column`` makes an Arrow UDF of."""
+    made = []
+
+    def arrow_udf(function, *_):
+        made.append(function)
+        return real(function, *_)
+
+    real, F.arrow_udf = F.arrow_udf, arrow_udf
+    try:
+        column(F.lit("text"))
+    finally:
+        F.arrow_udf = real
+    return made[0]
+
+
 class TestPieces:
     def test_are_the_whole_batch(self):
         batch = pa.array(["aa", None, "", "bbbb", "c" * 50, None, "d", "e", None])[1:]
@@ -291,3 +307,39 @@ class TestPieces:
         seen = []
         peak = peak_of(lambda: seen.extend(len(found) for found in counted_words(iter([batch]))))
         assert sum(seen) == 2000 and len(seen) > 4 and peak < 60 << 20
+
+    def test_models_get_a_piece_of_a_large_batch(self):
+        calls = []
+
+        def factory():
+            def encode(texts):
+                calls.append(len(texts))
+                return [[len(t), 1] for t in texts]
+            return encode
+
+        model = Embedder("counts", "counts", 2, factory, batch_size=300)
+        batch = pa.array([None, *some_texts(2000).to_pylist()])
+        for column in (model.column, model.column_or_error):
+            embed = called(column)
+            seen = []
+            peak = peak_of(lambda: seen.extend(embed(iter([batch]))))
+            rows = [r for found in seen for r in found.to_pylist()]
+            assert rows[0] is None and len(rows) == 2001 and len(seen) > 4 and peak < 8 << 20
+            vectors_found = [r["embedding"] if isinstance(r, dict) else r for r in rows[1:]]
+            assert vectors_found == [[len(t), 1] for t in batch.to_pylist()[1:]]
+        assert max(calls) == 300 and sum(calls) == 4000
+
+    def test_known_words_are_few_and_shared(self):
+        one, two = hash_embedder(64), hash_embedder(64)
+        assert one.identity == two.identity != hash_embedder(128).identity
+        encode = one.factory()
+        held = []
+
+        def many():
+            for start in range(0, 400_000, 20_000):
+                encode([" ".join(f"v{i}" for i in range(start, start + 20_000)) + " " + "long" * 50_000])
+            held.append(tracemalloc.get_traced_memory()[0])
+
+        peak_of(many)
+        assert held[0] < 25 << 20
+        assert (encode(["v1 v2 v399999"]) == hash_embedder(64).factory()(["v1 v2 v399999"])).all()
