@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from nearfield.errors import NearfieldError
+from nearfield.functions.batches import pieces
 
 # Default window, overlap and sentence boundary.
 MAX_WORDS = 256
@@ -68,8 +69,8 @@ def chunk_column(
             ranges = cut_windows(lengths, max_words, overlap)[:max_chunks]
             return [" ".join(words[a:b]) for a, b in ranges]
 
-        for batch in batches:
-            rows = [None if v is None else split(v) for v in batch.to_pylist()]
+        for piece in (p for batch in batches for p in pieces(batch)):
+            rows = [None if v is None else split(v) for v in piece.to_pylist()]
             yield pa.array(rows, type=pa.list_(pa.string()))
 
     # see Embedder.column: keeps Catalyst from calling it twice

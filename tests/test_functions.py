@@ -343,3 +343,10 @@ class TestPieces:
         peak_of(many)
         assert held[0] < 25 << 20
         assert (encode(["v1 v2 v399999"]) == hash_embedder(64).factory()(["v1 v2 v399999"])).all()
+
+    def test_chunks_of_a_piece_of_a_large_batch(self):
+        batch = pa.array([None, *some_texts(4000).to_pylist()])
+        split = called(lambda text: chunk_column(text, 500, 100))
+        seen = []
+        peak = peak_of(lambda: seen.extend((len(found), found.null_count) for found in split(iter([batch]))))
+        assert sum(n for n, _ in seen) == 4001 and sum(n for _, n in seen) == 1 and len(seen) > 8 and peak < 20 << 20
